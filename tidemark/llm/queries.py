@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, simhash
-from tidemark.llm.common import table
+from tidemark.llm import bpe, langid, packing, quality, secrets, simhash
+from tidemark.llm.common import held_out, table
 
 VOCAB = "word_bpe_49k.json"
 
@@ -21,12 +22,28 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
 
 
+def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learned(docs))
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_simhash_vptree, op6_packing)}
+    return {f.__name__: f for f in (op2_bpe, op3_simhash_vptree, op4_quality_rules, op6_packing, op9_secret_links, op10_langid_ecoc)}
 
 
 def oracle_sql() -> dict[str, str]:
