@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn_graph, langid, packing, pivots, quality, secrets, simhash
+from tidemark.llm import bpe, knn_graph, langid, line_dedup, packing, pivots, quality, secrets, simhash
 from tidemark.llm.common import held_out, table
 
 VOCAB = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op5_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB))
 
@@ -51,8 +55,23 @@ def op10_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op6_packing, op7_pivot_topk, op9_secret_links, op10_langid_ecoc)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op9_secret_links, op10_langid_ecoc)}
+
+
+#: Exact top 5 by integer inner product, all rows against all queries.
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND NOT list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding])
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_suffixes": line_dedup.ORACLE, "op7_pivot_topk": TOPK_SQL}
