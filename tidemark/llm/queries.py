@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn_graph, langid, line_dedup, packing, pivots, quality, secrets, simhash
+from tidemark.llm import bpe, knn_graph, langid, line_dedup, packing, pii, pivots, quality, secrets, simhash
 from tidemark.llm.common import held_out, table
 
 VOCAB = "word_bpe_49k.json"
+#: The key of the registered query; a user passes a secret of their own.
+PII_KEY = "tidemark registered query"
 
 
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +47,10 @@ def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +62,8 @@ def op10_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op9_secret_links, op10_langid_ecoc)}
+    found = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 #: Exact top 5 by integer inner product, all rows against all queries.
