@@ -58,6 +58,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Collisions looked up from a constant map up to this many; more are joined.
 MAPPED = 5_000
 MOST_DRAWS = 16
+#: From this draw on a short address or a name gets longer, where its own form has too few surrogates.
+WIDER = 3
 
 
 def _let(value: Column, then) -> Column:
@@ -154,7 +156,7 @@ def _person(text: Column, key: str, draw: Column) -> Column:
 
     def renamed(p: Column) -> Column:
         first = _let(_hexes(key, F.lit("given"), F.concat_ws("|", p["gender"], p["given"]), draw), lambda h: F.coalesce(*[F.when((p["script"] == s) & (p["gender"] == g), _drawn(names, h, F.lit(1))) for (s, g), names in GIVEN.items()]))
-        last = _let(_hexes(key, F.lit("surname"), p["surname"], draw), lambda h: F.coalesce(*[F.when(p["script"] == s, F.initcap(F.concat(*[_drawn(sounds, h, F.lit(k)) for k in range(1, 5)]))) for s, sounds in SYLLABLES.items()]))
+        last = _let(_hexes(key, F.lit("surname"), p["surname"], draw), lambda h: F.coalesce(*[F.when(p["script"] == s, F.initcap(F.concat(*[_drawn(sounds, h, F.lit(k)) for k in range(1, 5)], F.when(draw >= WIDER, F.concat(*[_drawn(sounds, h, F.lit(k)) for k in (5, 6)])).otherwise("")))) for s, sounds in SYLLABLES.items()]))
         return F.concat(p["title"], F.when(p["given"] != "", F.concat(first, F.lit(" "))).otherwise(""), last)
 
     return _let(parts, renamed)
@@ -173,7 +175,7 @@ def surrogate(kind: Column, entity: Column, key: str, draw: Column) -> Column:
 
     def drawn(h: Column) -> Column:
         return (
-            F.when(kind == "email", F.concat(_like(F.substring(entity, F.lit(1), at - 1), h), F.lit("@d"), F.substring(domain, 1, 10), F.lit(".example.com")))
+            F.when(kind == "email", F.concat(_like(F.substring(entity, F.lit(1), at - 1), h), F.when(draw >= WIDER, F.substring(h, 60, 6)).otherwise(""), F.lit("@d"), F.substring(domain, 1, 10), F.lit(".example.com")))
             .when(kind == "ip", F.concat_ws(".", *[(_number(h, F.lit(k), 254) + 1).cast("string") for k in (1, 3, 5, 7)]))
             .when(kind == "card", _card(entity, h))
             .when(kind == "iban", _iban(entity, h))
