@@ -14,46 +14,56 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import islice
+from operator import eq
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import durable, held_out
-from tidemark.llm.spans import fixed
 
 #: Labelled rows that the trees and weights are fitted on, at most about so many.
 SAMPLE = 20_000
-TREES, DEPTH, LASSO = 20, 3, 0.002
+TREES, DEPTH, LASSO = 30, 4, 0.0003
 
 #: A condition (statistic, at most?, bound); a rule is a set of them.
 Rule = frozenset
 
-
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, none of which grows with its length."""
-    text = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    words = F.greatest(F.lit(1.0), count(r"\S+"))
-    chars = F.greatest(F.lit(1.0), F.length(text).cast("double"))
-    return {
-        "log_words": F.log(words),
-        "word_chars": chars / words,
-        "symbols": count(r"[^\p{L}\p{N}\s.,;:'\"()?-]+") / words,
-        "shouts": count(r"!+") / words,
-        "bars": count(r"\|") / words,
-        "capital_words": count(r"(?<!\S)\p{Lu}{2,}+") / words,
-        "lower_starts": count(r"(?<!\S)\p{Ll}") / words,
-        "repeats": count(r"(?<!\S)(\S++)\s++(?=\1(?!\S))") / words,
-        "ends": count(r"[.!?](?!\S)") / words,
-        "commas": count(r",") / words,
-        "digits": count(r"\d+") / words,
-        "lines": count(r"\n") / words,
-    }
-
-
-NAMES = list(statistics(F.lit("")))
+#: The statistics, and the ASCII characters that some of them count.
+NAMES = ["log_words", "word_chars", "symbols", "shouts", "bars", "capitals", "repeats", "distinct", "ends", "commas", "digits", "lines"]
+_AT = {n: [ord(c) for c in chars] for n, chars in {"symbols": "#$%&*+/<=>@[\\]^_`{}~", "shouts": "!", "bars": "|", "ends": ".?", "commas": ",;:", "digits": "0123456789", "lines": "\n", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz"}.items()}
+
+
+def measure(text: str | None) -> tuple[float, ...]:
+    """Statistics of a whole text in the order of NAMES, none of which grows with its length."""
+    words = (text or "").split()
+    n = max(1, len(words))
+    held = np.bincount(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8), minlength=256)
+    of = {k: int(held[at].sum()) for k, at in _AT.items()}
+    return (
+        math.log(n),
+        len(text or "") / n,
+        of["symbols"] / n,
+        of["shouts"] / n,
+        of["bars"] / n,
+        of["upper"] / max(1, of["upper"] + of["lower"]),
+        sum(map(eq, words, islice(words, 1, None))) / n,
+        len(set(words)) / n,
+        of["ends"] / n,
+        of["commas"] / n,
+        of["digits"] / n,
+        of["lines"] / n,
+    )
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES]))
+def statistics(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measure(t) for t in texts], columns=NAMES, dtype="float64")
 
 
 def _paths(node, at: Rule, out: set) -> None:
@@ -108,7 +118,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     drawn = marks.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) <= int(share * scale))
     texts = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
     # The sample is bounded by ``sample``, so it can be broadcast to the texts.
-    met = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("label", *[c.alias(n) for n, c in statistics(F.col("_text")).items()])
+    met = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("label", statistics("_text").alias("_s")).select("label", "_s.*")
     return compiled(*fit(durable(met)))
 
 
@@ -118,5 +128,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = docs.columns
     clash = {c: f"_own_{i}" for i, c in enumerate(kept)}
     plain = docs.select(*[docs[c].alias(n) for c, n in clash.items()])
-    scored = fixed(plain, **statistics(F.col(clash[text_col]))).withColumn("_score", model)
+    scored = plain.withColumn("_s", statistics(clash[text_col])).select(*clash.values(), "_s.*").withColumn("_score", model)
     return scored.select(*[F.col(n).alias(c) for c, n in clash.items() if c not in ("score", "predicted")], F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
