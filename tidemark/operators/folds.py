@@ -157,6 +157,8 @@ def match_evidence(events: DataFrame, evidence: DataFrame, keys: list[str]) -> D
 
     double = T.DoubleType()
     schema = _schema(events, keys, ("nth", T.LongType()), ("t", double), ("end", double), ("confidence", double), ("evidence_t", double), ("source", T.StringType()))
+    # Both may come from one table: new names for the same columns tell them apart.
+    events, evidence = events.toDF(*events.columns), evidence.toDF(*evidence.columns)
     return events.groupBy(*keys).cogroup(evidence.groupBy(*keys)).applyInPandas(fold, schema)
 
 
