@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clamp
-from tidemark.operators import folds, joins, windows
+from tidemark.operators import choices, folds, joins, windows
 
 
 def dead_icon(i: Column) -> Column:
@@ -74,3 +74,28 @@ def describe(deaths: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame
     balance = F.when(d > 0, F.format_string("%d枚有利", d)).when(d < 0, F.format_string("%d枚不利", -d)).otherwise("人数は五分")
     text = F.format_string("デス直前は自軍%d人・相手%d人（%s）。", "right_team_alive", "right_enemy_alive", balance)
     return met.withColumn("situation", F.coalesce(F.when(d.isNotNull(), text), F.lit("デス直前の人数・カウント状況は判定できませんでした。")))
+
+
+def respawn_runs(samples: DataFrame, keys: list[str], start: float, end: float) -> DataFrame:
+    """Deaths by their countdown: sessions of recognised frames (``kind, score, white, fine_white``) with eight in a row."""
+    bound = F.when(F.col("kind") == "tacticooler", 0.61).otherwise(0.56)
+    seen = samples.where(F.col("t").between(start, end) & (F.col("score") >= bound) & (F.col("white") >= 0.34) & (F.col("fine_white") >= 0.46))
+    cut = windows.gap_sessions(windows.gap_sessions(seen, keys, ["t"], 0.35).withColumnRenamed("session", "streak"), keys, ["t"], 0.75)
+    streaks = cut.groupBy(*keys, "session", "streak").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.max_by(F.struct("score", "kind"), F.struct("score", -F.col("t"))).alias("peak"))
+    runs = streaks.groupBy(*keys, "session").agg(F.max("n").alias("longest"), F.sum("n").alias("observations"), F.min("first").alias("t"), F.max("last").alias("last"), F.max("peak").alias("peak"))
+    sure = F.round(F.least(F.lit(0.99), 0.72 + F.col("peak.score") * 0.25), 3)
+    return runs.where("longest >= 8").select(*keys, "t", (F.col("last") + 0.5).alias("end"), (F.col("last") - F.col("t") + 0.5).alias("duration"), sure.alias("confidence"), F.col("peak.kind").alias("variant"), "observations", F.col("longest").alias("consecutive"))
+
+
+def expected_deaths(deaths: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """As many deaths as the result says (``expected``), confirmed ones first, then the surest; numbered by time."""
+    ranked = deaths.join(expected, keys).where("expected >= 0")
+    kept = choices.top_per_key(ranked, keys, [F.desc("confirmed"), F.desc("confidence"), F.asc("t")], F.col("expected"))
+    return choices.renumber(kept.drop("rank", "expected"), keys, ["t"], "death")
+
+
+def best_candidates(options: DataFrame, expected: DataFrame, keys: list[str], preferred: int | None = None) -> DataFrame:
+    """The option ``slot, deaths, confirmed`` whose count is nearest to the expected one; then by confirmed, preference, slot."""
+    met = options.join(expected, keys)
+    order = [F.abs(F.col("deaths") - F.col("expected")), -F.col("confirmed"), F.when(F.col("slot") == preferred, 0).otherwise(1) if preferred is not None else F.lit(0), F.col("slot")]
+    return choices.arg_min(met, keys, order)
