@@ -81,17 +81,16 @@ def search_block(q_ids, q, q_dist, floors, ids, x, x_dist, k: int):
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
 
 
-def _pack(rows: DataFrame, size: int, count: int) -> DataFrame:
-    """Rows ``id, v, dim, cell, distances, floor`` packed by cell in parts of about ``size``."""
-    parts = max(1, -(-count // size))
+def _pack(rows: DataFrame, size: int) -> DataFrame:
+    """Rows ``id, v, dim, cell, distances, floor`` packed by cell in parts of about ``size``; a cell may hold most rows."""
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
         stack = lambda c: np.array(frame[c].tolist(), np.float64).tobytes()
         return pd.DataFrame([[first["dim"], first["cell"], first["part"], len(frame), frame["id"].to_numpy(np.int64).tobytes(), stack("v"), stack("distances"), frame["floor"].to_numpy(np.float64).tobytes()]], columns=[c.split()[0] for c in _PACKED.split(", ")])
 
-    # A cell may hold most rows: every cell is dealt over as many parts as all rows would fill.
-    salted = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    parts = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).alias("parts"))
+    salted = rows.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     return salted.groupBy("dim", "cell", "part").applyInPandas(pack, _PACKED)
 
 
@@ -135,15 +134,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     located = rows.mapInPandas(locate, "id long, v array<double>, dim int, cell int, distances array<double>").withColumn("floor", F.lit(float("-inf")))
     located = durable(located)
-    blocks = durable(_pack(located, BLOCK, n).withColumn("block", F.xxhash64("dim", "cell", "part")))
+    blocks = durable(_pack(located, BLOCK).withColumn("block", F.xxhash64("dim", "cell", "part")))
     queries = located.where(is_query)
-    n_queries = queries.count()
     q_named = lambda df: df.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "cell", "part", "n", "ids", "vectors", "distances", "floors")])
-    own = q_named(_pack(queries, CHUNK, n_queries))
+    own = q_named(_pack(queries, CHUNK))
     first = _searched(own.join(blocks, (F.col("q_dim") == F.col("dim")) & (F.col("q_cell") == F.col("cell"))), k)
     floors = _best(first, k).where(F.size("best") >= k).select(F.col("query_id").alias("id"), (-F.element_at("best", k)["s"]).cast("double").alias("known"))
     floored = queries.join(durable(floors), "id", "left").withColumn("floor", F.coalesce("known", "floor")).drop("known")
-    chunks = q_named(durable(_pack(floored, CHUNK, n_queries)))
+    chunks = q_named(durable(_pack(floored, CHUNK)))
     # The stated query set against all rows: each chunk is sent to each block of its vector length.
     places = blocks.select(F.col("dim").alias("at_dim"), "block").groupBy("at_dim").agg(F.collect_list("block").alias("at"))
     sent_to = chunks.join(places, F.col("q_dim") == F.col("at_dim")).withColumn("to", F.explode("at")).drop("at", "at_dim")
