@@ -65,6 +65,18 @@ def test_counts_never_rise(spark):
     assert got == sorted(got, reverse=True)
 
 
+def greedy(spark, values, step=0.5, rate=2.25):
+    rows = [(1, i * step, [] if v is None else [reading(v, 0.05)], True) for i, v in enumerate(values)]
+    return [r["value"] for r in folds.greedy_counts(spark.createDataFrame(rows, SCHEMA), ["key"], rate=rate).orderBy("t").collect()]
+
+
+def test_greedy_counts_ask_for_what_bears_a_fall_out(spark):
+    assert greedy(spark, [100, 100, 99, 98, 97, 97]) == [100, 100, 99, 98, 97, 97]
+    assert greedy(spark, [100, 100, 60, 100, 99, 99]) == [100, 100, 100, 100, 99, 99]  # too fast, and it recovers
+    assert greedy(spark, [12, 12, 1, 9, 8, 8], rate=None)[-1] <= 12
+    assert greedy(spark, [100, 99, None, None, 97, 96]) == [100, 99, 99, 99, 97, 96]
+
+
 PENALTY = "key long, t double, candidates array<struct<value: int, cost: double, support: int>>, visible boolean, other_visible boolean"
 
 
@@ -170,15 +182,30 @@ def test_chunked_windows_equal_plain_ones(spark):
 
     w = Window.partitionBy("key").orderBy("t", "id")
     plain = {r["id"]: r for r in df.select("id", F.lag("id").over(w).alias("b"), F.lead("id").over(w).alias("a"), F.round(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("s"), F.last("v", True).over(w).alias("l")).collect()}
-    for size in (7.0, 90.0, 1e6):
-        out = chunks.neighbour(df, ["key"], ["t", "id"], ["id"], "b", size)
-        out = chunks.neighbour(out, ["key"], ["t", "id"], ["id"], "a", size, ahead=True)
+    for size in (7.0, 90.0, None):
+        out = chunks.neighbours(df, ["key"], ["t", "id"], ["id"], size, before="b", after="a")
         out = chunks.running_sum(out, ["key"], ["t", "id"], F.coalesce("v", F.lit(0.0)), "s", size)
-        out = chunks.last_known(out, ["key"], ["t", "id"], F.col("v"), "l", size)
+        out = chunks.last_known(out, ["key"], ["t", "id"], F.col("v"), size, before="l")
         for r in out.collect():
             p = plain[r["id"]]
             assert (r["b"]["id"] if r["b"] else None) == p["b"] and (r["a"]["id"] if r["a"] else None) == p["a"]
             assert r["l"] == p["l"] and r["s"] == pytest.approx(p["s"] or 0.0, abs=1e-5)
+    runs = [sorted((r["id"], r["n"]) for r in chunks.run_numbers(df, ["key"], ["t", "id"], ["t"], lambda b, n: b.isNull() | (n["t"] - b["t"] > 9.0), "n", size).collect()) for size in (7.0, 90.0, None)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_framed_windows_equal_plain_ones(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.randint(1, 2), rng.uniform(0, 100), i, rng.random() < 0.5) for i in range(300)], "key long, t double, id long, f boolean")
+    from pyspark.sql import Window
+
+    from tidemark.operators import chunks
+
+    w = Window.partitionBy("key").orderBy("t", "id")
+    cols = lambda w: {"n": F.sum(F.col("f").cast("int")).over(w.rowsBetween(-3, 5)), "b": F.sum(F.col("f").cast("int")).over(w.rowsBetween(2, 7))}
+    want = sorted(map(str, df.withColumns(cols(w)).collect()))
+    for block in (8, 50, 1000):
+        assert sorted(map(str, chunks.framed(df, ["key"], ["t", "id"], 3, 7, cols, 10.0, block).select("key", "t", "id", "f", "n", "b").collect())) == want
 
 
 def test_interpolated_angles_take_the_shorter_arc(spark):

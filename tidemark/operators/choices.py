@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunks import numbered
+
 
 def vote_margin(df: DataFrame, keys: list[str], value: str, confidence: str, least: int = 2, margin: int = 2, bonus: float = 0.015, most_bonus: float = 0.08, cap: float = 0.99) -> DataFrame:
     """The value with at least ``least`` votes and ``margin`` more than the runner-up; surer the more votes beyond ``least``."""
@@ -47,10 +49,10 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: Column |
     return df.withColumn("rank", number).where(F.col("rank") <= k)
 
 
-def renumber(df: DataFrame, keys: list[str], order: list[str], prefix: str, name: str = "id") -> DataFrame:
-    """``name``: prefix-1, prefix-2 ... in order."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, F.concat(F.lit(f"{prefix}-"), number.cast("string")))
+def renumber(df: DataFrame, keys: list[str], order: list[str], prefix: str, name: str = "id", chunk: float | None = 30 * 86400.0) -> DataFrame:
+    """``name``: prefix-1, prefix-2 ... in order, of which the first column is a time."""
+    placed = numbered(df, keys, order, "_nth", chunk)
+    return placed.withColumn(name, F.concat(F.lit(f"{prefix}-"), F.col("_nth").cast("string"))).drop("_nth")
 
 
 def arg_min(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

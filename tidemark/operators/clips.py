@@ -13,7 +13,7 @@ def fragment_manifest(matches: DataFrame, fragments: DataFrame, key: str) -> Dat
     """For each match ``key, number, start, end`` its fragments in order, each with its place on the match's own timeline."""
     met = joins.interval_overlap(matches, fragments, [key], 60.0)
     parts = met.select(key, "number", "start", "end", F.col("right_file_name").alias("file_name"), F.col("right_start").alias("source_start"), F.col("right_end").alias("source_end"), (F.col("right_end") - F.col("right_start")).alias("duration"))
-    placed = windows.offsets(parts, [key, "number"], ["source_start", "file_name"], "duration")
+    placed = windows.offsets(parts, [key, "number"], ["source_start", "file_name"], "duration", None)
     return placed.withColumn("timeline_start", F.round("offset", 3)).drop("offset")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import folds, joins, penalty
+from tidemark.operators.chunks import framed
 
 READING = "array<struct<value: int, cost: double, support: int>>"
 
@@ -45,8 +46,8 @@ def _full(c: str) -> Column:
 def count_start(samples: DataFrame, keys: list[str], earliest: float) -> DataFrame:
     """``start``: the first tick at which both sides read 100 and do so again within four ticks; ``earliest`` for none."""
     both = samples.withColumn("_both", _full("left") & _full("right"))
-    again = F.max(F.col("_both").cast("int")).over(Window.partitionBy(*keys).orderBy("t").rowsBetween(1, 4))
-    first = both.withColumn("_again", again).groupBy(*keys).agg(F.min(F.when(F.col("_both") & (F.col("_again") == 1), F.col("t"))).alias("s"))
+    near = framed(both, keys, ["t"], 0, 4, lambda w: {"_again": F.max(F.col("_both").cast("int")).over(w.rowsBetween(1, 4))}, None)
+    first = near.groupBy(*keys).agg(F.min(F.when(F.col("_both") & (F.col("_again") == 1), F.col("t"))).alias("s"))
     return first.select(*keys, F.greatest(F.lit(earliest), F.coalesce("s", F.lit(earliest))).alias("start"))
 
 

@@ -242,3 +242,73 @@ def suppress_peaks(df: DataFrame, keys: list[str], distance: float, most: int) -
         return frame.iloc[kept]
 
     return df.groupBy(*keys).applyInPandas(fold, df.schema)
+
+
+#: Rates a second at which a counter of a rule can fall.
+RATES = {"area": 2.25, "tower": 2.5, "carry": 6.0}
+NEAR, CLEAR, FUTURE, RECOVERY, SCORING = 0.16, 0.24, 4, 6, 2.0
+
+
+def _best(held: dict[int, float]) -> tuple[int, float] | None:
+    return min(held.items(), key=lambda x: x[1]) if held else None
+
+
+def _believed(value: int, low: int, soon: tuple[int, float] | None, later: list[tuple[int, float]], scoring: bool) -> bool:
+    """Whether a lower reading holds: the next reading bears it out or the count is moving, and it doesn't soon read higher again."""
+    borne_out = soon is not None and soon[0] <= low and soon[1] <= CLEAR
+    half_eleven = low == 1 and 10 <= value < 20 and soon is not None and 2 <= soon[0] <= 9
+    if any(low < v <= value and c <= CLEAR for v, c in later) and not half_eleven:
+        return False
+    if low <= 9 and (value >= 50 and not scoring or value >= 20 and not (scoring and borne_out)):
+        return False
+    return borne_out or scoring
+
+
+def decode_greedy(times: list[float], seen: list[dict[int, float]], rate: float | None, top: int = TOP) -> list[tuple[int, bool]]:
+    """(value, changed) at each tick: a running count falls to the cheapest reading that is believable where and when it is read."""
+    bests = [_best(s) for s in seen]
+    value, moved, trusted, out = top, -np.inf, times[0] if times else 0.0, []
+    for i, (t, held) in enumerate(zip(times, seen, strict=True)):
+        sure = any(10 <= v <= value and c <= 0.3 for v, c in held.items())
+        options = sorted(((c + (0.2 if v < 10 <= value and sure else 0.0), v) for v, c in held.items() if v <= value), key=lambda x: x[0])
+        lowest, own = options[0][0] if options else 0.0, held.get(value)
+        picked = None
+        if not (own is not None and own <= lowest + 0.14):
+            soon = next((b for b in bests[i + 1 : i + 1 + FUTURE] if b), None)
+            later = [b for b in bests[i + 1 : i + 1 + RECOVERY] if b]
+            for cost, v in options:
+                if v == value:
+                    break
+                far = rate is not None and value - v > np.ceil(max(0.5, t - trusted) * rate) + 1
+                if cost <= lowest + NEAR and not far and _believed(value, v, soon, later, t - moved <= SCORING):
+                    # A 1 read where 2 to 9 follow is what is left of 11.
+                    picked = 11 if v == 1 and 10 <= value < 20 and soon and 2 <= soon[0] <= 9 else v
+                    break
+        changed = picked is not None and picked < value
+        if changed:
+            value, moved = picked, t
+        if held.get(value, 1.0) <= 0.3:
+            trusted = t
+        out.append((value, changed))
+    return out
+
+
+def greedy_counts(df: DataFrame, keys: list[str], time: str = "t", rate: float | None = None) -> DataFrame:
+    """Like :func:`monotone_counts` for panels that are read digit by digit: falls must be possible at ``rate`` and borne out."""
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(time, kind="stable")
+        seen = []
+        for row in frame["candidates"]:
+            held: dict[int, float] = {}
+            for c in [] if row is None else list(row):
+                cost = c["cost"] - min(0.06, max(0, (c["support"] or 1) - 1) * 0.012)
+                held[int(c["value"])] = min(cost, held.get(int(c["value"]), np.inf))
+            seen.append(held)
+        path = decode_greedy(frame[time].tolist(), seen, rate)
+        read = [s.get(v) for s, (v, _) in zip(seen, path, strict=True)]
+        source = ["observed" if r is not None else "inferred" if c else "held" for r, (_, c) in zip(read, path, strict=True)]
+        sure = [max(0.35, min(0.98, 1 - max(0.0, r) / 0.5)) if r is not None else 0.7 if c else 0.45 for r, (_, c) in zip(read, path, strict=True)]
+        return frame[[*keys, time]].assign(value=[v for v, _ in path], source=source, confidence=sure)
+
+    return df.groupBy(*keys).applyInPandas(fold, _schema(df, [*keys, time], ("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType())))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.chunks import last_known
+from tidemark.operators.chunks import last_known, numbered
 
 CHUNK = 30 * 86400.0
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str], shift: float = 0.0, longest: float | None = None, forward: bool = False, tie: list[str] | None = None, chunk: float = CHUNK) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str], shift: float = 0.0, longest: float | None = None, forward: bool = False, tie: list[str] | None = None, chunk: float | None = CHUNK) -> DataFrame:
     """Each left row with the latest right row at or before its time plus ``shift`` (``forward``: the first at or after it).
 
     Both sides are united and read in order once. Of right rows at one time the last by ``tie`` counts. Columns come as ``right_<name>``, null where none is within ``longest`` seconds."""
@@ -19,7 +19,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns:
     order_of = lambda *c: F.struct(*[x.cast("double").alias(f"o{i}") for i, x in enumerate(c)]) if c else F.struct(F.lit(0.0).alias("o0"))
     l_rows = left.select(*keys, (F.col(time) + shift).alias("_t"), F.lit(side).alias("_side"), order_of(*[F.lit(None) for _ in ties]).alias("_tie"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"))
     r_rows = right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), order_of(*[F.col(c) for c in ties]).alias("_tie"), F.lit(None).alias("_left"), F.struct(F.col(time).alias("_t"), *columns).alias("_right"))
-    both = last_known(l_rows.union(r_rows), keys, ["_t", "_side", "_tie"], F.col("_right"), "_met", chunk, ahead=forward)
+    both = last_known(l_rows.union(r_rows), keys, ["_t", "_side", "_tie"], F.col("_right"), chunk, **{"after" if forward else "before": "_met"})
     found = both.where("_left is not null")
     if longest is not None:
         found = found.withColumn("_met", F.when(F.abs(F.col("_t") - F.col("_met._t")) <= longest, F.col("_met")))
@@ -90,11 +90,10 @@ def spatial_anti(df: DataFrame, fixed: DataFrame, keys: list[str], radius: float
     return own.join(wide, on, "left_anti").drop("_gx", "_gy")
 
 
-def positional_diff(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+def positional_diff(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: float | None = CHUNK) -> DataFrame:
     """The n-th row of one side beside the n-th of the other, with the differences of their values and ``exact``."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    l = left.select(*keys, number.alias("nth"), *[F.col(v).alias(f"left_{v}") for v in values])  # noqa: E741
-    r = right.select(*keys, number.alias("nth"), *[F.col(v).alias(f"right_{v}") for v in values])
+    l = numbered(left, keys, order, "nth", chunk).select(*keys, "nth", *[F.col(v).alias(f"left_{v}") for v in values])  # noqa: E741
+    r = numbered(right, keys, order, "nth", chunk).select(*keys, "nth", *[F.col(v).alias(f"right_{v}") for v in values])
     met = l.join(r, [*keys, "nth"], "full_outer")
     exact = F.lit(True)
     for v in values:

@@ -1,4 +1,6 @@
-"""Positions on a map: what was observed, the route between, and short predictions from motion, heading and sight."""
+"""Positions on a map: what was observed, the route between, and short predictions from motion, heading and sight.
+
+A key is a match, so plain windows do."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ def _place(x: Column) -> Column:
 
 def self_observations(samples: DataFrame, keys: list[str]) -> DataFrame:
     """The surest own marker (``marker: struct<x, y, direction, confidence>``) of each time the map was open, once the map is plain."""
-    cut = windows.gap_sessions(samples.where("visible"), keys, ["t"], EPISODE_GAP)
+    cut = windows.gap_sessions(samples.where("visible"), keys, ["t"], EPISODE_GAP, None)
     fine = (F.col("neutral") >= 0.36) & (F.col("score") >= 0.32) & (F.col("marker.confidence") >= 0.5)
     until = cut.groupBy(*keys, "session").agg(F.max("t").alias("until"), F.max_by(F.struct("t", "marker"), F.when(fine, F.struct(F.col("marker.confidence").alias("c"), (-F.col("t")).alias("t")))).alias("b"))
     return until.where("b is not null").select(*keys, F.col("b.t").alias("t"), "b.marker.x", "b.marker.y", "b.marker.direction", "b.marker.confidence", "until")
@@ -27,7 +29,7 @@ def self_observations(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 def route(points: DataFrame, keys: list[str]) -> DataFrame:
     """Observations and, on every full second between two, a place on the line, the heading by the shorter arc, surer near either end."""
-    near = windows.neighbour(points, keys, ["t"], ["t", "x", "y", "direction", "confidence"], "n", windows.CHUNK, ahead=True)
+    near = windows.neighbours(points, keys, ["t"], ["t", "x", "y", "direction", "confidence"], None, after="n")
     first = F.ceil(F.col("t") + 1).cast("int")
     last = (F.ceil(F.col("n.t")) - 1).cast("int")
     made = near.where(F.col("n.t").isNotNull() & (first <= last)).withColumn("s", F.explode(F.sequence(first, last)))
@@ -41,7 +43,7 @@ def route(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def motion_predictions(points: DataFrame, keys: list[str], seconds: int = 6) -> DataFrame:
     """A place for each of the next seconds, at the speed since the observation before; only believable speeds count."""
-    near = windows.neighbour(points, keys, ["t"], ["t", "x", "y"], "b", windows.CHUNK)
+    near = windows.neighbours(points, keys, ["t"], ["t", "x", "y"], None, before="b")
     dt = F.col("t") - F.col("b.t")
     moving = near.withColumns({"vx": (F.col("x") - F.col("b.x")) / F.when(dt > 0, dt), "vy": (F.col("y") - F.col("b.y")) / F.when(dt > 0, dt)}).where((dt > 0) & (dt <= 90)).where(F.hypot("vx", "vy").between(0.4, 18))
     each = moving.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(seconds))))
@@ -50,7 +52,7 @@ def motion_predictions(points: DataFrame, keys: list[str], seconds: int = 6) ->
 
 def heading_predictions(points: DataFrame, keys: list[str], seconds: int = 6, distance: float = 72.0) -> DataFrame:
     """A place for each of the next seconds along the heading, until half a second before the next observation."""
-    near = windows.neighbour(points, keys, ["t"], ["t"], "n", windows.CHUNK, ahead=True)
+    near = windows.neighbours(points, keys, ["t"], ["t"], None, after="n")
     lasts = F.least(F.lit(float(seconds)), F.coalesce(F.greatest(F.lit(0.0), F.col("n.t") - F.col("t") - 0.5), F.lit(float(seconds))))
     each = near.withColumn("lasts", lasts).where("direction is not null and lasts >= 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor("lasts").cast("int"))))
     step = F.col("k") * distance / seconds
@@ -59,7 +61,7 @@ def heading_predictions(points: DataFrame, keys: list[str], seconds: int = 6, di
 
 def threat_zones(deaths: DataFrame, points: DataFrame, keys: list[str], seconds: int = 6, longest: float = 10.0) -> DataFrame:
     """A growing circle around where a death's player was next seen within ``longest`` seconds."""
-    met = joins.asof(deaths, points, keys, "t", ["x", "y", "confidence"], longest=longest, forward=True).where("right_x is not null")
+    met = joins.asof(deaths, points, keys, "t", ["x", "y", "confidence"], longest=longest, forward=True, chunk=None).where("right_x is not null")
     sure = F.round(F.least(F.lit(0.48), F.coalesce("confidence", F.lit(0.5)) * F.col("right_confidence") * 0.72), 3)
     each = met.withColumn("sure", sure).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(seconds))))
     return each.select(*keys, F.col("t").alias("death_t"), (F.col("t") + F.col("k")).alias("t"), F.col("right_x").alias("x"), F.col("right_y").alias("y"), (F.lit(55.0) + F.col("k") * 11).alias("radius"), F.round(F.col("sure") * F.exp(-F.col("k") / 3.5), 3).alias("confidence"))
@@ -76,7 +78,7 @@ def sight_predictions(frames: DataFrame, own: DataFrame, keys: list[str], second
     bearing = F.radians("right_direction") + (F.col("x") + F.col("width") / 2 - 0.5) * (math.pi / 2)
     far = clamp(22 / F.greatest(F.lit(0.04), F.col("height")), 55.0, 210.0)
     put = near.select(*ids, clamp(F.col("right_x") + F.cos(bearing) * far, 0.0, SIDE).alias("mx"), clamp(F.col("right_y") + F.sin(bearing) * far, 0.0, SIDE).alias("my"), F.least(F.lit(0.28), F.col("confidence") * F.col("right_confidence") * 0.48).alias("sure"))
-    placed = windows.neighbour(put, [*keys, "id"], ["t"], ["t", "mx", "my"], "b", windows.CHUNK)
+    placed = windows.neighbours(put, [*keys, "id"], ["t"], ["t", "mx", "my"], None, before="b")
     rest = [c for c in placed.columns if c not in (*keys, "id")]
     last = placed.groupBy(*keys, "id").agg(F.max_by(F.struct(*rest), "t").alias("r")).select(*keys, "id", "r.*")
     dt = F.greatest(F.lit(0.5), F.col("t") - F.col("b.t"))

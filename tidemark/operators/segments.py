@@ -1,4 +1,6 @@
-"""Recordings to matches: frame features to classified samples, active runs, match starts and segments."""
+"""Recordings to matches: frame features to classified samples, active runs, match starts and segments.
+
+A key is a recording of bounded length, so plain windows do."""
 
 from __future__ import annotations
 
@@ -42,23 +44,23 @@ def classify(samples: DataFrame, key: str) -> DataFrame:
 
 def active_runs(classified: DataFrame, key: str, interval: float, least: float = 75.0) -> DataFrame:
     """``active_start, active_end`` of stretches with activity in at least 35 % of the half minute around."""
-    dense = windows.rolling_density(classified, [key], ["time"], F.col("active"), int(-(-16 // interval)), 0.35)
-    runs = windows.island_summary(dense, [key], ["time"], F.col("dense"), least, interval)
+    dense = windows.rolling_density(classified, [key], ["time"], F.col("active"), int(-(-16 // interval)), 0.35, None)
+    runs = windows.island_summary(dense, [key], ["time"], F.col("dense"), least, interval, None)
     return runs.select(key, F.col("start").alias("active_start"), F.col("end").alias("active_end"))
 
 
 def intro_starts(classified: DataFrame, key: str, interval: float) -> DataFrame:
     """``start`` of matches by their intro card: the best frame of each card, the later of two within a minute, followed by activity."""
     ahead = lambda s: int(-(-s // interval))
-    counted = windows.forward_count(classified, [key], ["time"], F.col("active"), ahead(8), ahead(120))
-    cards = windows.gap_sessions(counted.where("rule_intro"), [key], ["time"], interval * 2)
+    counted = windows.forward_count(classified, [key], ["time"], F.col("active"), ahead(8), ahead(120), None)
+    cards = windows.gap_sessions(counted.where("rule_intro"), [key], ["time"], interval * 2, None)
     # A frame that is no card in between ends a card too.
-    islands = windows.islands(counted, [key], ["time"], F.col("rule_intro")).select(key, "time", "island")
+    islands = windows.islands(counted, [key], ["time"], F.col("rule_intro"), None).select(key, "time", "island")
     split = cards.join(islands, [key, "time"])
     best = split.groupBy(key, "session", "island").agg(F.max_by(F.struct("time", "ahead"), F.struct("rule_score", -F.col("time"))).alias("b")).select(key, "b.time", "b.ahead")
-    late = windows.gap_sessions(best, [key], ["time"], 60.0).groupBy(key, "session").agg(F.max_by("ahead", "time").alias("ahead"), F.max("time").alias("time"))
+    late = windows.gap_sessions(best, [key], ["time"], 60.0, None).groupBy(key, "session").agg(F.max_by("ahead", "time").alias("ahead"), F.max("time").alias("time"))
     followed = late.where(F.col("ahead") >= max(3, ahead(6)))
-    return windows.min_spacing(followed, [key], ["time"], 120.0).select(key, F.col("time").alias("start"))
+    return windows.min_spacing(followed, [key], ["time"], 120.0, None).select(key, F.col("time").alias("start"))
 
 
 def segments(classified: DataFrame, durations: DataFrame, key: str, interval: float) -> DataFrame:
@@ -66,7 +68,7 @@ def segments(classified: DataFrame, durations: DataFrame, key: str, interval: fl
 
     Recordings with intro cards are cut at them; the others at their active runs, overlaps settled halfway."""
     runs = active_runs(classified, key, interval)
-    starts = windows.neighbour(intro_starts(classified, key, interval), [key], ["start"], ["start"], "_next", windows.CHUNK, ahead=True).join(durations, key)
+    starts = windows.neighbours(intro_starts(classified, key, interval), [key], ["start"], ["start"], None, after="_next").join(durations, key)
     following = F.coalesce(F.col("_next.start"), F.col("duration"))
     fits = (F.col("r.active_end") > F.col("s.start")) & (F.col("r.active_start") >= F.col("s.start") - 60) & (F.col("r.active_start") < F.least(F.col("s.following") - 30, F.col("s.start") + 60))
     s = starts.withColumns({"following": following, "last": F.col("_next").isNull()}).drop("_next").alias("s")
@@ -75,7 +77,7 @@ def segments(classified: DataFrame, durations: DataFrame, key: str, interval: fl
     end = F.when(F.col("last"), F.least(F.col("duration"), active_end + 90)).otherwise(F.least(F.col("following") - 3, active_end + 70))
     by_card = met.select(key, "start", F.greatest(F.col("start") + 60, end).alias("end"), F.col("start").alias("active_start"), active_end.alias("active_end"), F.lit("rule-intro").alias("detection"))
     bare = runs.join(starts.select(key).distinct(), key, "left_anti").join(durations, key)
-    bare = windows.neighbour(bare, [key], ["active_start"], ["active_start"], "_next", windows.CHUNK, ahead=True)
+    bare = windows.neighbours(bare, [key], ["active_start"], ["active_start"], None, after="_next")
     until = F.least(F.col("duration"), F.coalesce(F.col("_next.active_start") - 3, F.col("duration")), F.col("active_end") + 90)
     spans = bare.select(key, F.greatest(F.lit(0.0), F.col("active_start") - 25).alias("start"), until.alias("end"), "active_start", "active_end", F.lit("activity").alias("detection"))
-    return by_card.unionByName(windows.settle_overlaps(spans, [key], ["active_start"]))
+    return by_card.unionByName(windows.settle_overlaps(spans, [key], ["active_start"], None))

@@ -36,6 +36,10 @@ def viterbi_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.monotone_counts(_readings(_sessions(spark, sf_dir)), KEYS)
 
 
+def greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.greedy_counts(_readings(_sessions(spark, sf_dir)), KEYS, rate=folds.RATES["area"])
+
+
 def penalty_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _readings(_sessions(spark, sf_dir)).withColumns({"visible": F.size("candidates") > 0, "other_visible": F.pmod("id", F.lit(3)) > 0})
     return penalty.penalty_counts(rows, KEYS)
@@ -117,4 +121,4 @@ def stream_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/log").select("key", "rows", seconds("start").alias("start"), seconds("end").alias("end"))
 
 
-QUERIES = [viterbi_monotone, penalty_decode, smooth_flips, greedy_spacing, greedy_match, cluster_points, track_objects, longest_chain, suppress_peaks, match_segments, hidden_then_counts, lifecycle_events, stream_gap_sessions]
+QUERIES = [viterbi_monotone, greedy_decode, penalty_decode, smooth_flips, greedy_spacing, greedy_match, cluster_points, track_objects, longest_chain, suppress_peaks, match_segments, hidden_then_counts, lifecycle_events, stream_gap_sessions]
