@@ -1,7 +1,8 @@
 """Order-dependent folds: what a window can't say because each step depends on what the last one chose.
 
-Each runs once per key over that key's rows in order, as an Arrow-backed grouped map. A key is one recording's timeline: bounded by its
-length. A key that is longer is cut first, by session (:func:`tidemark.operators.windows.gap_sessions`), and folded by (key, session).
+Each runs over the rows of a key in order. Rows are dealt and sorted by key, and a task folds one key after the other from its stream of
+Arrow batches, so many small keys cost no more than their rows. A key is one recording's timeline: bounded by its length. A key that is longer is
+cut first, by session (:func:`tidemark.operators.windows.gap_sessions`), and folded by (key, session).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Values of a counter that runs down, and what a step costs the decoder.
@@ -21,8 +23,31 @@ def _schema(df: DataFrame, names: list[str], *more: tuple[str, T.DataType]) -> T
     return T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in more])
 
 
-def _typed(frame: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
-    return frame.reindex(columns=columns)
+def per_key(df: DataFrame, keys: list[str], order: list[str], fold, schema: T.StructType) -> DataFrame:
+    """``fold`` of each key's rows, which come sorted by ``order``. A key that goes on in the next batch is kept back until it ends."""
+    names = schema.fieldNames()
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            changes = np.zeros(len(frame) - 1, bool)
+            for k in keys:
+                v = frame[k].to_numpy()
+                changes |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+            starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
+            out = [fold(frame.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            if out:
+                yield pd.concat(out, ignore_index=True)[names]
+            held = frame.iloc[starts[-1] :]
+        if held is not None and len(held):
+            yield fold(held)[names]
+
+    # The number of tasks is given, or small rows with much work each would be merged to one.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def decode_monotone(candidates: list[dict[int, float]], top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
@@ -30,20 +55,22 @@ def decode_monotone(candidates: list[dict[int, float]], top: int = TOP) -> tuple
 
     Of equal predecessors the one nearest to the value counts, of equal ends the smallest value."""
     n = top + 1
-    costs, back = np.full(n, np.inf), np.zeros((len(candidates), n), np.int64)
+    costs, back = np.full(n, np.inf), np.empty((len(candidates), n), np.int64)
     costs[top] = 0.0
-    drop = np.arange(n)[None, :] - np.arange(n)[:, None]  # from a previous value (column) to a value (row)
+    fall = STEP_COST + DROP_COST * np.arange(n)
+    fall[0] = 0.0
     for i, seen in enumerate(candidates):
-        read = np.full(n, np.nan)
+        # A value that isn't read can only have been held; one that is read may be fallen to from any above.
+        back[i] = np.where(np.isfinite(costs), np.arange(n), -1)
+        if not seen:
+            continue
+        best, now = min(seen.values()), costs + UNSEEN_COST
         for value, cost in seen.items():
-            read[value] = cost
-        observed = ~np.isnan(read)
-        best = min(seen.values(), default=0.0)
-        emission = np.where(observed, np.maximum(0.0, np.nan_to_num(read) - best) * 4 + np.nan_to_num(read) * 0.08, UNSEEN_COST) if seen else np.zeros(n)
-        step = np.where(drop == 0, 0.0, np.where((drop > 0) & observed[:, None], STEP_COST + drop * DROP_COST, np.inf))
-        total = costs[None, :] + step + emission[:, None]
-        back[i] = np.where(np.isfinite(total.min(axis=1)), total.argmin(axis=1), -1)
-        costs = total.min(axis=1)
+            ways = costs[value:] + fall[: n - value] + max(0.0, cost - best) * 4 + cost * 0.08
+            k = int(ways.argmin())
+            now[value] = ways[k]
+            back[i, value] = value + k if np.isfinite(ways[k]) else -1
+        costs = now
     path = np.zeros(len(candidates), np.int64)
     value = int(costs.argmin()) if len(candidates) else 0
     before = np.zeros(len(candidates), np.int64)
@@ -95,7 +122,7 @@ def monotone_counts(df: DataFrame, keys: list[str], time: str = "t") -> DataFram
             source[i], sure[i] = "inferred", 0.62
         return frame[[*keys, time]].assign(value=path, source=source, confidence=sure)
 
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, [*keys, time], ("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType())))
+    return per_key(df, keys, [time], fold, _schema(df, [*keys, time], ("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType())))
 
 
 def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confidence: str, span: float = 3.0, cap: float = 0.65) -> DataFrame:
@@ -109,7 +136,7 @@ def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confiden
                 v[i], c[i] = v[i - 1], min(c[i], cap)
         return frame.assign(**{value: v, confidence: c})
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    return per_key(df, keys, [time], fold, df.schema)
 
 
 def greedy_spacing(df: DataFrame, keys: list[str], order: list[str], least: float, most: int | None = None) -> DataFrame:
@@ -126,23 +153,24 @@ def greedy_spacing(df: DataFrame, keys: list[str], order: list[str], least: floa
                     break
         return frame.iloc[kept]
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    return per_key(df, keys, order, fold, df.schema)
 
 
 def match_evidence(events: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     """Events ``t, end, confidence`` and readings ``t, end, confidence`` matched one to one, nearest first in the events' order.
 
     A matched event starts no later than its reading less the delay and takes the greater confidence; a reading left over
-    becomes an event of its own. Events are numbered by time. Both sides meet by key in one cogroup."""
+    becomes an event of its own. Events are numbered by time. Both sides are united and folded by key."""
     columns = [*keys, "nth", "t", "end", "confidence", "evidence_t", "source"]
 
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        some = left if len(left) else right
-        key = {k: some[k].iloc[0] for k in keys}
-        left, right = left.sort_values("t", kind="stable"), right.sort_values("t", kind="stable")
-        free = list(right[["t", "end", "confidence"]].itertuples(index=False, name=None))
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        key = {k: frame[k].iloc[0] for k in keys}
+        rows = list(frame[["t", "end", "confidence", "_reading"]].itertuples(index=False, name=None))
+        free = [r[:3] for r in rows if r[3]]
         out = []
-        for t, end, sure in left[["t", "end", "confidence"]].itertuples(index=False, name=None):
+        for t, end, sure, reading in rows:
+            if reading:
+                continue
             near = [(abs(r[0] - t), i) for i, r in enumerate(free) if r is not None and t - BEFORE <= r[0] <= end + AFTER]
             if not near:
                 out.append((t, end, sure, None, "event"))
@@ -157,9 +185,8 @@ def match_evidence(events: DataFrame, evidence: DataFrame, keys: list[str]) -> D
 
     double = T.DoubleType()
     schema = _schema(events, keys, ("nth", T.LongType()), ("t", double), ("end", double), ("confidence", double), ("evidence_t", double), ("source", T.StringType()))
-    # Both may come from one table: new names for the same columns tell them apart.
-    events, evidence = events.toDF(*events.columns), evidence.toDF(*evidence.columns)
-    return events.groupBy(*keys).cogroup(evidence.groupBy(*keys)).applyInPandas(fold, schema)
+    both = lambda df, reading: df.select(*keys, "t", "end", "confidence", F.lit(reading).alias("_reading"))
+    return per_key(both(events, False).union(both(evidence, True)), keys, ["t"], fold, schema)
 
 
 def cluster_points(df: DataFrame, keys: list[str], order: list[str], radius: float) -> DataFrame:
@@ -182,7 +209,7 @@ def cluster_points(df: DataFrame, keys: list[str], order: list[str], radius: flo
             names.append(near[1] + 1)
         return frame.assign(cluster=np.array(names, np.int64))
 
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, df.columns, ("cluster", T.LongType())))
+    return per_key(df, keys, order, fold, _schema(df, df.columns, ("cluster", T.LongType())))
 
 
 def track_objects(df: DataFrame, keys: list[str], time: str, reach: float, most: int = 3) -> DataFrame:
@@ -206,7 +233,7 @@ def track_objects(df: DataFrame, keys: list[str], time: str, reach: float, most:
                 names.append(k + 1)
         return frame.loc[kept].assign(track=np.array(names, np.int64))
 
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, df.columns, ("track", T.LongType())))
+    return per_key(df, keys, [time, "x", "y"], fold, _schema(df, df.columns, ("track", T.LongType())))
 
 
 def longest_chain(df: DataFrame, keys: list[str], time: str, move: float, gap: float) -> DataFrame:
@@ -226,7 +253,7 @@ def longest_chain(df: DataFrame, keys: list[str], time: str, move: float, gap: f
         b = int(size.argmax())
         return frame[keys].head(1).assign(length=size[b], start=start[b], end=t[b])
 
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, keys, ("length", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType())))
+    return per_key(df, keys, [time, "x", "y"], fold, _schema(df, keys, ("length", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType())))
 
 
 def suppress_peaks(df: DataFrame, keys: list[str], distance: float, most: int) -> DataFrame:
@@ -241,7 +268,7 @@ def suppress_peaks(df: DataFrame, keys: list[str], distance: float, most: int) -
                 kept.append(i)
         return frame.iloc[kept]
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    return per_key(df, keys, ["score", "x", "y"], fold, df.schema)
 
 
 #: Rates a second at which a counter of a rule can fall.
@@ -311,4 +338,4 @@ def greedy_counts(df: DataFrame, keys: list[str], time: str = "t", rate: float |
         sure = [max(0.35, min(0.98, 1 - max(0.0, r) / 0.5)) if r is not None else 0.7 if c else 0.45 for r, (_, c) in zip(read, path, strict=True)]
         return frame[[*keys, time]].assign(value=[v for v, _ in path], source=source, confidence=sure)
 
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, [*keys, time], ("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType())))
+    return per_key(df, keys, [time], fold, _schema(df, [*keys, time], ("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType())))

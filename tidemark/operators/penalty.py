@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.operators.folds import per_key
+
 VALUES = 100
 READABLE, CLEAR = 0.24, 0.12
 
@@ -158,4 +160,4 @@ def penalty_counts(df: DataFrame, keys: list[str], time: str = "t") -> DataFrame
         return frame[[*keys, time]].assign(value=path, source=source, confidence=sure)
 
     schema = T.StructType([df.schema[n] for n in (*keys, time)] + [T.StructField("value", T.LongType()), T.StructField("source", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    return per_key(df, keys, [time], fold, schema)
