@@ -73,6 +73,19 @@ def test_frames_are_cut_timed_and_measured(spark, tmp_path):
     assert sum(histogram) == pytest.approx(1.0)
 
 
+def test_fragments_stream_as_frames(spark, tmp_path):
+    from tidemark.streaming import flows
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("a.rgb", 2), ("b.rgb", 3)):
+        (tmp_path / "in" / name).write_bytes(bytes(range(12)) * n)
+    stream = recordings.frame_stream(spark, f"file://{tmp_path}/in", 2, 2, 0.5)
+    flows.run_once(stream, f"{tmp_path}/log", f"{tmp_path}/state")
+    got = spark.read.parquet(f"{tmp_path}/log")
+    assert sorted((r["n"], r["t"]) for r in got.select("n", "t").collect()) == [(0, 0.0), (0, 0.0), (1, 0.5), (1, 0.5), (2, 1.0)]
+    assert bytes(got.first()["rgb"]) == bytes(range(12))
+
+
 def test_components_holes_threshold_and_runs():
     mask = np.array([[1, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [1, 0, 0, 0]], bool)
     assert len(kernels.components(mask)) == 4 and sorted(c["area"] for c in kernels.components(mask, eight=True)) == [1, 4]

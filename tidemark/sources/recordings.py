@@ -81,12 +81,11 @@ def catalog_version(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), "\n"), 256).alias("version"), F.count("*").alias("entries"))
 
 
-def frames(spark: SparkSession, path: str, width: int, height: int, interval: float, start: float = 0.0, end: float | None = None, every: int = 1) -> DataFrame:
-    """``path, n, t, rgb`` of packed RGB24 recordings, one row per frame; ``start``, ``end`` and ``every`` choose before anything is cut out.
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
-    A file is one row of the reader, so a recording is stored in fragments that fit a task."""
+
+def _cut(files: DataFrame, width: int, height: int, interval: float, start: float, end: float | None, every: int) -> DataFrame:
     size = width * height * 3
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     count = F.floor(F.col("length") / size).cast("int")
     numbered = files.where(count > 0).select("path", "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("n"))
     timed = numbered.withColumn("t", F.round(F.col("n") * interval, 3)).where((F.col("t") >= start) & (F.pmod("n", F.lit(every)) == 0))
@@ -95,6 +94,20 @@ def frames(spark: SparkSession, path: str, width: int, height: int, interval: fl
     return timed.select("path", "n", "t", F.substring("content", F.col("n") * size + 1, F.lit(size)).alias("rgb"))
 
 
+def frames(spark: SparkSession, path: str, width: int, height: int, interval: float, start: float = 0.0, end: float | None = None, every: int = 1) -> DataFrame:
+    """``path, n, t, rgb`` of packed RGB24 recordings, one row per frame; ``start``, ``end`` and ``every`` choose before anything is cut out.
+
+    A file is one row of the reader, so a recording is stored in fragments that fit a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _cut(files, width, height, interval, start, end, every)
+
+
+def frame_stream(spark: SparkSession, path: str, width: int, height: int, interval: float, every: int = 1) -> DataFrame:
+    """The frames of fragments as they are added to a folder; a growing recording is written as one fragment after another."""
+    files = spark.readStream.schema(_FILES).format("binaryFile").load(path)
+    return _cut(files, width, height, interval, 0.0, None, every)
+
+
 def with_previous(rows: DataFrame) -> DataFrame:
     """Add ``previous``: the frame before, null for the first of a file."""
     return rows.withColumn("previous", F.lag("rgb").over(Window.partitionBy("path").orderBy("n")))
