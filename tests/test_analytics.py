@@ -145,3 +145,12 @@ def test_countdowns_and_expected_deaths(spark):
     assert [(r["id"], r["t"]) for r in battle.expected_deaths(deaths, expected, ["key"]).orderBy("t").collect()] == [("death-1", 10.0), ("death-2", 20.0)]
     options = spark.createDataFrame([(1, 0, 3, 0), (1, 1, 1, 1), (1, 2, 2, 0), (1, 3, 2, 0)], "key long, slot int, deaths int, confirmed int")
     assert battle.best_candidates(options, expected.where("key = 1"), ["key"], 3).first()["slot"] == 3
+
+
+def test_no_templates_no_neighbours(spark):
+    from tidemark.operators import templates
+
+    v = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [0.0, 1.0], 4)], "id long, v array<double>, label int")
+    held = templates.prototypes(v, "label", "v")
+    assert [n["label"] for n in templates.nearest_templates(v, held, "v", "label", 1).where("id = 2").first()["nearest"]] == [4]
+    assert templates.nearest_templates(v, held.where("false"), "v", "label").first()["nearest"] == []

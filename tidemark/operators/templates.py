@@ -32,4 +32,6 @@ def nearest_templates(vectors: DataFrame, templates: DataFrame, vector: str, lab
         raise ValueError(f"more than {MOST_LABELS} templates; search them with a query set in blocks instead")
     own = F.transform(vector, lambda x: x.cast("double"))
     scored = [F.struct(F.sqrt(squared_distance(own, F.lit(r["prototype"]))).alias("distance"), F.lit(r[label]).alias("label")) for r in held]
-    return vectors.withColumn("nearest", F.slice(F.array_sort(F.array(*scored)), 1, k))
+    kind = templates.schema[label].dataType.simpleString()
+    ranked = F.array(*scored).cast(f"array<struct<distance: double, label: {kind}>>")
+    return vectors.withColumn("nearest", F.slice(F.array_sort(ranked), 1, k))
