@@ -6,8 +6,8 @@ among the distinct pairs, in sorted order, so ranks are places in the suffix arr
 longest prefix that matters. A suffix matters by its shortest prefix with ``min_words`` words, of m lines; suffixes
 whose longest common prefix is m or more lie side by side in the array, in one interval, which two overlapping ranks of
 2^k <= m lines identify. In each interval the first place in the order of (id, line) stays, and the prefix is deleted at
-every other place. What those prefixes cover together is just what all later copies of maximal repeated runs of at
-least ``min_words`` words cover.
+every other place. That is the rule of the SQL below, and less than all that later copies of maximal repeated runs cover:
+where fewer than ``min_words`` words of a run are left from a line on, that line goes only if a prefix from before covers it.
 
 Defined cases: a null text stays null and takes no part; an empty text is one empty line; rows with a null id come before
 all others; rows that repeat an id and a text count as one document and get the same result; texts that share an id
