@@ -108,6 +108,29 @@ def test_nn_descent_equals_brute_force(spark, monkeypatch):
     assert knn_graph.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_between_clusters_larger_than_a_list(spark):
+    """Pairs of clusters 0.982 apart whose members, at 0.995, fill each other's lists."""
+    rng = np.random.default_rng(8)
+    found = []
+    for pair in range(6):
+        q = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+        apart = np.arccos(0.982 / 0.995)
+        for centre in (q[0], np.cos(apart) * q[0] + np.sin(apart) * q[1]):
+            noise = rng.standard_normal((60, 22))
+            noise /= np.linalg.norm(noise, axis=1)[:, None]
+            found.append((pair, np.sqrt(0.995) * centre + np.sqrt(0.005) * noise @ q[2:]))
+    x = np.concatenate([v for _, v in found])
+    label = np.concatenate([[pair % 2] * len(v) for pair, v in found])
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = (unit @ unit.T >= 0.98) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    group = roots(len(x), zip(*np.nonzero(np.triu(hit)), strict=True))
+    assert len(set(group)) == 6
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in knn_graph.near_duplicates(df).collect()}
+    assert got == {i: (int(hit[i].sum()), group[i], group[i] == i) for i in range(len(x))}
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 32)
     monkeypatch.setattr(pivots, "CHUNK", 8)

@@ -2,10 +2,12 @@
 
 Equal vectors of a label are one class. A first neighbour graph links each class with those beside it in several sorted
 orders of random projections. Rounds of NN-descent then compare neighbours of neighbours, keep the best of each list and
-go on while lists change. Lists that end saturated (all entries link, so more may) are enlarged to their whole component
-of links, whose members are compared exactly, block by block, with counts as the only result: no pairs of a large
-group are ever written. An audit compares a bounded sample of vectors with all rows; while its recall is below
-``recall``, the descent goes on from further projections.
+go on while lists change. Every pair found that reaches the threshold is a link, also one that a list has no place for.
+The members of a component of links are compared exactly, block by block, with counts as the only result: not all pairs of
+a large group are ever written. While lists end saturated (all entries link, so more may), the descent goes on from
+further projections with a second list for each class, of neighbours outside its component, where its own members take
+no place. An audit compares a bounded sample of vectors with all rows; while its recall is below ``recall``, the descent
+goes on likewise.
 
 Only neighbours of cosine ``floor`` or more are kept in lists: those below can't lead to links. Defined cases: vectors that are
 null, zero or hold null or non-finite components, and rows with a null label or id, link with nothing and are their own
@@ -14,6 +16,8 @@ component; vectors of different length don't link; repeated rows count as vector
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +27,7 @@ from tidemark.llm.common import discard, durable
 from tidemark.llm.components import connected_components
 
 NEIGHBOURS, ORDERS, BESIDE, BITS, BLOCK, AUDITED = 12, 6, 3, 10, 256, 256
+PAIRS = "u long, w long, sim double, own boolean"
 
 
 def usable(vector: Column) -> Column:
@@ -63,13 +68,13 @@ def _projected(classes: DataFrame, seed: int, orders: int) -> DataFrame:
                     planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), BITS + 1))
                     y = x @ planes
                     code = (y[:, :BITS] > 0) @ (1 << np.arange(BITS))
-                    yield pd.DataFrame({"t": np.full(len(g), t), "label": g["label"], "dim": g["dim"], "code": code, "at": y[:, BITS], "cid": g["cid"], "v": g["v"]})
+                    yield pd.DataFrame({"t": np.full(len(g), t), "label": g["label"], "dim": g["dim"], "code": code, "at": y[:, BITS], "cid": g["cid"], "root": g["root"], "v": g["v"]})
 
-    return classes.select("cid", "label", "dim", "v").mapInPandas(run, "t int, label string, dim int, code long, at double, cid long, v binary")
+    return classes.select("cid", "root", "label", "dim", "v").mapInPandas(run, "t int, label string, dim int, code long, at double, cid long, root long, v binary")
 
 
 def _beside(projected: DataFrame, floor: float, tasks: int) -> DataFrame:
-    """Pairs that stand next to each other in an order, with their cosine."""
+    """Pairs that stand next to each other in an order, with their cosine; ``own``: both are known to be of one component."""
 
     def run(frames):
         tail = None
@@ -80,7 +85,7 @@ def _beside(projected: DataFrame, floor: float, tasks: int) -> DataFrame:
             if not new:
                 continue
             key = frame[["t", "label", "dim"]].astype(str).agg("|".join, axis=1).to_numpy()
-            ids = frame["cid"].to_numpy()
+            ids, root = frame["cid"].to_numpy(), frame["root"].to_numpy()
             unit = {d: _units(g["v"]) for d, g in frame.groupby("dim")}
             row = np.concatenate([np.arange(len(g)) for _, g in frame.groupby("dim")])[np.argsort(np.concatenate([g.index for _, g in frame.groupby("dim")]))]
             dim = frame["dim"].to_numpy()
@@ -91,20 +96,20 @@ def _beside(projected: DataFrame, floor: float, tasks: int) -> DataFrame:
                     k = i[dim[i] == d]
                     s = (unit[d][row[k]] * unit[d][row[k + gap]]).sum(axis=1)
                     ok = s >= floor
-                    yield pd.DataFrame({"u": ids[k[ok]], "w": ids[k[ok] + gap], "sim": s[ok]})
+                    yield pd.DataFrame({"u": ids[k[ok]], "w": ids[k[ok] + gap], "sim": s[ok], "own": (root[k] == root[k + gap])[ok]})
             tail = frame.iloc[-BESIDE:].reset_index(drop=True)
 
     ordered = projected.repartitionByRange(tasks, "t", "label", "dim", "code", "at").sortWithinPartitions("t", "label", "dim", "code", "at")
-    return ordered.mapInPandas(run, "u long, w long, sim double")
+    return ordered.mapInPandas(run, PAIRS)
 
 
 def _lists(pairs: DataFrame, size: int) -> DataFrame:
-    """The ``size`` nearest of each class, from pairs in one or both directions. Sorted arrays are cut while they are merged."""
-    both = pairs.select("u", "w", "sim").union(pairs.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim")).groupBy("u", "w").agg(F.max("sim").alias("sim"))
+    """The ``size`` nearest of each class in its component and outside, from pairs in one or both directions. Sorted arrays are cut while they are merged."""
+    both = pairs.select("u", "w", "sim", "own").union(pairs.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim", "own")).groupBy("u", "w", "own").agg(F.max("sim").alias("sim"))
     cut = lambda c: F.slice(F.array_sort(c), 1, size)
-    part = both.groupBy("u", F.pmod(F.xxhash64("w"), F.lit(8)).alias("_s")).agg(cut(F.collect_list(F.struct((-F.col("sim")).alias("far"), "w"))).alias("near"))
-    whole = part.groupBy("u").agg(cut(F.flatten(F.collect_list("near"))).alias("near"))
-    return whole.select("u", F.explode("near").alias("n")).select("u", F.col("n.w").alias("w"), (-F.col("n.far")).alias("sim"))
+    part = both.groupBy("u", "own", F.pmod(F.xxhash64("w"), F.lit(8)).alias("_s")).agg(cut(F.collect_list(F.struct((-F.col("sim")).alias("far"), "w"))).alias("near"))
+    whole = part.groupBy("u", "own").agg(cut(F.flatten(F.collect_list("near"))).alias("near"))
+    return whole.select("u", "own", F.explode("near").alias("n")).select("u", F.col("n.w").alias("w"), (-F.col("n.far")).alias("sim"), "own")
 
 
 def _joined(lists: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -114,29 +119,40 @@ def _joined(lists: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
         for g in groups_of(frames, ["u"]):
             if len(g) < 2:
                 continue
-            x, ids = _units(g["v"]), g["w"].to_numpy()
+            x, ids, root = _units(g["v"]), g["w"].to_numpy(), g["root"].to_numpy()
             sims = x @ x.T
             i, j = np.nonzero(np.triu(sims >= floor, 1))
-            yield pd.DataFrame({"u": ids[i], "w": ids[j], "sim": sims[i, j]})
+            yield pd.DataFrame({"u": ids[i], "w": ids[j], "sim": sims[i, j], "own": root[i] == root[j]})
+
+    around = lists.join(classes.select(F.col("cid").alias("w"), "root", "v"), "w").select("u", "w", "root", "v")
+    return around.repartition("u").sortWithinPartitions("u").mapInPandas(run, PAIRS)
 
-    around = lists.join(classes.select(F.col("cid").alias("w"), "v"), "w").select("u", "w", "v")
-    return around.repartition("u").sortWithinPartitions("u").mapInPandas(run, "u long, w long, sim double")
 
+def _links(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``u, w``: the pairs that link two classes not yet known to be of one component, each once."""
+    new = pairs.where((F.col("sim") >= threshold) & ~F.col("own"))
+    return new.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
 
-def descend(classes: DataFrame, floor: float, seed: int, known: DataFrame | None = None, size: int = NEIGHBOURS, rounds: int = 8, settled: float = 0.002) -> DataFrame:
-    """``u, w, sim``: the neighbour lists once fewer than a share ``settled`` of their entries are new in a round."""
+
+def descend(classes: DataFrame, floor: float, threshold: float, seed: int, known: DataFrame | None = None, size: int = NEIGHBOURS, rounds: int = 8, settled: float = 0.002) -> tuple[DataFrame, list[DataFrame]]:
+    """``u, w, sim, own``: the neighbour lists once fewer than a share ``settled`` of their entries are new in a round; and all links found."""
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = _beside(_projected(classes, seed, ORDERS), floor, tasks)
+    first = durable(_beside(_projected(classes, seed, ORDERS), floor, tasks))
+    links = [durable(_links(first, threshold))]
     now = durable(_lists(first if known is None else first.union(known), size))
+    discard(first)
     for _ in range(rounds):
-        better = durable(_lists(now.union(_joined(now, classes, floor)), size))
+        met = durable(_joined(now, classes, floor))
+        links.append(durable(_links(met, threshold)))
+        better = durable(_lists(now.union(met), size))
+        discard(met)
         new = better.join(now.select("u", "w"), ["u", "w"], "left_anti").count()
         total = better.count()
         discard(now)
         now = better
         if new <= settled * total:
             break
-    return now
+    return now, links
 
 
 def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -185,6 +201,16 @@ def audit(classes: DataFrame, counted: DataFrame, threshold: float, sample: int
     return 1.0 if not got[1] else got[0] / got[1]
 
 
+def saturated(lists: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
+    """``cid``: classes whose list of neighbours outside the component known to the descent holds links alone, so it may lack some."""
+    return lists.where((F.col("sim") >= threshold) & ~F.col("own")).groupBy(F.col("u").alias("cid")).count().where(F.col("count") >= size).select("cid")
+
+
+def _placed(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The classes with the ``root`` of their component, their own ``cid`` where nothing links."""
+    return classes.join(roots, F.col("cid") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "cid"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, floor: float = 0.9, recall: float = 0.999, most_descents: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``id, n_links, component_id, kept`` for every row."""
     plain = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("x"))
@@ -198,16 +224,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, floor: float =
     rows = durable(taking.withColumn("key", F.sha2(F.concat(F.col("label").cast("binary"), F.lit(b"\0"), F.col("v")), 256)))
     classes = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = durable(classes.withColumn("dim", (F.length("v") / 8).cast("int")).withColumn("cid", F.monotonically_increasing_id()))
-    graph, counted, roots = None, None, None
+    graph, links, counted, roots = None, None, None, None
     for attempt in range(most_descents):
-        graph = descend(classes, floor, attempt, graph)
-        roots = durable(connected_components(graph.where(F.col("sim") >= threshold), "u", "w"))
+        # Until a component is known, each class is its own.
+        placed = classes.withColumn("root", F.col("cid")) if roots is None else durable(_placed(classes, roots))
+        if graph is not None:
+            at = placed.select("cid", "root")
+            graph = graph.drop("own").join(at.select(F.col("cid").alias("u"), F.col("root").alias("r1")), "u").join(at.select(F.col("cid").alias("w"), F.col("root").alias("r2")), "w")
+            graph = graph.select("u", "w", "sim", (F.col("r1") == F.col("r2")).alias("own"))
+        graph, more = descend(placed, floor, threshold, attempt, graph)
+        links = reduce(DataFrame.union, more if links is None else [links, *more])
+        roots = durable(connected_components(links, "u", "w"))
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
         members = roots.join(sizes, "root").join(classes.select(F.col("cid").alias("node"), "n", "v"), "node").withColumnRenamed("node", "cid")
         counted = durable(exact_counts(members, threshold))
-        if audit(classes, counted, threshold) >= recall:
+        if saturated(graph, threshold).isEmpty() and audit(classes, counted, threshold) >= recall:
             break
-    named = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
+    named = _placed(classes, roots)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "root").join(counted, "cid", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     linked = rows.select("id", "key").join(durable(of_class), "key").select("id", "n_links", "component_id")
