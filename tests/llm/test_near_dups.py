@@ -131,6 +131,19 @@ def test_links_between_clusters_larger_than_a_list(spark):
     assert got == {i: (int(hit[i].sum()), group[i], group[i] == i) for i in range(len(x))}
 
 
+def test_audit_sees_rare_links_and_missed_recall_raises(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 16))
+    x[1::500] = x[::500] + 0.01
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    classes = spark.createDataFrame([(i, "0", 16, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "cid long, label string, dim int, n long, v binary")
+    nothing = spark.createDataFrame([], "cid long, links long")
+    assert knn_graph.audit(classes, nothing, nothing.select("cid"), 0.98) == 0.0
+    monkeypatch.setattr(knn_graph, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        knn_graph.near_duplicates(spark.createDataFrame(rows[:100], "vec_id long, embedding array<float>, label int"), most_descents=1)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 32)
     monkeypatch.setattr(pivots, "CHUNK", 8)

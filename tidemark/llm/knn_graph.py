@@ -6,8 +6,8 @@ go on while lists change. Every pair found that reaches the threshold is a link,
 The members of a component of links are compared exactly, block by block, with counts as the only result: not all pairs of
 a large group are ever written. While lists end saturated (all entries link, so more may), the descent goes on from
 further projections with a second list for each class, of neighbours outside its component, where its own members take
-no place. An audit compares a bounded sample of vectors with all rows; while its recall is below ``recall``, the descent
-goes on likewise.
+no place. An audit compares bounded samples of all, linked and saturated classes with all rows; while its recall is below
+``recall``, the descent goes on likewise, and raises an error if it still is after the last.
 
 Only neighbours of cosine ``floor`` or more are kept in lists: those below can't lead to links. Defined cases: vectors that are
 null, zero or hold null or non-finite components, and rows with a null label or id, link with nothing and are their own
@@ -27,6 +27,8 @@ from tidemark.llm.common import discard, durable
 from tidemark.llm.components import connected_components
 
 NEIGHBOURS, ORDERS, BESIDE, BITS, BLOCK, AUDITED = 12, 6, 3, 10, 256, 256
+#: The audit's sample of all classes grows until it shows so many links, up to so many classes.
+AUDIT_LINKS, MOST_AUDITED = 256, 4096
 PAIRS = "u long, w long, sim double, own boolean"
 
 
@@ -179,13 +181,28 @@ def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     return compared.groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def audit(classes: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDITED) -> float:
-    """Share of the links of a bounded sample of classes, found by comparing them with all rows, that ``counted`` has."""
+def audit(classes: DataFrame, counted: DataFrame, full: DataFrame, threshold: float, sample: int = AUDITED) -> float:
+    """Share of the links of bounded samples of classes, found by comparing them with all rows, that ``counted`` has.
+
+    The least share of three samples: of all classes, of those with a link and of those in ``full``, whose lists are
+    saturated. The first grows until it shows AUDIT_LINKS links, up to MOST_AUDITED classes."""
     n = classes.count()
+    shares = [_audited(classes, counted, counted.where("links > 0").select("cid"), threshold, sample), _audited(classes, counted, full, threshold, sample)]
+    while True:
+        shares.append(_audited(classes, counted, None, threshold, sample, n))
+        if shares[-1][1] >= AUDIT_LINKS or sample >= min(n, MOST_AUDITED):
+            return min(got / true if true else 1.0 for got, true in (*shares[:2], shares[-1]))
+        sample *= 4
+
+
+def _audited(classes: DataFrame, counted: DataFrame, among: DataFrame | None, threshold: float, sample: int, n: int | None = None) -> tuple[int, int]:
+    """Links that ``counted`` has and true links, of about ``sample`` classes ``among`` these."""
+    n = among.count() if n is None else n
     scale = 1 << 30
-    drawn = classes.where(F.pmod(F.xxhash64("cid", F.lit("audit")), F.lit(scale)) <= int(min(1.0, sample / max(1, n)) * scale)).select("cid", "label", "dim", "v").toPandas()
+    drawn = classes if among is None else classes.join(among, "cid", "left_semi")
+    drawn = drawn.where(F.pmod(F.xxhash64("cid", F.lit("audit")), F.lit(scale)) <= int(min(1.0, sample / max(1, n)) * scale)).select("cid", "label", "dim", "v").toPandas()
     if not len(drawn):
-        return 1.0
+        return 0, 0
     sent = classes.sparkSession.sparkContext.broadcast({key: (g["cid"].to_numpy(), _units(g["v"])) for key, g in drawn.groupby(["label", "dim"])})
 
     def run(frames):
@@ -193,12 +210,14 @@ def audit(classes: DataFrame, counted: DataFrame, threshold: float, sample: int
             for key, g in frame.groupby(["label", "dim"]):
                 if key in sent.value:
                     ids, x = sent.value[key]
-                    hit = (x @ _units(g["v"]).T >= threshold) & (ids[:, None] != g["cid"].to_numpy())
-                    yield pd.DataFrame({"cid": ids, "truth": hit @ g["n"].to_numpy()})
+                    y, cid, copies = _units(g["v"]).T, g["cid"].to_numpy(), g["n"].to_numpy()
+                    for k in range(0, len(ids), AUDITED):
+                        hit = (x[k : k + AUDITED] @ y >= threshold) & (ids[k : k + AUDITED, None] != cid)
+                        yield pd.DataFrame({"cid": ids[k : k + AUDITED], "truth": hit @ copies})
 
     truth = classes.select("cid", "label", "dim", "n", "v").mapInPandas(run, "cid long, truth long").groupBy("cid").agg(F.sum("truth").alias("truth"))
     got = truth.join(counted, "cid", "left").agg(F.sum(F.least("truth", F.coalesce("links", F.lit(0)))), F.sum("truth")).first()
-    return 1.0 if not got[1] else got[0] / got[1]
+    return got[0] or 0, got[1] or 0
 
 
 def saturated(lists: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
@@ -238,8 +257,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, floor: float =
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
         members = roots.join(sizes, "root").join(classes.select(F.col("cid").alias("node"), "n", "v"), "node").withColumnRenamed("node", "cid")
         counted = durable(exact_counts(members, threshold))
-        if saturated(graph, threshold).isEmpty() and audit(classes, counted, threshold) >= recall:
+        full = durable(saturated(graph, threshold))
+        last = attempt == most_descents - 1
+        if (last or full.isEmpty()) and (reached := audit(classes, counted, full, threshold)) >= recall:
             break
+    else:
+        raise RuntimeError(f"audited recall of links is {reached:.4f}, under {recall}, after {most_descents} descents")
     named = _placed(classes, roots)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "root").join(counted, "cid", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
