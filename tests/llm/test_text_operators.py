@@ -138,6 +138,21 @@ def test_colliding_surrogates_draw_again(spark, monkeypatch, mapped):
     assert not {a for a, _ in pairs} & {b for _, b in pairs}
 
 
+def test_phones_and_names_keep_coreference_and_never_collide(spark):
+    phones = [f"+44 {k} {m:02d}" for k in range(1, 10) for m in range(0, 100, 3)]
+    men = [f"Mr {n} {s}" for s in ("Baker", "Stone") for n in pii.GIVEN[("latin", "m")]]
+    parts = phones + ["+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958"] + men
+    text = pii.replace(spark.createDataFrame([(1, " ; ".join(parts))], "doc_id long, text string"), "key").first()["text"]
+    got = dict(zip(parts, text.split(" ; "), strict=True))
+    digits = {p: re.sub("[^0-9+]", "", got[p]) for p in parts[: len(phones) + 3]}
+    assert len({digits[p] for p in parts[len(phones) : len(phones) + 3]}) == 1
+    assert all(d.startswith("+44") for d in digits.values())
+    real = {re.sub("[^0-9+]", "", p) for p in digits}
+    assert len(set(digits.values())) == len(real) and not set(digits.values()) & real
+    assert len({got[m] for m in men}) == len(men)
+    assert [len({got[m].split()[-1] for m in men if m.endswith(s)}) for s in ("Baker", "Stone")] == [1, 1]
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -5,7 +5,8 @@ and script alike in place, a card number by one that passes or fails the Luhn ch
 if it had them, a phone number with its country code and punctuation, a person by a name of the same gender and script.
 The surrogate depends on the key, the kind and the entity's canonical form, so one entity gets one surrogate in
 every document and in every notation (coreference). A collision check over all distinct entities finds surrogates that
-two entities share or that equal an entity of the corpus; all but one of them draw again until none is left.
+two entities share or that equal an entity of the corpus; all but one of them draw again until none is left. A name
+draws in two parts: the surname for itself, then the given name among those of the surname.
 
 Defined cases: a null text stays null; a text without entities is returned unchanged; of overlapping entities the
 leftmost counts, of equal starts the kind listed first; repeated rows get the same result; further columns stay.
@@ -58,7 +59,9 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Collisions looked up from a constant map up to this many; more are joined.
 MAPPED = 5_000
 MOST_DRAWS = 16
-#: From this draw on a short address or a name gets longer, where its own form has too few surrogates.
+#: A phone number's country code; no code is the start of another.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: From this draw on a short address, an international number or a name gets longer, where its own form has too few surrogates.
 WIDER = 3
 
 
@@ -72,10 +75,11 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """One form for all notations: digits of numbers, lower case of addresses, names without their title's dot."""
+    """One form for all notations: digits of numbers (after a plus where the country code is given), lower case of addresses, names without their title's dot."""
     digits = F.regexp_replace(entity, r"[^0-9]", "")
     return (
-        F.when(kind.isin("phone", "ssn", "card"), digits)
+        F.when(kind == "phone", F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits))
+        .when(kind.isin("ssn", "card"), digits)
         .when(kind == "iban", F.regexp_replace(entity, r"\x20", ""))
         .when(kind == "email", F.lower(entity))
         .when(kind == "person", F.regexp_replace(entity, rf"^({_TITLE})\.?\x20", "$1 "))
@@ -93,12 +97,12 @@ def _drawn(pool: list[str], hexes: Column, at: Column) -> Column:
 
 
 def _like(text: Column, hexes: Column, skip: Column | None = None) -> Column:
-    """Each letter and digit replaced by another of its class; the n-th of them by the n-th draw, whatever stands between."""
+    """Each letter and digit after the first ``skip`` replaced by another of its class; the n-th of them by the n-th draw, whatever stands between."""
 
     def one(c: Column, i: Column) -> Column:
         nth = F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
         drawn = F.coalesce(*[F.when(c.rlike(f"^{k}$"), F.substring(F.lit(a), _number(hexes, nth, len(a)) + 1, F.lit(1))) for k, a in zip(CLASSES, ALPHABETS, strict=True)], F.when(c.rlike(r"^\p{L}$"), F.substring(F.lit(ALPHABETS[0]), _number(hexes, nth, 26) + 1, F.lit(1))), c)
-        return drawn if skip is None else F.when(i < skip, c).otherwise(drawn)
+        return drawn if skip is None else F.when(nth <= skip, c).otherwise(drawn)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -145,21 +149,60 @@ def _iban(text: Column, hexes: Column) -> Column:
     return _let(_like(text, hexes, F.lit(2)), fit)
 
 
-def _person(text: Column, key: str, draw: Column) -> Column:
-    """Title kept; a surname's surrogate depends on the surname alone, a given name's on it and its gender."""
+def _parts(text: Column) -> Column:
+    """``title, given, surname, gender`` of a person."""
     part = lambda k: F.regexp_extract(text, rf"^((?:{_TITLE})\.?\x20)?(?:({_NAME})\x20)?({_NAME})$", k)
-    script = F.when(text.rlike(r"[\p{IsCyrillic}]"), "cyrillic").when(text.rlike(r"[\p{IsGreek}]"), "greek").otherwise("latin")
     women = [n for (_, g), ns in GIVEN.items() if g == "f" for n in ns]
     title = F.rtrim(F.regexp_replace(part(1), r"\.", ""))
     gender = F.when(title.isin(TITLES["f"]), "f").when(title != "", "m").when(part(2).isin(women), "f").otherwise("m")
-    parts = F.struct(part(1).alias("title"), part(2).alias("given"), part(3).alias("surname"), script.alias("script"), gender.alias("gender"))
+    return F.struct(part(1).alias("title"), part(2).alias("given"), part(3).alias("surname"), gender.alias("gender"))
+
+
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"[\p{IsCyrillic}]"), "cyrillic").when(name.rlike(r"[\p{IsGreek}]"), "greek").otherwise("latin")
+
+
+def _sounds(script: Column, hexes: Column, places: range) -> Column:
+    return F.coalesce(*[F.when(script == s, F.concat(*[_drawn(sounds, hexes, F.lit(k)) for k in places])) for s, sounds in SYLLABLES.items()])
+
+
+def _surname(name: Column, key: str, draw: Column) -> Column:
+    longer = lambda h: F.when(draw >= WIDER, _sounds(_script(name), h, range(5, 7))).otherwise("")
+    return _let(_hexes(key, F.lit("surname"), name, draw), lambda h: F.initcap(F.concat(_sounds(_script(name), h, range(1, 5)), longer(h))))
+
+
+def _given(gender: Column, name: Column, key: str, draw: Column) -> Column:
+    """A given name of the same gender and script, with a second part where a surname has more people than there are names."""
+    script = _script(name)
+    more = lambda h: F.when(draw >= WIDER, F.concat(F.lit("-"), F.initcap(_sounds(script, h, range(2, 6))))).otherwise("")
+    return _let(_hexes(key, F.lit("given"), F.concat_ws("|", gender, name), draw), lambda h: F.concat(F.coalesce(*[F.when((script == s) & (gender == g), _drawn(names, h, F.lit(1))) for (s, g), names in GIVEN.items()]), more(h)))
+
+
+def _named(p: Column) -> Column:
+    """What stands for a given name in the collision check: names of other surnames don't collide with it."""
+    return F.concat_ws("|", p["gender"], p["given"], p["surname"])
+
+
+def _person(text: Column, key: str, draw_of) -> Column:
+    """Title kept; a surname's surrogate depends on the surname alone, a given name's on it, its gender and who shares its surname."""
 
     def renamed(p: Column) -> Column:
-        first = _let(_hexes(key, F.lit("given"), F.concat_ws("|", p["gender"], p["given"]), draw), lambda h: F.coalesce(*[F.when((p["script"] == s) & (p["gender"] == g), _drawn(names, h, F.lit(1))) for (s, g), names in GIVEN.items()]))
-        last = _let(_hexes(key, F.lit("surname"), p["surname"], draw), lambda h: F.coalesce(*[F.when(p["script"] == s, F.initcap(F.concat(*[_drawn(sounds, h, F.lit(k)) for k in range(1, 5)], F.when(draw >= WIDER, F.concat(*[_drawn(sounds, h, F.lit(k)) for k in (5, 6)])).otherwise("")))) for s, sounds in SYLLABLES.items()]))
+        first = _let(draw_of(F.lit("given"), _named(p)), lambda d: _given(p["gender"], p["given"], key, d))
+        last = _let(draw_of(F.lit("surname"), p["surname"]), lambda d: _surname(p["surname"], key, d))
         return F.concat(p["title"], F.when(p["given"] != "", F.concat(first, F.lit(" "))).otherwise(""), last)
 
-    return _let(parts, renamed)
+    return _let(_parts(text), renamed)
+
+
+def units(kind: Column, entity: Column) -> Column:
+    """Array of ``kind, canon``: what draws for itself in an entity."""
+    one = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
+
+    def split(p: Column) -> Column:
+        last = one(F.lit("surname"), p["surname"])
+        return F.when(p["given"] == "", F.array(last)).otherwise(F.array(last, one(F.lit("given"), _named(p))))
+
+    return F.when(kind == "person", _let(_parts(entity), split)).otherwise(F.array(one(kind, canonical(kind, entity))))
 
 
 def _hexes(key: str, kind: Column, canon: Column, draw: Column) -> Column:
@@ -168,23 +211,35 @@ def _hexes(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), inner).cast("binary"), 512)
 
 
-def surrogate(kind: Column, entity: Column, key: str, draw: Column) -> Column:
+def surrogate(kind: Column, entity: Column, key: str, draw_of) -> Column:
+    """``draw_of(kind, canon)`` is the number of the draw."""
     at = F.instr(entity, "@")
     domain = _hexes(key, F.lit("domain"), F.lower(F.substring(entity, at + 1, F.length(entity))), F.lit(0))
-    country = F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[\x20.(-])", 0))
+    country = F.length(F.regexp_extract(canonical(kind, entity), COUNTRY, 0)) - 1
 
-    def drawn(h: Column) -> Column:
+    def drawn(h: Column, draw: Column) -> Column:
+        longer = F.when((draw >= WIDER) & entity.startswith("+"), F.concat(*[_number(h, F.lit(k), 10).cast("string") for k in range(31, 37)])).otherwise("")
         return (
             F.when(kind == "email", F.concat(_like(F.substring(entity, F.lit(1), at - 1), h), F.when(draw >= WIDER, F.substring(h, 60, 6)).otherwise(""), F.lit("@d"), F.substring(domain, 1, 10), F.lit(".example.com")))
             .when(kind == "ip", F.concat_ws(".", *[(_number(h, F.lit(k), 254) + 1).cast("string") for k in (1, 3, 5, 7)]))
             .when(kind == "card", _card(entity, h))
             .when(kind == "iban", _iban(entity, h))
-            .when(kind == "person", _person(entity, key, draw))
-            .when(kind == "phone", _like(entity, h, country))
+            .when(kind == "phone", F.concat(_let(country, lambda n: _like(entity, h, n)), longer))
             .otherwise(_like(entity, h))
         )
 
-    return _let(_hexes(key, kind, canonical(kind, entity), draw), drawn)
+    def keyed(canon: Column) -> Column:
+        return _let(draw_of(kind, canon), lambda d: _let(_hexes(key, kind, canon, d), lambda h: drawn(h, d)))
+
+    return F.when(kind == "person", _person(entity, key, draw_of)).otherwise(_let(canonical(kind, entity), keyed))
+
+
+def _written(kind: Column, canon: Column, key: str, draw: Column) -> Column:
+    """A unit's surrogate in the form of ``canon``; a given name's beside its surname."""
+    part = lambda k: F.get(F.split(canon, r"\|"), k)
+    given = F.concat_ws("|", _given(part(0), part(1), key, draw), part(2))
+    other = surrogate(kind, canon, key, lambda *_: draw)
+    return F.when(kind == "surname", _surname(canon, key, draw)).when(kind == "given", given).otherwise(canonical(kind, other))
 
 
 def colliding(entities: DataFrame, key: str) -> DataFrame:
@@ -193,8 +248,8 @@ def colliding(entities: DataFrame, key: str) -> DataFrame:
     ``entities`` holds distinct ``kind, canon``. Of several with one surrogate the smallest keeps its draw."""
     now = durable(entities.withColumn("draw", F.lit(0)))
     for _ in range(MOST_DRAWS):
-        drawn = fixed(now, drawn=surrogate(F.col("kind"), F.col("canon"), key, F.col("draw")))
-        named = durable(drawn.select("kind", "canon", "draw", canonical(F.col("kind"), F.col("drawn")).alias("as_")))
+        drawn = fixed(now, as_=_written(F.col("kind"), F.col("canon"), key, F.col("draw")))
+        named = durable(drawn.select("kind", "canon", "draw", "as_"))
         shared = named.groupBy("kind", "as_").agg(F.min(F.struct("draw", "canon")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
         losers = named.join(shared.drop("n"), ["kind", "as_"]).where(F.struct("draw", "canon") > F.col("keeps")).select("kind", "canon")
         taken = named.join(now.select("kind", F.col("canon").alias("as_")), ["kind", "as_"], "left_semi").select("kind", "canon")
@@ -213,7 +268,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     own = docs.columns
     df = fixed(docs, _m=F.coalesce(F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
     entities = df.select(F.explode(F.array_distinct("_m")).alias("e")).distinct()
-    entities = entities.select(kind_of(F.col("e")).alias("kind"), "e").select("kind", canonical(F.col("kind"), F.col("e")).alias("canon")).distinct()
+    entities = entities.select(kind_of(F.col("e")).alias("kind"), "e").select(F.inline(units(F.col("kind"), F.col("e")))).distinct()
     again = durable(colliding(entities, key))
     slot = lambda kind, canon: F.concat_ws("|", kind, canon)
     n_again = again.count()
@@ -223,7 +278,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     else:
         # Beyond the map: the draws each text needs are joined to it by its digest.
         hit = df.where(F.size("_m") > 0).select(F.sha2(F.col(text_col).cast("binary"), 256).alias("_sha"), F.explode(F.array_distinct("_m")).alias("e")).withColumn("kind", kind_of(F.col("e")))
-        hit = hit.withColumn("canon", canonical(F.col("kind"), F.col("e"))).join(again, ["kind", "canon"])
+        hit = hit.select("_sha", F.inline(units(F.col("kind"), F.col("e")))).join(again, ["kind", "canon"])
         maps = durable(hit.select("_sha", F.struct(slot(F.col("kind"), F.col("canon")).alias("k"), "draw").alias("d")).groupBy("_sha").agg(F.map_from_entries(F.collect_set("d")).alias("_draws")))
         df = df.withColumn("_own", F.sha2(F.col(text_col).cast("binary"), 256)).join(maps, F.col("_own") == F.col("_sha"), "left").drop("_own", "_sha")
 
@@ -234,8 +289,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     df = fixed(df, _tags=F.transform("_m", tagged), _pieces=F.when(F.size("_m") > 0, F.split(text_col, ANY, -1)))
 
     def drawn(t: Column) -> Column:
-        draw = F.coalesce(F.try_element_at(F.col("_draws"), slot(t["k"], canonical(t["k"], t["e"]))), F.lit(0))
-        return surrogate(t["k"], t["e"], key, draw)
+        return surrogate(t["k"], t["e"], key, lambda kind, canon: F.coalesce(F.try_element_at(F.col("_draws"), slot(kind, canon)), F.lit(0)))
 
     df = fixed(df, _new=F.transform("_tags", drawn))
     woven = F.array_join(F.flatten(F.zip_with("_pieces", F.concat("_new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
