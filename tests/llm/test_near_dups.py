@@ -1,6 +1,8 @@
 """SimHash, embedding graph, top-k and components against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,7 +89,7 @@ def test_nn_descent_equals_brute_force(spark, monkeypatch):
 
     def fine(r):
         e = r["embedding"]
-        return bool(r["vec_id"] is not None and r["label"] is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e))
+        return bool(r["label"] is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e))
 
     links = []
     for i, a in enumerate(rows):
@@ -102,7 +104,7 @@ def test_nn_descent_equals_brute_force(spark, monkeypatch):
     least = {}
     for g, r in zip(group, rows, strict=True):
         least[g] = min(least.get(g, 1 << 60), r["vec_id"] if r["vec_id"] is not None else 1 << 60)
-    want = sorted((str(r["vec_id"]), int(k), str(least[g] if r["vec_id"] is not None else None), r["vec_id"] == least[g]) for r, k, g in zip(rows, n, group, strict=True))
+    want = sorted((str(r["vec_id"]), int(k), str(least[g]), r["vec_id"] == least[g]) for r, k, g in zip(rows, n, group, strict=True))
     got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in knn_graph.near_duplicates(df).collect())
     assert len(links) > 500 and got == want
     assert knn_graph.near_duplicates(df.where("false")).count() == 0
@@ -131,7 +133,56 @@ def test_links_between_clusters_larger_than_a_list(spark):
     assert got == {i: (int(hit[i].sum()), group[i], group[i] == i) for i in range(len(x))}
 
 
-def test_audit_sees_rare_links_and_missed_recall_raises(spark, monkeypatch):
+def planted_pairs(n, pairs, seed):
+    """n random vectors, and for the first ``pairs`` a second one just over the threshold."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 64)).astype(np.float32)
+    u = x[:pairs] / np.linalg.norm(x[:pairs].astype(float), axis=1)[:, None]
+    z = rng.standard_normal((pairs, 64))
+    z -= (z * u).sum(axis=1)[:, None] * u
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    c = rng.uniform(0.9801, 0.985, pairs)[:, None]
+    return np.concatenate([x, (c * u + np.sqrt(1 - c * c) * z).astype(np.float32)])
+
+
+def test_isolated_pairs_among_many_vectors_are_found(spark, tmp_path):
+    x = planted_pairs(20_000, 1_300, 2)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": flat, "label": np.zeros(len(x), np.int32)}), tmp_path / "e.parquet", row_group_size=4096)
+    got = knn_graph.near_duplicates(spark.read.parquet(str(tmp_path / "e.parquet"))).where("n_links > 0").collect()
+    assert sum(r["n_links"] for r in got) >= 0.99 * 2 * 1_300
+    assert all(r["audited_recall"] >= 0.999 and r["component_id"] in (r["vec_id"], r["vec_id"] - 20_000) for r in got)
+
+
+def test_orders_grow_slowly_and_keep_the_chance():
+    found = [knn_graph.orders_for(10**k, 0.98) for k in range(2, 10)]
+    assert found[0] == (0, 2) and [t for _, t in found] == sorted(t for _, t in found) and found[-1][1] < 60
+    for bits, orders in found:
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** orders <= 1e-4 or bits == 0
+
+
+def test_blocks_count_what_all_pairs_count(spark, monkeypatch):
+    """A long chain and a dense ball: blocks are skipped, counted whole, or compared."""
+    monkeypatch.setattr(knn_graph, "BLOCK", 16)
+    monkeypatch.setattr(knn_graph, "MATCHED", 4)
+    rng = np.random.default_rng(4)
+    turn = np.arange(150) * 0.05
+    chain = np.stack([np.cos(turn), np.sin(turn), np.zeros(150)], axis=1)
+    ball = np.array([0, 0, 1.0]) + 0.02 * rng.standard_normal((120, 3))
+    wide = np.array([0, 0.5, 1.0]) + 0.09 * rng.standard_normal((120, 3))
+    n = rng.integers(1, 4, 390)
+    want, rows = {}, []
+    for root, part in enumerate((chain, ball, wide)):
+        at = len(rows)
+        x = part / np.linalg.norm(part, axis=1)[:, None]
+        hit = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+        want |= {at + i: int(c) for i, c in enumerate(hit @ n[at : at + len(x)])}
+        rows += [(root, at + i, int(n[at + i]), 3, bytearray(v.tobytes())) for i, v in enumerate(part)]
+    members = spark.createDataFrame(rows, "root long, cid long, n long, dim int, v binary")
+    assert {r["cid"]: r["links"] for r in knn_graph.exact_counts(members, 0.98).collect()} == want
+
+
+def test_missed_links_show_in_the_audit_and_raise(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 16))
     x[1::500] = x[::500] + 0.01

@@ -8,17 +8,26 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of a local session, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own, as in tests; elsewhere that is an error, since what one
+    machine writes to its own disk the others can't read."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
+        if not named:
+            named = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
     return named.rstrip("/")
 
 

@@ -1,228 +1,363 @@
 """Embedding near-dedup by NN-descent.
 
-Equal vectors of a label are one class. A first neighbour graph links each class with those beside it in several sorted
-orders of random projections. Rounds of NN-descent then compare neighbours of neighbours, keep the best of each list and
-go on while lists change. Every pair found that reaches the threshold is a link, also one that a list has no place for.
-The members of a component of links are compared exactly, block by block, with counts as the only result: not all pairs of
-a large group are ever written. While lists end saturated (all entries link, so more may), the descent goes on from
-further projections with a second list for each class, of neighbours outside its component, where its own members take
-no place. An audit compares bounded samples of all, linked and saturated classes with all rows; while its recall is below
-``recall``, the descent goes on likewise, and raises an error if it still is after the last.
-
-Only neighbours of cosine ``floor`` or more are kept in lists: those below can't lead to links. Defined cases: vectors that are
-null, zero or hold null or non-finite components, and rows with a null label or id, link with nothing and are their own
-component; vectors of different length don't link; repeated rows count as vectors of their own; further columns stay out.
+Equal vectors of a label are one class. The first neighbour graph comes from several orders of the classes, each by the
+signs of random projections and then by one projection: every class meets those in a window around it. There are so many
+orders that two vectors at the threshold miss each other in all with a chance of ``MISSED``; a code's bits grow with the
+logarithm of the rows, so the orders do as a small power of them. Rounds of NN-descent then compare neighbours of
+neighbours: each class keeps a list of its nearest, whatever their cosine, lists without a new entry rest, pairs of
+old entries aren't compared again, and a list whose entries all link is enlarged. Rounds end when they find no more links.
+
+Every pair met that reaches the threshold is a link, also one that no list has a place for; a window or a list hands on
+a spanning forest of its links instead of all pairs. Components of these links follow, and the links inside a component
+are counted exactly: blocks of its members whose centres and radii prove all or no pairs to link (angles are a metric)
+are counted whole, others are compared. Classes whose enlarged list is still full of links of their own component search
+again outside it. An audit compares bounded samples of all, linked and saturated classes with all rows; while its recall
+is below ``recall``, further orders are searched, and an error is raised if it still is after ``most_descents`` searches.
+
+Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with
+nothing and are their own component; rows with a null id link like others but give a component no id and aren't kept;
+vectors of different length don't link; repeated rows count as vectors of their own; further columns stay out.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, durable
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, joined
 
-NEIGHBOURS, ORDERS, BESIDE, BITS, BLOCK, AUDITED = 12, 6, 3, 10, 256, 256
-#: The audit's sample of all classes grows until it shows so many links, up to so many classes.
-AUDIT_LINKS, MOST_AUDITED = 256, 4096
-PAIRS = "u long, w long, sim double, own boolean"
+#: Entries of a list; a saturated list holds up to twice as many. Rows of a window, expected rows of a code, rows of a block.
+NEIGHBOURS, WINDOW, BUCKET, BLOCK = 8, 256, 128, 256
+#: The nearest that each class takes from a window or a list.
+TAKEN = 4
+#: Chance that the first graph's orders never bring two vectors at the threshold together.
+MISSED = 1e-4
+#: The audit compares about so many classes of each kind with all rows.
+AUDITED, AUDITED_OF_ALL = 256, 4096
+#: Block pairs are matched in groups of so many blocks, so that no task holds all blocks of a large component.
+MATCHED = 64
+PAIRS = "u long, w long, sim double"
 
 
 def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _units(column: pd.Series) -> np.ndarray:
-    x = np.array([np.frombuffer(v, np.float64) for v in column])
+def _units(vectors, dim: int) -> np.ndarray:
+    """Vectors from their bytes (in single precision where that holds them exactly), scaled to length 1 in double."""
+    raw = list(vectors)
+    kinds = {len(v) // dim for v in raw}
+    if len(kinds) == 1:
+        x = np.frombuffer(b"".join(raw), np.float32 if kinds == {4} else np.float64).reshape(-1, dim).astype(np.float64)
+    else:
+        x = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in raw], np.float64).reshape(-1, dim)
     return x / np.sqrt((x**2).sum(axis=1))[:, None]
 
 
 def groups_of(frames, keys: list[str]):
-    """Whole groups from frames sorted by their keys, also where a group goes on in the next frame."""
+    """``frame, [(start, end), ...]`` with whole groups from frames sorted by their keys, also where a group goes on in the next frame."""
     held = None
     for frame in frames:
         if held is not None:
             frame = pd.concat([held, frame], ignore_index=True)
         if not len(frame):
             continue
-        values = frame[keys].to_numpy()
-        edges = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
-        starts = np.concatenate([[0], edges])
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield frame.iloc[a:b]
+        starts = _edges([frame[k].to_numpy() for k in keys])
+        yield frame, list(zip(starts[:-1], starts[1:], strict=True))
         held = frame.iloc[starts[-1] :].reset_index(drop=True)
     if held is not None and len(held):
-        yield held
+        yield held, [(0, len(held))]
+
+
+def _edges(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a group of equal values starts."""
+    changes = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        changes |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(changes) + 1])
+
 
+def orders_for(largest: int, threshold: float, missed: float = MISSED) -> tuple[int, int]:
+    """Bits of a code and how many orders, for ``largest`` vectors that may link with each other.
 
-def _projected(classes: DataFrame, seed: int, orders: int) -> DataFrame:
+    A random plane parts two vectors at the threshold with chance angle / pi."""
+    bits = max(0, math.ceil(math.log2(max(1, largest / BUCKET))))
+    same = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, 2 if same > 0.99 else max(2, math.ceil(math.log(missed) / math.log(1 - same)))
+
+
+def _projected(classes: DataFrame, seed: int, bits: int, orders: int) -> DataFrame:
     """Each class once for each order: the signs of some random projections as a code, then a projection."""
 
     def run(frames):
         for frame in frames:
             for dim, g in frame.groupby("dim"):
-                x = _units(g["v"])
+                x = _units(g["v"], int(dim))
                 for t in range(orders):
-                    planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), BITS + 1))
+                    planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), bits + 1))
                     y = x @ planes
-                    code = (y[:, :BITS] > 0) @ (1 << np.arange(BITS))
-                    yield pd.DataFrame({"t": np.full(len(g), t), "label": g["label"], "dim": g["dim"], "code": code, "at": y[:, BITS], "cid": g["cid"], "root": g["root"], "v": g["v"]})
+                    code = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    yield pd.DataFrame({"t": np.full(len(g), t), "label": g["label"], "dim": g["dim"], "code": code.astype(np.int64), "at": y[:, bits], "cid": g["cid"], "root": g["root"], "v": g["v"]})
 
     return classes.select("cid", "root", "label", "dim", "v").mapInPandas(run, "t int, label string, dim int, code long, at double, cid long, root long, v binary")
 
 
-def _beside(projected: DataFrame, floor: float, tasks: int) -> DataFrame:
-    """Pairs that stand next to each other in an order, with their cosine; ``own``: both are known to be of one component."""
+class _Found:
+    """Pairs gathered from windows or lists: the nearest of each row, and links (sim is null) that unite what the pairs at the threshold unite."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.parts = threshold, []
+
+    def meet(self, x: np.ndarray, ids: np.ndarray, root: np.ndarray, old: int = 0, settled: np.ndarray | None = None) -> None:
+        """Rows from ``old`` on meet all rows; pairs of one known component, and of two ``settled`` rows, are left out."""
+        sims = x[old:] @ x.T
+        sims[root[old:, None] == root[None, :]] = -2
+        if settled is not None:
+            sims[np.ix_(settled[old:], settled)] = -2
+        i, j = np.nonzero(sims >= self.threshold)
+        if len(i):
+            local = joined(len(x), i + old, j)
+            moved = np.flatnonzero(local != np.arange(len(x)))
+            self.parts.append((ids[moved], ids[local[moved]], np.full(len(moved), np.nan)))
+        take = min(TAKEN, sims.shape[1])
+        top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+        best = np.take_along_axis(sims, top, 1)
+        row, col = np.nonzero(best > -2)
+        self.parts.append((ids[old:][row], ids[top[row, col]], np.round(best[row, col], 9)))
+
+    def frame(self) -> pd.DataFrame:
+        u, w, sim = (np.concatenate(c) for c in zip(*self.parts, strict=True)) if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.parts = []
+        return pd.DataFrame({"u": u, "w": w, "sim": pd.array(sim, "Float64")})
+
+
+def _beside(projected: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """What classes meet in the windows of each order: a window of rows meets itself and the window before."""
 
     def run(frames):
         tail = None
         for frame in frames:
-            new = len(frame)
-            if tail is not None:
+            old = 0 if tail is None else len(tail)
+            if old:
                 frame = pd.concat([tail, frame], ignore_index=True)
-            if not new:
+            if len(frame) == old:
                 continue
-            key = frame[["t", "label", "dim"]].astype(str).agg("|".join, axis=1).to_numpy()
-            ids, root = frame["cid"].to_numpy(), frame["root"].to_numpy()
-            unit = {d: _units(g["v"]) for d, g in frame.groupby("dim")}
-            row = np.concatenate([np.arange(len(g)) for _, g in frame.groupby("dim")])[np.argsort(np.concatenate([g.index for _, g in frame.groupby("dim")]))]
-            dim = frame["dim"].to_numpy()
-            for gap in range(1, BESIDE + 1):
-                i = np.arange(max(0, len(frame) - new - gap), len(frame) - gap)
-                i = i[key[i] == key[i + gap]]
-                for d in np.unique(dim[i]):
-                    k = i[dim[i] == d]
-                    s = (unit[d][row[k]] * unit[d][row[k + gap]]).sum(axis=1)
-                    ok = s >= floor
-                    yield pd.DataFrame({"u": ids[k[ok]], "w": ids[k[ok] + gap], "sim": s[ok], "own": (root[k] == root[k + gap])[ok]})
-            tail = frame.iloc[-BESIDE:].reset_index(drop=True)
+            ids, root, dim, v = (frame[c].to_numpy() for c in ("cid", "root", "dim", "v"))
+            found = _Found(threshold)
+            starts = [*_edges([frame["t"].to_numpy(), frame["label"].to_numpy(), dim]), len(frame)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                x = _units(v[a:b], int(dim[a]))
+                for s in range(max(a, old), b, WINDOW):
+                    lo, hi = max(a, s - WINDOW), min(b, s + WINDOW)
+                    found.meet(x[lo - a : hi - a], ids[lo:hi], root[lo:hi], s - lo)
+            yield found.frame()
+            tail = frame.iloc[-WINDOW:].reset_index(drop=True)
 
     ordered = projected.repartitionByRange(tasks, "t", "label", "dim", "code", "at").sortWithinPartitions("t", "label", "dim", "code", "at")
     return ordered.mapInPandas(run, PAIRS)
 
 
-def _lists(pairs: DataFrame, size: int) -> DataFrame:
-    """The ``size`` nearest of each class in its component and outside, from pairs in one or both directions. Sorted arrays are cut while they are merged."""
-    both = pairs.select("u", "w", "sim", "own").union(pairs.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim", "own")).groupBy("u", "w", "own").agg(F.max("sim").alias("sim"))
-    cut = lambda c: F.slice(F.array_sort(c), 1, size)
-    part = both.groupBy("u", "own", F.pmod(F.xxhash64("w"), F.lit(8)).alias("_s")).agg(cut(F.collect_list(F.struct((-F.col("sim")).alias("far"), "w"))).alias("near"))
-    whole = part.groupBy("u", "own").agg(cut(F.flatten(F.collect_list("near"))).alias("near"))
-    return whole.select("u", "own", F.explode("near").alias("n")).select("u", F.col("n.w").alias("w"), (-F.col("n.far")).alias("sim"), "own")
+def _lists(pairs: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
+    """``u, w, sim, new, fresh``: the ``size`` nearest of each class from pairs in one or both directions, twice as many while all of them link.
 
+    Pairs are cut to the nearest before they are shuffled, so a hub's candidates are never gathered. ``new``: not in the list
+    before; ``fresh``: the list has a new entry."""
+    plain = pairs.where("sim is not null").select("u", "w", "sim", "new")
+    both = plain.union(plain.select(F.col("w").alias("u"), F.col("u").alias("w"), "sim", "new"))
+    near = F.dense_rank().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "w"))
+    cut = both.withColumn("_near", near).where(F.col("_near") <= 2 * size).where((F.col("_near") <= size) | (F.col("sim") >= threshold))
+    once = cut.groupBy("u", "w").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    return once.withColumn("fresh", F.max("new").over(Window.partitionBy("u")))
 
-def _joined(lists: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
-    """Neighbours of neighbours: all pairs within each list around u with a cosine of ``floor`` or more; u's own place is left out."""
 
-    def run(frames):
-        for g in groups_of(frames, ["u"]):
-            if len(g) < 2:
-                continue
-            x, ids, root = _units(g["v"]), g["w"].to_numpy(), g["root"].to_numpy()
-            sims = x @ x.T
-            i, j = np.nonzero(np.triu(sims >= floor, 1))
-            yield pd.DataFrame({"u": ids[i], "w": ids[j], "sim": sims[i, j], "own": root[i] == root[j]})
+def _joined(lists: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Neighbours of neighbours: the entries of each list with a new entry meet each other, but not two old ones."""
 
-    around = lists.join(classes.select(F.col("cid").alias("w"), "root", "v"), "w").select("u", "w", "root", "v")
+    def run(frames):
+        for frame, spans in groups_of(frames, ["u"]):
+            ids, root, dim, v, new = (frame[c].to_numpy() for c in ("w", "root", "dim", "v", "new"))
+            found = _Found(threshold)
+            for a, b in spans:
+                if b - a > 1:
+                    found.meet(_units(v[a:b], int(dim[a])), ids[a:b], root[a:b], 0, ~new[a:b].astype(bool))
+            yield found.frame()
+
+    around = lists.where("fresh").join(classes.select(F.col("cid").alias("w"), "root", "dim", "v"), "w").select("u", "w", "root", "dim", "v", "new")
     return around.repartition("u").sortWithinPartitions("u").mapInPandas(run, PAIRS)
 
 
-def _links(pairs: DataFrame, threshold: float) -> DataFrame:
-    """``u, w``: the pairs that link two classes not yet known to be of one component, each once."""
-    new = pairs.where((F.col("sim") >= threshold) & ~F.col("own"))
-    return new.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.where("sim is null").select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
 
 
-def descend(classes: DataFrame, floor: float, threshold: float, seed: int, known: DataFrame | None = None, size: int = NEIGHBOURS, rounds: int = 8, settled: float = 0.002) -> tuple[DataFrame, list[DataFrame]]:
-    """``u, w, sim, own``: the neighbour lists once fewer than a share ``settled`` of their entries are new in a round; and all links found."""
+def descend(classes: DataFrame, threshold: float, seed: int, known: DataFrame | None = None, most_rounds: int = 6, settled: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """The neighbour lists once a round adds less than a share ``settled`` of linking entries; and all links found.
+
+    Classes of one ``root`` are known to be of one component and don't meet. Lists ``known`` from before show ways into
+    components, their entries count as old."""
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = durable(_beside(_projected(classes, seed, ORDERS), floor, tasks))
-    links = [durable(_links(first, threshold))]
-    now = durable(_lists(first if known is None else first.union(known), size))
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    first = durable(_beside(_projected(classes, seed, *orders_for(largest, threshold)), threshold, tasks))
+    links = [durable(_links(first))]
+    fresh = first.withColumn("new", F.lit(True))
+    now = durable(_lists(fresh if known is None else fresh.union(known.select("u", "w", "sim", F.lit(False))), threshold))
     discard(first)
-    for _ in range(rounds):
-        met = durable(_joined(now, classes, floor))
-        links.append(durable(_links(met, threshold)))
-        better = durable(_lists(now.union(met), size))
+    had = now.where(F.col("sim") >= threshold).count()
+    for _ in range(most_rounds):
+        met = durable(_joined(now, classes, threshold))
+        links.append(durable(_links(met)))
+        better = durable(_lists(now.select("u", "w", "sim", F.lit(False).alias("new")).union(met.withColumn("new", F.lit(True))), threshold))
         discard(met)
-        new = better.join(now.select("u", "w"), ["u", "w"], "left_anti").count()
-        total = better.count()
         discard(now)
         now = better
-        if new <= settled * total:
+        has = now.where(F.col("sim") >= threshold).count()
+        if has - had <= settled * has:
             break
-    return now, links
+        had = has
+    found = durable(reduce(DataFrame.union, links).distinct())
+    for part in links:
+        discard(part)
+    return now, found
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """Members ``root, cid, n, dim, v`` with ``block`` and ``at``: rows of a component that lie together in an order by one projection."""
+
+    def project(frames):
+        for frame in frames:
+            for dim, g in frame.groupby("dim"):
+                way = np.random.default_rng([17, int(dim)]).standard_normal(int(dim))
+                yield g.assign(at=_units(g["v"], int(dim)) @ way)
+
+    def deal(frames):
+        last, taken, block = None, 0, -1
+        for frame in frames:
+            out = np.empty(len(frame), np.int64)
+            for k, (root, part) in enumerate(zip(frame["root"].to_numpy(), frame["part"].to_numpy(), strict=True)):
+                if root != last or taken == BLOCK:
+                    last, taken, block = root, 0, (block if block >= 0 else int(part) << 32) + 1
+                taken += 1
+                out[k] = block
+            yield frame.drop(columns="part").assign(block=out)
+
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = members.select("root", "cid", "n", "dim", "v").mapInPandas(project, "root long, cid long, n long, dim int, v binary, at double")
+    ordered = at.repartitionByRange(tasks, "root", "at").sortWithinPartitions("root", "at").withColumn("part", F.spark_partition_id())
+    return ordered.mapInPandas(deal, "root long, cid long, n long, dim int, v binary, at double, block long")
 
 
 def exact_counts(members: DataFrame, threshold: float) -> DataFrame:
     """``cid, links``: how many vectors (``n`` to a class) of its component each class links with, itself left out.
 
-    Rows ``cid, root, size, n, v``. A component of more than BLOCK members is compared block against block."""
-
-    def run(frames):
-        for g in groups_of(frames, ["root", "a", "b"]):
-            x, ids, n, mine = _units(g["v"]), g["cid"].to_numpy(), g["n"].to_numpy(), g["mine"].to_numpy()
-            a, b = g["a"].iloc[0], g["b"].iloc[0]
-            left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
-            hit = x[left] @ x[right].T >= threshold
-            if a == b:
+    Rows ``root, cid, n, dim, v``. Two blocks whose centres and radii prove that all or none of their pairs link are counted
+    without comparing; only the undecided ones are shipped to each other."""
+    reach = math.acos(threshold)
+    blocked = durable(_blocked(members))
+
+    def inside(frames):
+        names = ["root", "block", "cid", "centre", "radius", "links"]
+        for frame, spans in groups_of(frames, ["block"]):
+            root, block, cid, n, dim, v = (frame[c].to_numpy() for c in ("root", "block", "cid", "n", "dim", "v"))
+            counts, blocks = np.zeros(spans[-1][1] if spans else 0, np.int64), []
+            for a, b in spans:
+                x = _units(v[a:b], int(dim[a]))
+                hit = x @ x.T >= threshold
                 np.fill_diagonal(hit, False)
-                yield pd.DataFrame({"cid": ids[left], "links": hit @ n[right]})
-            else:
+                counts[a:b] = hit @ n[a:b]
+                centre = x.mean(axis=0)
+                length = np.sqrt(centre @ centre)
+                centre = centre / length if length > 1e-9 else x[0]
+                radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max()) + 1e-7
+                blocks.append((root[a], block[a], None, centre.tobytes(), radius, int(n[a:b].sum())))
+            if spans:
+                end = len(counts)
+                yield pd.DataFrame({"root": root[:end], "block": block[:end], "cid": cid[:end], "centre": None, "radius": np.nan, "links": counts})
+                yield pd.DataFrame(blocks, columns=names).astype({"cid": "Int64"})
+
+    def decide(frames):
+        for frame in frames:
+            for dim, g in frame.assign(dim=frame["ca"].map(len) // 8).groupby("dim"):
+                x, y = (np.frombuffer(b"".join(g[c]), np.float64).reshape(-1, int(dim)) for c in ("ca", "cb"))
+                apart = np.arccos(np.clip((x * y).sum(axis=1), -1, 1))
+                wide = (g["ra"] + g["rb"]).to_numpy() + 1e-7
+                verdict = np.where(apart + wide <= reach, 1, np.where(apart - wide > reach, -1, 0))
+                yield g[["a", "b", "na", "nb"]].assign(verdict=verdict)[verdict >= 0]
+
+    def across(frames):
+        for frame, spans in groups_of(frames, ["a", "b"]):
+            for s, e in spans:
+                g = frame.iloc[s:e]
+                x, ids, n, block = _units(g["v"], int(g["dim"].iloc[0])), g["cid"].to_numpy(), g["n"].to_numpy(), g["block"].to_numpy()
+                left, right = np.flatnonzero(block == g["a"].iloc[0]), np.flatnonzero(block == g["b"].iloc[0])
+                hit = x[left] @ x[right].T >= threshold
                 yield pd.DataFrame({"cid": np.concatenate([ids[left], ids[right]]), "links": np.concatenate([hit @ n[right], hit.T @ n[left]])})
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("cid", "root", "n", "v", "mine", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    compared = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInPandas(run, "cid long, links long")
-    return compared.groupBy("cid").agg(F.sum("links").alias("links"))
-
-
-def audit(classes: DataFrame, counted: DataFrame, full: DataFrame, threshold: float, sample: int = AUDITED) -> float:
+    dealt = blocked.repartition("block").sortWithinPartitions("block")
+    within = durable(dealt.mapInPandas(inside, "root long, block long, cid long, centre binary, radius double, links long"))
+    blocks = within.where("cid is null").select("root", "block", "centre", "radius", F.col("links").alias("held"))
+    groups = blocks.groupBy("root").agg(F.ceil(F.count("*") / MATCHED).cast("int").alias("groups"), F.count("*").alias("many")).where("many > 1")
+    sized = durable(blocks.join(groups, "root"))
+    counts = [within.where("cid is not null").select("cid", "links")]
+    if not sized.isEmpty():
+        a = sized.select("root", F.col("block").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"), F.col("held").alias("na"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+        b = sized.select("root", F.col("block").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"), F.col("held").alias("nb"), F.pmod(F.xxhash64("block"), "groups").cast("int").alias("g"))
+        decided = durable(a.join(b, ["root", "g"]).where("a < b").select("a", "b", "ca", "cb", "ra", "rb", "na", "nb").mapInPandas(decide, "a long, b long, na long, nb long, verdict int"))
+        whole = decided.where("verdict = 1")
+        gain = whole.select(F.col("a").alias("block"), F.col("nb").alias("n")).union(whole.select("b", "na")).groupBy("block").agg(F.sum("n").alias("links"))
+        counts.append(blocked.select("cid", "block").join(gain, "block").select("cid", "links"))
+        open_ = decided.where("verdict = 0").select("a", "b", F.explode(F.array("a", "b")).alias("block"))
+        shipped = open_.join(blocked.select("block", "cid", "n", "dim", "v"), "block").repartition("a", "b").sortWithinPartitions("a", "b")
+        counts.append(shipped.mapInPandas(across, "cid long, links long"))
+    return reduce(DataFrame.union, counts).groupBy("cid").agg(F.sum("links").alias("links"))
+
+
+def audit(classes: DataFrame, counted: DataFrame, full: DataFrame, threshold: float) -> float:
     """Share of the links of bounded samples of classes, found by comparing them with all rows, that ``counted`` has.
 
     The least share of three samples: of all classes, of those with a link and of those in ``full``, whose lists are
-    saturated. The first grows until it shows AUDIT_LINKS links, up to MOST_AUDITED classes."""
+    saturated. 1.0 where no sampled class has a link in truth."""
     n = classes.count()
-    shares = [_audited(classes, counted, counted.where("links > 0").select("cid"), threshold, sample), _audited(classes, counted, full, threshold, sample)]
-    while True:
-        shares.append(_audited(classes, counted, None, threshold, sample, n))
-        if shares[-1][1] >= AUDIT_LINKS or sample >= min(n, MOST_AUDITED):
-            return min(got / true if true else 1.0 for got, true in (*shares[:2], shares[-1]))
-        sample *= 4
-
-
-def _audited(classes: DataFrame, counted: DataFrame, among: DataFrame | None, threshold: float, sample: int, n: int | None = None) -> tuple[int, int]:
-    """Links that ``counted`` has and true links, of about ``sample`` classes ``among`` these."""
-    n = among.count() if n is None else n
-    scale = 1 << 30
-    drawn = classes if among is None else classes.join(among, "cid", "left_semi")
-    drawn = drawn.where(F.pmod(F.xxhash64("cid", F.lit("audit")), F.lit(scale)) <= int(min(1.0, sample / max(1, n)) * scale)).select("cid", "label", "dim", "v").toPandas()
-    if not len(drawn):
-        return 0, 0
-    sent = classes.sparkSession.sparkContext.broadcast({key: (g["cid"].to_numpy(), _units(g["v"])) for key, g in drawn.groupby(["label", "dim"])})
+    kinds = {"all": (None, AUDITED_OF_ALL, n), "linked": (counted.where("links > 0").select("cid"), AUDITED, None), "full": (full, AUDITED, None)}
+    drawn = []
+    for among, sample, size in kinds.values():
+        scale = 1 << 30
+        size = among.count() if size is None else size
+        picked = classes if among is None else classes.join(among, "cid", "left_semi")
+        drawn.append(picked.where(F.pmod(F.xxhash64("cid", F.lit("audit")), F.lit(scale)) <= int(min(1.0, sample / max(1, size)) * scale)).select("cid", "label", "dim", "v").toPandas())
+    queries = pd.concat(drawn).drop_duplicates("cid")
+    if not len(queries):
+        return 1.0
+    sent = classes.sparkSession.sparkContext.broadcast({key: (g["cid"].to_numpy(), _units(g["v"], key[1])) for key, g in queries.groupby(["label", "dim"])})
 
     def run(frames):
         for frame in frames:
             for key, g in frame.groupby(["label", "dim"]):
                 if key in sent.value:
                     ids, x = sent.value[key]
-                    y, cid, copies = _units(g["v"]).T, g["cid"].to_numpy(), g["n"].to_numpy()
+                    y, cid, copies = _units(g["v"], key[1]).T, g["cid"].to_numpy(), g["n"].to_numpy()
                     for k in range(0, len(ids), AUDITED):
                         hit = (x[k : k + AUDITED] @ y >= threshold) & (ids[k : k + AUDITED, None] != cid)
-                        yield pd.DataFrame({"cid": ids[k : k + AUDITED], "truth": hit @ copies})
+                        true = hit @ copies
+                        yield pd.DataFrame({"cid": ids[k : k + AUDITED], "truth": true})[true > 0]
 
     truth = classes.select("cid", "label", "dim", "n", "v").mapInPandas(run, "cid long, truth long").groupBy("cid").agg(F.sum("truth").alias("truth"))
-    got = truth.join(counted, "cid", "left").agg(F.sum(F.least("truth", F.coalesce("links", F.lit(0)))), F.sum("truth")).first()
-    return got[0] or 0, got[1] or 0
+    met = truth.join(counted, "cid", "left").select("cid", "truth", F.least("truth", F.coalesce("links", F.lit(0))).alias("got")).toPandas()
+    shares = []
+    for part in drawn:
+        seen = met[met["cid"].isin(part["cid"])]
+        shares.append(seen["got"].sum() / seen["truth"].sum() if len(seen) else 1.0)
+    return float(min(shares))
 
 
 def saturated(lists: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
-    """``cid``: classes whose list of neighbours outside the component known to the descent holds links alone, so it may lack some."""
-    return lists.where((F.col("sim") >= threshold) & ~F.col("own")).groupBy(F.col("u").alias("cid")).count().where(F.col("count") >= size).select("cid")
+    """``cid``: classes whose enlarged list is full of links, so it may lack some."""
+    return lists.where(F.col("sim") >= threshold).groupBy(F.col("u").alias("cid")).count().where(F.col("count") >= 2 * size).select("cid")
 
 
 def _placed(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -230,42 +365,56 @@ def _placed(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return classes.join(roots, F.col("cid") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "cid"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, floor: float = 0.9, recall: float = 0.999, most_descents: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """``id, n_links, component_id, kept`` for every row."""
+def _packed(frames):
+    for frame in frames:
+        out = []
+        for v in frame["x"]:
+            x = np.array(v, np.float64)
+            # A subnormal or overflowing value isn't held exactly, so it stays in double precision.
+            with np.errstate(over="ignore"):
+                short = x.astype(np.float32)
+            out.append((short if (short == x).all() else x).tobytes())
+        yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "dim": frame["dim"], "v": out})
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.999, most_descents: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """``id, n_links, component_id, kept`` for every row, and ``audited_recall`` of the whole search."""
     plain = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("x"))
-    plain = plain.withColumn("takes_part", usable(F.col("x")) & F.col("label").isNotNull() & F.col("id").isNotNull())
+    plain = plain.withColumn("takes_part", usable(F.col("x")) & F.col("label").isNotNull())
+    taking = plain.where("takes_part").select("id", "label", F.size("x").alias("dim"), "x").mapInPandas(_packed, "id long, label string, dim int, v binary")
+    rows = durable(taking.withColumn("key", F.sha2(F.concat(F.col("label").cast("binary"), F.lit(b"\0"), F.col("dim").cast("string").cast("binary"), F.lit(b"\0"), F.col("v")), 256)))
+    classes = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    def packed(frames):
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "v": [np.array(v, np.float64).tobytes() for v in frame["x"]]})
+    def counted_from(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        roots = durable(connected_components(links, "u", "w"))
+        members = roots.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "n", "dim", "v"), "cid")
+        return roots, durable(exact_counts(members, threshold))
 
-    taking = plain.where("takes_part").select("id", "label", "x").mapInPandas(packed, "id long, label string, v binary")
-    rows = durable(taking.withColumn("key", F.sha2(F.concat(F.col("label").cast("binary"), F.lit(b"\0"), F.col("v")), 256)))
-    classes = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = durable(classes.withColumn("dim", (F.length("v") / 8).cast("int")).withColumn("cid", F.monotonically_increasing_id()))
-    graph, links, counted, roots = None, None, None, None
+    links = full = lists = None
     for attempt in range(most_descents):
-        # Until a component is known, each class is its own.
-        placed = classes.withColumn("root", F.col("cid")) if roots is None else durable(_placed(classes, roots))
-        if graph is not None:
-            at = placed.select("cid", "root")
-            graph = graph.drop("own").join(at.select(F.col("cid").alias("u"), F.col("root").alias("r1")), "u").join(at.select(F.col("cid").alias("w"), F.col("root").alias("r2")), "w")
-            graph = graph.select("u", "w", "sim", (F.col("r1") == F.col("r2")).alias("own"))
-        graph, more = descend(placed, floor, threshold, attempt, graph)
-        links = reduce(DataFrame.union, more if links is None else [links, *more])
-        roots = durable(connected_components(links, "u", "w"))
-        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-        members = roots.join(sizes, "root").join(classes.select(F.col("cid").alias("node"), "n", "v"), "node").withColumnRenamed("node", "cid")
-        counted = durable(exact_counts(members, threshold))
-        full = durable(saturated(graph, threshold))
-        last = attempt == most_descents - 1
-        if (last or full.isEmpty()) and (reached := audit(classes, counted, full, threshold)) >= recall:
+        # The first search of all classes meets every pair anew; each class is its own component.
+        lists, more = descend(classes.withColumn("root", F.col("cid")), threshold, attempt, lists)
+        links = more if links is None else links.union(more)
+        roots, counted = counted_from(links)
+        full = durable(saturated(lists, threshold))
+        crowded = durable(_placed(classes, roots).join(full, "cid", "left_semi"))
+        # Two ends that both have a full list of their own components' members may have missed each other.
+        if crowded.select("root").distinct().limit(2).count() > 1:
+            near = lists.join(full.withColumnRenamed("cid", "u"), "u", "left_semi").join(full.withColumnRenamed("cid", "w"), "w", "left_semi")
+            outside, more = descend(crowded, threshold, most_descents + attempt, near)
+            discard(outside)
+            if not more.isEmpty():
+                links = links.union(more)
+                roots, counted = counted_from(links)
+        reached = audit(classes, counted, full, threshold)
+        if reached >= recall:
             break
     else:
-        raise RuntimeError(f"audited recall of links is {reached:.4f}, under {recall}, after {most_descents} descents")
+        raise RuntimeError(f"audited recall of links is {reached:.4f}, under {recall}, after {most_descents} searches")
     named = _placed(classes, roots)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = named.join(least, "root").join(counted, "cid", "left").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     linked = rows.select("id", "key").join(durable(of_class), "key").select("id", "n_links", "component_id")
     alone = plain.where("not takes_part").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(reached).alias("audited_recall"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import durable
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, joined
 
 SEED = 42
 #: Fingerprints on which the tree is grown, at most about so many; every fingerprint is indexed.
@@ -126,18 +126,9 @@ def _close_pairs(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarra
 
 def shard_links(points: np.ndarray, radius: int, leaf: int = 512) -> np.ndarray:
     """Links that join the points of a shard exactly as all its close pairs do: each point with its local root."""
-    root = np.arange(len(points))
     pairs = [(rows[i], rows[j]) for _, rows in VantageTree(points, radius, leaf).place(points) for i, j in [_close_pairs(points[rows], radius)]]
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (root[:0], root[:0])
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = np.minimum(root, root[root])
-        if (root == before).all():
-            break
-    return root
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return joined(len(points), a, b)
 
 
 def _as_long(points: np.ndarray) -> np.ndarray:
