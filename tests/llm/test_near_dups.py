@@ -198,27 +198,49 @@ def test_missed_links_show_in_the_audit_and_raise(spark, monkeypatch):
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 32)
     monkeypatch.setattr(pivots, "CHUNK", 8)
+    monkeypatch.setattr(pivots, "BLOCKS_MATCHED", 3)
+    monkeypatch.setattr(pivots, "PARTS_MATCHED", 2)
     df = embeddings(spark)
-    rows = {}
-    for r in df.select("vec_id", "embedding").collect():
-        e = r["embedding"]
-        if r["vec_id"] is not None and e and all(x is not None and np.isfinite(x) for x in e):
-            rows[(r["vec_id"], tuple(e))] = np.floor(256 * np.array(e, float))
-    want = []
-    for (q, e), v in rows.items():
+    # Repeated rows, as candidates and as queries.
+    df = df.union(df.where("vec_id in (20, 25, 40)")).union(df.where("vec_id = 40"))
+    rows = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], float))) for r in df.select("vec_id", "embedding").collect() if r["vec_id"] is not None and r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"])]
+    scored = {}
+    for q, v in rows:
         if q % 20 == 0:
-            scored = sorted((-int(v @ x), i) for (i, y), x in rows.items() if i != q and len(y) == len(e))
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+            scored.setdefault(q, []).extend((-int(v @ x), i) for i, x in rows if i != q and len(x) == len(v))
+    want = [(q, k + 1, i, -s) for q, pairs in scored.items() for k, (s, i) in enumerate(sorted(pairs)[:5])]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivots.top_k(df, F.col("id") % 20 == 0, 5, pivots=4).collect()]
     assert sorted(got) == sorted(want)
     assert pivots.top_k(df.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_blocks_out_of_reach_get_no_vectors(spark, monkeypatch):
+    """Queries in a few clusters far from most blocks: the tables alone leave out most (chunk, block) pairs."""
+    monkeypatch.setattr(pivots, "BLOCK", 64)
+    monkeypatch.setattr(pivots, "CHUNK", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((24, 12))
+    centres *= 8 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.concatenate([c + 0.05 * rng.standard_normal((100, 12)) for c in centres])
+    counted = []
+    monkeypatch.setattr(pivots, "plan_pairs", lambda c, b, plan=pivots.plan_pairs: counted.append((plan(c, b).count(), c.count() * b.count())) or plan(c, b))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivots.top_k(df, F.col("id") % 20 == 0, 5).collect())
+    v = np.floor(256 * x)
+    want = []
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        want += [(q, k + 1, int(i), int(s[i])) for k, i in enumerate([i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:5])]
+    assert got == want
+    shipped, all_pairs = counted[0]
+    assert shipped < 0.25 * all_pairs
+
+
 def test_bounds_skip_no_answer():
     rng = np.random.default_rng(0)
     x = np.floor(rng.standard_normal((500, 8)) * 256)
     p = pivots.choose_pivots({8: x}, 6)[8]
-    d = pivots._distances(x, p)
+    d = pivots.distances(x, p)
     a, b, s = pivots.search_block(np.arange(20), x[:20], d[:20], np.full(20, -np.inf), np.arange(500), x, d, 5)
     for q in range(20):
         scores = x @ x[q]
