@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -44,6 +45,30 @@ def test_failing_guesses_are_merged():
     assert guess.tolist() != exact.tolist()
 
 
+def test_long_words_equal_the_library_in_bounded_memory(library):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "the" * 3000 + "q", "ab" * 700, "é" * 900, "=" * 5000, "x" * 513, "then" * 128]
+    words += ["thentlyst" + "".join(rng.choice("etaoinsr") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    tokenizer = bpe.load(PATH)
+    tracemalloc.start()
+    token, counts = tokenizer.encode_words(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    stops = np.cumsum(counts)
+    for word, a, b in zip(words, stops - counts, stops, strict=True):
+        assert token[a:b].tolist() == library.encode(word, add_special_tokens=False).ids, word[:60]
+
+
+def test_known_pieces_are_bounded_by_their_characters(monkeypatch, library):
+    monkeypatch.setattr(bpe, "KNOWN_CHARACTERS", 500)
+    cache = bpe.PieceCache(bpe.load(PATH), *(lambda c: (c.render, c.join))(bpe.token_bytes(bpe.load(PATH))))
+    for k in range(20):
+        for parts in cache.batches([f"{'ab' * 100} piece{k}"]):
+            assert np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(f"{'ab' * 100} piece{k}", add_special_tokens=False).ids
+        assert sum(map(len, cache)) <= 500
+
+
 def test_digests_and_decoding(spark, library):
     rows = [(i, t) for i, t in enumerate(texts())] + [(10_000, None), (0, texts()[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' as ids", "1 as id")
@@ -84,7 +109,22 @@ def test_plan_places_every_piece_once_without_gaps(capacity):
                 at += length
             assert at <= capacity
         least = -(-sum(k * n for k, n in counts.items()) // capacity)
-        assert len(sequences) >= least
+        larger_half = sum(n for k, n in counts.items() if 2 * k > capacity)
+        # Best fit in falling order needs at most 11/9 of the optimum and one; the volume and the large pieces bound that from below.
+        assert max(least, larger_half) <= len(sequences)
+        few = sum(n for k, n in counts.items() if 5 * k >= capacity) == 0
+        assert not few or len(sequences) <= 5 / 4 * least + 1
+
+
+def test_plan_is_tight_and_does_not_grow_with_the_corpus():
+    rng = np.random.default_rng(2)
+    natural = Counter(np.minimum(2048, rng.lognormal(5.5, 1.2, 200_000).astype(int) + 1).tolist())
+    for counts in ({1700: 50_000, 300: 50_000}, {1500: 30_000, 400: 20_000, 120: 40_000}, {683: 10_000, 700: 9_001}, {1100: 7, 900: 50_000, 40: 3}, dict(natural)):
+        places = [packing.plan({k: n * times for k, n in counts.items()}, 2048) for times in (1, 64)]
+        assert len(places[1]) <= len(places[0]) + 4 * len(counts)
+        assert len(places[1]) <= 12 * len(counts)
+    sequences = max(first + (end - start - 1) // each + 1 for _, start, end, first, each, _ in packing.plan(dict(natural), 2048))
+    assert sequences <= 1.001 * sum(k * n for k, n in natural.items()) / 2048 + 1
 
 
 def test_dominance_is_no_worse_than_the_optimum():

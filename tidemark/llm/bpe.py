@@ -12,6 +12,7 @@ white space dropped). Defined cases: a null text counts as empty; an empty text
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 import zlib
@@ -29,9 +30,18 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: A worker forgets its pieces of text when it knows so many; bounds its memory.
 KNOWN_PIECES = 700_000
+#: Or pieces of so many characters in all.
+KNOWN_CHARACTERS = 16_000_000
+#: Words of more bytes are looked through place by place and merged one by one; others in rectangles of so many cells.
+LONG, CELLS = 512, 1 << 19
 NEVER = np.iinfo(np.int64).max
 
 
+def _picked(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all items of these runs, end to end."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 class PairTable:
     """Integer pairs (a, b) -> value, looked up by whole arrays; open addressing, -1 where a pair is absent."""
 
@@ -91,6 +101,7 @@ class SpeculativeBpe:
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
         self.words = regex.compile(WORD_PATTERN)
         self.caches: dict[str, PieceCache] = {}
+        self.rank_of: dict[int, int] = {}
         alphabet = byte_alphabet()
         #: Byte -> token within a word and at its end. A word is a row of these; longer tokens are merges of them.
         self.inner, self.final = np.array([v[c] for c in alphabet]), np.array([v[c + end] for c in alphabet])
@@ -169,6 +180,8 @@ class SpeculativeBpe:
 
     def speculate(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match in all words at once: the tokens in order, and the word of each."""
+        if (sizes > LONG).any():
+            return self._with_long(flat, sizes)
         stop = np.cumsum(sizes)
         live = np.arange(len(sizes))
         start, at, node = stop - sizes, stop - sizes, np.zeros(len(sizes), np.int64)
@@ -192,14 +205,85 @@ class SpeculativeBpe:
         order = np.argsort(begin, kind="stable")
         return token[order], word[order]
 
+    def _with_long(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Speculation where some words are long: in those the longest match is taken at every place at once, then followed."""
+        long = np.flatnonzero(sizes > LONG)
+        short = np.flatnonzero(sizes <= LONG)
+        starts = np.cumsum(sizes) - sizes
+        tokens, words = [], []
+        if len(short):
+            token, word = self.speculate(flat[_picked(starts[short], sizes[short])], sizes[short])
+            tokens.append(token)
+            words.append(short[word])
+        for w in long.tolist():
+            mine = flat[starts[w] : starts[w] + sizes[w]]
+            token, end = self._longest_everywhere(mine)
+            token, end, at, out = token.tolist(), end.tolist(), 0, []
+            while at < len(mine):
+                out.append(token[at])
+                at = end[at]
+            tokens.append(np.array(out, np.int64))
+            words.append(np.full(len(out), w))
+        token, word = np.concatenate(tokens), np.concatenate(words)
+        order = np.argsort(word, kind="stable")
+        return token[order], word[order]
+
+    def _longest_everywhere(self, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token that starts at each place of a word, and its end."""
+        best, end = np.full(len(base), -1), np.arange(len(base)) + 1
+        live, node, depth = np.arange(len(base)), np.zeros(len(base), np.int64), 0
+        while len(live):
+            node = self.trie.get(node, base[live + depth])
+            depth += 1
+            hit = node >= 0
+            live, node = live[hit], node[hit]
+            token = self.ends[node]
+            best[live[token >= 0]], end[live[token >= 0]] = token[token >= 0], live[token >= 0] + depth
+            inside = live + depth < len(base)
+            live, node = live[inside], node[inside]
+        return best, end
+
+    def _merge_long(self, base: list[int]) -> list[int]:
+        """Exact merging of one long word: a queue of pairs by rank and place over a linked list."""
+        if not self.rank_of:
+            self.rank_of = dict(zip(((self.lefts << 24) | self.rights).tolist(), range(len(self.lefts)), strict=True))
+        rank_of, made = self.rank_of, self.made
+        n, tok = len(base), list(base)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, i, tok[i], tok[i + 1]) for i in range(n - 1) if (r := rank_of.get(tok[i] << 24 | tok[i + 1])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            r, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            # A pair that an earlier merge has changed is out of date.
+            if tok[i] != a or j >= n or tok[j] != b:
+                continue
+            tok[i], tok[j] = int(made[r]), -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of.get(tok[i] << 24 | tok[k])) is not None:
+                    heapq.heappush(queue, (r, i, tok[i], tok[k]))
+            h = before[i]
+            if h >= 0 and (r := rank_of.get(tok[h] << 24 | tok[i])) is not None:
+                heapq.heappush(queue, (r, h, tok[h], tok[i]))
+        return [t for t in tok if t >= 0]
+
     def merge(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact merging, the pair of lowest rank first and the leftmost of equals, one merge in every word a round."""
+        """Exact merging, the pair of lowest rank first and the leftmost of equals, one merge in every word a round.
+
+        Words share a rectangle with words of up to twice their length, of CELLS cells at most; long ones go one by one."""
         out_token, out_word = [], []
-        words = np.argsort(sizes, kind="stable")
         offsets = np.cumsum(sizes) - sizes
-        for part in np.array_split(words, max(1, len(words) // 4096 + 1)):  # words of like length together
-            if not len(part):
-                continue
+        for w in np.flatnonzero(sizes > LONG).tolist():
+            merged = self._merge_long(flat[offsets[w] : offsets[w] + sizes[w]].tolist())
+            out_token.append(np.array(merged, np.int64))
+            out_word.append(np.full(len(merged), w))
+        parts = []
+        for bits in range(1, LONG.bit_length() + 1):
+            alike = np.flatnonzero((sizes <= LONG) & (sizes >= (1 << bits) >> 1) & (sizes < 1 << bits))
+            parts += np.array_split(alike, -(-(len(alike) << bits) // CELLS)) if len(alike) else []
+        for part in parts:
             width = int(sizes[part].max())
             cols = np.arange(width)
             held = cols < sizes[part][:, None]
@@ -249,8 +333,7 @@ class SpeculativeBpe:
         if wrong.any():
             bad = np.flatnonzero(wrong)
             starts = np.cumsum(sizes) - sizes
-            picked = np.repeat(starts[bad] - np.cumsum(sizes[bad]) + sizes[bad], sizes[bad]) + np.arange(int(sizes[bad].sum()))
-            again, owner = self.merge(flat[picked], sizes[bad])
+            again, owner = self.merge(flat[_picked(starts[bad], sizes[bad])], sizes[bad])
             keep = ~wrong[word]
             token, word = np.concatenate([token[keep], again]), np.concatenate([word[keep], bad[owner]])
             order = np.argsort(word, kind="stable")
@@ -283,14 +366,17 @@ class PieceCache(dict):
 
     def __init__(self, bpe: SpeculativeBpe, render, join):
         super().__init__()
-        self.bpe, self.render, self.join = bpe, render, join
+        self.bpe, self.render, self.join, self.characters = bpe, render, join, 0
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that aren't known, all their distinct words together."""
         todo = [p for p in pieces if p not in self]
-        if len(self) + len(todo) > KNOWN_PIECES:
+        more = sum(map(len, todo))
+        if len(self) + len(todo) > KNOWN_PIECES or self.characters + more > KNOWN_CHARACTERS:
             self.clear()
-            todo = list(pieces)
+            todo, self.characters = list(pieces), 0
+            more = sum(map(len, todo))
+        self.characters += more
         added, split = self.bpe.added, self.bpe.split
         parts = [() if p in added else split(p) for p in todo]
         words = list({w for ws in parts for w in ws})

@@ -1,8 +1,9 @@
 """Best-fit packing of token pieces after Martello-Toth dominance reduction.
 
 Packing depends on piece lengths alone, and there are at most ``capacity`` of those. So Spark counts the pieces of
-each length, the packing is worked out on that histogram (its size doesn't grow with the corpus), and each piece
-finds its place by its rank among the pieces of its length. Ranks are taken within (length, salt), so that a length
+each length, and the packing is worked out on that histogram: every step places as many sequences of a kind at once as the
+counts allow, so the plan grows with the lengths and not with the corpus. Each piece finds its place by its rank among the
+pieces of its length. Ranks are taken within (length, salt), so that a length
 shared by many pieces is spread over the tasks.
 
 Defined cases: a null text is empty and yields its end token alone; repeated rows are packed each; an empty table
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe
 from tidemark.llm.common import durable
 
+#: Places up to this many are broadcast; a plan beyond, which no known histogram gives, is joined.
+BROADCAST = 1 << 18
 #: A sequence filled alike many times: ((length, times), ...) and how many such sequences.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -41,8 +44,8 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
             smallest = sorted(k for k in order if left[k] > 0)
             others = [k for k in smallest for _ in range(min(3, left[k] - (k == j)))][:3]
             if not others or others[0] > room:
-                fixed.append((((j, 1),), left[j] if not others or others[0] > room else 1))
-                left[j] -= fixed[-1][1]
+                fixed.append((((j, 1),), left[j]))
+                left[j] = 0
                 continue
             mate = largest(room)
             if mate == j and left[j] < 2:
@@ -51,12 +54,13 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
             at_most_two = len(others) < 3 or sum(others) > room
             if not (mate == room or at_most_one or at_most_two and mate >= _best_pair(left, order, room, j)):
                 break
+            # Fewer pieces leave each of these conditions true, and the mate the largest that fits, until one of the two is used up.
             if mate == j:
-                times = left[j] // 2 if mate == room else 1
+                times = left[j] // 2
                 fixed.append((((j, 2),), times))
                 left[j] -= 2 * times
             else:
-                times = min(left[j], left[mate]) if mate == room else 1
+                times = min(left[j], left[mate])
                 fixed.append((((j, 1), (mate, 1)), times))
                 left[j] -= times
                 left[mate] -= times
@@ -133,11 +137,13 @@ def pack(pieces: DataFrame, capacity: int, order_by: list[str], length_col: str
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)))
     groups = durable(salted.groupBy(F.col(length_col).alias("_len"), F.col("_salt").alias("_s")).agg(F.count("*").alias("_n")))
     counts = {r["_len"]: r["_n"] for r in groups.groupBy("_len").agg(F.sum("_n").alias("_n")).collect()}
-    places = spark.createDataFrame(plan(counts, capacity), "_plen long, _from long, _to long, _seq long, _each long, _off long")
+    planned = plan(counts, capacity)
+    places = spark.createDataFrame(planned, "_plen long, _from long, _to long, _seq long, _each long, _off long")
+    places = F.broadcast(places) if len(planned) <= BROADCAST else places
     before = groups.select("_len", "_s", (F.sum("_n").over(Window.partitionBy("_len").orderBy("_s")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*order_by))
     ranked = salted.withColumn("_within", within).join(before, (F.col(length_col) == F.col("_len")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_before") + F.col("_within") - 1)
-    placed = ranked.join(F.broadcast(places), (F.col(length_col) == F.col("_plen")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    placed = ranked.join(places, (F.col(length_col) == F.col("_plen")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
     return placed.select(
         *[pieces[c] for c in pieces.columns],
