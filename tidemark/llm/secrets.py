@@ -11,10 +11,12 @@ listed; repeated rows are scanned each; further columns are left alone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.spans import fixed, with_matches
+from tidemark.llm.spans import fixed, last_before, with_matches
 
 #: The strong patterns. Those of ``access`` and ``hex`` hold the least length, which for maximal runs
 #: finds what dropping shorter runs would leave.
@@ -37,9 +39,25 @@ def _tagged(matches: Column, kind: str) -> Column:
     return F.transform(matches, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end")))
 
 
-def _near(spans: Column, s: Column, scope: int) -> Column:
-    """Some span lies within the scope of s without overlapping it."""
-    return F.exists(spans, lambda o: (o["start"] >= s["end"]) & (o["start"] - s["end"] <= scope) | (o["end"] <= s["start"]) & (s["start"] - o["end"] <= scope))
+def _linked(df: DataFrame, out: str, spans: str, others: str, scope: int) -> DataFrame:
+    """Add ``out``: for each of ``spans`` whether one of ``others`` lies within the scope of it without overlapping it.
+
+    An interval join by a sweep over the sorted ends before and the sorted starts after."""
+    ends = F.transform(others, lambda o: F.struct(o["end"].alias("pos"), o["end"].alias("val")))
+    starts = F.transform(others, lambda o: F.struct((-o["start"]).alias("pos"), (-o["start"]).alias("val")))
+    df = last_before(df, "_left", ends, F.transform(spans, lambda s: s["start"]), True)
+    df = last_before(df, "_right", starts, F.reverse(F.transform(spans, lambda s: -s["end"])), True)
+    left = F.zip_with(spans, "_left", lambda s, end: F.coalesce(s["start"] - end <= scope, F.lit(False)))
+    right = F.zip_with(spans, F.reverse("_right"), lambda s, start: F.coalesce(-start - s["end"] <= scope, F.lit(False)))
+    df = fixed(df, _l=left, _r=right)
+    return fixed(df, **{out: F.zip_with("_l", "_r", lambda x, y: x | y)}).drop("_left", "_right", "_l", "_r")
+
+
+def _covered(df: DataFrame, out: str, spans: str) -> DataFrame:
+    """Add ``out``: for each of ``spans`` whether a strong span overlaps it."""
+    base = F.transform("base", lambda b: F.struct(b["start"].alias("pos"), b["end"].alias("val")))
+    df = last_before(df, "_over", base, F.transform(spans, lambda s: s["end"]), False)
+    return fixed(df, **{out: F.zip_with(spans, "_over", lambda s, end: F.coalesce(end > s["start"], F.lit(False)))}).drop("_over")
 
 
 def _listed(spans: Column) -> Column:
@@ -54,16 +72,20 @@ def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFra
     df = with_matches(df, "_text", {f"_{k}": p for k, p in {**STRONG, **WEAK}.items()})
     long_enough = F.filter("_assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN_VALUE, 1)) >= LEAST_VALUE)
     df = fixed(df, **{k: _tagged(long_enough if k == "assign" else F.col(f"_{k}"), k) for k in KINDS})
-    names, keys, places = F.concat("access", "account"), F.concat("assign", "hex", "key40"), F.col("endpoint")
-    base = F.concat("assign", "access", "hex")
-    covered = lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.concat(
-        F.filter("key40", lambda s: ~covered(s) & _near(names, s, scope)),
-        F.filter("account", lambda s: ~covered(s) & _near(keys, s, scope) & _near(places, s, scope)),
-        F.filter("endpoint", lambda s: ~covered(s) & _near(keys, s, scope) & _near(names, s, scope)),
-    )
-    df = fixed(df, base=base, found=F.concat(base, F.when(F.size("key40") + F.size("account") + F.size("endpoint") > 0, added).otherwise(F.slice(base, 1, 0))))
-    return df.drop("_text", *[f"_{k}" for k in KINDS], *KINDS)
+    # Parts that may complete each other are joined only in texts with a weak part.
+    weak = F.size("key40") + F.size("account") + F.size("endpoint") > 0
+    only = lambda c: F.when(weak, F.sort_array(c)).otherwise(F.slice(F.col("key40"), 1, 0))
+    df = fixed(df, base=F.concat("assign", "access", "hex"), _names=only(F.concat("access", "account")), _keys=only(F.concat("assign", "hex", "key40")), _places=only(F.col("endpoint")))
+    needs = {"key40": ["_names"], "account": ["_keys", "_places"], "endpoint": ["_keys", "_names"]}
+    for kind, others in needs.items():
+        df = _covered(df, f"_c_{kind}", kind)
+        for other in others:
+            df = _linked(df, f"_n_{kind}{other}", kind, other, scope)
+        met = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p & q), [F.col(f"_n_{kind}{o}") for o in others])
+        df = fixed(df, **{f"_t_{kind}": F.zip_with(f"_c_{kind}", met, lambda c, n: n & ~c)})
+    told = [F.filter(F.zip_with(k, f"_t_{k}", lambda s, t: F.when(t, s)), lambda s: s.isNotNull()) for k in needs]
+    df = fixed(df, found=F.concat("base", F.when(weak, F.concat(*[F.coalesce(c, F.slice("base", 1, 0)) for c in told])).otherwise(F.slice("base", 1, 0))))
+    return df.select(*docs.columns, "base", "found")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

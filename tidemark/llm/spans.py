@@ -37,6 +37,28 @@ def _placed(n: str):
     return place
 
 
+def last_before(df: DataFrame, out: str, points: Column, queries: Column, inclusive: bool) -> DataFrame:
+    """Add ``out``: for each query place, in rising order, the greatest ``val`` of the points at or (unless ``inclusive``) before it; null if none.
+
+    Points (``pos, val``) and queries lie sorted in one array; maxima of blocks, and of the blocks before, answer a query from
+    a block's worth of entries, so many spans in one text cost little more than their number."""
+    point = F.transform(points, lambda p: F.struct(p["pos"].alias("pos"), F.lit(0 if inclusive else 1).alias("turn"), p["val"].alias("val"), F.lit(False).alias("asks")))
+    query = F.transform(queries, lambda q: F.struct(q.alias("pos"), F.lit(1 if inclusive else 0).alias("turn"), F.lit(None).cast("long").alias("val"), F.lit(True).alias("asks")))
+    df = fixed(df, _e=F.when(F.size(queries) > 0, F.array_sort(F.concat(point, query))))
+    df = fixed(df, _v=F.col("_e.val"))
+    blocks = F.sequence(F.lit(0), F.expr(f"cast(size(_v) div {BLOCK} as int)"))
+    df = fixed(df, _b=F.transform(blocks, lambda b: F.array_max(F.slice("_v", b * BLOCK + 1, F.lit(BLOCK)))))
+    df = fixed(df, _o=F.transform("_b", lambda _, i: F.array_max(F.slice("_b", F.lit(1), i))))
+
+    def answer(e: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        own = F.array_max(F.slice("_v", block * BLOCK + 1, i - block * BLOCK + 1))
+        return F.struct(e["asks"].alias("asks"), F.when(e["asks"], F.greatest(F.get("_o", block), own)).alias("val"))
+
+    df = fixed(df, **{out: F.transform(F.filter(F.transform("_e", answer), lambda a: a["asks"]), lambda a: a["val"])})
+    return df.drop("_e", "_v", "_b", "_o")
+
+
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """For each name and pattern a column name: array of (start, end, match), in code points, end exclusive, leftmost non-overlapping.
 
