@@ -3,16 +3,21 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.test_near_dups import plain_fingerprint, roots
 from tidemark.llm import langid, line_dedup, pii, quality, secrets
 
 
-def plain_line_dedup(rows, min_words):
+def plain_line_dedup(rows, min_words, most=1 << 30):
     """A line goes if some run of lines with min_words words or more that covers it, of any length, has an earlier copy."""
     docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, gone = set(), {}
@@ -22,7 +27,7 @@ def plain_line_dedup(rows, min_words):
         own = [k for k, c in enumerate(count) if c]
         ends = [*own[1:], len(lines)]
         for p in range(len(own)):
-            for q in range(p + 1, len(own) + 1):
+            for q in range(p + 1, min(len(own), p + most) + 1):
                 run = tuple(lines[k] for k in own[p:q])
                 if sum(count[k] for k in own[p:q]) >= min_words:
                     if run in seen:
@@ -270,6 +275,91 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == {1, 3, 5, 6}
 
 
-def test_pipeline_end_to_end(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 50 and out.where("offset + length > 2048").count() == 0
+def plain_masked(text):
+    spans, out, at = sorted(tuple(map(int, x.split(":")[1:])) for x in plain_spans(text).split(",") if x), [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """All five stages on a small corpus with odd rows, row by row; only the quality verdicts are taken from the operator."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    some = docs.where("doc_id is not null").collect()
+    odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (some[0]["doc_id"], "a different text under the same id, quite plain and long enough.", "en", "s", 1), (None, some[1]["text"], "en", "s", 1), (None, "no id here but a sentence of its own kind.", None, None, None), tuple(some[2]), (10**6 + 2, some[3]["text"] + " end", "en", "s", 1)]
+    every = docs.union(spark.createDataFrame(odd, docs.schema))
+    every.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{d}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    every = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    passed = [r for r in quality.score(every, spark.read.parquet(f"{d}/labels.parquet")).collect() if r["predicted"] == 1]
+    rows = [(r["doc_id"], r["text"]) for r in passed]
+    deduped = plain_line_dedup(rows, 10, 11)
+    left = [(i, deduped[(i, t)] if t is not None else None) for i, t in rows]
+    left = [(i, new) for (i, new), (_, old) in zip(left, rows, strict=True) if old is None or new or _line_left(old, new)]
+    prints = [plain_fingerprint(t) for _, t in left]
+    arr = np.array(prints, np.uint64)
+    group = roots(len(left), zip(*np.nonzero(np.triu(np.bitwise_count(arr[:, None] ^ arr[None]) <= 2, 1)), strict=True))
+    order = sorted(range(len(left)), key=lambda k: (left[k][0] is None, left[k][0] or 0, hashlib.sha256((left[k][1] or "").encode()).hexdigest()))
+    first = {}
+    for k in order:
+        first.setdefault(group[k], k)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for k in first.values():
+        i, text = left[k]
+        ids = [*library.encode(plain_masked(text) if text else "", add_special_tokens=False).ids, 0]
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            want[(i, n, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes()))] += 1
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want and len(want) > 50
+    used = {}
+    for r in out:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def _line_left(old, new):
+    """Whether a text that is empty now still has a line: not all of its lines were deleted."""
+    return old == new
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{d}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(3)
+    letters = {"common": "abcdefghij", "rare": "qrstuvwxyz"}
+    make = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(30))
+    rows = [(i, make("rare" if i % 300 == 7 else "common"), "rare" if i % 300 == 7 else "common") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs, sample=100, least=20)
+    assert model.languages == ["common", "rare"]
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang <> lang_pred").count() == 0
+
+
+def test_classifiers_on_odd_rows(spark):
+    """Repeated rows, very long texts, an empty table."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    long = "plain words of a long text. " * 40_000
+    odd = [(10**6, long, None, None, None), (10**6, long, None, None, None)]
+    every = docs.union(spark.createDataFrame(odd, docs.schema))
+    scores = quality.score(every, labels.union(labels)).where("doc_id = 1000000").select("score").collect()
+    assert len(scores) == 2 and scores[0] == scores[1]
+    found = langid.identify(every, langid.learned(every)).where("doc_id = 1000000").collect()
+    assert len(found) == 2 and found[0] == found[1] and found[0]["lang_pred"] != "und"
+    assert quality.score(docs.where("false"), labels).count() == 0
+    assert langid.identify(docs.where("false"), langid.learned(docs)).count() == 0

@@ -5,7 +5,7 @@ tells the languages with a 1 there from those with a 0. A text's bit margins are
 weighted loss, a bit's weight being what its classifier got right on rows kept back from its fit; where the second-best
 codeword is near, the text is flagged ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows (``sample``), drawn by a hash of the id. Defined cases:
+The classifiers are fitted on a bounded sample of labelled rows (``sample``, and ``least`` of each language), drawn by a hash. Defined cases:
 a null text, or one without any letter, is ``und`` with score 0; with no labelled rows every text is ``und``; with one
 language every text with a letter gets it; repeated rows are predicted alike; further columns are left alone.
 """
@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ from tidemark.llm.common import durable, held_out
 
 #: Labelled rows that the classifiers are fitted on, at most about so many.
 SAMPLE = 12_000
+#: And so many of each language at least.
+LEAST = 200
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 #: Languages up to this many get every distinct bit there is; more get random codewords of 12 bits for each doubling.
@@ -132,12 +134,20 @@ def fit(rows: DataFrame) -> CodeModel:
     return model
 
 
-def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> CodeModel:
-    """Fit on rows with a language and a letter that aren't held out (id's crc32 modulo 5 is not 0)."""
+def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> CodeModel:
+    """Fit on rows with a language and a letter that aren't held out (id's crc32 modulo 5 is not 0).
+
+    Each language gives its share of ``sample``, but ``least`` rows where it has them: a rare language is learned as well."""
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("lang is not null and text is not null").where(~held_out(F.col("id"), 5, 0))
-    scale, mixed = 1 << 30, F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    share = min(1.0, sample / max(1, rows.select("id").count()))
-    return fit(durable(rows.where(mixed <= int(share * scale)).select("lang", "text", (F.pmod(F.xxhash64(F.lit("check"), "id"), F.lit(5)) == 0).alias("check"))))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    scale = 1 << 30
+    mixed = F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(scale))
+    sizes = docs.where(F.col(lang_col).isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col], 5, 0)).groupBy(F.col(lang_col).alias("of")).agg(F.count("*").alias("n"))
+    quota = F.greatest(F.lit(float(least)), F.lit(float(sample)) * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    sizes = durable(sizes.select("of", F.least(F.lit(1.0), quota / F.col("n")).alias("share")))
+    drawn = rows.join(sizes, F.col("lang") == F.col("of")).where(mixed <= (F.col("share") * scale).cast("long"))
+    check = F.pmod(F.xxhash64(F.lit("check"), "id", F.xxhash64("text")), F.lit(5)) == 0
+    return fit(durable(drawn.select("lang", "text", check.alias("check"))))
 
 
 def identify(docs: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ over the statistics, so scoring is a projection.
 
 The model is fitted on a bounded sample of labelled rows (``sample``), drawn by a hash of the id. Labels, language,
 source and id never enter a score. Defined cases: null and empty texts are scored on their statistics like any other;
-labels that are null or not 0/1, and labels of ids without a document, are left out; where no labels or one class only
+labels that are null or not 0/1, and labels of ids without a document, are left out; a repeated label counts once; where no labels or one class only
 remain, every score is the share of label 1 (0.5 without labels); repeated rows score alike.
 """
 
@@ -112,12 +112,12 @@ def compiled(intercept: float, weights: list[tuple[Rule, float]]) -> Column:
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Column:
     """Fit on the labelled rows that aren't held out (id's crc32 modulo 3 is not 1); the score as a column over statistics."""
-    marks = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col), 3, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
+    marks = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col), 3, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).distinct()
     scale = 1 << 30
     share = min(1.0, sample / max(1, marks.count()))
     drawn = marks.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) <= int(share * scale))
     texts = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
-    # The sample is bounded by ``sample``, so it can be broadcast to the texts.
+    # An id has two labels at most, so the sample holds about twice ``sample`` rows at most and can be broadcast to the texts.
     met = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("label", statistics("_text").alias("_s")).select("label", "_s.*")
     return compiled(*fit(durable(met)))
 

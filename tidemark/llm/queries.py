@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +61,7 @@ def op10_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc)}
-    return found | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc)}
 
 
 #: Exact top 5 by integer inner product, all rows against all queries.

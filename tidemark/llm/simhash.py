@@ -24,8 +24,8 @@ from tidemark.llm.common import durable
 from tidemark.llm.components import connected_components, joined
 
 SEED = 42
-#: Fingerprints on which the tree is grown, at most about so many; every fingerprint is indexed.
-SAMPLE = 1 << 16
+#: Fingerprints on which the tree is grown: one of so many, within these bounds; every fingerprint is indexed.
+SAMPLED, LEAST_SAMPLE, MOST_SAMPLE = 4096, 1 << 16, 1 << 20
 #: A shard is cut while it is expected to hold more distinct fingerprints than this.
 SHARD = 2048
 #: Candidate vantage points tried at a node.
@@ -112,36 +112,47 @@ class VantageTree:
         return out
 
 
-def _close_pairs(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius, a block of rows at a time."""
-    left, right = [], []
-    block = max(1, 4_000_000 // max(1, len(points)))
-    for at in range(0, len(points), block):
-        i, j = np.nonzero(np.bitwise_count(points[at : at + block, None] ^ points[None, at:]) <= radius)
-        keep = j > i
-        left.append(i[keep] + at)
-        right.append(j[keep] + at)
-    return np.concatenate(left), np.concatenate(right)
+def _close_pairs(points: np.ndarray, radius: int, rows: int = 256, columns: int = 8192):
+    """All pairs within the radius, a block at a time: by the triangle inequality only points whose distances to a vantage point differ by no more are compared."""
+    d = np.bitwise_count(points ^ points[0]).astype(np.int64)
+    order = np.argsort(d, kind="stable")
+    ranked = d[order]
+    for at in range(0, len(points), rows):
+        own = order[at : at + rows]
+        end = int(np.searchsorted(ranked, ranked[at + len(own) - 1] + radius, "right"))
+        for low in range(at, end, columns):
+            others = order[low : min(end, low + columns)]
+            i, j = np.nonzero(np.bitwise_count(points[own, None] ^ points[others][None, :]) <= radius)
+            yield own[i], others[j]
 
 
 def shard_links(points: np.ndarray, radius: int, leaf: int = 512) -> np.ndarray:
     """Links that join the points of a shard exactly as all its close pairs do: each point with its local root."""
-    pairs = [(rows[i], rows[j]) for _, rows in VantageTree(points, radius, leaf).place(points) for i, j in [_close_pairs(points[rows], radius)]]
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-    return joined(len(points), a, b)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for _, rows in VantageTree(points, radius, leaf).place(points) if len(points) else []:
+        for i, j in _close_pairs(points[rows], radius):
+            # A block hands on a forest of its links, not all its pairs.
+            root = joined(len(rows), i, j)
+            moved = np.flatnonzero(root != np.arange(len(rows)))
+            a.append(rows[moved])
+            b.append(rows[root[moved]])
+    return joined(len(points), np.concatenate(a), np.concatenate(b))
 
 
 def _as_long(points: np.ndarray) -> np.ndarray:
     return points.astype(np.uint64).view(np.int64)
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = 2, sample: int | None = None, shard: int = SHARD) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``) with the components of all pairs within ``radius``.
 
-    The tree is broadcast; it has a few nodes for each ``shard`` fingerprints of the sample, never more than the sample."""
+    The tree is broadcast; its leaves hold 16 fingerprints of the sample or more, so it has fewer nodes than the sample, which is
+    bounded. Up to 100 million fingerprints a shard is expected to hold ``shard`` of them; beyond 10^9 shards grow slowly, 16
+    thousand at 10^9, 130 kilobytes. Inside a shard a tree of its own cuts on, so comparisons stay local."""
     spark = fps.sparkSession
     n = fps.count()
     scale = 1 << 30
+    sample = min(MOST_SAMPLE, max(LEAST_SAMPLE, n // SAMPLED)) if sample is None else sample
     share = min(1.0, sample / max(1, n))
     drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) < int(share * scale) + 1).toPandas()["fp"].to_numpy(np.int64)
     tree = VantageTree(np.sort(drawn).view(np.uint64), radius, max(16, int(shard * share)))
