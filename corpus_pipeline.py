@@ -6,8 +6,9 @@ near_dups    one document of each group of near-equal SimHash fingerprints stays
 secrets      every reported secret is masked in the text
 packing      the texts are tokenized and packed in sequences of at most 2048 tokens
 
-All but the last return the columns of ``documents``; ``n_chars`` follows the text. A document without an id can't be named as
-a copy, so it passes near_dups.
+All but the last return the columns of ``documents``; ``n_chars`` follows the text. Two rows with one id and different texts are two
+documents; rows that repeat an id and a text are copies. Of a group the smallest id stays, one without an id only where the whole group
+has none. Null texts count as empty: they are scored as such, have no lines to delete, share fingerprint zero and pack an end token alone.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, packing, quality, secrets, simhash
-from tidemark.llm.common import durable, table
+from tidemark.llm.common import discard, durable, table
 
 VOCAB = "word_bpe_49k.json"
 
@@ -38,11 +39,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stays, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    return named.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+    # Texts are told apart by id and text together: an id may be repeated or null.
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    keyed = docs.withColumn("_key", key)
+    groups = simhash.near_duplicates(keyed, id_col="_key")
+    stays = groups.where("_key = component_id").select("_key").distinct()
+    named = keyed.join(stays, "_key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
+    return named.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(before)
+        before = docs
+    packed = durable(STAGES[-1][1](spark, docs, sf_dir))
+    discard(before)
+    return packed
