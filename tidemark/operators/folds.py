@@ -33,12 +33,8 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], fold, schema: T.St
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             if not len(frame):
                 continue
-            changes = np.zeros(len(frame) - 1, bool)
-            for k in keys:
-                v = frame[k].to_numpy()
-                changes |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
-            starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
-            out = [fold(frame.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            starts = _key_starts(frame, keys)
+            out = [x for a, b in zip(starts[:-1], starts[1:], strict=True) if len(x := fold(frame.iloc[a:b]))]
             if out:
                 yield pd.concat(out, ignore_index=True)[names]
             held = frame.iloc[starts[-1] :]
@@ -50,6 +46,58 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], fold, schema: T.St
     return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def _key_starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the rows of a key begin; null keys are equal."""
+    changes = np.zeros(len(frame) - 1, bool)
+    for k in keys:
+        v = frame[k].to_numpy()
+        changes |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+    return np.concatenate([[0], np.flatnonzero(changes) + 1])
+
+
+def per_row(df: DataFrame, keys: list[str], order: list[str], reads: list[str], fold, *more: tuple[str, T.DataType]) -> DataFrame:
+    """Like :func:`per_key` for folds that give each row some values: no frame is made for a key.
+
+    ``fold`` gets the columns ``reads`` of a key's rows as arrays and returns the new columns ``more`` in that order."""
+    kept = [*keys, *order]
+    schema = _schema(df, kept, *more)
+
+    def told(frame: pd.DataFrame, spans) -> pd.DataFrame:
+        columns = [frame[c].to_numpy() for c in reads]
+        parts = [fold(*(c[a:b] for c in columns)) for a, b in spans]
+        end = spans[-1][1]
+        return frame.iloc[:end][kept].assign(**{n: np.concatenate([p[k] for p in parts]) for k, (n, _) in enumerate(more)})
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            starts = _key_starts(frame, keys)
+            if len(starts) > 1:
+                yield told(frame, list(zip(starts[:-1], starts[1:], strict=True)))
+            held = frame.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield told(held, [(0, len(held))])
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = list(dict.fromkeys([*kept, *reads]))
+    return df.select(*needed).repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+#: What the decoders add to a tick.
+DECODED = (("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType()))
+
+
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end (exclusive) place of each run of equal values."""
+    if not len(values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+    return first, np.append(first[1:], len(values))
+
+
 def decode_monotone(candidates: list[dict[int, float]], top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
     """The cheapest never-rising path through readings (value -> cost for each tick) from ``top``; and what preceded each value.
 
@@ -80,49 +128,45 @@ def decode_monotone(candidates: list[dict[int, float]], top: int = TOP) -> tuple
     return path, before
 
 
-def fill_short_gaps(path: list[int], source: list[str], visible: list[bool], most: int = 3) -> list[int]:
-    """Places of held values between two observed ones, the later lower, that get values on a line (rounded half up)."""
-    out, i = [], 1
-    while i < len(path) - 1:
-        if source[i] != "held" or not visible[i]:
-            i += 1
-            continue
-        start = i
-        while i < len(path) - 1 and source[i] == "held" and visible[i]:
-            i += 1
-        a, b, n = start - 1, i, i - start
-        if n <= most and source[a] == source[b] == "observed" and path[b] < path[a]:
-            for k in range(n):
-                path[start + k] = int(np.floor(path[a] + (path[b] - path[a]) * (k + 1) / (n + 1) + 0.5))
-                out.append(start + k)
-        i += 1
-    return out
+def fill_short_gaps(path: np.ndarray, source: np.ndarray, visible: np.ndarray, most: int = 3) -> np.ndarray:
+    """Which places to fill, with ``path`` changed there: a run of at most ``most`` held, visible ticks between two observed ones of
+    which the later is lower lies on the line between them (rounded half up)."""
+    filled = np.zeros(len(path), bool)
+    gap = (source == "held") & visible
+    for a, b in zip(*runs_of(gap), strict=True):
+        if gap[a] and b - a <= most and 0 < a and b < len(path) and source[a - 1] == source[b] == "observed" and path[b] < path[a - 1]:
+            share = np.arange(1, b - a + 1) / (b - a + 1)
+            path[a:b] = np.floor(path[a - 1] + (path[b] - path[a - 1]) * share + 0.5).astype(path.dtype)
+            filled[a:b] = True
+    return filled
+
+
+def cheapest(row, bonus: float, most: float, penalty=None) -> dict[int, float]:
+    """Value -> least cost of the readings of one tick; support beyond one makes a reading cheaper by ``bonus`` each, up to ``most``."""
+    held: dict[int, float] = {}
+    for c in [] if row is None else row:
+        cost = c["cost"] - min(most, max(0, (c["support"] or 1) - 1) * bonus) + (penalty(c) if penalty else 0.0)
+        held[int(c["value"])] = min(cost, held.get(int(c["value"]), np.inf))
+    return held
 
 
 def monotone_counts(df: DataFrame, keys: list[str], time: str = "t") -> DataFrame:
     """Readings ``candidates: array<struct<value, cost, support>>`` and ``visible`` to ``value, source, confidence`` at each tick."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(time, kind="stable")
+    def fold(candidates, visible):
         seen = []
-        for row in frame["candidates"]:
-            row = [] if row is None else list(row)
-            sure = any(c["value"] >= 10 and c["cost"] <= 0.3 for c in row)
-            held: dict[int, float] = {}
-            for c in row:
-                cost = c["cost"] - min(0.04, max(0, (c["support"] or 1) - 1) * 0.008) + (0.3 if c["value"] < 10 and sure else 0.0)
-                held[int(c["value"])] = min(cost, held.get(int(c["value"]), np.inf))
-            seen.append(held)
+        for row in candidates:
+            sure = row is not None and any(c["value"] >= 10 and c["cost"] <= 0.3 for c in row)
+            seen.append(cheapest(row, 0.008, 0.04, lambda c, sure=sure: 0.3 if c["value"] < 10 and sure else 0.0))
         path, before = decode_monotone(seen)
-        path = path.tolist()
-        read = [s.get(v) for s, v in zip(seen, path, strict=True)]
-        source = ["observed" if r is not None else "held" if b == v else "inferred" for r, v, b in zip(read, path, before, strict=True)]
-        sure = [max(0.4, min(0.98, 1 - r / 0.5)) if r is not None else 0.5 if s == "held" else 0.4 for r, s in zip(read, source, strict=True)]
-        for i in fill_short_gaps(path, source, frame["visible"].fillna(False).astype(bool).tolist()):
-            source[i], sure[i] = "inferred", 0.62
-        return frame[[*keys, time]].assign(value=path, source=source, confidence=sure)
+        cost = np.array([s.get(int(v), np.nan) for s, v in zip(seen, path, strict=True)])
+        read = ~np.isnan(cost)
+        source = np.where(read, "observed", np.where(before == path, "held", "inferred")).astype(object)
+        sure = np.where(read, np.clip(1 - np.nan_to_num(cost) / 0.5, 0.4, 0.98), np.where(source == "held", 0.5, 0.4))
+        filled = fill_short_gaps(path, source, np.array([v is not None and v == True for v in visible], bool))  # noqa: E712
+        return path, np.where(filled, "inferred", source), np.where(filled, 0.62, sure)
 
-    return per_key(df, keys, [time], fold, _schema(df, [*keys, time], ("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType())))
+    return per_row(df, keys, [time], ["candidates", "visible"], fold, *DECODED)
 
 
 def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confidence: str, span: float = 3.0, cap: float = 0.65) -> DataFrame:
@@ -271,71 +315,79 @@ def suppress_peaks(df: DataFrame, keys: list[str], distance: float, most: int) -
     return per_key(df, keys, ["score", "x", "y"], fold, df.schema)
 
 
-#: Rates a second at which a counter of a rule can fall.
+#: Fixed values. Rates a second at which a counter of a rule can fall, and how much more a fall may be.
 RATES = {"area": 2.25, "tower": 2.5, "carry": 6.0}
-NEAR, CLEAR, FUTURE, RECOVERY, SCORING = 0.16, 0.24, 4, 6, 2.0
-
-
-def _best(held: dict[int, float]) -> tuple[int, float] | None:
-    return min(held.items(), key=lambda x: x[1]) if held else None
-
-
-def _believed(value: int, low: int, soon: tuple[int, float] | None, later: list[tuple[int, float]], scoring: bool) -> bool:
-    """Whether a lower reading holds: the next reading bears it out or the count is moving, and it doesn't soon read higher again."""
-    borne_out = soon is not None and soon[0] <= low and soon[1] <= CLEAR
-    half_eleven = low == 1 and 10 <= value < 20 and soon is not None and 2 <= soon[0] <= 9
-    if any(low < v <= value and c <= CLEAR for v, c in later) and not half_eleven:
-        return False
-    if low <= 9 and (value >= 50 and not scoring or value >= 20 and not (scoring and borne_out)):
-        return False
-    return borne_out or scoring
-
-
-def decode_greedy(times: list[float], seen: list[dict[int, float]], rate: float | None, top: int = TOP) -> list[tuple[int, bool]]:
-    """(value, changed) at each tick: a running count falls to the cheapest reading that is believable where and when it is read."""
-    bests = [_best(s) for s in seen]
-    value, moved, trusted, out = top, -np.inf, times[0] if times else 0.0, []
+LEAST_ELAPSED, SPARE = 0.5, 1
+#: How far a reading's cost may lie above the cheapest for the value held to stay, and for a fall.
+STAYS, FALLS = 0.14, 0.16
+#: Costs up to which a reading is clear, and up to which it renews trust; ticks looked ahead for one that bears a fall out and for
+#: one that takes it back; seconds for which a fall keeps the count moving.
+CLEAR, TRUSTED, FUTURE, RECOVERY, SCORING = 0.24, 0.3, 4, 6, 2.0
+#: A reading below 10 costs more where one of two digits is credible; a 1 before 2 to 9 is what is left of 11 (for counts from 10 to 19).
+SHORT_COST, ELEVEN, ELEVEN_FROM, ELEVEN_TO, REST = 0.2, 11, 10, 19, range(2, 10)
+#: From a count of this on, a fall below 10 needs both kinds of evidence.
+FAR_FROM_ZERO = 20
+
+
+class RunningCount:
+    """A count that only falls. Evidence for a fall: the count is moving, or the next reading bears the fall out."""
+
+    def __init__(self, top: int, start: float, rate: float | None):
+        self.value, self.moved, self.trusted, self.rate = top, -np.inf, start, rate
+
+    def reach(self, t: float) -> float:
+        """The lowest value that the rate allows by now."""
+        return -np.inf if self.rate is None else self.value - np.ceil(max(LEAST_ELAPSED, t - self.trusted) * self.rate) - SPARE
+
+    def halved_eleven(self, low: int, soon: tuple[int, float] | None) -> bool:
+        return low == 1 and ELEVEN_FROM <= self.value <= ELEVEN_TO and soon is not None and soon[0] in REST
+
+    def accepts(self, t: float, low: int, soon: tuple[int, float] | None, ahead: list[int]) -> bool:
+        """``soon``: the next reading's best; ``ahead``: clear best values in the ticks to come."""
+        taken_back = any(low < v <= self.value for v in ahead) and not self.halved_eleven(low, soon)
+        evidence = (t - self.moved <= SCORING) + (soon is not None and soon[0] <= low and soon[1] <= CLEAR)
+        return not taken_back and low >= self.reach(t) and evidence >= (2 if low < 10 and self.value >= FAR_FROM_ZERO else 1)
+
+    def take(self, t: float, held: dict[int, float], soon: tuple[int, float] | None, ahead: list[int]) -> bool:
+        """Take one tick's readings in; whether the count fell."""
+        below = {v: c for v, c in held.items() if v <= self.value}
+        two_digits = self.value >= 10 and any(v >= 10 and c <= TRUSTED for v, c in below.items())
+        ranked = sorted(((c + (SHORT_COST if v < 10 and two_digits else 0.0), k, v) for k, (v, c) in enumerate(below.items())))
+        falls = [] if not ranked or held.get(self.value, np.inf) <= ranked[0][0] + STAYS else [(c, v) for c, _, v in ranked]
+        # Only readings that are no dearer than the value held compete with it.
+        own = next((k for k, (_, v) in enumerate(falls) if v == self.value), len(falls))
+        low = next((v for c, v in falls[:own] if c <= falls[0][0] + FALLS and self.accepts(t, v, soon, ahead)), self.value)
+        low = ELEVEN if self.halved_eleven(low, soon) else low
+        fell = low < self.value
+        if fell:
+            self.value, self.moved = low, t
+        if held.get(self.value, 1.0) <= TRUSTED:
+            self.trusted = t
+        return fell
+
+
+def decode_greedy(times, seen: list[dict[int, float]], rate: float | None, top: int = TOP) -> tuple[list[int], list[bool]]:
+    """Value at each tick and whether it fell there."""
+    best = [min(s.items(), key=lambda x: x[1]) if s else None for s in seen]
+    count = RunningCount(top, times[0] if len(times) else 0.0, rate)
+    values, fell = [], []
     for i, (t, held) in enumerate(zip(times, seen, strict=True)):
-        sure = any(10 <= v <= value and c <= 0.3 for v, c in held.items())
-        options = sorted(((c + (0.2 if v < 10 <= value and sure else 0.0), v) for v, c in held.items() if v <= value), key=lambda x: x[0])
-        lowest, own = options[0][0] if options else 0.0, held.get(value)
-        picked = None
-        if not (own is not None and own <= lowest + 0.14):
-            soon = next((b for b in bests[i + 1 : i + 1 + FUTURE] if b), None)
-            later = [b for b in bests[i + 1 : i + 1 + RECOVERY] if b]
-            for cost, v in options:
-                if v == value:
-                    break
-                far = rate is not None and value - v > np.ceil(max(0.5, t - trusted) * rate) + 1
-                if cost <= lowest + NEAR and not far and _believed(value, v, soon, later, t - moved <= SCORING):
-                    # A 1 read where 2 to 9 follow is what is left of 11.
-                    picked = 11 if v == 1 and 10 <= value < 20 and soon and 2 <= soon[0] <= 9 else v
-                    break
-        changed = picked is not None and picked < value
-        if changed:
-            value, moved = picked, t
-        if held.get(value, 1.0) <= 0.3:
-            trusted = t
-        out.append((value, changed))
-    return out
+        coming = best[i + 1 : i + 1 + RECOVERY]
+        soon = next((b for b in coming[:FUTURE] if b), None)
+        fell.append(count.take(t, held, soon, [b[0] for b in coming if b and b[1] <= CLEAR]))
+        values.append(count.value)
+    return values, fell
 
 
 def greedy_counts(df: DataFrame, keys: list[str], time: str = "t", rate: float | None = None) -> DataFrame:
     """Like :func:`monotone_counts` for panels that are read digit by digit: falls must be possible at ``rate`` and borne out."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(time, kind="stable")
-        seen = []
-        for row in frame["candidates"]:
-            held: dict[int, float] = {}
-            for c in [] if row is None else list(row):
-                cost = c["cost"] - min(0.06, max(0, (c["support"] or 1) - 1) * 0.012)
-                held[int(c["value"])] = min(cost, held.get(int(c["value"]), np.inf))
-            seen.append(held)
-        path = decode_greedy(frame[time].tolist(), seen, rate)
-        read = [s.get(v) for s, (v, _) in zip(seen, path, strict=True)]
-        source = ["observed" if r is not None else "inferred" if c else "held" for r, (_, c) in zip(read, path, strict=True)]
-        sure = [max(0.35, min(0.98, 1 - max(0.0, r) / 0.5)) if r is not None else 0.7 if c else 0.45 for r, (_, c) in zip(read, path, strict=True)]
-        return frame[[*keys, time]].assign(value=[v for v, _ in path], source=source, confidence=sure)
-
-    return per_key(df, keys, [time], fold, _schema(df, [*keys, time], ("value", T.LongType()), ("source", T.StringType()), ("confidence", T.DoubleType())))
+    def fold(times, candidates):
+        seen = [cheapest(row, 0.012, 0.06) for row in candidates]
+        path, fell = decode_greedy(times, seen, rate)
+        cost = np.array([s.get(v, np.nan) for s, v in zip(seen, path, strict=True)])
+        source = np.where(~np.isnan(cost), "observed", np.where(fell, "inferred", "held"))
+        sure = np.where(~np.isnan(cost), np.clip(1 - np.maximum(0.0, np.nan_to_num(cost)) / 0.5, 0.35, 0.98), np.where(fell, 0.7, 0.45))
+        return np.array(path, np.int64), source, sure
+
+    return per_row(df, keys, [time], [time, "candidates"], fold, *DECODED)

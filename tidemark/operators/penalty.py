@@ -1,29 +1,41 @@
-"""Decoding of a second counter that appears, runs down and goes: a Viterbi path, then repairs of what flicker does to it."""
+"""Decoding of a second counter that appears, runs down and goes: a cheapest path, then repairs of what flicker does to it."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from tidemark.operators.folds import per_key
+from tidemark.operators.folds import DECODED, cheapest, per_row, runs_of
 
 VALUES = 100
+#: Fixed values. Costs up to which a reading makes a tick readable, and up to which it is clear.
 READABLE, CLEAR = 0.24, 0.12
+#: Ticks on each side in which a readable tick needs another; in which an unreadable one needs readable ones on both; and how long one shows after.
+NEIGHBOURS, SURROUNDED, RECENT = 2, 4, 2
+#: A clear higher reading must come again within so many ticks, and the value before be clear in SUPPORT of the last WITHIN ticks.
+AGAIN, SUPPORT, WITHIN = 2, 2, 4
+#: Seconds for which a counter may vanish, show one other value, or wander, before its old value comes back.
+VANISHED, OTHER, WANDERED = 4.0, 1.5, 5.0
+#: Confidence of what is only held.
+HELD = 0.45
+
+
+def _count(flags: np.ndarray, back: int, ahead: int) -> np.ndarray:
+    """How many flags are set from ``back`` ticks before to ``ahead`` ticks after each (negative: later, earlier)."""
+    upto = np.concatenate([[0], np.cumsum(flags)])
+    at = np.arange(len(flags))
+    return upto[np.clip(at + ahead + 1, 0, len(flags))] - upto[np.clip(at - back, 0, len(flags))]
 
 
-def kinds_of(seen: list[bool], other: list[bool]) -> list[str]:
+def kinds_of(seen: np.ndarray, other: np.ndarray) -> np.ndarray:
     """visible, occluded, absent or hidden for each tick, from whether it was read and whether its neighbour counter was."""
-    n, out = len(seen), []
-    around = [
-        (sum(seen[max(0, i - 2) : i + 3]) >= 2) if seen[i] else any(seen[max(0, i - 4) : i]) and any(seen[i + 1 : i + 5])
-        for i in range(n)
-    ]
-    for i in range(n):
-        recent = any(seen[max(0, i - 2) : i])
-        out.append("visible" if seen[i] and around[i] else "occluded" if around[i] or recent else "absent" if other[i] else "hidden")
-    return out
+    accompanied = _count(seen, NEIGHBOURS, NEIGHBOURS) >= 2
+    surrounded = (_count(seen, SURROUNDED, -1) > 0) & (_count(seen, -1, SURROUNDED) > 0)
+    lasting = np.where(seen, accompanied, surrounded) | (_count(seen, RECENT, -1) > 0)
+    return np.select([seen & accompanied, lasting, other], ["visible", "occluded", "absent"], "hidden")
 
 
 def steps() -> tuple[np.ndarray, np.ndarray]:
@@ -37,127 +49,123 @@ def steps() -> tuple[np.ndarray, np.ndarray]:
     return to_zero(0.06), to_zero(0.9)
 
 
-def viterbi(read: list[dict[int, float]], kind: list[str]) -> tuple[list[int], list[int]]:
+def viterbi(read: list[dict[int, float]], kind) -> tuple[np.ndarray, np.ndarray]:
     """The cheapest path from 0 and the value before each step; first of equals on both axes."""
     gone, there = steps()
     costs, back = np.full(VALUES, np.inf), []
     costs[0] = 0.0
     moved = 0.4 * (1 - np.eye(VALUES))
+    of = {"absent": gone, "visible": there, "hidden": there + moved, "occluded": there + moved}
     for seen, k in zip(read, kind, strict=True):
-        cost = np.full(VALUES, np.nan)
-        for v, c in seen.items():
-            cost[v] = c
-        best = min(seen.values(), default=0.0)
         if k == "visible":
-            unread = np.full(VALUES, 0.2)
-            unread[0] = 1.4
-            emission = np.where(np.isnan(cost), unread, np.maximum(0.0, np.nan_to_num(cost) - best) * 3 + np.nan_to_num(cost) * 0.15)
+            emission = np.full(VALUES, 0.2)
+            emission[0] = 1.4
+            best = min(seen.values(), default=0.0)
+            for v, c in seen.items():
+                emission[v] = max(0.0, c - best) * 3 + c * 0.15
         elif k == "absent":
             emission = np.where(np.arange(VALUES) == 0, 0.0, 0.6)
         else:
             emission = np.full(VALUES, 0.025)
-        step = (gone if k == "absent" else there) + (moved if k in ("hidden", "occluded") else 0.0)
-        total = costs[None, :] + step + emission[:, None]
+        total = costs[None, :] + of[k] + emission[:, None]
         back.append(total.argmin(axis=1))
         costs = total.min(axis=1)
     value = int(costs.argmin())
-    path, before = [0] * len(read), [0] * len(read)
+    path, before = np.zeros(len(read), np.int64), np.zeros(len(read), np.int64)
     for i in range(len(read) - 1, -1, -1):
         path[i] = value
         before[i] = value = int(back[i][value])
     return path, before
 
 
-def _hold(path, source, sure, at, value):
-    path[at], source[at], sure[at] = value, "held", min(sure[at], 0.45)
-
+def unconfirmed(path: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Ticks of a positive run before the second of two readable ticks in a row; a run at the first tick counts at once where that is readable."""
+    out = np.zeros(len(path), bool)
+    twice = seen & np.append(False, seen[:-1])
+    positive = path > 0
+    for a, b in zip(*runs_of(positive), strict=True):
+        if positive[a] and not (a == 0 and seen[0]):
+            sure = np.flatnonzero(twice[a:b])
+            out[a : a + sure[0] if len(sure) else b] = True
+    return out
 
-def confirm_starts(path, source, sure, seen) -> None:
-    """A rise from 0 counts from the second of two readable ticks in a row on; what comes before stays 0."""
-    i = 0
-    while i < len(path):
-        if path[i] > 0 and (i == 0 or path[i - 1] <= 0) and not (i == 0 and seen[0]):
-            j = i
-            while j < len(path) and path[j] > 0 and not (seen[j] and j > 0 and seen[j - 1]):
-                _hold(path, source, sure, j, 0)
-                j += 1
-            i = max(i, j - 1)
-        i += 1
 
+def early_rises(read: list[dict[int, float]]) -> list[tuple[int, int, int]]:
+    """(first, end, value): stretches where an old value holds until a clear, lasting higher one is first seen.
 
-def delay_rises(path, source, sure, read) -> None:
-    """A clear, lasting higher reading starts no earlier than it was seen: the value before it holds until then."""
-    best = [min(r.items(), key=lambda x: x[1]) if r else None for r in read]
-    for i in range(1, len(path)):
-        now = best[i]
-        if not now or now[1] > CLEAR or not any(read[k].get(now[0], 1.0) <= CLEAR for k in (i + 1, i + 2) if k < len(read)):
+    Of the ticks with a reading before a rise the last tells the old value; the stretch goes back as far as that is read without a gap."""
+    clear: dict[int, list[int]] = defaultdict(list)
+    for k, r in enumerate(read):
+        for v, c in r.items():
+            if c <= CLEAR:
+                clear[v].append(k)
+    times_in = lambda v, a, b: bisect_right(clear[v], b) - bisect_left(clear[v], a)
+    out, old, last, streak = [], 0, -1, {}
+    for i, r in enumerate(read):
+        if not r:
             continue
-        p = next((k for k in range(i - 1, -1, -1) if best[k]), -1)
-        if p < 0 or best[p][0] <= 0 or now[0] <= best[p][0]:
-            continue
-        value = best[p][0]
-        if sum(read[k].get(value, 1.0) <= CLEAR for k in range(max(0, p - 3), p + 1)) < 2:
-            continue
-        while p > 0 and value in read[p - 1]:
-            p -= 1
-        for k in range(p, i):
-            c = read[k].get(value)
-            path[k], source[k], sure[k] = value, "held" if c is None else "observed", 0.45 if c is None else max(0.35, min(0.98, 1 - c / 0.5))
-
-
-def join_excursions(path, source, sure, time) -> None:
-    """One other value for a moment, then any short way back to the same positive value, are bridged."""
-    i = 1
-    while i < len(path) - 1:
-        if path[i - 1] > 0 and path[i] != path[i - 1]:
-            j = i
-            while j + 1 < len(path) and path[j + 1] == path[i]:
-                j += 1
-            if j + 1 < len(path) and path[j + 1] == path[i - 1] and time[j] - time[i] <= (4.0 if path[i] == 0 else 1.5):
-                for k in range(i, j + 1):
-                    _hold(path, source, sure, k, path[i - 1])
-            i = j
-        i += 1
-    i = 0
-    while i < len(path) - 2:
-        if path[i] > 0 and path[i + 1] != path[i]:
-            j = i + 2
-            while j < len(path) and time[j] - time[i] <= 5 and path[j] != path[i]:
-                j += 1
-            if j < len(path) and path[j] == path[i]:
-                for k in range(i + 1, j):
-                    _hold(path, source, sure, k, path[i])
-                i = j - 1
-        i += 1
+        new = min(r, key=r.get)
+        if 0 < old < new and r[new] <= CLEAR and times_in(new, i + 1, i + AGAIN) and times_in(old, last - WITHIN + 1, last) >= SUPPORT:
+            out.append((last - streak[old] + 1, i, old))
+        # How long each value has been read without a gap.
+        streak = {v: (streak.get(v, 0) if last == i - 1 else 0) + 1 for v in r}
+        old, last = new, i
+    return out
+
+
+def bridged(path: np.ndarray, time) -> np.ndarray:
+    """Ticks whose value gives way to that of a positive run before and after: one other value for a moment, then any short way back.
+
+    ``path`` is changed there."""
+    given = np.zeros(len(path), bool)
+    first, end = (x.tolist() for x in runs_of(path))
+    value = path[first].tolist() if len(path) else []
+    took = False
+    for r in range(1, len(first) - 1):
+        # A run after one that gave way continues the run before it.
+        short = time[end[r] - 1] - time[first[r]] <= (VANISHED if value[r] == 0 else OTHER)
+        took = not took and value[r - 1] > 0 and value[r + 1] == value[r - 1] and short
+        if took:
+            path[first[r] : end[r]], given[first[r] : end[r]] = value[r - 1], True
+    first, end = (x.tolist() for x in runs_of(path))
+    value = path[first].tolist() if len(path) else []
+    r = 0
+    while r < len(first):
+        left = end[r] - 1
+        again = next((q for q in range(r + 2, len(first)) if value[q] == value[r]), None) if value[r] > 0 else None
+        back = None if again is None else first[again]
+        if back is not None and (back == left + 2 or time[back - 1] - time[left] <= WANDERED):
+            path[left + 1 : back], given[left + 1 : back] = value[r], True
+            r = again
+        else:
+            r += 1
+    return given
 
 
 def penalty_counts(df: DataFrame, keys: list[str], time: str = "t") -> DataFrame:
     """Readings ``visible, candidates: array<struct<value, cost, support>>`` and ``other_visible`` to ``value, source, confidence``."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(time, kind="stable")
-        rows = [[] if r is None else list(r) for r in frame["candidates"]]
-        shown = frame["visible"].fillna(False).astype(bool).tolist()
-        seen = [v and any(c["cost"] <= READABLE for c in r) for v, r in zip(shown, rows, strict=True)]
-        read: list[dict[int, float]] = []
-        for r in rows:
-            held: dict[int, float] = {}
-            for c in r:
-                if 0 < c["value"] < VALUES:
-                    cost = c["cost"] - min(0.06, max(0, (c["support"] or 1) - 1) * 0.012)
-                    held[int(c["value"])] = min(cost, held.get(int(c["value"]), np.inf))
-            read.append(held)
-        kind = kinds_of(seen, frame["other_visible"].fillna(False).astype(bool).tolist())
+    def fold(times, candidates, visible, other):
+        flag = lambda c: np.array([v is not None and v == True for v in c], bool)  # noqa: E712, E731
+        readable = [r is not None and any(c["cost"] <= READABLE for c in r) for r in candidates]
+        seen = flag(visible) & np.array(readable, bool)
+        read = [{v: c for v, c in cheapest(r, 0.012, 0.06).items() if 0 < v < VALUES} for r in candidates]
+        kind = kinds_of(seen, flag(other))
         path, before = viterbi(read, kind)
-        source, sure = [], []
-        for v, b, r, k in zip(path, before, read, kind, strict=True):
-            c, none = r.get(v), k == "absent" and v == 0
-            source.append("observed" if c is not None or none else "held" if b == v else "inferred")
-            sure.append(max(0.35, min(0.98, 1 - c / 0.5)) if c is not None else 0.9 if none else 0.45 if b == v else 0.35)
-        confirm_starts(path, source, sure, seen)
-        delay_rises(path, source, sure, read)
-        join_excursions(path, source, sure, frame[time].tolist())
-        return frame[[*keys, time]].assign(value=path, source=source, confidence=sure)
-
-    schema = T.StructType([df.schema[n] for n in (*keys, time)] + [T.StructField("value", T.LongType()), T.StructField("source", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    return per_key(df, keys, [time], fold, schema)
+        cost = np.array([r.get(int(v), np.nan) for r, v in zip(read, path, strict=True)])
+        told, none, same = ~np.isnan(cost), (kind == "absent") & (path == 0), before == path
+        source = np.where(told | none, "observed", np.where(same, "held", "inferred")).astype(object)
+        sure = np.select([told, none, same], [np.clip(1 - np.nan_to_num(cost) / 0.5, 0.35, 0.98), 0.9, HELD], 0.35)
+        early = unconfirmed(path, seen)
+        path[early] = 0
+        source[early], sure[early] = "held", np.minimum(sure[early], HELD)
+        for a, b, v in early_rises(read):
+            mine = np.array([r.get(v, np.nan) for r in read[a:b]])
+            path[a:b] = v
+            source[a:b] = np.where(np.isnan(mine), "held", "observed")
+            sure[a:b] = np.where(np.isnan(mine), HELD, np.clip(1 - np.nan_to_num(mine) / 0.5, 0.35, 0.98))
+        gave = bridged(path, times)
+        source[gave], sure[gave] = "held", np.minimum(sure[gave], HELD)
+        return path, source, sure
+
+    return per_row(df, keys, [time], [time, "candidates", "visible", "other_visible"], fold, *DECODED)
