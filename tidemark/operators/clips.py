@@ -17,10 +17,10 @@ def fragment_manifest(matches: DataFrame, fragments: DataFrame, key: str) -> Dat
     return placed.withColumn("timeline_start", F.round("offset", 3)).drop("offset")
 
 
-def rebased(series: DataFrame, matches: DataFrame, key: str, places: int = 3) -> DataFrame:
-    """Points of a series inside a match, timed from its start."""
-    inside = (series[key] == matches[key]) & (series["t"] >= matches["start"]) & (series["t"] <= matches["end"])
-    return series.join(matches, inside).select(series[key], matches["number"], F.round(series["t"] - matches["start"], places).alias("t"), *[series[c] for c in series.columns if c not in (key, "t")])
+def rebased(series: DataFrame, matches: DataFrame, key: str, places: int = 3, usual: float = 600.0) -> DataFrame:
+    """Points of a series inside a match (usually ``usual`` seconds long), timed from its start."""
+    met = joins.within_intervals(series, matches.select(key, "number", "start", "end"), [key], "t", usual)
+    return met.select(key, "number", F.round(F.col("t") - F.col("start"), places).alias("t"), *[c for c in series.columns if c not in (key, "t")])
 
 
 def clip_ranges(patterns: DataFrame, deaths: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,9 +33,21 @@ def clip_ranges(patterns: DataFrame, deaths: DataFrame, keys: list[str]) -> Data
     return first.select(*keys, "pattern", "death_id", "start", "end", "r.nth", "r.label")
 
 
-def nearest_clip(clips: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:
-    """For each time the clip that holds it, else the one with the nearest edge; the first of equals."""
-    met = times.join(clips, keys)
-    holds = F.col("t").between(F.col("start"), F.col("end"))
-    edge = F.least(F.abs(F.col("t") - F.col("start")), F.abs(F.col("t") - F.col("end")))
-    return choices.arg_min(met, [*keys, "t"], [F.when(holds, 0).otherwise(1), F.when(holds, 0.0).otherwise(edge), F.col("nth")])
+def nearest_clip(clips: DataFrame, times: DataFrame, keys: list[str], usual: float = 10.0) -> DataFrame:
+    """For each time the clip that holds it, else the one with the nearest edge; the first (``nth``) of equals.
+
+    Edges on both sides are found by as-of joins, so a time meets no clips but the nearest and those around it."""
+    rest = [c for c in clips.columns if c not in keys]
+    clip = F.struct(*rest)
+    asked = times.select(*keys, "t").distinct()
+    holding = joins.within_intervals(asked, clips.select(*keys, "start", "end", F.col("nth").alias("_nth"), clip.alias("clip")), keys, "t", usual)
+    found = holding.select(*keys, "t", F.lit(0).alias("_far"), F.lit(0.0).alias("_gap"), "_nth", "clip")
+    edges = clips.select(*keys, F.explode(F.array("start", "end")).alias("t"), (-F.col("nth")).alias("_turn"), F.col("nth").alias("_nth"), clip.alias("clip"))
+    for forward in (False, True):
+        # Of clips with an edge at one time the first counts, whichever way the edges are read.
+        order = F.col("_turn") if not forward else -F.col("_turn")
+        near = joins.asof(asked, edges.withColumn("_turn", order), keys, "t", ["_nth", "clip"], forward=forward, tie=["_turn"])
+        met = near.where("right_clip is not null")
+        found = found.union(met.select(*keys, "t", F.lit(1), F.abs(F.col("right_t") - F.col("t")), F.col("right__nth"), F.col("right_clip")))
+    best = choices.arg_min(found, [*keys, "t"], [F.col("_far"), F.col("_gap"), F.col("_nth")])
+    return best.select(*keys, "t", "clip.*")

@@ -61,6 +61,18 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, withi
     return left.join(best, row_id, "left")
 
 
+def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, width: float, start: str = "start", end: str = "end") -> DataFrame:
+    """Each point with every interval that holds it, ends included; the interval's other columns come as they are.
+
+    A point stands in its bucket of ``width`` seconds, an interval in all it touches, so ``width`` should be near the usual length."""
+    p = points.withColumn("_b", F.floor(F.col(time) / width)).alias("p")
+    i = _bucketed(intervals, F.col(start), F.col(end), width, "_b").alias("i")
+    on = (F.col("p._b") == F.col("i._b")) & (F.col(f"p.{time}") >= F.col(f"i.{start}")) & (F.col(f"p.{time}") <= F.col(f"i.{end}"))
+    for k in keys:
+        on = on & (F.col(f"p.{k}") == F.col(f"i.{k}"))
+    return p.join(i, on).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in intervals.columns if c not in keys])
+
+
 def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs of intervals ``start, end`` that overlap (end > start of the other), once each, with the part they share."""
     l = _bucketed(left, F.col("start"), F.col("end"), width, "_b").alias("l")  # noqa: E741

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import within_intervals
+
 
 def sessions(events: DataFrame, keys: list[str], time: str, gap: str, late: str | None = None) -> DataFrame:
     """Sessions of events at most ``gap`` apart: start, last event, events. Events later than ``late`` are dropped."""
@@ -25,10 +27,10 @@ def decimated(samples: DataFrame, time: str, rate: float, keep: int = 2) -> Data
     return samples.where(F.pmod(F.floor(F.col(time) * rate + 0.5), F.lit(keep)) == 0)
 
 
-def routed(samples: DataFrame, matches: DataFrame, key: str, time: str) -> DataFrame:
-    """Samples of all streams inside a match, timed from its start; those outside are dropped."""
-    inside = (samples[key] == matches[key]) & (samples[time] >= matches["start"]) & (samples[time] <= matches["end"])
-    return samples.join(matches, inside).select(*[samples[c] for c in samples.columns if c != time], matches["number"], F.round(samples[time] - matches["start"], 3).alias(time))
+def routed(samples: DataFrame, matches: DataFrame, key: str, time: str, usual: float = 600.0) -> DataFrame:
+    """Samples of all streams inside a match (usually ``usual`` seconds long), timed from its start; those outside are dropped."""
+    met = within_intervals(samples, matches.select(key, "number", "start", "end"), [key], time, usual)
+    return met.select(*[c for c in samples.columns if c != time], "number", F.round(F.col(time) - F.col("start"), 3).alias(time))
 
 
 def changes(rows: DataFrame, key: str, signature: list[str], time: str, late: str) -> DataFrame:
