@@ -5,24 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.chunks import numbered
+from tidemark.operators.chunks import numbered, running_sum
+
+
+def _two_best(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """``w`` (n, v and more) of the most frequent value of each key, of equals the greatest, and ``second``: the runner-up's votes."""
+    votes = df.groupBy(*keys, value).agg(F.count("*").alias("n"), *more)
+    rest = [c for c in votes.columns if c not in (*keys, value, "n")]
+    two = top_per_key(votes, keys, [F.desc("n"), F.col(value).desc_nulls_last()], 2)
+    winner = F.max(F.when(F.col("rank") == 1, F.struct("n", F.col(value).alias("v"), *rest))).alias("w")
+    return two.groupBy(*keys).agg(winner, F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("n"))), F.lit(0)).alias("second"))
 
 
 def vote_margin(df: DataFrame, keys: list[str], value: str, confidence: str, least: int = 2, margin: int = 2, bonus: float = 0.015, most_bonus: float = 0.08, cap: float = 0.99) -> DataFrame:
     """The value with at least ``least`` votes and ``margin`` more than the runner-up; surer the more votes beyond ``least``."""
-    votes = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.avg(confidence).alias("mean"))
-    top = votes.groupBy(*keys).agg(F.max(F.struct("n", F.col(value).alias("v"), "mean")).alias("w"), F.sum("n").alias("votes"), F.slice(F.sort_array(F.collect_list("n"), False), 2, 1).alias("r"))
-    second = F.coalesce(F.get("r", 0), F.lit(0))
+    top = _two_best(df, keys, value, F.avg(confidence).alias("mean"))
     sure = F.least(F.lit(cap), F.col("w.mean") + F.least(F.lit(most_bonus), bonus * (F.col("w.n") - least)))
-    return top.where((F.col("w.n") >= least) & (F.col("w.n") >= second + margin)).select(*keys, F.col("w.v").alias(value), F.col("w.n").alias("votes"), second.alias("runner_up"), sure.alias("confidence"))
+    return top.where((F.col("w.n") >= least) & (F.col("w.n") >= F.col("second") + margin)).select(*keys, F.col("w.v").alias(value), F.col("w.n").alias("votes"), F.col("second").alias("runner_up"), sure.alias("confidence"))
 
 
 def consensus(df: DataFrame, keys: list[str], value: str, least: int = 2) -> DataFrame:
     """The most frequent value, if it was seen ``least`` times and more often than any other."""
-    votes = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    top = votes.groupBy(*keys).agg(F.max(F.struct("n", F.col(value).alias("v"))).alias("w"), F.max("n").alias("most"), F.collect_list("n").alias("all"))
-    alone = F.size(F.filter("all", lambda n: n == F.col("most"))) == 1
-    return top.where((F.col("most") >= least) & alone).select(*keys, F.col("w.v").alias(value), F.col("most").alias("votes"))
+    top = _two_best(df, keys, value)
+    return top.where((F.col("w.n") >= least) & (F.col("w.n") > F.col("second"))).select(*keys, F.col("w.v").alias(value), F.col("w.n").alias("votes"))
+
+
+#: Into so many stretches of values a key's rows are dealt to find its median.
+STRETCHES = 1024
+
+
+def upper_medians(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """``name``: of each key the value at place floor(n / 2) (from 0) of its sorted values, 0 for none. No task holds a key's values."""
+    each = df.select(*keys, value.cast("double").alias("_x")).where("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    low, high = each.agg(F.min("_x"), F.max("_x")).first()
+    width = (high - low) / STRETCHES if low is not None and high > low else 1.0
+    upto = running_sum(each, keys, ["_x"], F.col("_n"), "_upto", width)
+    totals = each.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    found = upto.join(totals, keys).where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min("_x").alias("_m"))
+    return df.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("_m", F.lit(0.0)).alias(name))
 
 
 def mode_of(df: DataFrame, keys: list[str], values: list[str], confidence: str, order: list[str]) -> DataFrame:

@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import upper_median
 from tidemark.operators import windows
+from tidemark.operators.choices import upper_medians
 
 #: Bounds of the two looks of an intro card, and what each bound that holds adds.
 STANDARD_CARD = [("center_dark_ratio", 0.22, 0.315, 0.42), ("center_white_ratio", 0.025, 0.14, 0.25), ("center_edge_ratio", 0.095, None, 0.25), ("saturation", 0.18, None, 0.08)]
@@ -31,10 +31,8 @@ def intro_score() -> Column:
 
 def classify(samples: DataFrame, key: str) -> DataFrame:
     """Add ``hud, active, game_score, gameplay, rule_score, rule_intro``; two thresholds follow the recording's medians."""
-    medians = samples.groupBy(key).agg(
-        upper_median(F.when(F.col("difference") != 0, F.col("difference"))).alias("_difference"),
-        upper_median(F.col("hud_edge_ratio")).alias("_edge"),
-    )
+    moving = upper_medians(samples, [key], F.when(F.col("difference") != 0, F.col("difference")), "_difference")
+    medians = moving.join(upper_medians(samples, [key], F.col("hud_edge_ratio"), "_edge"), key)
     hud = (F.col("hud_white_ratio") >= 0.012) & (F.col("hud_edge_ratio") >= F.greatest(F.lit(0.035), F.col("_edge") * 0.9))
     active = (F.col("difference") >= F.greatest(F.lit(5.5), F.col("_difference") * 0.55)) & (F.col("saturation") >= 0.18) & (F.col("brightness") >= 28)
     game = F.when(F.col("hud"), 0.62).otherwise(0.0) + F.least(F.lit(0.25), F.col("hud_edge_ratio") * 2.2) + F.when(F.col("active"), 0.28).otherwise(0.0)

@@ -274,7 +274,7 @@ def bucket_mode(spark, sf_dir):
 
 @registered(f"WITH {TIMELINE_SQL}, l AS (SELECT key, list_sort(list(value)) AS v FROM timeline GROUP BY key) SELECT key, v[len(v) // 2 + 1] AS median FROM l")
 def upper_median(spark, sf_dir):
-    return timeline(spark, sf_dir).groupBy("key").agg(fx.upper_median(F.col("value")).alias("median"))
+    return choices.upper_medians(timeline(spark, sf_dir), KEY, F.col("value"), "median")
 
 
 @registered(f"""WITH {TIMELINE_SQL}, p AS (SELECT key, t, id, value, lead(t) OVER w AS t2 FROM (SELECT key, floor(t / 600) * 600 AS t, min(id) AS id, max(value) AS value FROM timeline GROUP BY ALL) {_W}),

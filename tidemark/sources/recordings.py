@@ -29,37 +29,53 @@ def unfinished(files: DataFrame, known: DataFrame, done: str = "ready") -> DataF
     return files.join(known.where(F.col("status") == done), "path", "left_anti")
 
 
+#: What a decoder prints about a stream: its kind, then comma-separated fields, of which the first is the codec.
+STREAM = r"(?m)\b%s: *(\S[^\n]*)$"
+
+
+def _fields(text: Column, kind: str) -> Column:
+    """The comma-separated fields of the first stream of a kind; those in brackets stay whole."""
+    return F.split(F.nullif(F.regexp_extract(text, STREAM % kind, 1), F.lit("")), r", *(?![^(\[]*[)\]])")
+
+
+def _first(fields: Column, pattern: str, group: int) -> Column:
+    """A group of the first field that a pattern matches whole."""
+    return F.regexp_extract(F.get(F.filter(fields, lambda f: f.rlike(f"^{pattern}$")), 0), f"^{pattern}$", group)
+
+
 def probe(text: Column) -> Column:
     """Duration, codec, size and rate out of what a decoder prints about a file; null without a duration or picture."""
-    of = lambda pattern, k=1: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-    video = r"Video:\s*([^,\s]+).*?(\d{2,5})x(\d{2,5}).*?(\d+(?:\.\d+)?)\s*fps"
-    duration = seconds_of(F.regexp_extract(text, r"Duration:\s*(\d+:\d+:\d+(?:\.\d+)?)", 1))
+    video, audio = _fields(text, "Video"), _fields(text, "Audio")
+    codec = lambda f: F.nullif(F.get(F.split(F.get(f, 0), " "), 0), F.lit(""))
+    size, rate = r"(\d+)x(\d+)(?: .*)?", r"(\d+(?:\.\d+)?) fps"
+    duration = seconds_of(F.regexp_extract(text, r"\bDuration: *([0-9:.]+)", 1))
     found = F.struct(
         duration.alias("duration"),
-        F.lower(of(video)).alias("codec"),
-        of(video, 2).try_cast("int").alias("width"),
-        of(video, 3).try_cast("int").alias("height"),
-        of(video, 4).try_cast("double").alias("fps"),
-        of(r"Audio:\s*([^,\s]+)").alias("audio_codec"),
+        F.lower(codec(video)).alias("codec"),
+        _first(video, size, 1).try_cast("int").alias("width"),
+        _first(video, size, 2).try_cast("int").alias("height"),
+        _first(video, rate, 1).try_cast("double").alias("fps"),
+        codec(audio).alias("audio_codec"),
     )
-    return F.when(duration.isNotNull() & of(video).isNotNull(), found)
+    return F.when(duration.isNotNull() & codec(video).isNotNull(), found)
 
 
 def segment_lists(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, start, end, duration`` from lists of name,start,end lines; malformed and empty spans are dropped."""
-    line = r'^"?([^",]+)"?,([\d.]+),([\d.]+)\s*$'
-    parts = spark.read.text(path).select(*[F.regexp_extract("value", line, k).alias(n) for k, n in ((1, "file_name"), (2, "start"), (3, "end"))])
-    rows = parts.select(F.element_at(F.split("file_name", r"[/\\]"), -1).alias("file_name"), F.col("start").try_cast("double").alias("start"), F.col("end").try_cast("double").alias("end"))
-    return rows.where("end > start").withColumn("duration", F.col("end") - F.col("start"))
+    lines = spark.read.schema("name string, start double, end double, more string").option("mode", "PERMISSIVE").csv(path)
+    rows = lines.where("name is not null and more is null").select(F.element_at(F.split("name", r"[/\\]"), -1).alias("file_name"), "start", "end")
+    return rows.where("start >= 0 and end > start").withColumn("duration", F.col("end") - F.col("start"))
 
 
 def ini_values(spark: SparkSession, path: str) -> DataFrame:
     """``file, section, name, value`` of every entry; a heading holds for the lines after it, within its file."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    heading = F.nullif(F.regexp_extract("line", r"^\[([^\]]+)\]\s*$", 1), F.lit(""))
+    bare = F.trim("line")
+    heading = F.when(F.startswith(bare, F.lit("[")) & F.endswith(bare, F.lit("]")), F.substring(bare, F.lit(2), F.length(bare) - 2))
     held = text.withColumn("section", F.last(heading, ignorenulls=True).over(Window.partitionBy("file").orderBy("n")))
-    entry = lambda k: F.trim(F.regexp_extract("line", r"^([^=\[]+)=(.*)$", k))
-    return held.where(entry(1) != "").select("file", F.coalesce("section", F.lit("")).alias("section"), entry(1).alias("name"), F.replace(entry(2), F.lit("\\\\"), F.lit("\\")).alias("value"))
+    parts = F.split("line", "=", 2)
+    entry = held.where(F.contains("line", F.lit("=")) & ~F.startswith(bare, F.lit("["))).select("file", "section", F.trim(F.get(parts, 0)).alias("name"), F.trim(F.get(parts, 1)).alias("value"))
+    return entry.where("name <> ''").select("file", F.coalesce("section", F.lit("")).alias("section"), "name", F.replace("value", F.lit("\\\\"), F.lit("\\")).alias("value"))
 
 
 def recording_roots(values: DataFrame) -> DataFrame:
@@ -77,8 +93,10 @@ def stage_catalog(names: DataFrame, name: str = "name") -> DataFrame:
 
 def catalog_version(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``version``: a digest that any change of a catalog changes, whatever order its rows come in."""
-    each = F.sha2(F.concat_ws("\x1f", *columns), 256)
-    return rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), "\n"), 256).alias("version"), F.count("*").alias("entries"))
+    row = F.struct(*columns)
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    sums = F.concat_ws("/", F.count("*").cast("string"), total(F.xxhash64(row)), total(F.xxhash64(F.lit(1), row)))
+    return rows.agg(F.sha2(sums, 256).alias("version"), F.count("*").alias("entries"))
 
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"

@@ -78,13 +78,19 @@ def _schema(df: DataFrame, key: str) -> T.StructType:
 
 
 def lifecycle_batch(observations: DataFrame, key: str) -> DataFrame:
-    """All events of a finished recording."""
+    """All events of finished recordings, read in order of key and time; a task keeps one match's record, not its observations."""
     names = [c.split()[0] for c in EVENT.split(", ")]
 
-    def fold(k: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_folded(fresh(), iter([frame])), columns=names).assign(**{key: k[0]})[[key, *names]]
+    def run(frames):
+        at, state = None, fresh()
+        for frame in frames:
+            for k, rows in frame.groupby(key, sort=False, dropna=False):
+                if at is None or not (k == at[0] or k != k and at[0] != at[0]):
+                    at, state = (k,), fresh()
+                if out := _folded(state, iter([rows])):
+                    yield pd.DataFrame(out, columns=names).assign(**{key: k})[[key, *names]]
 
-    return observations.groupBy(key).applyInPandas(fold, _schema(observations, key))
+    return observations.repartition(key).sortWithinPartitions(key, "t").mapInPandas(run, _schema(observations, key))
 
 
 class Lifecycle(StatefulProcessor):
