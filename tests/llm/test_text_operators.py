@@ -210,6 +210,68 @@ def test_phones_and_names_keep_coreference_and_never_collide(spark):
     assert [len({got[m].split()[-1] for m in men if m.endswith(s)}) for s in ("Baker", "Stone")] == [1, 1]
 
 
+def test_surrogates_are_one_to_one_on_random_corpora(spark):
+    """Distinct entities stay distinct, equal ones equal; letters, digits, separators and check digits stay what they were."""
+    rng = random.Random(21)
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = digit(15)
+        return body + str(-luhn(body + "0") % 10)
+
+    makers = {
+        "email": lambda: f"{rng.choice(['ann', 'Bob', 'lee'])}.{digit(2)}@{rng.choice(['corp', 'mail'])}.example.org",
+        "card": lambda: rng.choice([card(), digit(16)]),
+        "ssn": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}",
+        "phone": lambda: f"+49 {rng.randint(1, 9)}{digit(2)} {digit(3)}",
+        "ip": lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+        "person": lambda: f"{rng.choice(['Mr', 'Mrs'])} {rng.choice(['Zeb', 'Quilla', 'Anna', 'John'])} {rng.choice(['Harrow', 'Stone', 'Quist'])}{rng.choice(['', '-Lund'])}",
+    }
+    pool = [(k, make()) for k, make in makers.items() for _ in range(60)]
+    rows = []
+    for i in range(120):
+        picked = [rng.choice(pool) for _ in range(rng.randint(0, 8))]
+        rows.append((i, picked, " ; ".join(["note"] + [e for _, e in picked])))
+    got = {r["doc_id"]: r["text"].split(" ; ")[1:] for r in pii.replace(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"), "key").collect()}
+    to: dict = {}
+    for i, picked, _ in rows:
+        assert len(got[i]) == len(picked)
+        for (kind, old), new in zip(picked, got[i], strict=True):
+            assert to.setdefault((kind, old), new) == new
+            if kind in ("card", "ssn"):
+                assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old)
+            if kind == "card":
+                assert (luhn(new) == 0) == (luhn(old) == 0)
+            if kind == "phone":
+                assert new.startswith("+49 ")
+            if kind == "person":
+                assert new.split()[0] == old.split()[0] and len(new.split()) == 3
+    for kind in makers:
+        pairs = {(o, n) for (k, o), n in to.items() if k == kind}
+        assert len({n for _, n in pairs}) == len(pairs), kind
+        assert not {o for o, _ in pairs} & {n for _, n in pairs}, kind
+
+
+def test_names_after_cues_and_marks_in_texts(spark):
+    rows = [(1, "My name is Zeb Quillfeather and yours?"), (2, "mail a@b.de \x01 and Mr Stone"), (3, "Plain Capital Words stay."), (4, "Mrs Zeb Quillfeather")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert re.fullmatch(r"My name is \S+ \S+ and yours\?", got[1]) and "Quillfeather" not in got[1]
+    assert "\x01" in got[2] and "a@b.de" not in got[2] and "Stone" not in got[2]
+    assert got[3] == rows[2][1]
+    assert got[4].split()[-1] == got[1].split()[4]
+
+
+def test_formats_without_enough_surrogates_are_numbered(spark, monkeypatch):
+    """Every address of a tiny space is an entity, so no surrogate of its form is free."""
+    monkeypatch.setattr(pii, "MOST_DRAWS", 2)
+    monkeypatch.setattr(pii, "WIDER", 99)
+    rows = [(1, " ".join(f"{a}@x.de" for a in "abcdefghijklmnopqrstuvwxyz") + " " + " ".join(f"{a}@y.de" for a in "abcdefghijklmnopqrstuvwxyz"))]
+    text = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").first()["text"]
+    assert len(set(text.split(" "))) == 52 and len(text.split(" ")) == 52
+    long = "x" * 4000 + "@y.example.org"
+    assert len(pii.replace(spark.createDataFrame([(1, long)], "doc_id long, text string"), "key").first()["text"]) > 4000
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -5,8 +5,10 @@ and script alike in place, a card number by one that passes or fails the Luhn ch
 if it had them, a phone number with its country code and punctuation, a person by a name of the same gender and script.
 The surrogate depends on the key, the kind and the entity's canonical form, so one entity gets one surrogate in
 every document and in every notation (coreference). A collision check over all distinct entities finds surrogates that
-two entities share or that equal an entity of the corpus; all but one of them draw again until none is left. A name
-draws in two parts: the surname for itself, then the given name among those of the surname.
+two entities share or that equal an entity of the corpus; all but one of them draw again until none is left. What still
+collides after MOST_DRAWS has more entities than its format has surrogates: it is written as its kind and a number of its own. A name
+draws in two parts: the surname for itself, then the given name among those of the surname. Persons are found by a title, a known given
+name, or words that lead to a name (CUES), after which any two capitalised words count.
 
 Defined cases: a null text stays null; a text without entities is returned unchanged; of overlapping entities the
 leftmost counts, of equal starts the kind listed first; repeated rows get the same result; further columns stay.
@@ -15,12 +17,11 @@ leftmost counts, of equal starts the kind listed first; repeated rows get the sa
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import discard, durable
 from tidemark.llm.spans import fixed
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -45,6 +46,9 @@ CLASSES = ["[a-zß-öø-ÿ]", "[A-ZÀ-ÖØ-Þ]", "[а-яё]", "[А-ЯЁ]", "[α-
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+#: Words after which two capitalised words are a person, whatever the names are.
+CUES = ["name is", "named", "called", "Name:", "name:", "Contact:", "contact:", "Signed,", "signed", "Regards,", "regards,", "Sincerely,", "Dear", "heiße", "appelle", "llamo", "зовут"]
+_CUE = "|".join(CUES)
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -52,13 +56,15 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)|\d{1,4})(?:[\x20.-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\)\x20?\d{3}[-.\x20]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d{4}(?:[\x20-]?\d{4}){2}[\x20-]?\d{1,7}(?!\d)",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?\x20(?:{_NAME}\x20)?{_NAME}|(?:{_GIVEN})\x20{_NAME})(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.?\x20(?:{_NAME}\x20)?{_NAME}|(?:{_GIVEN})\x20{_NAME}|(?<=(?:{_CUE})\x20){_NAME}\x20{_NAME})(?!\p{{L}})",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Collisions looked up from a constant map up to this many; more are joined.
 MAPPED = 5_000
 MOST_DRAWS = 16
+#: What a match is wrapped in while its text is taken apart; a letter or digit.
+MARK, _SIGN = "\x01", r"[\p{L}\p{N}]"
 #: A phone number's country code; no code is the start of another.
 COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: From this draw on a short address, an international number or a name gets longer, where its own form has too few surrogates.
@@ -100,11 +106,13 @@ def _like(text: Column, hexes: Column, skip: Column | None = None) -> Column:
     """Each letter and digit after the first ``skip`` replaced by another of its class; the n-th of them by the n-th draw, whatever stands between."""
 
     def one(c: Column, i: Column) -> Column:
-        nth = F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
+        nth = i + 1
         drawn = F.coalesce(*[F.when(c.rlike(f"^{k}$"), F.substring(F.lit(a), _number(hexes, nth, len(a)) + 1, F.lit(1))) for k, a in zip(CLASSES, ALPHABETS, strict=True)], F.when(c.rlike(r"^\p{L}$"), F.substring(F.lit(ALPHABETS[0]), _number(hexes, nth, 26) + 1, F.lit(1))), c)
         return drawn if skip is None else F.when(nth <= skip, c).otherwise(drawn)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    shown = F.transform(F.regexp_extract_all(text, F.lit(_SIGN), F.lit(0)), one)
+    between = F.split(text, _SIGN, -1)
+    return F.array_join(F.flatten(F.zip_with(between, F.concat(shown, F.array(F.lit(""))), lambda x, y: F.array(x, y))), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -166,16 +174,21 @@ def _sounds(script: Column, hexes: Column, places: range) -> Column:
     return F.coalesce(*[F.when(script == s, F.concat(*[_drawn(sounds, hexes, F.lit(k)) for k in places])) for s, sounds in SYLLABLES.items()])
 
 
+def _numbered(kind: str | Column, draw: Column, otherwise: Column) -> Column:
+    """What is written for a draw: below 0 the kind and its number, for entities that no form is left for."""
+    return F.when(draw < 0, F.concat(F.lit("<"), F.lit(kind) if isinstance(kind, str) else kind, F.lit("-"), (-draw).cast("string"), F.lit(">"))).otherwise(otherwise)
+
+
 def _surname(name: Column, key: str, draw: Column) -> Column:
     longer = lambda h: F.when(draw >= WIDER, _sounds(_script(name), h, range(5, 7))).otherwise("")
-    return _let(_hexes(key, F.lit("surname"), name, draw), lambda h: F.initcap(F.concat(_sounds(_script(name), h, range(1, 5)), longer(h))))
+    return _numbered("surname", draw, _let(_hexes(key, F.lit("surname"), name, draw), lambda h: F.initcap(F.concat(_sounds(_script(name), h, range(1, 5)), longer(h)))))
 
 
 def _given(gender: Column, name: Column, key: str, draw: Column) -> Column:
     """A given name of the same gender and script, with a second part where a surname has more people than there are names."""
     script = _script(name)
     more = lambda h: F.when(draw >= WIDER, F.concat(F.lit("-"), F.initcap(_sounds(script, h, range(2, 6))))).otherwise("")
-    return _let(_hexes(key, F.lit("given"), F.concat_ws("|", gender, name), draw), lambda h: F.concat(F.coalesce(*[F.when((script == s) & (gender == g), _drawn(names, h, F.lit(1))) for (s, g), names in GIVEN.items()]), more(h)))
+    return _numbered("given", draw, _let(_hexes(key, F.lit("given"), F.concat_ws("|", gender, name), draw), lambda h: F.concat(F.coalesce(*[F.when((script == s) & (gender == g), _drawn(names, h, F.lit(1))) for (s, g), names in GIVEN.items()]), more(h))))
 
 
 def _named(p: Column) -> Column:
@@ -229,7 +242,7 @@ def surrogate(kind: Column, entity: Column, key: str, draw_of) -> Column:
         )
 
     def keyed(canon: Column) -> Column:
-        return _let(draw_of(kind, canon), lambda d: _let(_hexes(key, kind, canon, d), lambda h: drawn(h, d)))
+        return _let(draw_of(kind, canon), lambda d: _numbered(kind, d, _let(_hexes(key, kind, canon, d), lambda h: drawn(h, d))))
 
     return F.when(kind == "person", _person(entity, key, draw_of)).otherwise(_let(canonical(kind, entity), keyed))
 
@@ -239,15 +252,15 @@ def _written(kind: Column, canon: Column, key: str, draw: Column) -> Column:
     part = lambda k: F.get(F.split(canon, r"\|"), k)
     given = F.concat_ws("|", _given(part(0), part(1), key, draw), part(2))
     other = surrogate(kind, canon, key, lambda *_: draw)
-    return F.when(kind == "surname", _surname(canon, key, draw)).when(kind == "given", given).otherwise(canonical(kind, other))
+    return F.when(kind == "surname", _surname(canon, key, draw)).when(kind == "given", given).otherwise(F.when(draw < 0, other).otherwise(canonical(kind, other)))
 
 
 def colliding(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canon, draw``: entities whose first draw isn't theirs alone, with the draw that is.
 
     ``entities`` holds distinct ``kind, canon``. Of several with one surrogate the smallest keeps its draw."""
-    now = durable(entities.withColumn("draw", F.lit(0)))
-    for _ in range(MOST_DRAWS):
+    now = durable(entities.withColumn("draw", F.lit(0).cast("long")))
+    for attempt in range(MOST_DRAWS + 1):
         drawn = fixed(now, as_=_written(F.col("kind"), F.col("canon"), key, F.col("draw")))
         named = durable(drawn.select("kind", "canon", "draw", "as_"))
         shared = named.groupBy("kind", "as_").agg(F.min(F.struct("draw", "canon")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
@@ -256,17 +269,25 @@ def colliding(entities: DataFrame, key: str) -> DataFrame:
         again = durable(losers.union(taken).distinct().withColumn("more", F.lit(1)))
         if again.isEmpty():
             break
-        now = durable(now.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("draw") + F.coalesce("more", F.lit(0))).alias("draw")))
-    else:
-        raise RuntimeError(f"surrogates still collide after {MOST_DRAWS} draws")
-    return now.where("draw > 0")
+        # The last round numbers what is left.
+        fresh = F.col("draw") + 1 if attempt < MOST_DRAWS else -1 - F.monotonically_increasing_id()
+        before, now = now, durable(now.join(again, ["kind", "canon"], "left").select("kind", "canon", F.when(F.col("more").isNotNull(), fresh).otherwise(F.col("draw")).alias("draw")))
+        for done in (before, named, again):
+            discard(done)
+    return now.where("draw <> 0")
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The documents with surrogates in their text, and ``n_<kind>`` for every kind of entity."""
     counts = [f"n_{k}" for k in KINDS]
     own = docs.columns
-    df = fixed(docs, _m=F.coalesce(F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
+    # A text is matched once: matches are wrapped in a mark and the text is cut at the marks, so every second piece is a match.
+    text = F.col(text_col)
+    cut = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    twice = F.concat(F.flatten(F.zip_with(F.split(text, ANY, -1), F.concat(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array(F.lit(""))), lambda x, y: F.array(x, y))))
+    df = fixed(docs, _cut=F.when(F.contains(text, F.lit(MARK)), F.slice(twice, 1, F.size(twice) - 1)).otherwise(cut))
+    every = lambda odd: F.coalesce(F.filter("_cut", lambda _, i: i % 2 == odd), F.array().cast("array<string>"))
+    df = fixed(df, _m=every(1), _pieces=every(0)).drop("_cut")
     entities = df.select(F.explode(F.array_distinct("_m")).alias("e")).distinct()
     entities = entities.select(kind_of(F.col("e")).alias("kind"), "e").select(F.inline(units(F.col("kind"), F.col("e")))).distinct()
     again = durable(colliding(entities, key))
@@ -274,7 +295,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     n_again = again.count()
     if n_again <= MAPPED:
         found = {f"{r['kind']}|{r['canon']}": r["draw"] for r in again.collect()}
-        df = fixed(df, _draws=F.when(F.size("_m") > 0, F.from_json(F.lit(json.dumps(found)), "map<string,int>")))
+        df = fixed(df, _draws=F.when(F.size("_m") > 0, F.from_json(F.lit(json.dumps(found)), "map<string,bigint>")))
     else:
         # Beyond the map: the draws each text needs are joined to it by its digest.
         hit = df.where(F.size("_m") > 0).select(F.sha2(F.col(text_col).cast("binary"), 256).alias("_sha"), F.explode(F.array_distinct("_m")).alias("e")).withColumn("kind", kind_of(F.col("e")))
@@ -286,10 +307,10 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         kind = kind_of(e)
         return F.struct(e.alias("e"), kind.alias("k"))
 
-    df = fixed(df, _tags=F.transform("_m", tagged), _pieces=F.when(F.size("_m") > 0, F.split(text_col, ANY, -1)))
+    df = fixed(df, _tags=F.transform("_m", tagged))
 
     def drawn(t: Column) -> Column:
-        return surrogate(t["k"], t["e"], key, lambda kind, canon: F.coalesce(F.try_element_at(F.col("_draws"), slot(kind, canon)), F.lit(0)))
+        return surrogate(t["k"], t["e"], key, lambda kind, canon: F.coalesce(F.try_element_at(F.col("_draws"), slot(kind, canon)), F.lit(0).cast("long")))
 
     df = fixed(df, _new=F.transform("_tags", drawn))
     woven = F.array_join(F.flatten(F.zip_with("_pieces", F.concat("_new", F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
@@ -300,7 +321,3 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 def _is(kind: str):
     return lambda t: t["k"] == kind
-
-
-def entity_count() -> Column:
-    return reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in KINDS])
