@@ -252,21 +252,21 @@ def tolerant_asof(spark, sf_dir):
 
 @registered(f"""WITH {TIMELINE_SQL}, p AS (SELECT key, t, value * 10 AS x, 500.0 AS y, value * 3 AS d, 0.8 AS c, lead(t) OVER w AS n FROM timeline WHERE kind = 'signup' {_W}),
 k AS (SELECT *, least(6, coalesce(greatest(0, (n - t) - 0.5), 6)) AS lasts FROM p), e AS (SELECT *, unnest(range(0, floor(lasts)::INT + 1)) AS s FROM k WHERE lasts >= 1)
-SELECT key, s, round(t + s, 3) AS t, round(greatest(0, least(1000, x + cos(radians(d)) * s * 12)), 1) AS x, round(c * exp(-s / 3.5), 3) AS confidence FROM e""")
+SELECT key, s, floor(t + s)::BIGINT AS t, round(greatest(0, least(1000, x + cos(radians(d)) * s * 12)), 1) AS x, round(c * exp(-s / 3.5), 3) AS confidence FROM e""")
 def heading_predictions(spark, sf_dir):
     points = timeline(spark, sf_dir).where("kind = 'signup'").select("key", "t", (F.col("value") * 10).alias("x"), F.lit(500.0).alias("y"), (F.col("value") * 3).alias("direction"), F.lit(0.8).alias("confidence"))
     out = maps.heading_predictions(points, KEY)
-    return out.select("key", F.round(F.col("t") - F.col("observed_at")).cast("long").alias("s"), F.round("t", 3).alias("t"), "x", "confidence")
+    return out.select("key", F.round(F.col("t") - F.col("observed_at")).cast("long").alias("s"), F.floor("t").alias("t"), "x", "confidence")
 
 
 @registered(f"""WITH {TIMELINE_SQL}, m AS (SELECT e.key, e.t, c.value AS x, c.t AS ct FROM (SELECT * FROM timeline WHERE kind = 'error') e ASOF JOIN (SELECT * FROM timeline WHERE kind = 'click') c ON e.key = c.key AND e.t <= c.t)
-SELECT key, s, round(t + s, 3) AS t, round(x, 4) AS x, 55.0 + s * 11 AS radius, round(round(least(0.48, 0.5 * 0.9 * 0.72), 3) * exp(-s / 3.5), 3) AS confidence FROM (SELECT *, unnest(range(0, 7)) AS s FROM m WHERE ct - t <= 5000)""")
+SELECT key, s, floor(t + s)::BIGINT AS t, round(x, 4) AS x, 55.0 + s * 11 AS radius, round(round(least(0.48, 0.5 * 0.9 * 0.72), 3) * exp(-s / 3.5), 3) AS confidence FROM (SELECT *, unnest(range(0, 7)) AS s FROM m WHERE ct - t <= 5000)""")
 def threat_zones(spark, sf_dir):
     rows = timeline(spark, sf_dir)
     deaths = rows.where("kind = 'error'").select("key", "t", F.lit(0.5).alias("confidence"))
     points = rows.where("kind = 'click'").select("key", "t", F.col("value").alias("x"), F.lit(1.0).alias("y"), F.lit(0.9).alias("confidence"))
     out = maps.threat_zones(deaths, points, KEY, longest=5000.0)
-    return out.select("key", F.round(F.col("t") - F.col("death_t")).cast("long").alias("s"), F.round("t", 3).alias("t"), F.round("x", 4).alias("x"), F.col("radius").cast("double").alias("radius"), "confidence")
+    return out.select("key", F.round(F.col("t") - F.col("death_t")).cast("long").alias("s"), F.floor("t").alias("t"), F.round("x", 4).alias("x"), F.col("radius").cast("double").alias("radius"), "confidence")
 
 
 @registered(f"""WITH {TIMELINE_SQL}, a AS (SELECT *, value >= 3 AS visible, EXISTS (SELECT 1 FROM timeline d WHERE d.key = s.key AND d.kind = 'error' AND s.t - d.t BETWEEN 0.5 AND 5) AS after FROM timeline s),
