@@ -151,6 +151,20 @@ def test_masking_keeps_the_rest(spark):
     assert (got[2], got[3], got[4]) == ("clean text", None, "")
 
 
+def test_masking_very_many_secrets_and_clashing_names(spark):
+    rng = random.Random(5)
+    parts = ["token=abcdefgh%d", "AKIA%016d", "%032x", "api_key='%040d'", "clean é😀 words %d", "\\n", "https://user:pass@host%d"]
+    texts = [" ".join(p % i if "%" in p else p for i, p in enumerate(rng.choices(parts, k=n))) for n in (1, 5, 70, 9000)]
+    texts += ["x" * 4096 + " AKIA" + "Q" * 4086, "password=" + "a" * 20_000, "é" * 9000 + " token=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(("Base", "found", "assign", "_text", "_ordered", "_blocks"))])
+    got = secrets.mask(docs)
+    assert got.columns == docs.columns
+    found = got.collect()
+    assert [r["text"] for r in sorted(found)] == [plain_masked(t) for t in texts]
+    assert all((r["Base"], r["found"], r["_blocks"]) == (0, 1, 5) for r in found)
+
+
 PERSONAL = (
     "Write Mrs. Anna Baker or Mr Peter Stone; Anna Baker at anna.baker@corp.example.org, +1 (476) 555-6291, 4111 1111 1111 1111 and 4111111111111111, "
     "4111111111111112; DE89 3704 0044 0532 0130 00, 123-45-6789 from 10.2.3.4; Елена Петрова, госпожа Иванова"

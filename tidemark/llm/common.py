@@ -51,6 +51,12 @@ def discard(df: DataFrame | None) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that clash with none of an operator's own, and the new name of each column."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[docs[c].alias(n) for c, n in names.items()]), names
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``, equals ``remainder``. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, durable
+from tidemark.llm.common import aside, discard, durable
 from tidemark.llm.spans import fixed
 
 WORD = r"[^ \t\r\f\x0B]+"
@@ -251,16 +251,18 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with later copies of repeated runs deleted from their text, and ``n_lines``, ``n_deleted``."""
     gone = durable(later_copies(docs, min_words, id_col, text_col).groupBy("id", "th").agg(F.collect_list("ord").alias("_gone")))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    met = docs.select(*own, F.xxhash64(text_col).alias("_th")).join(gone.select(F.col("id").alias("_id"), F.col("th").alias("_gth"), "_gone"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gth")), "left")
-    met = fixed(met, _lines=F.split(text_col, "\n"))
-    met = fixed(met, _at=F.when(F.col("_gone").isNotNull(), F.concat(F.transform(worded(text_col), lambda s: s["pos"]), F.array(F.size("_lines")))))
+    docs, names = aside(docs)
+    own_id, own_text = names[id_col], names[text_col]
+    met = docs.withColumn("_th", F.xxhash64(own_text)).join(gone.select(F.col("id").alias("_id"), F.col("th").alias("_gth"), "_gone"), F.col(own_id).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gth")), "left")
+    met = fixed(met, _lines=F.split(own_text, "\n"))
+    met = fixed(met, _at=F.when(F.col("_gone").isNotNull(), F.concat(F.transform(worded(own_text), lambda s: s["pos"]), F.array(F.size("_lines")))))
     met = fixed(met, _out=F.flatten(F.transform("_gone", lambda o: F.sequence(F.get("_at", o), F.get("_at", o + 1) - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_out"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    text = F.when(F.col("_gone").isNull(), F.col(own_text)).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    n_lines = F.when(F.col(own_text).isNull(), 0).otherwise(F.size("_lines")).cast("long")
     n_gone = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_out")).cast("long")
-    return met.select(*[(text if c == text_col else F.col(c)).alias(c) for c in own], n_lines.alias("n_lines"), n_gone.alias("n_deleted"))
+    own = [(text if c == text_col else F.col(n)).alias(c) for c, n in names.items() if c not in ("n_lines", "n_deleted")]
+    return met.select(*own, n_lines.alias("n_lines"), n_gone.alias("n_deleted"))
 
 
 #: The same result in DuckDB SQL. A window is the shortest run of lines with 10 words from its first line, or up to its last; what a

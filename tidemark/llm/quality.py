@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import durable, held_out
+from tidemark.llm.common import aside, durable, held_out
 
 #: Labelled rows that the trees and weights are fitted on, at most about so many.
 SAMPLE = 20_000
@@ -125,8 +125,6 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """The documents with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``; further columns stay."""
     model = learned(docs, labels, id_col, text_col, label_col, sample)
-    kept = docs.columns
-    clash = {c: f"_own_{i}" for i, c in enumerate(kept)}
-    plain = docs.select(*[docs[c].alias(n) for c, n in clash.items()])
+    plain, clash = aside(docs)
     scored = plain.withColumn("_s", statistics(clash[text_col])).select(*clash.values(), "_s.*").withColumn("_score", model)
     return scored.select(*[F.col(n).alias(c) for c, n in clash.items() if c not in ("score", "predicted")], F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))

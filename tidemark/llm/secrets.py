@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import aside
 from tidemark.llm.spans import fixed, last_before, with_matches
 
 #: The strong patterns. Those of ``access`` and ``hex`` hold the least length, which for maximal runs
@@ -33,6 +34,8 @@ WEAK = {
 KINDS = [*STRONG, *WEAK]
 #: Code points between parts of one credential.
 SCOPE = 240
+#: Code points in a block that masking cuts from.
+CUT = 4096
 
 
 def _tagged(matches: Column, kind: str) -> Column:
@@ -67,8 +70,9 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Add ``base`` and ``found``: arrays of (start, rank of kind, end) of the strong spans, and of all spans."""
-    df = fixed(docs, _text=F.coalesce(F.col(text_col), F.lit("")))
+    """Add ``base`` and ``found``: arrays of (start, rank of kind, end) of the strong spans, and of all spans. Columns of these names are replaced."""
+    plain, names = aside(docs)
+    df = fixed(plain, _text=F.coalesce(F.col(names[text_col]), F.lit("")))
     df = with_matches(df, "_text", {f"_{k}": p for k, p in {**STRONG, **WEAK}.items()})
     long_enough = F.filter("_assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN_VALUE, 1)) >= LEAST_VALUE)
     df = fixed(df, **{k: _tagged(long_enough if k == "assign" else F.col(f"_{k}"), k) for k in KINDS})
@@ -85,7 +89,7 @@ def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFra
         df = fixed(df, **{f"_t_{kind}": F.zip_with(f"_c_{kind}", met, lambda c, n: n & ~c)})
     told = [F.filter(F.zip_with(k, f"_t_{k}", lambda s, t: F.when(t, s)), lambda s: s.isNotNull()) for k in needs]
     df = fixed(df, found=F.concat("base", F.when(weak, F.concat(*[F.coalesce(c, F.slice("base", 1, 0)) for c in told])).otherwise(F.slice("base", 1, 0))))
-    return df.select(*docs.columns, "base", "found")
+    return df.select(*[F.col(n).alias(c) for c, n in names.items() if c not in ("base", "found")], "base", "found")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,18 +100,22 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def mask(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every reported span replaced by ``mark``; overlapping spans become one mark."""
-    columns = docs.columns
-    df = scan(docs.select("*", F.col(text_col).alias("_whole")), "_whole")
-    df = fixed(df, _ordered=F.array_sort("found"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.concat(F.expr("substring(_whole, 1, 0)"), F.col("_whole").substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["kept"], F.array(between, F.lit(mark)))).otherwise(acc["kept"]).alias("kept"))
-
-    df = fixed(df, _done=F.aggregate("_ordered", start, step))
-    rest = F.expr("substring(_whole, cast(_done.at as int) + 1)")
-    masked = F.when(F.size("_ordered") > 0, F.concat(F.array_join("_done.kept", ""), rest)).otherwise(F.col("_whole"))
-    return df.select(*[masked.alias(c) if c == text_col else F.col(c) for c in columns])
+    """The documents with every reported span replaced by ``mark``; overlapping spans become one mark.
+
+    What stays lies between the ends so far and the next start beyond them; it is cut from blocks of the text, so that very
+    many secrets in a very long text cost little more than its length."""
+    plain, names = aside(docs)
+    df = fixed(scan(plain, names[text_col]), _ordered=F.array_sort("found"))
+    numbered = F.transform("_ordered", lambda s, i: F.struct(i.alias("pos"), s["end"].alias("val")))
+    df = last_before(df, "_upto", numbered, F.transform("_ordered", lambda s, i: i), False)
+    between = F.zip_with("_ordered", "_upto", lambda s, upto: F.struct(F.coalesce(upto, F.lit(0).cast("long")).alias("from"), s["start"].alias("to")))
+    rest = F.struct(F.array_max("_ordered.end").alias("from"), F.length(names[text_col]).cast("long").alias("to"))
+    some = F.size("_ordered") > 0
+    df = fixed(df, _stays=F.when(some, F.filter(F.concat(between, F.array(rest)), lambda g: g["to"] >= g["from"])), _blocks=F.when(some, F.regexp_extract_all(names[text_col], F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+
+    def cut(g: Column) -> Column:
+        first, last = F.floor(g["from"] / CUT).cast("int"), F.floor(g["to"] / CUT).cast("int")
+        return F.substring(F.array_join(F.slice("_blocks", first + 1, last - first + 1), ""), (g["from"] - first * CUT).cast("int") + 1, (g["to"] - g["from"]).cast("int"))
+
+    masked = F.when(some, F.array_join(F.transform("_stays", cut), mark)).otherwise(F.col(names[text_col]))
+    return df.select(*[(masked if c == text_col else F.col(n)).alias(c) for c, n in names.items()])
