@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, packing, quality, secrets, simhash
-from tidemark.llm.common import discard, durable, table
+from tidemark.llm.common import aside, discard, durable, table
 
 VOCAB = "word_bpe_49k.json"
 
@@ -40,13 +40,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Texts are told apart by id and text together: an id may be repeated or null.
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    keyed = docs.withColumn("_key", key)
-    groups = simhash.near_duplicates(keyed, id_col="_key")
+    plain, names = aside(docs)
+    id_, text = F.col(names["doc_id"]), F.coalesce(names["text"], F.lit(""))
+    keyed = plain.withColumn("_key", F.struct(id_.isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"), F.sha2(text, 256).alias("sha")))
+    groups = simhash.near_duplicates(keyed, id_col="_key", text_col=names["text"])
     stays = groups.where("_key = component_id").select("_key").distinct()
     named = keyed.join(stays, "_key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
-    return named.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*names.values())))
+    return named.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
