@@ -21,6 +21,8 @@ from tidemark.llm import line_dedup, packing, quality, secrets, simhash
 from tidemark.llm.common import aside, discard, durable, table
 
 VOCAB = "word_bpe_49k.json"
+#: The near-dup stage's key as a stored table gives it back; of one type on both sides, it needs one shuffle for join and window.
+KEY = "struct<unnamed: boolean, id: bigint, sha: string>"
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     # Texts are told apart by id and text together: an id may be repeated or null.
     plain, names = aside(docs)
     id_, text = F.col(names["doc_id"]), F.coalesce(names["text"], F.lit(""))
-    keyed = plain.withColumn("_key", F.struct(id_.isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"), F.sha2(text, 256).alias("sha")))
+    keyed = plain.withColumn("_key", F.struct(id_.isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"), F.sha2(text, 256).alias("sha")).cast(KEY))
     groups = simhash.near_duplicates(keyed, id_col="_key", text_col=names["text"])
     stays = groups.where("_key = component_id").select("_key").distinct()
     named = keyed.join(stays, "_key", "left_semi")
