@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn_graph, langid, line_dedup, packing, pii, pivots, quality, secrets, simhash
+from tidemark.llm import bpe, knn_graph, langid, line_dedup, packing, pii, pivots, quality, secrets, sentencepiece, simhash
 from tidemark.llm.common import held_out, table
 
-VOCAB = "word_bpe_49k.json"
+VOCAB, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: The key of the registered query; a user passes a secret of their own.
 PII_KEY = "tidemark registered query"
 
@@ -60,8 +60,12 @@ def op10_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc, op12_sentencepiece)}
 
 
 #: Exact top 5 by integer inner product, all rows against all queries.
