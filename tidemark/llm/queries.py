@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, knn_graph, langid, line_dedup, packing, pii, pivots, quality, secrets, sentencepiece, simhash
+from tidemark.llm import bond, bpe, knn_graph, langid, line_dedup, packing, pii, pivots, quality, secrets, sentencepiece, simhash
 from tidemark.llm.common import held_out, table
 
 VOCAB, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -64,8 +64,14 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc, op12_sentencepiece)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc, op12_sentencepiece, op13_bond_negatives)}
 
 
 #: Exact top 5 by integer inner product, all rows against all queries.
@@ -82,6 +88,26 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: All rows against all anchors, by label and by window.
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND NOT list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding])
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS alike, list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_suffixes": line_dedup.ORACLE, "op7_pivot_topk": TOPK_SQL}
+    return {"op5_line_suffixes": line_dedup.ORACLE, "op7_pivot_topk": TOPK_SQL, "op13_bond_negatives": NEGATIVES_SQL}
