@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bond, bpe, knn_graph, langid, line_dedup, packing, pii, pivots, quality, secrets, sentencepiece, simhash
+from tidemark.llm import bond, bpe, collocations, knn_graph, langid, line_dedup, packing, pii, pivots, quality, secrets, sentencepiece, simhash
 from tidemark.llm.common import held_out, table
 
 VOCAB, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -60,6 +60,10 @@ def op10_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
 
 
+def op11_collocations_son(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -71,7 +75,7 @@ def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc, op12_sentencepiece, op13_bond_negatives)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash_vptree, op4_quality_rules, op5_line_suffixes, op6_packing, op7_pivot_topk, op8_pii_surrogates, op9_secret_links, op10_langid_ecoc, op11_collocations_son, op12_sentencepiece, op13_bond_negatives)}
 
 
 #: Exact top 5 by integer inner product, all rows against all queries.
@@ -108,6 +112,41 @@ WITH v AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
 """
 
+#: All phrases of all pieces, counted.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sized AS (
+  SELECT lang, w, unnest([1, 2, 3, 4]) AS words FROM cut WHERE len(w) > 0
+), counted AS (
+  SELECT lang, words, phrase, count(*) AS a FROM (SELECT lang, words, unnest([array_to_string(w[i : i + words - 1], ' ') FOR i IN range(1, len(w) - words + 2)]) AS phrase FROM sized)
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE words > 1 AND a >= 30
+), cuts AS (
+  SELECT lang, phrase, words, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.words, c.a, h.a AS l, t.a AS r, (2000000::HUGEINT * c.a // (h.a + t.a))::BIGINT AS score
+  FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = c.head JOIN counted t ON t.lang = c.lang AND t.phrase = c.tail
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000::HUGEINT * c.a // (h.a + t.a), c.k) = 1
+), inner_phrases AS (
+  SELECT lang, a, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, words - size + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS size FROM candidates))
+), swallowed AS (
+  SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN swallowed x USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_suffixes": line_dedup.ORACLE, "op7_pivot_topk": TOPK_SQL, "op13_bond_negatives": NEGATIVES_SQL}
+    return {"op5_line_suffixes": line_dedup.ORACLE, "op7_pivot_topk": TOPK_SQL, "op11_collocations_son": COLLOCATIONS_SQL, "op13_bond_negatives": NEGATIVES_SQL}
