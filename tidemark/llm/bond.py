@@ -198,7 +198,7 @@ def _searched(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame, search: Ca
     named = pairs.select(F.col("chunk").alias("by"), F.col("block").alias("at"))
     right = named.join(blocks.withColumnRenamed("part", "at"), "at").repartition(tasks, "by", "at")
 
-    def found(key, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def found(key: tuple, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         hits = search(c.iloc[0], Block(b.iloc[0])) if len(c) and len(b) else []
         place, ids, scores = np.array(hits, np.int64).reshape(-1, 3).T
         return pd.DataFrame({"chunk": np.full(len(place), key[0], np.int64), "place": place, "id": ids, "score": scores})

@@ -229,7 +229,7 @@ def bitmap(keys: DataFrame) -> tuple[int, bytes]:
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (SPARSE * keys.count()).bit_length()))
     part = min(bits, PART_BITS)
 
-    def write(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(part, bool)
         out[frame["at"].to_numpy()] = True
         return pd.DataFrame({"nth": [key[0]], "raw": [np.packbits(out, bitorder="little").tobytes()]})
