@@ -7,8 +7,7 @@ reporting, bound a phrase's count from above; phrases whose bound is below the s
 Last, all shards count every phrase of the bitmap, as text, and the exact sums decide. Hashes only choose what is counted: whatever passes by chance
 is counted exactly like the rest and falls below the support, or belongs to the result.
 
-The number of shards follows the machines, so that a shard's share of the support is high as long as its words fit in memory; a task with more words is several
-shards. With so many shards that the share falls to one occurrence, the first count is complete by itself and its bounds are exact.
+Shards are as large as a task's memory allows, so that their share of the support is high, but not so large that machines stand idle. With so many shards that the share falls to one occurrence, the first count is complete by itself and its bounds are exact.
 
 Defined cases: null texts are empty; null languages are ``und``; a language without words has no rows; words are compared by their bytes with A-Z
 in lower case; repeated rows count as often as they are there, ids are not read; a text of any length is whole, and phrases don't cross texts.
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, durable
 
 #: Words that a shard holds at most, but for one buffer or one text more; bytes of text taken at a time.
-SHARD_WORDS, BUFFER = 14_000_000, 12_000_000
+SHARD_WORDS, BUFFER = 8_000_000, 8_000_000
 #: Keys that are sorted together.
 SORTED = 2_000_000
 #: Bits of a bitmap for each key, and of a bitmap at least and at most (2^28 bits are 32 MB).
@@ -132,17 +131,22 @@ class Bitmap:
         self.mask, self.bytes = np.uint64(bits - 1), np.frombuffer(raw, np.uint8)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        out = np.empty(len(keys), bool)
+        for a in range(0, len(keys), SORTED):
+            at = keys[a : a + SORTED] & self.mask
+            out[a : a + SORTED] = (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each is there; sorted in parts of bounded size."""
+def counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys that are there ``least`` times or more, and how often; sorted in parts of bounded size."""
     parts = 1 << max(0, (len(keys) // SORTED).bit_length())
-    if parts == 1:
-        return np.unique(keys, return_counts=True)
-    of = (keys >> np.uint64(64 - (parts - 1).bit_length())).astype(np.int64)
-    found = [np.unique(keys[of == p], return_counts=True) for p in range(parts)]
+    found = []
+    for p in range(parts):
+        own = np.sort(keys if parts == 1 else keys[(keys >> np.uint64(64 - (parts - 1).bit_length())) == p])
+        starts = np.flatnonzero(np.concatenate([own[:1] == own[:1], own[1:] != own[:-1]]))
+        counts = np.diff(np.append(starts, len(own)))
+        found.append((own[starts[counts >= least]], counts[counts >= least]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -150,27 +154,31 @@ def _member(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Which keys are among the chosen, or share the last 24 bits with one; enough to leave out most of the others."""
     table = np.zeros(1 << 24, bool)
     table[(chosen & np.uint64(0xFFFFFF)).astype(np.int64)] = True
-    return table[(keys & np.uint64(0xFFFFFF)).astype(np.int64)]
+    out = np.empty(len(keys), bool)
+    for a in range(0, len(keys), SORTED):
+        out[a : a + SORTED] = table[(keys[a : a + SORTED] & np.uint64(0xFFFFFF)).astype(np.int64)]
+    return out
 
 
 def mined(keys: np.ndarray, piece: np.ndarray, frequent: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For 2 to 4 words: the keys of all phrases of frequent words with at least so many occurrences in a shard, and their counts."""
-    at = np.flatnonzero(frequent[:-1] & frequent[1:] & (piece[:-1] == piece[1:])) if len(keys) > 1 else np.empty(0, np.int64)
-    heads, before = keys, np.ones(len(keys), bool)
+    at = np.flatnonzero(frequent[:-1] & frequent[1:] & (piece[:-1] == piece[1:])).astype(np.int32)
+    heads = keys[at]
     for words in range(2, LONGEST + 1):
-        phrase = joined(heads[at], keys[at + words - 1])
-        found, counts = counted(phrase)
-        enough = counts >= least
-        yield found[enough], counts[enough]
-        if words == LONGEST or not enough.any():
+        heads = joined(heads, keys[at + words - 1])
+        found, counts = counted(heads, least)
+        yield found, counts
+        if words == LONGEST or not len(found):
             return
         # A longer phrase needs both its parts, the one that starts with it and the one a word later.
-        fit = _member(phrase, found[enough])
-        heads, before = np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)
-        heads[at], before[at[fit]] = phrase, True
-        at = at[fit]
-        at = at[at + words < len(keys)]
-        at = at[before[at + 1] & (piece[at] == piece[at + words])]
+        fit = _member(heads, found)
+        at, heads = at[fit], heads[fit]
+        before = np.zeros(len(keys) + 1, bool)
+        before[at] = True
+        longer = before[at + 1] & (at + words < len(keys))
+        at, heads = at[longer], heads[longer]
+        same = piece[at] == piece[at + words]
+        at, heads = at[same], heads[same]
 
 
 def _buffers(batches) -> Iterator[tuple[str, Words]]:
@@ -213,10 +221,13 @@ def _shards(batches, most: int) -> Iterator[dict[str, tuple[np.ndarray, np.ndarr
 
 
 def _rows(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """Language and text, in as many tasks as the machines take twice over; partitions are put together, not dealt anew."""
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
     lang, text = F.coalesce(docs[lang_col].cast("string"), F.lit("und")), docs[text_col].cast("binary")
-    return docs.select(lang.alias("lang"), text.alias("text")).where("text is not null and length(text) > 0").coalesce(tasks)
+    return docs.select(lang.alias("lang"), text.alias("text")).where("text is not null and length(text) > 0")
+
+
+def _dealt(rows: DataFrame, words: int) -> DataFrame:
+    """The rows in tasks of a shard each, or as many as the machines take twice over; partitions are put together, not dealt anew."""
+    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-4 * words // (3 * SHARD_WORDS))))
 
 
 def _batch(lang: str, **columns) -> pa.RecordBatch:
@@ -334,7 +345,8 @@ def collocations(docs: DataFrame, support: int = 30, most: int = 2000, share: in
     words = every.where(F.col("f") >= support)
     frequent = bitmap(words)
     # One number for each language.
-    may = candidates(rows, {r["lang"]: r["n"] for r in totals.collect()}, frequent, support)
+    n = {r["lang"]: r["n"] for r in totals.collect()}
+    may = candidates(_dealt(rows, sum(n.values())), n, frequent, support)
     phrases = durable(phrase_counts(rows, frequent, bitmap(may)).where(F.col("a") >= support))
     best = durable(scored(phrases, words.select("lang", F.col("word").alias("phrase"), F.col("f").alias("a"))))
     kept = outlived(best, share).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
