@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import battle, choices, folds, joins, penalty, records, segments, windows
+from tidemark.operators import battle, choices, decoding, folds, joins, monotone, penalty, records, scans, segments, windows
 
 
 def reading(value, cost, support=1):
@@ -48,20 +48,43 @@ def test_decoding_equals_a_plain_viterbi():
             if rng.random() < 0.4:
                 held[rng.randint(0, 100)] = rng.uniform(0.02, 0.4)
             seen.append(held)
-        assert folds.decode_monotone(seen)[0].tolist() == plain_viterbi(seen)
+        assert decoding.cheapest_path(monotone.Monotone(), seen)[0].tolist() == plain_viterbi(seen)
 
 
 def test_counts_run_down_and_bridge_short_gaps(spark):
     values = [100, 100, 98, None, None, 92, 90]
     rows = [(1, i * 0.5, [] if v is None else [reading(v, 0.05)], True) for i, v in enumerate(values)]
-    got = folds.monotone_counts(spark.createDataFrame(rows, SCHEMA), ["key"]).orderBy("t").collect()
+    got = monotone.monotone_counts(spark.createDataFrame(rows, SCHEMA), ["key"]).orderBy("t").collect()
     assert [r["value"] for r in got] == [100, 100, 98, 96, 94, 92, 90]
     assert [r["source"] for r in got][2:6] == ["observed", "inferred", "inferred", "observed"]
 
 
+def long_timeline(n, seed, step=0.5):
+    """One key of so many ticks, with gaps in the readings and readings that are wrong."""
+    rng, level, rows = random.Random(seed), 100.0, []
+    for i in range(n):
+        level = max(0.0, level - (rng.random() < 0.3) * 90 / n * 3)
+        held = [] if rng.random() < 0.3 else [reading(int(level), rng.choice([0.02, 0.05, 0.1, 0.2]))]
+        if rng.random() < 0.2:
+            held.append(reading(rng.randint(0, 100), rng.choice([0.02, 0.1, 0.3])))
+        rows.append((1, i * step, held, rng.random() < 0.9))
+    return rows
+
+
+@pytest.mark.parametrize(("chunk", "fan"), [(10.0, 3), (37.0, 64), (1.5, 4)])
+def test_long_keys_decode_by_chunks_as_they_do_in_one_piece(spark, monkeypatch, chunk, fan):
+    monkeypatch.setattr(scans.scan, "__defaults__", (fan,))
+    rows = long_timeline(700, 5) + [(2, 3.0, [reading(97, 0.1)], True), (None, 1.0, [reading(99, 0.1)], True), (None, 90.0, [], True)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = monotone.monotone_counts(df, ["key"], chunk=None)
+    parts = monotone.monotone_counts(df, ["key"], chunk=chunk)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert whole.where("source = 'inferred'").count() > 5
+
+
 def test_counts_never_rise(spark):
     rows = [(1, float(i), [reading(v, 0.1)], True) for i, v in enumerate([100, 97, 99, 97, 96, 98, 95])]
-    got = [r["value"] for r in folds.monotone_counts(spark.createDataFrame(rows, SCHEMA), ["key"]).orderBy("t").collect()]
+    got = [r["value"] for r in monotone.monotone_counts(spark.createDataFrame(rows, SCHEMA), ["key"]).orderBy("t").collect()]
     assert got == sorted(got, reverse=True)
 
 

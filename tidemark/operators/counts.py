@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, joins, penalty
+from tidemark.operators import joins, monotone, penalty
 from tidemark.operators.chunks import framed
 
 READING = "array<struct<value: int, cost: double, support: int>>"
@@ -55,7 +55,7 @@ def count_timeline(samples: DataFrame, keys: list[str], earliest: float, latest:
     """``team_count, enemy_count, team_penalty, enemy_penalty`` and their sources at each tick; a side without a value reads 100 (0), held."""
     fine = cleaned(samples, keys, hidden)
     timed = fine.join(count_start(fine, keys, earliest), keys).where((F.col("t") >= F.col("start")) & (F.col("t") <= latest))
-    side = lambda c, name: folds.monotone_counts(timed.select(*keys, "t", F.col(c).alias("candidates"), F.lit(True).alias("visible")), keys).select(*keys, "t", F.col("value").alias(f"{name}_count"), F.col("source").alias(f"{name}_source"), F.col("confidence").alias(f"{name}_confidence"))
+    side = lambda c, name: monotone.monotone_counts(timed.select(*keys, "t", F.col(c).alias("candidates"), F.lit(True).alias("visible")), keys).select(*keys, "t", F.col("value").alias(f"{name}_count"), F.col("source").alias(f"{name}_source"), F.col("confidence").alias(f"{name}_confidence"))
     out = side("left", "team").join(side("right", "enemy"), [*keys, "t"], "left")
     for c, other, name in (("left_penalty", "left", "team"), ("right_penalty", "right", "enemy")):
         if with_penalty:

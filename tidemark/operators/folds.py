@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Values of a counter that runs down, and what a step costs the decoder.
-TOP, STEP_COST, DROP_COST, UNSEEN_COST = 100, 0.025, 0.07, 0.7
+#: Values of a counter that runs down.
+TOP = 100
 #: Seconds a reading may lie before an event or after its end, and how long after an event its countdown shows.
 BEFORE, AFTER, DELAY = 10.0, 7.0, 2.5
 
@@ -28,22 +28,36 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], fold, schema: T.St
     names = schema.fieldNames()
 
     def run(frames):
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            starts = _key_starts(frame, keys)
+        for frame, starts in _whole(frames, keys):
             out = [x for a, b in zip(starts[:-1], starts[1:], strict=True) if len(x := fold(frame.iloc[a:b]))]
             if out:
                 yield pd.concat(out, ignore_index=True)[names]
-            held = frame.iloc[starts[-1] :]
-        if held is not None and len(held):
-            yield fold(held)[names]
 
+    return _sorted(df, keys, order).mapInPandas(run, schema)
+
+
+def _sorted(df: DataFrame, keys: list[str], order: list[str], tasks: int | None = None) -> DataFrame:
     # The number of tasks is given, or small rows with much work each would be merged to one.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
+
+
+def _whole(frames, keys: list[str]):
+    """Frames that end where a key ends, and where their keys start, the end included. Batches of one key are put together once."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        if held and len(_key_starts(frame, keys)) == 1 and len(_key_starts(pd.concat([held[-1].tail(1), frame.head(1)]), keys)) == 1:
+            held.append(frame)
+            continue
+        whole = pd.concat([*held, frame], ignore_index=True) if held else frame.reset_index(drop=True)
+        starts = _key_starts(whole, keys)
+        if len(starts) > 1:
+            yield whole.iloc[: starts[-1]], starts
+        held = [whole.iloc[starts[-1] :]]
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, np.array([0, len(whole)])
 
 
 def _key_starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
@@ -55,35 +69,37 @@ def _key_starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(changes) + 1])
 
 
+def per_group(df: DataFrame, keys: list[str], order: list[str], reads: list[str], fold, out: list[tuple[str, T.DataType]], tasks: int | None = None) -> DataFrame:
+    """The keys and what ``fold`` makes of the columns ``reads`` of each key's rows: arrays of one length, or None. No frame is made for a key."""
+    schema = _schema(df, keys, *out)
+
+    def run(frames):
+        for frame, starts in _whole(frames, keys):
+            columns, made, whose = [frame[c].to_numpy() for c in reads], [], []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if (got := fold(*(c[a:b] for c in columns))) is not None and len(got[0]):
+                    made.append(got)
+                    whose.append(np.full(len(got[0]), a))
+            if made:
+                told = frame.iloc[np.concatenate(whose)][keys].reset_index(drop=True)
+                yield told.assign(**{n: np.concatenate([m[k] for m in made]) for k, (n, _) in enumerate(out)})
+
+    return _sorted(df.select(*dict.fromkeys([*keys, *order, *reads])), keys, order, tasks).mapInPandas(run, schema)
+
+
 def per_row(df: DataFrame, keys: list[str], order: list[str], reads: list[str], fold, *more: tuple[str, T.DataType]) -> DataFrame:
     """Like :func:`per_key` for folds that give each row some values: no frame is made for a key.
 
     ``fold`` gets the columns ``reads`` of a key's rows as arrays and returns the new columns ``more`` in that order."""
     kept = [*keys, *order]
-    schema = _schema(df, kept, *more)
-
-    def told(frame: pd.DataFrame, spans) -> pd.DataFrame:
-        columns = [frame[c].to_numpy() for c in reads]
-        parts = [fold(*(c[a:b] for c in columns)) for a, b in spans]
-        end = spans[-1][1]
-        return frame.iloc[:end][kept].assign(**{n: np.concatenate([p[k] for p in parts]) for k, (n, _) in enumerate(more)})
 
     def run(frames):
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            starts = _key_starts(frame, keys)
-            if len(starts) > 1:
-                yield told(frame, list(zip(starts[:-1], starts[1:], strict=True)))
-            held = frame.iloc[starts[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield told(held, [(0, len(held))])
+        for frame, starts in _whole(frames, keys):
+            columns = [frame[c].to_numpy() for c in reads]
+            parts = [fold(*(c[a:b] for c in columns)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            yield frame[kept].assign(**{n: np.concatenate([p[k] for p in parts]) for k, (n, _) in enumerate(more)})
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    needed = list(dict.fromkeys([*kept, *reads]))
-    return df.select(*needed).repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return _sorted(df.select(*dict.fromkeys([*kept, *reads])), keys, order).mapInPandas(run, _schema(df, kept, *more))
 
 
 #: What the decoders add to a tick.
@@ -98,36 +114,6 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(values))
 
 
-def decode_monotone(candidates: list[dict[int, float]], top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest never-rising path through readings (value -> cost for each tick) from ``top``; and what preceded each value.
-
-    Of equal predecessors the one nearest to the value counts, of equal ends the smallest value."""
-    n = top + 1
-    costs, back = np.full(n, np.inf), np.empty((len(candidates), n), np.int64)
-    costs[top] = 0.0
-    fall = STEP_COST + DROP_COST * np.arange(n)
-    fall[0] = 0.0
-    for i, seen in enumerate(candidates):
-        # A value that isn't read can only have been held; one that is read may be fallen to from any above.
-        back[i] = np.where(np.isfinite(costs), np.arange(n), -1)
-        if not seen:
-            continue
-        best, now = min(seen.values()), costs + UNSEEN_COST
-        for value, cost in seen.items():
-            ways = costs[value:] + fall[: n - value] + max(0.0, cost - best) * 4 + cost * 0.08
-            k = int(ways.argmin())
-            now[value] = ways[k]
-            back[i, value] = value + k if np.isfinite(ways[k]) else -1
-        costs = now
-    path = np.zeros(len(candidates), np.int64)
-    value = int(costs.argmin()) if len(candidates) else 0
-    before = np.zeros(len(candidates), np.int64)
-    for i in range(len(candidates) - 1, -1, -1):
-        path[i], before[i] = value, back[i][value]
-        value = value if back[i][value] < 0 else int(back[i][value])
-    return path, before
-
-
 def fill_short_gaps(path: np.ndarray, source: np.ndarray, visible: np.ndarray, most: int = 3) -> np.ndarray:
     """Which places to fill, with ``path`` changed there: a run of at most ``most`` held, visible ticks between two observed ones of
     which the later is lower lies on the line between them (rounded half up)."""
@@ -150,25 +136,6 @@ def cheapest(row, bonus: float, most: float, penalty=None) -> dict[int, float]:
     return held
 
 
-def monotone_counts(df: DataFrame, keys: list[str], time: str = "t") -> DataFrame:
-    """Readings ``candidates: array<struct<value, cost, support>>`` and ``visible`` to ``value, source, confidence`` at each tick."""
-
-    def fold(candidates, visible):
-        seen = []
-        for row in candidates:
-            sure = row is not None and any(c["value"] >= 10 and c["cost"] <= 0.3 for c in row)
-            seen.append(cheapest(row, 0.008, 0.04, lambda c, sure=sure: 0.3 if c["value"] < 10 and sure else 0.0))
-        path, before = decode_monotone(seen)
-        cost = np.array([s.get(int(v), np.nan) for s, v in zip(seen, path, strict=True)])
-        read = ~np.isnan(cost)
-        source = np.where(read, "observed", np.where(before == path, "held", "inferred")).astype(object)
-        sure = np.where(read, np.clip(1 - np.nan_to_num(cost) / 0.5, 0.4, 0.98), np.where(source == "held", 0.5, 0.4))
-        filled = fill_short_gaps(path, source, np.array([v is not None and v == True for v in visible], bool))  # noqa: E712
-        return path, np.where(filled, "inferred", source), np.where(filled, 0.62, sure)
-
-    return per_row(df, keys, [time], ["candidates", "visible"], fold, *DECODED)
-
-
 def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confidence: str, span: float = 3.0, cap: float = 0.65) -> DataFrame:
     """A value between two equal ones within ``span`` seconds takes theirs; from left to right, each seeing what was changed before."""
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, joins, penalty, segments, windows
+from tidemark.operators import folds, joins, monotone, penalty, segments, windows
 from tidemark.plans.adapters import timeline
 from tidemark.streaming import flows, lifecycle
 
@@ -33,7 +33,7 @@ def reading_type() -> str:
 
 
 def viterbi_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.monotone_counts(_readings(_sessions(spark, sf_dir)), KEYS)
+    return monotone.monotone_counts(_readings(_sessions(spark, sf_dir)), KEYS)
 
 
 def greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def hidden_then_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings near a hidden time are dropped before they are decoded."""
     rows = _sessions(spark, sf_dir)
     seen = joins.suppress_near(rows, rows.where("kind = 'error'").select(*KEYS, "t"), KEYS, "t", 300.0)
-    return folds.monotone_counts(_readings(seen), KEYS)
+    return monotone.monotone_counts(_readings(seen), KEYS)
 
 
 def _observations(events: DataFrame) -> DataFrame:
