@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import battle, choices, decoding, folds, joins, monotone, penalty, records, scans, segments, windows
+from tidemark.operators import battle, choices, decoding, folds, joins, monotone, penalty, picks, records, scans, segments, windows
 
 
 def reading(value, cost, support=1):
@@ -123,12 +123,45 @@ def test_flips_between_equal_neighbours_are_smoothed(spark):
 def test_greedy_spacing_counts_from_the_last_kept(spark):
     rows = [(1, t) for t in (0.0, 1.0, 2.0, 3.0, 4.0, 9.0)]
     df = spark.createDataFrame(rows, "key long, t double")
-    assert sorted(r["t"] for r in folds.greedy_spacing(df, ["key"], ["t"], 2.0).collect()) == [0.0, 2.0, 4.0, 9.0]
-    assert sorted(r["t"] for r in folds.greedy_spacing(df, ["key"], ["t"], 2.0, 2).collect()) == [0.0, 2.0]
+    assert sorted(r["t"] for r in picks.greedy_spacing(df, ["key"], ["t"], 2.0).collect()) == [0.0, 2.0, 4.0, 9.0]
+    assert sorted(r["t"] for r in picks.greedy_spacing(df, ["key"], ["t"], 2.0, 2).collect()) == [0.0, 2.0]
     # The window version compares with the row before, kept or not.
     assert sorted(r["t"] for r in windows.min_spacing(df, ["key"], ["t"], 2.0).collect()) == [0.0, 9.0]
 
 
+def plain_picks(times, least, most=None):
+    out, last = [], -float("inf")
+    for t in sorted(times):
+        if t - last >= least and (most is None or len(out) < most):
+            out.append(t)
+            last = t
+    return out
+
+
+@pytest.mark.parametrize(("least", "most", "chunk"), [(2.0, None, 5.0), (0.3, None, 1.0), (30.0, None, 4.0), (2.0, 17, 3.0), (0.1, None, 50.0)])
+def test_long_keys_are_picked_from_by_chunks(spark, monkeypatch, least, most, chunk):
+    monkeypatch.setattr(scans.scan, "__defaults__", (3,))
+    rng = random.Random(least)
+    times = sorted({round(rng.uniform(0, 100) + (40 if rng.random() < 0.2 else 0), 1) for _ in range(400)})
+    rows = [(1, t) for t in times] + [(2, 1.0), (None, 1.0), (None, 70.0), (1, None)]
+    got = picks.greedy_spacing(spark.createDataFrame(rows, "key long, t double"), ["key"], ["t"], least, most, chunk).collect()
+    want = [(1, t) for t in plain_picks(times, least, most)] + [(2, 1.0), *[(None, t) for t in plain_picks([1.0, 70.0], least, most)]]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
+def test_functions_of_chunks_are_what_picking_gives():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        times = np.sort(rng.integers(0, 60, rng.integers(1, 30)) / 10)
+        least = rng.integers(1, 30) / 10
+        last = times[0] - rng.integers(0, 40) / 10
+        first, second = times[: len(times) // 2], times[len(times) // 2 :]
+        plain = picks.kept(times, last, 0, least, None)
+        both = np.frombuffer(picks.composed(least)(picks.picked_from(first, least).tobytes(), picks.picked_from(second, least).tobytes())).reshape(3, -1)
+        end, count = picks.after(both, np.array([last]), np.zeros(1), least)
+        assert count[0] == len(plain) and end[0] == (times[plain[-1]] if len(plain) else last)
+
+
 def test_evidence_is_used_once_nearest_first(spark):
     events = spark.createDataFrame([(1, 20.0, 26.0, 0.7), (1, 40.0, 45.0, 0.8)], "key long, t double, end double, confidence double")
     evidence = spark.createDataFrame([(1, 21.0, 25.0, 0.9), (1, 25.0, 27.0, 0.6), (1, 80.0, 84.0, 0.75), (2, 5.0, 9.0, 0.5)], "key long, t double, end double, confidence double")

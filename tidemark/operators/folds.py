@@ -150,23 +150,6 @@ def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confiden
     return per_key(df, keys, [time], fold, df.schema)
 
 
-def greedy_spacing(df: DataFrame, keys: list[str], order: list[str], least: float, most: int | None = None) -> DataFrame:
-    """Rows at least ``least`` seconds after the last one that was kept, the first ``most`` of them."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        kept, last = [], -np.inf
-        for i, t in enumerate(frame[order[0]].tolist()):
-            if t - last >= least:
-                kept.append(i)
-                last = t
-                if most is not None and len(kept) >= most:
-                    break
-        return frame.iloc[kept]
-
-    return per_key(df, keys, order, fold, df.schema)
-
-
 def match_evidence(events: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     """Events ``t, end, confidence`` and readings ``t, end, confidence`` matched one to one, nearest first in the events' order.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds
+from tidemark.operators import picks
 from tidemark.operators.joins import asof
 from tidemark.operators.windows import CHUNK, neighbours
 
@@ -72,7 +72,7 @@ def opening_rosters(samples: DataFrame, keys: list[str], order: list[str], whole
     """The first ``most`` times, after ``skip``, at which a whole roster stands between whole ones, ``gap`` seconds from the last picked."""
     t = F.col(order[0])
     fit = surrounded(samples, keys, order, whole).where((t >= start + ROSTER_FROM) & (t < F.least(latest, start + ROSTER_UNTIL)))
-    picked = folds.greedy_spacing(fit, keys, order, gap, most + skip)
+    picked = picks.greedy_spacing(fit, keys, order, gap, most + skip)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return picked.withColumn("_nth", rank).where(F.col("_nth") > skip).drop("_nth")
 

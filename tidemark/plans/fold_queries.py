@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, joins, monotone, penalty, segments, windows
+from tidemark.operators import folds, joins, monotone, penalty, picks, segments, windows
 from tidemark.plans.adapters import timeline
 from tidemark.streaming import flows, lifecycle
 
@@ -50,7 +50,7 @@ def smooth_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.greedy_spacing(_sessions(spark, sf_dir), KEYS, ["t", "id"], 1800.0)
+    return picks.greedy_spacing(_sessions(spark, sf_dir), KEYS, ["t", "id"], 1800.0)
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
-from tidemark.operators import battle, checks, clips, documents, folds, joins, maps, readings, records, templates, windows
+from tidemark.operators import battle, checks, clips, documents, folds, joins, maps, picks, readings, records, templates, windows
 from tidemark.operators.chunks import numbered
 from tidemark.plans import search
 from tidemark.plans.adapters import MATCH_RECORDS_SQL, TIMELINE_SQL, match_records, table, timeline
@@ -368,7 +368,7 @@ pick AS (SELECT key, session, min(t) AS t FROM s GROUP BY ALL UNION ALL SELECT s
 SELECT key, session::BIGINT AS session, min(id) AS id FROM pick JOIN s USING (key, session, t) GROUP BY key, session, t""")
 def greedy_picks(spark, sf_dir):
     rows = windows.gap_sessions(timeline(spark, sf_dir), KEY, ORDER, 21_600.0)
-    return folds.greedy_spacing(rows.select("key", "session", "t", "id"), ["key", "session"], ORDER, 1800.0).select("key", "session", "id")
+    return picks.greedy_spacing(rows.select("key", "session", "t", "id"), ["key", "session"], ORDER, 1800.0).select("key", "session", "id")
 
 
 @registered(f"""WITH RECURSIVE {TIMELINE_SQL}, n AS (SELECT key, t, id, kind, row_number() OVER w AS nth, lead(kind) OVER w AS after, lead(t) OVER w AS after_t FROM timeline {_W}),
