@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
 from tidemark.operators.templates import bhattacharyya
-from tidemark.sources import recordings, stores
+from tidemark.sources import frame_source, recordings, stores
 from tidemark.vision import kernels, udfs
 
 
@@ -60,9 +60,11 @@ def test_frames_are_cut_timed_and_measured(spark, tmp_path):
     rng = np.random.default_rng(0)
     clip = rng.integers(0, 256, (5, 12, 16, 3), dtype=np.uint8)
     (tmp_path / "clip.rgb").write_bytes(clip.tobytes() + b"tail")
-    rows = recordings.frames(spark, f"file://{tmp_path}/clip.rgb", 16, 12, 0.25)
+    rows = frame_source.frames(spark, f"file://{tmp_path}/clip.rgb", 16, 12, 0.25)
     assert [(r["n"], r["t"]) for r in rows.orderBy("n").select("n", "t").collect()] == [(i, i * 0.25) for i in range(5)]
-    assert [r["n"] for r in recordings.frames(spark, f"file://{tmp_path}/clip.rgb", 16, 12, 0.25, 0.5, 1.0).orderBy("n").collect()] == [2, 3]
+    assert [r["n"] for r in frame_source.frames(spark, f"file://{tmp_path}/clip.rgb", 16, 12, 0.25, 0.5, 1.0).orderBy("n").collect()] == [2, 3]
+    fragments = recordings.fragment_frames(spark, f"file://{tmp_path}/clip.rgb", 16, 12, 0.25)
+    assert sorted((r["n"], r["t"], bytes(r["rgb"])) for r in fragments.collect()) == sorted((r["n"], r["t"], bytes(r["rgb"])) for r in rows.collect())
     got = udfs.frame_features(recordings.with_previous(rows), 16, 12).orderBy("n").collect()
     assert got[0]["difference"] == 0.0
     assert got[2]["difference"] == pytest.approx(np.abs(clip[2].astype(int) - clip[1].astype(int)).mean())
@@ -79,7 +81,7 @@ def test_fragments_stream_as_frames(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, n in (("a.rgb", 2), ("b.rgb", 3)):
         (tmp_path / "in" / name).write_bytes(bytes(range(12)) * n)
-    stream = recordings.frame_stream(spark, f"file://{tmp_path}/in", 2, 2, 0.5)
+    stream = recordings.fragment_stream(spark, f"file://{tmp_path}/in", 2, 2, 0.5)
     flows.run_once(stream, f"{tmp_path}/log", f"{tmp_path}/state")
     got = spark.read.parquet(f"{tmp_path}/log")
     assert sorted((r["n"], r["t"]) for r in got.select("n", "t").collect()) == [(0, 0.0), (0, 0.0), (1, 0.5), (1, 0.5), (2, 1.0)]

@@ -112,16 +112,16 @@ def _cut(files: DataFrame, width: int, height: int, interval: float, start: floa
     return timed.select("path", "n", "t", F.substring("content", F.col("n") * size + 1, F.lit(size)).alias("rgb"))
 
 
-def frames(spark: SparkSession, path: str, width: int, height: int, interval: float, start: float = 0.0, end: float | None = None, every: int = 1) -> DataFrame:
-    """``path, n, t, rgb`` of packed RGB24 recordings, one row per frame; ``start``, ``end`` and ``every`` choose before anything is cut out.
+def fragment_frames(spark: SparkSession, path: str, width: int, height: int, interval: float, start: float = 0.0, end: float | None = None, every: int = 1) -> DataFrame:
+    """``path, n, t, rgb`` of packed RGB24 recordings in a store that Spark alone reaches, one row per frame.
 
-    A file is one row of the reader, so a recording is stored in fragments that fit a task."""
+    A file is one row of Spark's own reader, so a recording is stored in fragments that fit a task; others are read by :func:`tidemark.sources.frame_source.frames`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return _cut(files, width, height, interval, start, end, every)
 
 
-def frame_stream(spark: SparkSession, path: str, width: int, height: int, interval: float, every: int = 1) -> DataFrame:
-    """The frames of fragments as they are added to a folder; a growing recording is written as one fragment after another."""
+def fragment_stream(spark: SparkSession, path: str, width: int, height: int, interval: float, every: int = 1) -> DataFrame:
+    """The frames of whole fragments as they are added to a folder of such a store."""
     files = spark.readStream.schema(_FILES).format("binaryFile").load(path)
     return _cut(files, width, height, interval, 0.0, None, every)
 
