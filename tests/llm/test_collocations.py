@@ -49,9 +49,10 @@ def run(spark, rows, **how):
     return sorted(tuple(r) for r in collocations.collocations(docs.repartition(5), **how).collect())
 
 
-@pytest.mark.parametrize(("shard", "buffer"), [(14_000_000, 12_000_000), (300, 900), (1, 1)])
-def test_equals_counting_everything(spark, monkeypatch, shard, buffer):
-    monkeypatch.setattr(collocations, "SHARD_WORDS", shard)
+@pytest.mark.parametrize(("shards", "stretch", "buffer"), [(8, 4_000_000, 8_000_000), (3, 300, 900), (40, 1, 1)])
+def test_equals_counting_everything(spark, monkeypatch, shards, stretch, buffer):
+    monkeypatch.setattr(collocations, "SHARDS", shards)
+    monkeypatch.setattr(collocations, "STRETCH", stretch)
     monkeypatch.setattr(collocations, "BUFFER", buffer)
     rows = made(1)
     want = brute(rows, 30)
@@ -82,23 +83,31 @@ def test_equal_keys_are_told_apart_by_their_checks():
     assert sorted(zip(first.tolist(), counts.tolist(), strict=True)) == [(0, 2), (1, 1), (2, 2)]
 
 
-def test_a_shard_reports_all_that_its_share_asks_for():
+def test_shards_are_mined_completely():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 6, 3000)
     keys, piece = collocations.mixed(words.astype(np.uint64)), np.sort(rng.integers(0, 200, 3000)).astype(np.int32)
-    for least in (1, 3, 20):
-        got = Counter()
-        for found, counts in collocations.mined(keys, piece, words != 5, least):
-            got.update(dict(zip(found.tolist(), counts.tolist(), strict=True)))
-        want = Counter()
-        for k in (2, 3, 4):
-            for i in range(3000 - k + 1):
-                if piece[i] == piece[i + k - 1] and (words[i : i + k] != 5).all():
-                    key = keys[i : i + 1]
-                    for j in range(1, k):
-                        key = collocations.joined(key, keys[i + j : i + j + 1])
-                    want[int(key[0])] += 1
-        assert got == Counter({p: c for p, c in want.items() if c >= least})
+    frequent = words != 5
+    want = {k: Counter() for k in (2, 3, 4)}
+    for k, counts in want.items():
+        for i in range(3000 - k + 1):
+            if piece[i] == piece[i + k - 1] and frequent[i : i + k].all():
+                key = keys[i : i + 1]
+                for j in range(1, k):
+                    key = collocations.joined(key, keys[i + j : i + j + 1])
+                counts[int(key[0])] += 1
+    told = lambda pairs: [dict(zip(f.tolist(), c.tolist(), strict=True)) for f, c in collocations.mined(keys, piece, frequent, pairs)]
+    assert told(None) == [want[2]]
+    everything = collocations.Bitmap(8, b"\xff")
+    assert told(everything) == [want[3], want[4]]
+
+
+def test_shares_leave_no_phrase_out():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = [("en", s, rng.choice([0, 1, 7, 1000])) for s in range(8)]
+        if sum(n for *_, n in sizes):
+            assert sum(x - 1 for x in collocations.shares_of(sizes, 30)["en"].values()) < 30
 
 
 def test_query_equals_its_sql(spark, sf_dir):

@@ -1,13 +1,12 @@
 """Phrases that are collocations, found by partitioning (SON).
 
-Words and pieces of text are cut out of whole buffers with numpy. Every task is a shard. First words are counted, whole. Then each shard mines its
-phrases completely at its share of the support (a phrase with f >= support in all has at least support * n_s / n, rounded up, in some shard s of n_s
-of the n words of its language): phrases of frequent words, longer ones of locally frequent parts. What a shard reports, and the most that a shard may hold without
-reporting, bound a phrase's count from above; phrases whose bound is below the support go. The union of the rest is kept as a bitmap of hashes of bounded size.
-Last, all shards count every phrase of the bitmap, as text, and the exact sums decide. Hashes only choose what is counted: whatever passes by chance
-is counted exactly like the rest and falls below the support, or belongs to the result.
-
-Shards are as large as a task's memory allows, so that their share of the support is high, but not so large that machines stand idle. With so many shards that the share falls to one occurrence, the first count is complete by itself and its bounds are exact.
+Words and pieces of text are cut out of whole buffers with numpy. First words are counted, whole. The input is in SHARDS shards, whatever its size; many tasks
+mine a shard together. Each is mined completely at its share of the support: a phrase with f >= support in all has at least support * n_s / n, rounded up, in
+some shard s of n_s of the n words of its language. First come pairs of frequent words, then phrases of three and four words all of whose
+pairs are left. What the shards report, and the most that a shard may hold without reporting, bound a phrase's count from above; phrases whose bound is
+below the support go. The union of the rest is kept as a bitmap of hashes of bounded size. Last, every phrase of the bitmap is counted in the whole
+input, as text, and the exact sums decide. Hashes only choose what is counted: whatever passes by chance is counted exactly like the rest and
+falls below the support, or belongs to the result.
 
 Defined cases: null texts are empty; null languages are ``und``; a language without words has no rows; words are compared by their bytes with A-Z
 in lower case; repeated rows count as often as they are there, ids are not read; a text of any length is whole, and phrases don't cross texts.
@@ -20,13 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, durable
 
-#: Words that a shard holds at most, but for one buffer or one text more; bytes of text taken at a time.
-SHARD_WORDS, BUFFER = 8_000_000, 8_000_000
+#: Shards of the input; words that a task mines at a time, but for one buffer or one text more; bytes of text taken at a time.
+SHARDS, STRETCH, BUFFER = 8, 4_000_000, 8_000_000
 #: Keys that are sorted together.
 SORTED = 2_000_000
 #: Bits of a bitmap for each key, and of a bitmap at least and at most (2^28 bits are 32 MB).
@@ -138,47 +138,34 @@ class Bitmap:
         return out
 
 
-def counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys that are there ``least`` times or more, and how often; sorted in parts of bounded size."""
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each is there; sorted in parts of bounded size."""
     parts = 1 << max(0, (len(keys) // SORTED).bit_length())
     found = []
     for p in range(parts):
         own = np.sort(keys if parts == 1 else keys[(keys >> np.uint64(64 - (parts - 1).bit_length())) == p])
         starts = np.flatnonzero(np.concatenate([own[:1] == own[:1], own[1:] != own[:-1]]))
-        counts = np.diff(np.append(starts, len(own)))
-        found.append((own[starts[counts >= least]], counts[counts >= least]))
+        found.append((own[starts], np.diff(np.append(starts, len(own)))))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _member(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Which keys are among the chosen, or share the last 24 bits with one; enough to leave out most of the others."""
-    table = np.zeros(1 << 24, bool)
-    table[(chosen & np.uint64(0xFFFFFF)).astype(np.int64)] = True
-    out = np.empty(len(keys), bool)
-    for a in range(0, len(keys), SORTED):
-        out[a : a + SORTED] = table[(keys[a : a + SORTED] & np.uint64(0xFFFFFF)).astype(np.int64)]
-    return out
-
-
-def mined(keys: np.ndarray, piece: np.ndarray, frequent: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 2 to 4 words: the keys of all phrases of frequent words with at least so many occurrences in a shard, and their counts."""
+def mined(keys: np.ndarray, piece: np.ndarray, frequent: np.ndarray, pairs: Bitmap | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of all pairs of frequent words; with ``pairs``, of all phrases of three and four words that hold such pairs alone."""
     at = np.flatnonzero(frequent[:-1] & frequent[1:] & (piece[:-1] == piece[1:])).astype(np.int32)
-    heads = keys[at]
-    for words in range(2, LONGEST + 1):
-        heads = joined(heads, keys[at + words - 1])
-        found, counts = counted(heads, least)
-        yield found, counts
-        if words == LONGEST or not len(found):
-            return
-        # A longer phrase needs both its parts, the one that starts with it and the one a word later.
-        fit = _member(heads, found)
-        at, heads = at[fit], heads[fit]
-        before = np.zeros(len(keys) + 1, bool)
-        before[at] = True
-        longer = before[at + 1] & (at + words < len(keys))
+    heads = joined(keys[at], keys[at + 1])
+    if pairs is None:
+        yield counted(heads)
+        return
+    fit = pairs.holds(heads)
+    at, heads = at[fit], heads[fit]
+    for words in range(3, LONGEST + 1):
+        # A longer phrase is one that starts with it, and one that starts a word later.
+        begins = np.zeros(len(keys) + 1, bool)
+        begins[at] = True
+        longer = begins[at + 1]
         at, heads = at[longer], heads[longer]
-        same = piece[at] == piece[at + words]
-        at, heads = at[same], heads[same]
+        heads = joined(heads, keys[at + words - 1])
+        yield counted(heads)
 
 
 def _buffers(batches) -> Iterator[tuple[str, Words]]:
@@ -195,29 +182,26 @@ def _buffers(batches) -> Iterator[tuple[str, Words]]:
     yield from ((x, Words(b"\n".join(texts))) for x, texts in waiting.items())
 
 
-def _shards(batches, most: int) -> Iterator[dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """Keys and pieces of the words of each language, as many buffers as a shard holds."""
+def _stretches(batches) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Language, keys and pieces of the words of as many buffers as are mined at a time."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     n = 0
 
-    def whole() -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        out = {}
+    def whole() -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for lang in list(held):
             parts = held.pop(lang)
             # Pieces of different buffers are different pieces.
             offset = np.cumsum([0, *[int(p[-1]) + 1 for _, p in parts[:-1]]]).astype(np.int32)
-            out[lang] = np.concatenate([k for k, _ in parts]), np.concatenate([p + o for (_, p), o in zip(parts, offset, strict=True)])
-        return out
+            yield lang, np.concatenate([k for k, _ in parts]), np.concatenate([p + o for (_, p), o in zip(parts, offset, strict=True)])
 
     for lang, words in _buffers(batches):
         if len(words.keys):
             held.setdefault(lang, []).append((words.keys, words.piece))
             n += len(words.keys)
-        if n >= most:
-            yield whole()
+        if n >= STRETCH:
+            yield from whole()
             n = 0
-    if held:
-        yield whole()
+    yield from whole()
 
 
 def _rows(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -225,11 +209,6 @@ def _rows(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), text.alias("text")).where("text is not null and length(text) > 0")
 
 
-def _dealt(rows: DataFrame, words: int) -> DataFrame:
-    """The rows in tasks of a shard each, or as many as the machines take twice over; partitions are put together, not dealt anew."""
-    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-4 * words // (3 * SHARD_WORDS))))
-
-
 def _batch(lang: str, **columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), **columns})
@@ -254,39 +233,54 @@ def bitmap(keys: DataFrame) -> tuple[int, bytes]:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """``lang, word, key, f`` of every word."""
+    """``lang, shard, word, key, f``: every word of a language, and without a word the number of all words of each shard."""
 
     def run(batches):
+        shard = TaskContext.get().partitionId() % SHARDS
         for lang, w in _buffers(batches):
             if len(w.keys):
                 first, counts = grouped(w.keys, w.checks())
-                yield _batch(lang, word=w.texts(first, 1), key=pa.array(w.keys[first].view(np.int64)), f=pa.array(counts, pa.int64()))
+                none = pa.array([None] * len(first), pa.int32())
+                yield _batch(lang, shard=none, word=w.texts(first, 1), key=pa.array(w.keys[first].view(np.int64)), f=pa.array(counts, pa.int64()))
+                yield _batch(lang, shard=pa.array([shard], pa.int32()), word=pa.array([None], pa.string()), key=pa.array([None], pa.int64()), f=pa.array([len(w.keys)], pa.int64()))
+
+    return rows.mapInArrow(run, "lang string, shard int, word string, key long, f long").groupBy("lang", "shard", "word").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
 
-    return rows.mapInArrow(run, "lang string, word string, key long, f long").groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
+
+def shares_of(sizes: list[tuple[str, int, int]], support: int) -> dict[str, dict[int, int]]:
+    """Each shard's share of the support, by language, from (language, shard, words): a phrase with the support has it in some shard.
+
+    That holds of any numbers of which each less one add up to less than the support, however rows are dealt to shards afterwards; these do."""
+    total: dict[str, int] = {}
+    for lang, _, n in sizes:
+        total[lang] = total.get(lang, 0) + n
+    out: dict[str, dict[int, int]] = {lang: {} for lang in total}
+    for lang, shard, n in sizes:
+        out[lang][shard] = -(-support * n // total[lang])
+    return out
 
 
-def candidates(rows: DataFrame, totals: dict[str, int], frequent: tuple[int, bytes], support: int) -> DataFrame:
-    """``lang, key``: phrases that may have the support, by what each shard mined at its share of it."""
-    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+def candidates(rows: DataFrame, shares: dict[str, dict[int, int]], frequent: tuple[int, bytes], pairs: tuple[int, bytes] | None, support: int) -> DataFrame:
+    """``lang, key``: phrases that may have the support, by what each shard holds at its share of it: pairs, or longer ones of these pairs."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((frequent, pairs))
 
     def run(batches):
-        known = Bitmap(*sent.value)
-        for shard in _shards(batches, SHARD_WORDS):
-            for lang in list(shard):
-                keys, piece = shard.pop(lang)
-                least = -(-support * len(keys) // totals[lang])
-                yield _batch(lang, key=pa.array([None], pa.int64()), over=pa.array([least - 1], pa.int64()))
-                for found, counts in mined(keys, piece, known.holds(keys), least):
-                    for at in range(0, len(found), SORTED):
-                        part = slice(at, at + SORTED)
-                        yield _batch(lang, key=pa.array(found[part].view(np.int64)), over=pa.array(counts[part] - (least - 1), pa.int64()))
-
-    told = durable(rows.mapInArrow(run, "lang string, key long, over long").groupBy("lang", "key").agg(F.sum("over").alias("over")))
-    # What all shards of a language together may hold without reporting it: one row for each language.
-    silent = told.where("key is null").select("lang", F.col("over").alias("silent"))
-    kept = durable(told.where("key is not null").join(silent, "lang").where(F.col("over") + F.col("silent") >= support).select("lang", "key"))
-    discard(told)
-    return kept
+        known, fit = (b and Bitmap(*b) for b in sent.value)
+        shard = TaskContext.get().partitionId() % SHARDS
+        for lang, keys, piece in _stretches(batches):
+            least = shares.get(lang, {}).get(shard, 1)
+            for found, counts in mined(keys, piece, known.holds(keys), fit):
+                for at in range(0, len(found), SORTED):
+                    own = found[at : at + SORTED]
+                    same = lambda v, n=len(own): pa.array(np.full(n, v), pa.int32())
+                    yield _batch(lang, shard=same(shard), least=same(least), key=pa.array(own.view(np.int64)), f=pa.array(counts[at : at + SORTED], pa.int64()))
+
+    told = rows.mapInArrow(run, "lang string, shard int, least int, key long, f long").groupBy("lang", "shard", "key").agg(F.sum("f").alias("f"), F.first("least").alias("least"))
+    over = told.where("f >= least").groupBy("lang", "key").agg(F.sum(F.col("f") - F.col("least") + 1).alias("over"))
+    # What all shards of a language together may hold without reporting it.
+    silent = spark.createDataFrame([(lang, sum(x - 1 for x in of.values())) for lang, of in shares.items()], "lang string, silent long")
+    return durable(over.join(silent, "lang").where(F.col("over") + F.col("silent") >= support).select("lang", "key"))
 
 
 def phrase_counts(rows: DataFrame, frequent: tuple[int, bytes], chosen: tuple[int, bytes]) -> DataFrame:
@@ -341,12 +335,14 @@ def collocations(docs: DataFrame, support: int = 30, most: int = 2000, share: in
     """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases of 2 to 4 words that occur ``support`` times or more."""
     rows = _rows(docs, lang_col, text_col)
     every = durable(word_counts(rows))
-    totals = durable(every.groupBy("lang").agg(F.sum("f").alias("n")))
-    words = every.where(F.col("f") >= support)
+    totals = durable(every.where("word is null").groupBy("lang").agg(F.sum("f").alias("n")))
+    # A number for each language and shard.
+    shares = shares_of([(r["lang"], r["shard"], r["f"]) for r in every.where("word is null").collect()], support)
+    words = every.where((F.col("f") >= support) & F.col("word").isNotNull())
     frequent = bitmap(words)
-    # One number for each language.
-    n = {r["lang"]: r["n"] for r in totals.collect()}
-    may = candidates(_dealt(rows, sum(n.values())), n, frequent, support)
+    pairs = candidates(rows, shares, frequent, None, support)
+    longer = candidates(rows, shares, frequent, bitmap(pairs), support)
+    may = pairs.union(longer)
     phrases = durable(phrase_counts(rows, frequent, bitmap(may)).where(F.col("a") >= support))
     best = durable(scored(phrases, words.select("lang", F.col("word").alias("phrase"), F.col("f").alias("a"))))
     kept = outlived(best, share).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
@@ -355,6 +351,6 @@ def collocations(docs: DataFrame, support: int = 30, most: int = 2000, share: in
     near = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most)
     top = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
     result = durable(top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
-    for done in (every, totals, may, phrases, best):
+    for done in (every, totals, pairs, longer, phrases, best):
         discard(done)
     return result
