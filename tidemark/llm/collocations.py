@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, durable
 
 #: Shards of the input; words that a task mines at a time, but for one buffer or one text more; bytes of text taken at a time.
-SHARDS, STRETCH, BUFFER = 8, 4_000_000, 8_000_000
-#: Keys that are sorted together.
-SORTED = 2_000_000
+SHARDS, STRETCH, BUFFER = 8, 2_500_000, 6_000_000
+#: Keys that are sorted together, and rows that leave a task together.
+SORTED, SENT = 1_000_000, 100_000
 #: Bits of a bitmap for each key, and of a bitmap at least and at most (2^28 bits are 32 MB).
 SPARSE, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 #: Bits of a part of a bitmap that one task writes.
@@ -209,9 +209,12 @@ def _rows(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), text.alias("text")).where("text is not null and length(text) > 0")
 
 
-def _batch(lang: str, **columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), **columns})
+def _batches(lang: str, **columns) -> Iterator[pa.RecordBatch]:
+    """Columns of one length, or single values that hold for all rows, as batches of bounded size."""
+    n = max(len(c) for c in columns.values() if isinstance(c, pa.Array))
+    whole = [pa.repeat(pa.scalar(lang, pa.string()), n), *[c if isinstance(c, pa.Array) else pa.repeat(c, n) for c in columns.values()]]
+    batch = pa.RecordBatch.from_arrays(whole, names=["lang", *columns])
+    return (batch.slice(at, SENT) for at in range(0, n, SENT))
 
 
 def bitmap(keys: DataFrame) -> tuple[int, bytes]:
@@ -240,9 +243,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for lang, w in _buffers(batches):
             if len(w.keys):
                 first, counts = grouped(w.keys, w.checks())
-                none = pa.array([None] * len(first), pa.int32())
-                yield _batch(lang, shard=none, word=w.texts(first, 1), key=pa.array(w.keys[first].view(np.int64)), f=pa.array(counts, pa.int64()))
-                yield _batch(lang, shard=pa.array([shard], pa.int32()), word=pa.array([None], pa.string()), key=pa.array([None], pa.int64()), f=pa.array([len(w.keys)], pa.int64()))
+                yield from _batches(lang, shard=pa.scalar(None, pa.int32()), word=w.texts(first, 1), key=pa.array(w.keys[first].view(np.int64)), f=pa.array(counts, pa.int64()))
+                yield from _batches(lang, shard=pa.scalar(shard, pa.int32()), word=pa.scalar(None, pa.string()), key=pa.scalar(None, pa.int64()), f=pa.array([len(w.keys)], pa.int64()))
 
     return rows.mapInArrow(run, "lang string, shard int, word string, key long, f long").groupBy("lang", "shard", "word").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
 
@@ -271,10 +273,7 @@ def candidates(rows: DataFrame, shares: dict[str, dict[int, int]], frequent: tup
         for lang, keys, piece in _stretches(batches):
             least = shares.get(lang, {}).get(shard, 1)
             for found, counts in mined(keys, piece, known.holds(keys), fit):
-                for at in range(0, len(found), SORTED):
-                    own = found[at : at + SORTED]
-                    same = lambda v, n=len(own): pa.array(np.full(n, v), pa.int32())
-                    yield _batch(lang, shard=same(shard), least=same(least), key=pa.array(own.view(np.int64)), f=pa.array(counts[at : at + SORTED], pa.int64()))
+                yield from _batches(lang, shard=pa.scalar(shard, pa.int32()), least=pa.scalar(least, pa.int32()), key=pa.array(found.view(np.int64)), f=pa.array(counts, pa.int64()))
 
     told = rows.mapInArrow(run, "lang string, shard int, least int, key long, f long").groupBy("lang", "shard", "key").agg(F.sum("f").alias("f"), F.first("least").alias("least"))
     over = told.where("f >= least").groupBy("lang", "key").agg(F.sum(F.col("f") - F.col("least") + 1).alias("over"))
@@ -302,7 +301,7 @@ def phrase_counts(rows: DataFrame, frequent: tuple[int, bytes], chosen: tuple[in
                     break
                 mark = joined(marks[at], checks[at + words - 1])
                 first, counts = grouped(phrase, mark)
-                yield _batch(lang, phrase=w.texts(at[first], words), words=pa.array(np.full(len(first), words), pa.int32()), a=pa.array(counts, pa.int64()))
+                yield from _batches(lang, phrase=w.texts(at[first], words), words=pa.scalar(words, pa.int32()), a=pa.array(counts, pa.int64()))
                 heads[at], marks[at] = phrase, mark
                 at = at[at + words < n]
                 at = at[w.piece[at] == w.piece[at + words]]
