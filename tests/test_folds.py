@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import battle, choices, decoding, folds, joins, monotone, penalty, picks, records, scans, segments, windows
+from tidemark.operators import battle, choices, decoding, folds, joins, matching, monotone, penalty, picks, records, scans, segments, windows
 
 
 def reading(value, cost, support=1):
@@ -165,7 +165,7 @@ def test_functions_of_chunks_are_what_picking_gives():
 def test_evidence_is_used_once_nearest_first(spark):
     events = spark.createDataFrame([(1, 20.0, 26.0, 0.7), (1, 40.0, 45.0, 0.8)], "key long, t double, end double, confidence double")
     evidence = spark.createDataFrame([(1, 21.0, 25.0, 0.9), (1, 25.0, 27.0, 0.6), (1, 80.0, 84.0, 0.75), (2, 5.0, 9.0, 0.5)], "key long, t double, end double, confidence double")
-    got = [tuple(r) for r in folds.match_evidence(events, evidence, ["key"]).orderBy("key", "nth").collect()]
+    got = [tuple(r) for r in matching.match_evidence(events, evidence, ["key"]).orderBy("key", "nth").collect()]
     assert got == [
         (1, 1, 18.5, 26.0, 0.9, 21.0, "evidence"),
         (1, 2, 22.5, 27.0, 0.6, 25.0, "evidence"),
@@ -175,6 +175,37 @@ def test_evidence_is_used_once_nearest_first(spark):
     ]
 
 
+def plain_matching(events, readings):
+    """Each event looks at all readings, in order of time."""
+    free, out = sorted(readings), []
+    for t, end, sure in sorted(events):
+        near = [(abs(r[0] - t), i) for i, r in enumerate(free) if r and t - 10 <= r[0] <= end + 7]
+        if not near:
+            out.append((t, end, sure, None, "event"))
+            continue
+        i = min(near)[1]
+        seen, free[i] = free[i], None
+        start = min(t, round(max(0.0, seen[0] - 2.5), 2))
+        out.append((start, end, max(sure, seen[2]), seen[0], "evidence" if start < t else "event"))
+    return sorted(map(str, out + [(round(max(0.0, r[0] - 2.5), 2), r[1], r[2], r[0], "evidence") for r in free if r]))
+
+
+@pytest.mark.parametrize("chunk", [None, 15.0, 1000.0])
+def test_matching_equals_looking_at_all_readings(spark, chunk):
+    rng = random.Random(7)
+    for span in (60, 600, 5000):
+        draw = lambda n, sure: [(float(rng.randint(0, span * 2)) / 2, 0.0, sure) for _ in range(n)]  # noqa: E731, B023
+        events = [(t, t + rng.randint(0, 12), c) for t, _, c in draw(60, 0.7)]
+        readings = [(t, t + 3.0, c) for t, _, c in draw(70, 0.8)]
+        schema = "key long, t double, end double, confidence double"
+        df = lambda rows: spark.createDataFrame([(k, *r) for k in (1, None) for r in rows], schema)  # noqa: E731, B023
+        got = matching.match_evidence(df(events), df(readings), ["key"], chunk).collect()
+        for key in (1, None):
+            own = [r for r in got if r["key"] == key]
+            assert sorted(str((r["t"], r["end"], r["confidence"], r["evidence_t"], r["source"])) for r in own) == plain_matching(events, readings)
+            assert [r["t"] for r in sorted(own, key=lambda r: r["nth"])] == sorted(r["t"] for r in own)
+
+
 def test_clusters_tracks_chains_and_peaks(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0), (1, 1.0, 5.0, 0.0, 3.0), (1, 2.0, 100.0, 0.0, 2.0), (1, 3.0, 7.0, 1.0, 2.5)], "key long, t double, x double, y double, score double")
     assert [r["cluster"] for r in folds.cluster_points(points, ["key"], ["t"], 18.0).orderBy("t").collect()] == [1, 1, 2, 1]
@@ -183,6 +214,23 @@ def test_clusters_tracks_chains_and_peaks(spark):
     assert sorted(r["score"] for r in folds.suppress_peaks(points, ["key"], 32.0, 6).collect()) == [2.0, 3.0]
 
 
+def test_long_intervals_stand_in_two_buckets(spark):
+    rng = random.Random(2)
+    spans = lambda n: [(1, i, float(s), float(s + rng.choice([0, 1, 5, 40, 300, 5000]))) for i in range(n) for s in [rng.randint(0, 6000)]]
+    left, right = spans(120) + [(1, 900, 0.0, 1e9)], spans(120) + [(1, 901, -1e8, 7000.0)]
+    df = lambda rows: spark.createDataFrame(rows, "key long, id long, start double, end double")
+    got = sorted((r["id"], r["right_id"], r["shared"]) for r in joins.interval_overlap(df(left), df(right), ["key"], 2.0).collect())
+    want = sorted((a[1], b[1], min(a[3], b[3]) - max(a[2], b[2])) for a in left for b in right if a[3] > b[2] and a[2] < b[3])
+    assert got == want
+    s, e = F.col("start"), F.col("end")
+    stood = joins._at_levels(df(left), s, e, 2.0, F.array(joins._level(s, e, 2.0))).groupBy("id").count()
+    assert stood.agg(F.max("count")).first()[0] <= 2
+    points = spark.createDataFrame([(1, float(t)) for t in range(0, 9000, 37)], "key long, t double")
+    held = sorted((r["t"], r["id"]) for r in joins.within_intervals(points, df(left), ["key"], "t", 2.0).collect())
+    assert held == sorted((float(t), a[1]) for t in range(0, 9000, 37) for a in left if a[2] <= t <= a[3])
+    assert joins.interval_overlap(df(left).limit(0), df(right), ["key"], 2.0).count() == joins.within_intervals(points, df(left).limit(0), ["key"], "t", 2.0).count() == 0
+
+
 def sample(t, down=0.05, up=0.05, gray=0.1, saturated=0.5):
     return (1, t, down, up, gray, saturated)
 

@@ -1,5 +1,7 @@
 """Every registered query that has SQL gives DuckDB's rows; all of them run on empty tables."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -19,7 +21,7 @@ def duck(sf_dir):
 def plain(value):
     if isinstance(value, bool) or value is None:
         return str(value)
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float, Decimal)):
         return f"{float(value):.4f}".replace("-0.0000", "0.0000")
     return str(value)
 

@@ -69,6 +69,18 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return _carried(local, keys, carry, ["_c"]).withColumn(name, F.coalesce("_l", F.lit(0)) + F.col("_c")).drop("_l", "_c", "_v", _CHUNK)
 
 
+def most_before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, chunk: float | None) -> DataFrame:
+    """Add ``name``: the greatest ``value`` of the rows before each, null where there is none."""
+    earlier = (Window.unboundedPreceding, -1)
+    if chunk is None:
+        return df.withColumn("_v", value).withColumn(name, F.max("_v").over(_within(keys, order, None).rowsBetween(*earlier))).drop("_v")
+    rows = _chunked(df, order, chunk).withColumn("_v", value)
+    totals = rows.groupBy(*keys, _CHUNK).agg(F.max("_v").alias("_t"))
+    carry = totals.withColumn("_c", F.max("_t").over(_over_chunks(keys).rowsBetween(*earlier)))
+    local = rows.withColumn("_l", F.max("_v").over(_within(keys, order, chunk).rowsBetween(*earlier)))
+    return _carried(local, keys, carry, ["_c"]).withColumn(name, F.greatest("_l", "_c")).drop("_l", "_c", "_v", _CHUNK)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, chunk: float | None) -> DataFrame:
     """Add ``name``: the place of each row in its key, from 1."""
     return running_sum(df, keys, order, F.lit(1), name, chunk)

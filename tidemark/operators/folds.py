@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 #: Values of a counter that runs down.
 TOP = 100
-#: Seconds a reading may lie before an event or after its end, and how long after an event its countdown shows.
-BEFORE, AFTER, DELAY = 10.0, 7.0, 2.5
 
 
 def _schema(df: DataFrame, names: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
@@ -150,39 +148,6 @@ def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confiden
     return per_key(df, keys, [time], fold, df.schema)
 
 
-def match_evidence(events: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
-    """Events ``t, end, confidence`` and readings ``t, end, confidence`` matched one to one, nearest first in the events' order.
-
-    A matched event starts no later than its reading less the delay and takes the greater confidence; a reading left over
-    becomes an event of its own. Events are numbered by time. Both sides are united and folded by key."""
-    columns = [*keys, "nth", "t", "end", "confidence", "evidence_t", "source"]
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        key = {k: frame[k].iloc[0] for k in keys}
-        rows = list(frame[["t", "end", "confidence", "_reading"]].itertuples(index=False, name=None))
-        free = [r[:3] for r in rows if r[3]]
-        out = []
-        for t, end, sure, reading in rows:
-            if reading:
-                continue
-            near = [(abs(r[0] - t), i) for i, r in enumerate(free) if r is not None and t - BEFORE <= r[0] <= end + AFTER]
-            if not near:
-                out.append((t, end, sure, None, "event"))
-                continue
-            i = min(near)[1]
-            seen, free[i] = free[i], None
-            start = min(t, round(max(0.0, seen[0] - DELAY), 2))
-            out.append((start, end, max(sure, seen[2]), seen[0], "evidence" if start < t else "event"))
-        out += [(round(max(0.0, r[0] - DELAY), 2), r[1], r[2], r[0], "evidence") for r in free if r is not None]
-        out.sort(key=lambda r: r[0])
-        return pd.DataFrame([{**key, "nth": n + 1, **dict(zip(columns[len(keys) + 1 :], r, strict=True))} for n, r in enumerate(out)], columns=columns)
-
-    double = T.DoubleType()
-    schema = _schema(events, keys, ("nth", T.LongType()), ("t", double), ("end", double), ("confidence", double), ("evidence_t", double), ("source", T.StringType()))
-    both = lambda df, reading: df.select(*keys, "t", "end", "confidence", F.lit(reading).alias("_reading"))
-    return per_key(both(events, False).union(both(evidence, True)), keys, ["t"], fold, schema)
-
-
 def cluster_points(df: DataFrame, keys: list[str], order: list[str], radius: float) -> DataFrame:
     """Add ``cluster``: each point ``x, y`` joins the nearest cluster within ``radius`` of its running mean, else starts one."""
 

@@ -61,29 +61,61 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, withi
     return left.join(best, row_id, "left")
 
 
+def _level(start: Column, end: Column, width: float) -> Column:
+    """How often ``width`` must be doubled to be as long as an interval: at that width it stands in two buckets at most."""
+    return F.when(end - start <= width, 0).otherwise(F.ceil(F.log2((end - start) / width)).cast("int"))
+
+
+def _at_levels(df: DataFrame, start: Column, end: Column, width: float, levels: Column) -> DataFrame:
+    """A row for each of these levels (``_l``) and each bucket (``_b``) touched at its width."""
+    wide = F.pow(F.lit(2.0), F.col("_l")) * width
+    each = df.withColumn("_l", F.explode(levels))
+    return each.withColumn("_b", F.explode(F.sequence(F.floor(start / wide), F.floor(end / wide))))
+
+
+def _levels(df: DataFrame, width: float) -> list[int]:
+    """The levels that intervals ``_s, _e`` stand at; at most some dozens, since each doubles the length."""
+    return sorted(r["l"] for r in df.select(_level(F.col("_s"), F.col("_e"), width).alias("l")).distinct().collect() if r["l"] is not None)
+
+
 def within_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, width: float, start: str = "start", end: str = "end") -> DataFrame:
     """Each point with every interval that holds it, ends included; the interval's other columns come as they are.
 
-    A point stands in its bucket of ``width`` seconds, an interval in all it touches, so ``width`` should be near the usual length."""
-    p = points.withColumn("_b", F.floor(F.col(time) / width)).alias("p")
-    i = _bucketed(intervals, F.col(start), F.col(end), width, "_b").alias("i")
-    on = (F.col("p._b") == F.col("i._b")) & (F.col(f"p.{time}") >= F.col(f"i.{start}")) & (F.col(f"p.{time}") <= F.col(f"i.{end}"))
+    An interval stands in two buckets at most, at the level of its length (``width`` seconds, doubled); a point stands in its bucket at each level there is."""
+    s, e = F.col(start), F.col(end)
+    levels = _levels(intervals.select(s.alias("_s"), e.alias("_e")), width)
+    p = _at_levels(points, F.col(time), F.col(time), width, F.array(*map(F.lit, levels)).cast("array<int>")).alias("p")
+    i = _at_levels(intervals, s, e, width, F.array(_level(s, e, width))).alias("i")
+    on = (F.col("p._l") == F.col("i._l")) & (F.col("p._b") == F.col("i._b")) & (F.col(f"p.{time}") >= F.col(f"i.{start}")) & (F.col(f"p.{time}") <= F.col(f"i.{end}"))
     for k in keys:
         on = on & (F.col(f"p.{k}") == F.col(f"i.{k}"))
     return p.join(i, on).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in intervals.columns if c not in keys])
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """Pairs of intervals ``start, end`` that overlap (end > start of the other), once each, with the part they share."""
-    l = _bucketed(left, F.col("start"), F.col("end"), width, "_b").alias("l")  # noqa: E741
-    r = _bucketed(right, F.col("start"), F.col("end"), width, "_b").alias("r")
-    on = (F.col("l._b") == F.col("r._b")) & (F.col("l.end") > F.col("r.start")) & (F.col("l.start") < F.col("r.end"))
-    for k in keys:
-        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    # Of the buckets two intervals share, only the first makes a row.
-    once = F.col("l._b") == F.floor(F.greatest(F.col("l.start"), F.col("r.start")) / width)
-    kept = l.join(r, on & once)
-    return kept.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}").alias(f"right_{c}") for c in right.columns], (F.least("l.end", "r.end") - F.greatest("l.start", "r.start")).alias("shared"))
+    """Pairs of intervals ``start, end`` that overlap (end > start of the other), once each, with the part they share.
+
+    Of two intervals the longer stands in two buckets at most, at the level of its length (``width`` seconds, doubled), however long it is; the shorter
+    is looked up at that level. Of two of one level the left one is looked up."""
+    s, e = F.col("start"), F.col("end")
+    own = _level(s, e, width)
+
+    def met(short: DataFrame, long: DataFrame, first: str, then: str, levels: list[int], least: Column) -> DataFrame:
+        higher = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= least)
+        a = _at_levels(short, s, e, width, higher).alias(first)
+        b = _at_levels(long, s, e, width, F.array(own)).alias(then)
+        on = (F.col("l._l") == F.col("r._l")) & (F.col("l._b") == F.col("r._b")) & (F.col("l.end") > F.col("r.start")) & (F.col("l.start") < F.col("r.end"))
+        for k in keys:
+            on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+        # Of the buckets two intervals share, only the first makes a row.
+        once = F.col("l._b") == F.floor(F.greatest(F.col("l.start"), F.col("r.start")) / (F.pow(F.lit(2.0), F.col("l._l")) * width))
+        shared = (F.least("l.end", "r.end") - F.greatest("l.start", "r.start")).alias("shared")
+        return a.join(b, on & once).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}").alias(f"right_{c}") for c in right.columns], shared)
+
+    of = lambda df: _levels(df.select(s.alias("_s"), e.alias("_e")), width)
+    lefts, rights = of(left), of(right)
+    out = met(left, right, "l", "r", rights, own)
+    return out if not rights or not lefts or lefts[-1] <= rights[0] else out.unionByName(met(right, left, "r", "l", lefts, own + 1))
 
 
 def suppress_near(df: DataFrame, hidden: DataFrame, keys: list[str], time: str, tolerance: float) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, joins, monotone, penalty, picks, segments, windows
+from tidemark.operators import folds, joins, matching, monotone, penalty, picks, segments, windows
 from tidemark.plans.adapters import timeline
 from tidemark.streaming import flows, lifecycle
 
@@ -55,7 +55,7 @@ def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _sessions(spark, sf_dir).select(*KEYS, "kind", F.col("t"), (F.col("t") + F.col("value") * 60).alias("end"), F.lit(0.7).alias("confidence"))
-    return folds.match_evidence(spans.where("kind = 'error'").drop("kind"), spans.where("kind = 'click'").drop("kind"), KEYS)
+    return matching.match_evidence(spans.where("kind = 'error'").drop("kind"), spans.where("kind = 'click'").drop("kind"), KEYS)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,7 +260,7 @@ def heading_predictions(spark, sf_dir):
 
 
 @registered(f"""WITH {TIMELINE_SQL}, m AS (SELECT e.key, e.t, c.value AS x, c.t AS ct FROM (SELECT * FROM timeline WHERE kind = 'error') e ASOF JOIN (SELECT * FROM timeline WHERE kind = 'click') c ON e.key = c.key AND e.t <= c.t)
-SELECT key, s, floor(t + s)::BIGINT AS t, round(x, 4) AS x, 55.0 + s * 11 AS radius, round(round(least(0.48, 0.5 * 0.9 * 0.72), 3) * exp(-s / 3.5), 3) AS confidence FROM (SELECT *, unnest(range(0, 7)) AS s FROM m WHERE ct - t <= 5000)""")
+SELECT key, s, floor(t + s)::BIGINT AS t, round(x, 4) AS x, (55.0 + s * 11)::DOUBLE AS radius, round(round(least(0.48, 0.5 * 0.9 * 0.72), 3) * exp(-s / 3.5), 3) AS confidence FROM (SELECT *, unnest(range(0, 7)) AS s FROM m WHERE ct - t <= 5000)""")
 def threat_zones(spark, sf_dir):
     rows = timeline(spark, sf_dir)
     deaths = rows.where("kind = 'error'").select("key", "t", F.lit(0.5).alias("confidence"))
