@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
 from tidemark.operators import choices, joins, records, templates, windows
-from tidemark.plans import fold_queries, record_queries, search
+from tidemark.plans import fold_queries, live_queries, record_queries, search
 from tidemark.plans.adapters import MATCH_RECORDS_SQL, TIMELINE_SQL, match_records, table, timeline
 from tidemark.plans.analytics import QuerySpec, cube_query, filter_records, rollup_audit, run_query
 
@@ -538,6 +538,8 @@ _SQL["stream_gap_sessions"] = f"WITH {_SESSIONS} SELECT key, count(*) AS rows, r
 
 _QUERIES.update(record_queries.QUERIES)
 _SQL.update(record_queries.SQL)
+_QUERIES.update(live_queries.QUERIES)
+_SQL.update(live_queries.SQL)
 
 
 def queries() -> dict[str, Query]:

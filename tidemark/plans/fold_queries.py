@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import folds, joins, matching, monotone, penalty, picks, segments, windows
+from tidemark.operators.tables import scratch
 from tidemark.plans.adapters import timeline
 from tidemark.streaming import flows, lifecycle
 
@@ -105,21 +103,12 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.lifecycle_batch(seen.withColumn("t", F.col("t") / 1e5), "key")
 
 
-def _scratch(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions found by a stream that takes in the event files and stops."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     timed = stream.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    at = _scratch(spark)
+    at = scratch(spark)
     flows.run_once(flows.sessions(timed, ["key"], "ts", f"{int(SESSION_GAP)} seconds"), f"{at}/log", f"{at}/state", "complete")
     seconds = lambda c: F.round(F.unix_micros(c) / 1e6, 3)
     return spark.read.parquet(f"{at}/log").select("key", "rows", seconds("start").alias("start"), seconds("end").alias("end"))
