@@ -54,6 +54,7 @@ def test_equals_counting_everything(spark, monkeypatch, shards, stretch, buffer)
     monkeypatch.setattr(collocations, "SHARDS", shards)
     monkeypatch.setattr(collocations, "STRETCH", stretch)
     monkeypatch.setattr(collocations, "BUFFER", buffer)
+    monkeypatch.setattr(collocations, "MINED", buffer)
     rows = made(1)
     want = brute(rows, 30)
     assert run(spark, rows) == want and want

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, durable
 
-#: Shards of the input; words that a task mines at a time, but for one buffer or one text more; bytes of text taken at a time.
-SHARDS, STRETCH, BUFFER = 8, 2_500_000, 6_000_000
-#: Keys that are sorted together, and rows that leave a task together.
-SORTED, SENT = 1_000_000, 100_000
+#: Shards of the input; words that a task mines at a time, but for one buffer or one text more; bytes of text taken at a time, to count and to mine.
+SHARDS, STRETCH, BUFFER, MINED = 8, 1_000_000, 6_000_000, 1_500_000
+#: Keys that are sorted together, rows that leave a task together, texts that are unpacked together.
+SORTED, SENT, UNPACKED = 250_000, 100_000, 256
 #: Bits of a bitmap for each key, and of a bitmap at least and at most (2^28 bits are 32 MB).
 SPARSE, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 #: Bits of a part of a bitmap that one task writes.
@@ -168,15 +168,15 @@ def mined(keys: np.ndarray, piece: np.ndarray, frequent: np.ndarray, pairs: Bitm
         yield counted(heads)
 
 
-def _buffers(batches) -> Iterator[tuple[str, Words]]:
+def _buffers(batches, most: int) -> Iterator[tuple[str, Words]]:
     """The words of the texts of each language, so many bytes at a time."""
     waiting: dict[str, list[bytes]] = {}
     size = 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for part in (batch.slice(at, UNPACKED) for batch in batches for at in range(0, batch.num_rows, UNPACKED)):
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             waiting.setdefault(lang, []).append(text)
             size += len(text)
-            if size > BUFFER:
+            if size > most:
                 yield from ((x, Words(b"\n".join(texts))) for x, texts in waiting.items())
                 waiting, size = {}, 0
     yield from ((x, Words(b"\n".join(texts))) for x, texts in waiting.items())
@@ -194,7 +194,7 @@ def _stretches(batches) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             offset = np.cumsum([0, *[int(p[-1]) + 1 for _, p in parts[:-1]]]).astype(np.int32)
             yield lang, np.concatenate([k for k, _ in parts]), np.concatenate([p + o for (_, p), o in zip(parts, offset, strict=True)])
 
-    for lang, words in _buffers(batches):
+    for lang, words in _buffers(batches, MINED):
         if len(words.keys):
             held.setdefault(lang, []).append((words.keys, words.piece))
             n += len(words.keys)
@@ -240,7 +240,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         shard = TaskContext.get().partitionId() % SHARDS
-        for lang, w in _buffers(batches):
+        for lang, w in _buffers(batches, BUFFER):
             if len(w.keys):
                 first, counts = grouped(w.keys, w.checks())
                 yield from _batches(lang, shard=pa.scalar(None, pa.int32()), word=w.texts(first, 1), key=pa.array(w.keys[first].view(np.int64)), f=pa.array(counts, pa.int64()))
@@ -288,7 +288,7 @@ def phrase_counts(rows: DataFrame, frequent: tuple[int, bytes], chosen: tuple[in
 
     def run(batches):
         known, wanted = (Bitmap(*b) for b in sent.value)
-        for lang, w in _buffers(batches):
+        for lang, w in _buffers(batches, BUFFER):
             keys, n = w.keys, len(w.keys)
             checks, fine = w.checks(), known.holds(keys)
             at = np.flatnonzero(fine[:-1] & fine[1:] & (w.piece[:-1] == w.piece[1:])) if n > 1 else np.empty(0, np.int64)
