@@ -114,6 +114,41 @@ def test_penalties_hold_through_flicker(spark):
     assert penalties(spark, [0, 0, 15, 0, 0, 0]) == [0] * 6
 
 
+def penalty_story(n, seed):
+    """A counter that comes, runs down, flickers and goes, with wrong readings and gaps."""
+    rng, out, level, rest = random.Random(seed), [], 0, 5
+    for i in range(n):
+        rest -= 1
+        if rest <= 0:
+            level, rest = (rng.randint(5, 40), rng.randint(4, 25)) if level == 0 else (0, rng.choice([3, 8, 30, 60]))
+        level = max(level - (rng.random() < 0.3), 1) if level else 0
+        held = [reading(level, rng.choice([0.02, 0.05, 0.1, 0.2]))] if level and rng.random() < 0.8 else []
+        if rng.random() < 0.08:
+            held.append(reading(rng.randint(0, 99), rng.choice([0.02, 0.1, 0.3])))
+        out.append((1, i * 0.5, held, bool(held), rng.random() < 0.7))
+    return out
+
+
+def test_penalty_costs_by_running_minima_are_those_of_all_moves():
+    rng, model = np.random.default_rng(5), penalty.Penalty()
+    for kind in ("visible", "absent", "hidden", "occluded"):
+        costs = rng.integers(0, 10**12, (30, 100))
+        costs[rng.random((30, 100)) < 0.3] = decoding.FAR
+        seen = {7: 0.1, 30: 0.02} if kind == "visible" else {}
+        dense = np.stack([np.minimum(model.step(row, (seen, kind))[0], decoding.FAR) for row in costs])
+        assert (np.minimum(model.least(costs, (seen, kind)), decoding.FAR) == dense).all()
+
+
+@pytest.mark.parametrize(("chunk", "seed"), [(20.0, 1), (133.0, 2)])
+def test_long_penalties_decode_by_chunks_as_they_do_in_one_piece(spark, monkeypatch, chunk, seed):
+    monkeypatch.setattr(scans.scan, "__defaults__", (3,))
+    df = spark.createDataFrame(penalty_story(900, seed) + [(2, 3.0, [reading(9, 0.1)], True, True)], PENALTY)
+    whole = penalty.penalty_counts(df, ["key"], chunk=None)
+    parts = penalty.penalty_counts(df, ["key"], chunk=chunk)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert whole.where("value > 0").count() > 100
+
+
 def test_flips_between_equal_neighbours_are_smoothed(spark):
     rows = [(1, float(i), v, 0.9) for i, v in enumerate(["a", "b", "a", "a", "c", "d", "a"])]
     got = folds.smooth_flips(spark.createDataFrame(rows, "key long, t double, v string, c double"), ["key"], "t", "v", "c").orderBy("t").collect()

@@ -101,12 +101,13 @@ def composed_maps(first: bytes, then: bytes) -> bytes:
 
 
 def decoded(
-    df: DataFrame, keys: list[str], order: list[str], reads: list[str], decoder, ticks_of: Callable, tell: Callable, more: tuple, chunk: float | None = CHUNK,
+    df: DataFrame, keys: list[str], order: list[str], reads: list[str], decoder, ticks_of: Callable, tell: Callable, more: tuple, chunk: float | None = CHUNK, long_form: tuple | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows ``keys, order, more``: of keys that fit a chunk, and of longer ones (with ``_chunk, _pos, _size``; None where there are none).
 
     ``ticks_of`` makes ticks for the decoder of the columns ``reads``; ``tell(path, value before, *columns)`` makes the columns ``more``. ``order`` must order
-    a key's rows completely."""
+    a key's rows completely. ``long_form`` stands for (prepare, reads, ticks_of, tell, more) of the longer keys, whose rows ``prepare`` gets first, where a
+    chunk alone can't tell what the whole can."""
 
     def alone(*columns):
         return tell(*cheapest_path(decoder, ticks_of(*columns)), *columns)
@@ -118,7 +119,11 @@ def decoded(
     if chunks.isEmpty():
         return per_row(df, keys, order, reads, alone, *more), None
     short = per_row(rows_of(df, keys, chunks, False), keys, order, reads, alone, *more)
-    rows = rows_of(df, keys, chunks, True).select(*dict.fromkeys([*keys, *order, *reads]))
+    rows = rows_of(df, keys, chunks, True)
+    if long_form:
+        prepare, reads, ticks_of, tell, more = long_form
+        rows = stored(prepare(rows))
+    rows = rows.select(*dict.fromkeys([*keys, *order, *reads]))
     group, binary = [*keys, "_chunk"], T.BinaryType()
 
     def chunked(heads: DataFrame, carried: list[str], fold, out: list) -> DataFrame:

@@ -7,8 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.folds import DECODED, cheapest, per_row, runs_of
+from tidemark.operators.chunks import framed, last_known, neighbours, run_numbers, running_sum
+from tidemark.operators.decoding import CHUNK, FAR, decoded, units
+from tidemark.operators.folds import DECODED, cheapest, per_group, runs_of
+from tidemark.operators.tables import stored
 
 VALUES = 100
 #: Fixed values. Costs up to which a reading makes a tick readable, and up to which it is clear.
@@ -38,44 +43,66 @@ def kinds_of(seen: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.select([seen & accompanied, lasting, other], ["visible", "occluded", "absent"], "hidden")
 
 
-def steps() -> tuple[np.ndarray, np.ndarray]:
-    """Cost from a value (column) to a value (row) where the counter is absent, and elsewhere."""
-    now, was = np.arange(VALUES)[:, None], np.arange(VALUES)[None, :]
-    drop = was - now
-    falling = np.where(drop <= 4, 0.16 + drop * 0.02, 0.45 + drop * 0.004)
-    cost = np.where(drop > 0, falling, 0.4 - drop * 0.004)
-    cost = np.where(was == 0, 0.12 + now * 0.001, cost)
-    to_zero = lambda c: np.where(drop == 0, 0.0, np.where((now == 0) & (was > 0), c, cost))
-    return to_zero(0.06), to_zero(0.9)
-
-
-def viterbi(read: list[dict[int, float]], kind) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest path from 0 and the value before each step; first of equals on both axes."""
-    gone, there = steps()
-    costs, back = np.full(VALUES, np.inf), []
-    costs[0] = 0.0
-    moved = 0.4 * (1 - np.eye(VALUES))
-    of = {"absent": gone, "visible": there, "hidden": there + moved, "occluded": there + moved}
-    for seen, k in zip(read, kind, strict=True):
-        if k == "visible":
-            emission = np.full(VALUES, 0.2)
-            emission[0] = 1.4
+#: A drop up to SMALL and one beyond it, each with what a step more costs; a rise; a start from nothing; a fall to nothing, where the counter
+#: is absent and elsewhere; what any move costs where the counter isn't seen; a value that isn't read, and nothing, where it is; weights of a reading's cost.
+SMALL, FALL, DROP, RISE, START, GONE, LOST, UNSEEN_MOVE = 4, (0.16, 0.02), (0.45, 0.004), (0.4, 0.004), (0.12, 0.001), 0.06, 0.9, 0.4
+OTHERS, NOTHING, BEYOND_BEST, OWN, ABSENT, HIDDEN = 0.2, 1.4, 3, 0.15, 0.6, 0.025
+
+
+class Penalty:
+    """Ticks are (readings value -> cost, kind of tick). The counter may appear, run down, jump and go, each at its price."""
+
+    values, start = VALUES, 0
+
+    def __init__(self):
+        now, was = np.arange(VALUES)[:, None], np.arange(VALUES)[None, :]
+        drop = was - now
+        cost = np.where(drop > 0, np.where(drop <= SMALL, FALL[0] + drop * FALL[1], DROP[0] + drop * DROP[1]), RISE[0] - drop * RISE[1])
+        cost = np.where(was == 0, START[0] + now * START[1], cost)
+        to_zero = lambda c: units(np.where(drop == 0, 0.0, np.where((now == 0) & (was > 0), c, cost)))
+        gone, there = to_zero(GONE), to_zero(LOST)
+        unseen = there + units(UNSEEN_MOVE) * (1 - np.eye(VALUES, dtype=np.int64))
+        self.moves = {"absent": gone, "visible": there, "hidden": unseen, "occluded": unseen}
+        place = np.arange(VALUES)
+        self.small, self.drop, self.rise, self.begin = (units(c) for c in (FALL[0] + place * FALL[1], place * DROP[1], place * RISE[1], START[0] + place * START[1]))
+        self.drop_base, self.rise_base, self.extra = int(units(DROP[0])), int(units(RISE[0])), int(units(UNSEEN_MOVE))
+        self.to_zero = {"absent": int(units(GONE)), "visible": int(units(LOST))}
+
+    def emission(self, seen: dict[int, float], kind: str) -> np.ndarray:
+        if kind == "visible":
+            out = np.full(VALUES, OTHERS)
+            out[0] = NOTHING
             best = min(seen.values(), default=0.0)
             for v, c in seen.items():
-                emission[v] = max(0.0, c - best) * 3 + c * 0.15
-        elif k == "absent":
-            emission = np.where(np.arange(VALUES) == 0, 0.0, 0.6)
+                out[v] = max(0.0, c - best) * BEYOND_BEST + c * OWN
+        elif kind == "absent":
+            out = np.where(np.arange(VALUES) == 0, 0.0, ABSENT)
         else:
-            emission = np.full(VALUES, 0.025)
-        total = costs[None, :] + of[k] + emission[:, None]
-        back.append(total.argmin(axis=1))
-        costs = total.min(axis=1)
-    value = int(costs.argmin())
-    path, before = np.zeros(len(read), np.int64), np.zeros(len(read), np.int64)
-    for i in range(len(read) - 1, -1, -1):
-        path[i] = value
-        before[i] = value = int(back[i][value])
-    return path, before
+            out = np.full(VALUES, HIDDEN)
+        return units(out)
+
+    def step(self, costs: np.ndarray, tick: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The first of equals on both axes counts."""
+        seen, kind = tick
+        total = costs[None, :] + self.moves[kind] + self.emission(seen, kind)[:, None]
+        return total.min(axis=1), total.argmin(axis=1).astype(np.uint8)
+
+    def least(self, costs: np.ndarray, tick: tuple) -> np.ndarray:
+        """The same least costs for many rows: the prices of falls and rises are linear in the distance, so running minima say them all."""
+        seen, kind = tick
+        extra = 0 if kind in ("absent", "visible") else self.extra
+        best = np.full_like(costs, FAR)
+        for d in range(1, SMALL + 1):
+            best[:, :-d] = np.minimum(best[:, :-d], costs[:, d:] + self.small[d])
+        # From far above: the price grows with the value before.
+        above = np.minimum.accumulate((costs + self.drop)[:, ::-1], axis=1)[:, ::-1]
+        best[:, : -SMALL - 1] = np.minimum(best[:, : -SMALL - 1], above[:, SMALL + 1 :] - self.drop[: -SMALL - 1] + self.drop_base)
+        # From below, but not from nothing.
+        below = np.minimum.accumulate((costs - self.rise)[:, 1:], axis=1)
+        best[:, 2:] = np.minimum(best[:, 2:], below[:, :-1] + self.rise[2:] + self.rise_base)
+        best[:, 1:] = np.minimum(best[:, 1:], costs[:, :1] + self.begin[1:])
+        best[:, 0] = costs[:, 1:].min(axis=1) + self.to_zero.get(kind, self.to_zero["visible"])
+        return np.minimum(costs, best + extra) + self.emission(seen, kind)
 
 
 def unconfirmed(path: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -142,30 +169,122 @@ def bridged(path: np.ndarray, time) -> np.ndarray:
     return given
 
 
-def penalty_counts(df: DataFrame, keys: list[str], time: str = "t") -> DataFrame:
-    """Readings ``visible, candidates: array<struct<value, cost, support>>`` and ``other_visible`` to ``value, source, confidence``."""
-
-    def fold(times, candidates, visible, other):
-        flag = lambda c: np.array([v is not None and v == True for v in c], bool)  # noqa: E712, E731
-        readable = [r is not None and any(c["cost"] <= READABLE for c in r) for r in candidates]
-        seen = flag(visible) & np.array(readable, bool)
-        read = [{v: c for v, c in cheapest(r, 0.012, 0.06).items() if 0 < v < VALUES} for r in candidates]
-        kind = kinds_of(seen, flag(other))
-        path, before = viterbi(read, kind)
-        cost = np.array([r.get(int(v), np.nan) for r, v in zip(read, path, strict=True)])
-        told, none, same = ~np.isnan(cost), (kind == "absent") & (path == 0), before == path
-        source = np.where(told | none, "observed", np.where(same, "held", "inferred")).astype(object)
-        sure = np.select([told, none, same], [np.clip(1 - np.nan_to_num(cost) / 0.5, 0.35, 0.98), 0.9, HELD], 0.35)
-        early = unconfirmed(path, seen)
-        path[early] = 0
-        source[early], sure[early] = "held", np.minimum(sure[early], HELD)
-        for a, b, v in early_rises(read):
-            mine = np.array([r.get(v, np.nan) for r in read[a:b]])
-            path[a:b] = v
-            source[a:b] = np.where(np.isnan(mine), "held", "observed")
-            sure[a:b] = np.where(np.isnan(mine), HELD, np.clip(1 - np.nan_to_num(mine) / 0.5, 0.35, 0.98))
-        gave = bridged(path, times)
-        source[gave], sure[gave] = "held", np.minimum(sure[gave], HELD)
-        return path, source, sure
-
-    return per_row(df, keys, [time], [time, "candidates", "visible", "other_visible"], fold, *DECODED)
+def _flag(c) -> np.ndarray:
+    return np.array([v is not None and v == True for v in c], bool)  # noqa: E712
+
+
+def _readings(candidates) -> list[dict[int, float]]:
+    return [{v: c for v, c in cheapest(r, 0.012, 0.06).items() if 0 < v < VALUES} for r in candidates]
+
+
+def _seen(candidates, visible) -> np.ndarray:
+    return _flag(visible) & np.array([r is not None and any(c["cost"] <= READABLE for c in r) for r in candidates], bool)
+
+
+def _sources(path, before, read, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Where each tick's value is from, and how sure it is."""
+    cost = np.array([r.get(int(v), np.nan) for r, v in zip(read, path, strict=True)])
+    told, none, same = ~np.isnan(cost), (kind == "absent") & (path == 0), before == path
+    source = np.where(told | none, "observed", np.where(same, "held", "inferred")).astype(object)
+    return source, np.select([told, none, same], [np.clip(1 - np.nan_to_num(cost) / 0.5, 0.35, 0.98), 0.9, HELD], 0.35)
+
+
+def _give_up(path, source, sure, early) -> None:
+    path[early] = 0
+    source[early], sure[early] = "held", np.minimum(sure[early], HELD)
+
+
+def _repair(path, source, sure, read, times) -> None:
+    """Rises that came too early, and what flicker parted, in place."""
+    for a, b, v in early_rises(read):
+        mine = np.array([r.get(v, np.nan) for r in read[a:b]])
+        path[a:b] = v
+        source[a:b] = np.where(np.isnan(mine), "held", "observed")
+        sure[a:b] = np.where(np.isnan(mine), HELD, np.clip(1 - np.nan_to_num(mine) / 0.5, 0.35, 0.98))
+    gave = bridged(path, times)
+    source[gave], sure[gave] = "held", np.minimum(sure[gave], HELD)
+
+
+def _told(path, before, times, candidates, visible, other):
+    seen, read = _seen(candidates, visible), _readings(candidates)
+    source, sure = _sources(path, before, read, kinds_of(seen, _flag(other)))
+    _give_up(path, source, sure, unconfirmed(path, seen))
+    _repair(path, source, sure, read, times)
+    return path, source, sure
+
+
+#: Ticks without a reading on both sides of a cut, so that no count of clear readings reaches over it; ticks in which a long run shows.
+APART, STEADY = 4, 12
+_LONG = (*DECODED, ("_first", T.IntegerType()), ("_seen", T.BooleanType()))
+
+
+def _prepared(keys: list[str], order: list[str], chunk: float):
+    """Add ``_kind``, which looks at the ticks around each, to rows of long keys."""
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        readable = F.exists("candidates", lambda c: c["cost"] <= READABLE)
+        flags = rows.withColumn("_seen", (F.coalesce("visible", F.lit(False)) & F.coalesce(readable, F.lit(False))).cast("int")).withColumn("_other", F.coalesce("other_visible", F.lit(False)))
+
+        def kinds(w) -> dict:
+            count = lambda a, b: F.coalesce(F.sum("_seen").over(w.rowsBetween(a, b)), F.lit(0))
+            seen, accompanied = F.col("_seen") == 1, count(-NEIGHBOURS, NEIGHBOURS) >= 2
+            lasting = F.when(seen, accompanied).otherwise((count(-SURROUNDED, -1) > 0) & (count(1, SURROUNDED) > 0)) | (count(-RECENT, -1) > 0)
+            return {"_kind": F.when(seen & accompanied, "visible").when(lasting, "occluded").when(F.col("_other"), "absent").otherwise("hidden")}
+
+        return framed(flags, keys, order, SURROUNDED, SURROUNDED, kinds, chunk).drop("_seen", "_other")
+
+    return prepare
+
+
+def _long_told(path, before, candidates, visible, kind):
+    seen, read = _seen(candidates, visible), _readings(candidates)
+    source, sure = _sources(path, before, read, kind)
+    first = np.array([min(r, key=r.get) if r else None for r in read], object)
+    return path, source, sure, first, seen
+
+
+def _repaired(rows: DataFrame, keys: list[str], order: list[str], chunk: float) -> DataFrame:
+    """The repairs over long keys: what isn't confirmed goes by windows; the rest by stretches that no repair reaches over.
+
+    A stretch may end in the middle of a gap without readings, of a run that is too long to be bridged, where no rise lies across. A key whose
+    counter never rests so long is one stretch."""
+    numbered = run_numbers(rows.withColumn("_on", F.col("value") > 0), keys, order, ["_on"], lambda b, n: b["_on"] != n["_on"], "_run", chunk)
+    near = neighbours(numbered, keys, order, ["_seen"], chunk, before="_b")
+    twice = F.col("_on") & F.col("_seen") & (F.col("_b").isNull() | F.col("_b._seen"))
+    sure = last_known(near, keys, order, F.when(twice, F.col("_run")), chunk, before="_sure")
+    early = F.col("_on") & ~F.coalesce(F.col("_sure") == F.col("_run"), F.lit(False))
+    given = sure.withColumns({"value": F.when(early, 0).otherwise(F.col("value")), "source": F.when(early, "held").otherwise(F.col("source")), "confidence": F.when(early, F.least("confidence", F.lit(HELD))).otherwise(F.col("confidence"))})
+    given = given.drop("_on", "_run", "_b", "_sure")
+    known = last_known(given, keys, order, F.col("_first"), chunk, before="_old", after="_new")
+
+    def cuts(w) -> dict:
+        past = w.rowsBetween(-STEADY, 0)
+        steady = (F.min("value").over(past) == F.max("value").over(past)) & (F.count("*").over(past) > STEADY) & (F.col(order[0]) - F.min(order[0]).over(past) > WANDERED)
+        around = w.rowsBetween(-APART, APART - 1)
+        silent = (F.count("_first").over(around) == 0) & (F.count("*").over(around) == 2 * APART)
+        return {"_cut": (steady & silent & ~F.coalesce((F.col("_old") > 0) & (F.col("_old") < F.col("_new")), F.lit(False))).cast("int")}
+
+    cut = running_sum(framed(known, keys, order, STEADY, APART, cuts, chunk), keys, order, F.col("_cut"), "_stretch", chunk)
+
+    def fold(times, value, source, confidence, candidates, *rest):
+        value, source, confidence = value.astype(np.int64), source.copy(), confidence.copy()
+        _repair(value, source, confidence, _readings(candidates), times)
+        return [*rest, value, source, confidence]
+
+    out = [*[(c, rows.schema[c].dataType) for c in order], *DECODED]
+    return per_group(cut, [*keys, "_stretch"], order, [order[0], "value", "source", "confidence", "candidates", *order], fold, out)
+
+
+def penalty_counts(df: DataFrame, keys: list[str], time: str = "t", tie: list[str] | None = None, chunk: float | None = CHUNK) -> DataFrame:
+    """Readings ``visible, candidates: array<struct<value, cost, support>>`` and ``other_visible`` to ``value, source, confidence``.
+
+    Keys longer than ``chunk`` seconds are decoded chunk by chunk, with the same result. ``tie``: columns that order ticks of one time."""
+    order = [time, *(tie or [])]
+    ticks = lambda _, candidates, visible, other: list(zip(_readings(candidates), kinds_of(_seen(candidates, visible), _flag(other)), strict=True))
+    kept = ("candidates", df.schema["candidates"].dataType)
+    long_ticks = lambda candidates, _, kind: list(zip(_readings(candidates), kind, strict=True))
+    tell = lambda path, before, candidates, visible, kind: (*_long_told(path, before, candidates, visible, kind), candidates)
+    long_form = (_prepared(keys, order, chunk), ["candidates", "visible", "_kind"], long_ticks, tell, (*_LONG, kept)) if chunk is not None else None
+    short, long = decoded(df, keys, order, [time, "candidates", "visible", "other_visible"], Penalty(), ticks, _told, DECODED, chunk, long_form)
+    names = [*keys, *order, *[n for n, _ in DECODED]]
+    return short.select(*names) if long is None else short.select(*names).unionByName(_repaired(stored(long), keys, order, chunk).select(*names))
