@@ -154,6 +154,28 @@ def test_isolated_pairs_among_many_vectors_are_found(spark, tmp_path):
     assert all(r["audited_recall"] >= 0.999 and r["component_id"] in (r["vec_id"], r["vec_id"] - 20_000) for r in got)
 
 
+def test_vectors_with_a_common_mean_lose_no_links(spark, tmp_path):
+    """Average cosine 0.9: planes through the origin would put most vectors on one side."""
+    rng, n, planted = np.random.default_rng(12), 40_000, 500
+    x = rng.standard_normal((n, 64)) + rng.standard_normal(64) * 3.0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert 0.85 < (x.mean(axis=0) ** 2).sum() < 0.95
+    away = rng.standard_normal((planted, 64))
+    away -= (away * x[:planted]).sum(axis=1)[:, None] * x[:planted]
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    x = np.concatenate([x, 0.9815 * x[:planted] + np.sqrt(1 - 0.9815**2) * away]).astype(np.float32)
+    exact = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = sum(int((exact[a : a + 2000] @ exact.T >= 0.98).sum()) for a in range(0, len(x), 2000)) - len(x)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(x) + 1, 64), pa.int32()), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": flat, "label": np.zeros(len(x), np.int32)}), tmp_path / "e.parquet", row_group_size=4096)
+    got = knn_graph.near_duplicates(spark.read.parquet(str(tmp_path / "e.parquet"))).where("n_links > 0").collect()
+    assert want >= 2 * planted and sum(r["n_links"] for r in got) >= 0.999 * want
+
+
+def test_orders_follow_the_spread():
+    assert knn_graph.orders_for(60_000, 0.98, spread=0.1)[1] == knn_graph.MOST_ORDERS > knn_graph.orders_for(60_000, 0.98, spread=0.5)[1] > knn_graph.orders_for(60_000, 0.98)[1]
+
+
 def test_orders_grow_slowly_and_keep_the_chance():
     found = [knn_graph.orders_for(10**k, 0.98) for k in range(2, 10)]
     assert found[0] == (0, 2) and [t for _, t in found] == sorted(t for _, t in found) and found[-1][1] < 60

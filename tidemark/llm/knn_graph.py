@@ -1,8 +1,10 @@
 """Embedding near-dedup by NN-descent.
 
 Equal vectors of a label are one class. The first neighbour graph comes from several orders of the classes, each by the
-signs of random projections and then by one projection: every class meets those in a window around it. There are so many
-orders that two vectors at the threshold miss each other in all with a chance of ``MISSED``; a code's bits grow with the
+signs of random projections and then by one projection: every class meets those in a window around it. Vectors are
+projected from the mean of their label, since those with a common mean would lie on one side of nearly every plane. There are
+so many orders that two vectors at the threshold miss each other in all with a chance of ``MISSED``, by their angle as seen from
+the mean (at most MOST_ORDERS: a label that is denser than that is left to the rounds); a code's bits grow with the
 logarithm of the rows, so the orders do as a small power of them. Rounds of NN-descent then compare neighbours of
 neighbours: each class keeps a list of its nearest, whatever their cosine, lists without a new entry rest, pairs of
 old entries aren't compared again, and a list whose entries all link is enlarged. Rounds end when they find no more links.
@@ -11,7 +13,8 @@ Every pair met that reaches the threshold is a link, also one that no list has a
 a spanning forest of its links instead of all pairs. Components of these links follow, and the links inside a component
 are counted exactly: blocks of its members whose centres and radii prove all or no pairs to link (angles are a metric)
 are counted whole, others are compared. Classes whose enlarged list is still full of links of their own component search
-again outside it. An audit compares bounded samples of all, linked and saturated classes with all rows; while its recall
+again outside it. An audit compares bounded samples of all, linked and saturated classes with all rows, that of all enlarged until it
+has seen LEAST_LINKS links; while its recall
 is below ``recall``, further orders are searched, and an error is raised if it still is after ``most_descents`` searches.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with
@@ -38,8 +41,11 @@ NEIGHBOURS, WINDOW, BUCKET, BLOCK = 8, 256, 128, 256
 TAKEN = 4
 #: Chance that the first graph's orders never bring two vectors at the threshold together.
 MISSED = 1e-4
-#: The audit compares about so many classes of each kind with all rows.
-AUDITED, AUDITED_OF_ALL = 256, 4096
+MOST_ORDERS = 64
+#: The audit compares about so many classes of each kind with all rows; of all classes up to MOST_AUDITED, until so many links were seen.
+AUDITED, AUDITED_OF_ALL, MOST_AUDITED, LEAST_LINKS = 256, 4096, 65_536, 1000
+#: A task sums vectors of so many labels at a time; a label's mean goes to so many shares of its rows.
+SUMMED, SHARES = 1000, 32
 #: Block pairs are matched in groups of so many blocks, so that no task holds all blocks of a large component.
 MATCHED = 64
 PAIRS = "u long, w long, sim double"
@@ -83,29 +89,77 @@ def _edges(columns: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(changes) + 1])
 
 
-def orders_for(largest: int, threshold: float, missed: float = MISSED) -> tuple[int, int]:
+def orders_for(largest: int, threshold: float, missed: float = MISSED, spread: float = 1.0) -> tuple[int, int]:
     """Bits of a code and how many orders, for ``largest`` vectors that may link with each other.
 
-    A random plane parts two vectors at the threshold with chance angle / pi."""
+    A random plane through the mean parts two vectors at the threshold with chance angle / pi, the angle being that seen from the mean.
+    ``spread``: the mean squared distance of the vectors, of length 1, from their mean."""
     bits = max(0, math.ceil(math.log2(max(1, largest / BUCKET))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, 2 if same > 0.99 else max(2, math.ceil(math.log(missed) / math.log(1 - same)))
+    seen = max(-1.0, 1 - (1 - threshold) / max(spread, 1e-9))
+    same = (1 - math.acos(seen) / math.pi) ** bits
+    if same > 0.99:
+        return bits, 2
+    return bits, MOST_ORDERS if same < 1e-3 else min(MOST_ORDERS, max(2, math.ceil(math.log(missed) / math.log(1 - same))))
 
 
-def _projected(classes: DataFrame, seed: int, bits: int, orders: int) -> DataFrame:
-    """Each class once for each order: the signs of some random projections as a code, then a projection."""
+def centres(classes: DataFrame) -> DataFrame:
+    """``label, dim, n, mean``: the mean of each label's vectors, scaled to length 1."""
+    schema = "label string, dim int, n long, mean binary"
+
+    def summed(frames):
+        held: dict[tuple, list] = {}
+
+        def told():
+            rows = [(label, dim, n, total.tobytes()) for (label, dim), (n, total) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=["label", "dim", "n", "mean"])
+
+        for frame in frames:
+            for (label, dim), g in frame.groupby(["label", "dim"]):
+                n, total = held.get((label, dim), (0, 0.0))
+                held[label, dim] = n + len(g), total + _units(g["v"], int(dim)).sum(axis=0)
+            if len(held) > SUMMED:
+                yield told()
+        yield told()
+
+    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.array([np.frombuffer(m) for m in frame["mean"]]).sum(axis=0)
+        n = int(frame["n"].sum())
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "n": [n], "mean": [(total / n).tobytes()]})
+
+    return classes.select("label", "dim", "v").mapInPandas(summed, schema).groupBy("label", "dim").applyInPandas(whole, schema)
+
+
+def orders_of(means: DataFrame, threshold: float) -> tuple[int, int]:
+    """Bits and orders that the most demanding label needs."""
+
+    def each(frames):
+        for frame in frames:
+            told = [orders_for(int(n), threshold, spread=1 - float((np.frombuffer(m) ** 2).sum())) for n, m in zip(frame["n"], frame["mean"], strict=True)]
+            yield pd.DataFrame(told, columns=["bits", "orders"])
+
+    bits, orders = means.select("n", "mean").mapInPandas(each, "bits int, orders int").agg(F.max("bits"), F.max("orders")).first()
+    return bits or 0, orders or 2
+
+
+def _projected(classes: DataFrame, means: DataFrame, seed: int, bits: int, orders: int) -> DataFrame:
+    """Each class once for each order: the signs of some random projections, seen from its label's mean, as a code, then a projection."""
 
     def run(frames):
         for frame in frames:
             for dim, g in frame.groupby("dim"):
-                x = _units(g["v"], int(dim))
+                x = _units(g["v"], int(dim)) - np.frombuffer(b"".join(g["mean"])).reshape(-1, int(dim))
                 for t in range(orders):
                     planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), bits + 1))
                     y = x @ planes
                     code = (y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     yield pd.DataFrame({"t": np.full(len(g), t), "label": g["label"], "dim": g["dim"], "code": code.astype(np.int64), "at": y[:, bits], "cid": g["cid"], "root": g["root"], "v": g["v"]})
 
-    return classes.select("cid", "root", "label", "dim", "v").mapInPandas(run, "t int, label string, dim int, code long, at double, cid long, root long, v binary")
+    # A label of any size meets its mean in several shares.
+    dealt = classes.select("cid", "root", "label", "dim", "v").withColumn("share", F.pmod(F.xxhash64("cid"), F.lit(SHARES)))
+    sent = means.select("label", "dim", "mean", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("share"))
+    placed = dealt.join(sent, ["label", "dim", "share"]).select("cid", "root", "label", "dim", "v", "mean")
+    return placed.mapInPandas(run, "t int, label string, dim int, code long, at double, cid long, root long, v binary")
 
 
 class _Found:
@@ -202,8 +256,9 @@ def descend(classes: DataFrame, threshold: float, seed: int, known: DataFrame |
     Classes of one ``root`` are known to be of one component and don't meet. Lists ``known`` from before show ways into
     components, their entries count as old."""
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    first = durable(_beside(_projected(classes, seed, *orders_for(largest, threshold)), threshold, tasks))
+    means = durable(centres(classes))
+    first = durable(_beside(_projected(classes, means, seed, *orders_of(means, threshold)), threshold, tasks))
+    discard(means)
     links = [durable(_links(first))]
     fresh = first.withColumn("new", F.lit(True))
     now = durable(_lists(fresh if known is None else fresh.union(known.select("u", "w", "sim", F.lit(False))), threshold))
@@ -321,9 +376,18 @@ def audit(classes: DataFrame, counted: DataFrame, full: DataFrame, threshold: fl
     """Share of the links of bounded samples of classes, found by comparing them with all rows, that ``counted`` has.
 
     The least share of three samples: of all classes, of those with a link and of those in ``full``, whose lists are
-    saturated. 1.0 where no sampled class has a link in truth."""
-    n = classes.count()
-    kinds = {"all": (None, AUDITED_OF_ALL, n), "linked": (counted.where("links > 0").select("cid"), AUDITED, None), "full": (full, AUDITED, None)}
+    saturated. 1.0 where no sampled class has a link in truth. Where the first sample of all holds too few links to tell a small loss, it is enlarged."""
+    sample, n = AUDITED_OF_ALL, classes.count()
+    while True:
+        share, links = _audited(classes, counted, full, threshold, sample, n)
+        if links >= LEAST_LINKS or sample >= min(n, MOST_AUDITED):
+            return share
+        sample = min(MOST_AUDITED, 4 * sample)
+
+
+def _audited(classes: DataFrame, counted: DataFrame, full: DataFrame, threshold: float, of_all: int, n: int) -> tuple[float, int]:
+    """The least share, and how many links the sample of all classes has in truth."""
+    kinds = {"all": (None, of_all, n), "linked": (counted.where("links > 0").select("cid"), AUDITED, None), "full": (full, AUDITED, None)}
     drawn = []
     for among, sample, size in kinds.values():
         scale = 1 << 30
@@ -332,7 +396,7 @@ def audit(classes: DataFrame, counted: DataFrame, full: DataFrame, threshold: fl
         drawn.append(picked.where(F.pmod(F.xxhash64("cid", F.lit("audit")), F.lit(scale)) <= int(min(1.0, sample / max(1, size)) * scale)).select("cid", "label", "dim", "v").toPandas())
     queries = pd.concat(drawn).drop_duplicates("cid")
     if not len(queries):
-        return 1.0
+        return 1.0, 0
     sent = classes.sparkSession.sparkContext.broadcast({key: (g["cid"].to_numpy(), _units(g["v"], key[1])) for key, g in queries.groupby(["label", "dim"])})
 
     def run(frames):
@@ -352,7 +416,7 @@ def audit(classes: DataFrame, counted: DataFrame, full: DataFrame, threshold: fl
     for part in drawn:
         seen = met[met["cid"].isin(part["cid"])]
         shares.append(seen["got"].sum() / seen["truth"].sum() if len(seen) else 1.0)
-    return float(min(shares))
+    return float(min(shares)), int(met[met["cid"].isin(drawn[0]["cid"])]["truth"].sum())
 
 
 def saturated(lists: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
