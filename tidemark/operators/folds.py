@@ -2,7 +2,7 @@
 
 Each runs over the rows of a key in order. Rows are dealt and sorted by key, and a task folds one key after the other from its stream of
 Arrow batches, so many small keys cost no more than their rows. A key is one recording's timeline: bounded by its length. A key that is longer is
-cut first, by session (:func:`tidemark.operators.windows.gap_sessions`), and folded by (key, session).
+cut first, where nothing is carried over, or by session (:func:`tidemark.operators.windows.gap_sessions`), and folded by (key, session).
 """
 
 from __future__ import annotations
@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.chunks import neighbours, running_sum
+
 #: Values of a counter that runs down.
 TOP = 100
+#: Seconds of a chunk of a timeline.
+CHUNK = 30 * 86_400.0
 
 
 def _schema(df: DataFrame, names: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
@@ -134,18 +138,26 @@ def cheapest(row, bonus: float, most: float, penalty=None) -> dict[int, float]:
     return held
 
 
-def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confidence: str, span: float = 3.0, cap: float = 0.65) -> DataFrame:
-    """A value between two equal ones within ``span`` seconds takes theirs; from left to right, each seeing what was changed before."""
+def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confidence: str, span: float = 3.0, cap: float = 0.65, tie: list[str] | None = None, chunk: float | None = CHUNK) -> DataFrame:
+    """A value between two equal ones within ``span`` seconds takes theirs; from left to right, each seeing what was changed before.
+
+    A row whose successor is equal to it, or whose neighbours are too far apart, keeps its value whatever comes before, so a key is cut there."""
+    order = [time, *(tie or [])]
+    near = neighbours(df, keys, order, [time, value], chunk, before="_b", after="_a")
+    may = F.col("_b").isNotNull() & F.col("_a").isNotNull() & (F.col(f"_a.{time}") - F.col(f"_b.{time}") <= span) & ~F.col(f"_a.{value}").eqNullSafe(F.col(value))
+    plain = near.select(*df.columns, F.col(f"_a.{value}").alias("_next"), F.when(may, 0).otherwise(1).alias("_keeps"))
+    cut = running_sum(plain, keys, order, F.col("_keeps"), "_stretch", chunk)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(time, kind="stable").reset_index(drop=True)
-        t, v, c = frame[time].tolist(), frame[value].tolist(), frame[confidence].tolist()
-        for i in range(1, len(v) - 1):
-            if t[i + 1] - t[i - 1] <= span and v[i - 1] == v[i + 1] != v[i]:
+        if len(frame) == 1:
+            return frame
+        v, after, c = frame[value].tolist(), frame["_next"].tolist(), frame[confidence].tolist()
+        for i in range(1, len(v)):
+            if v[i - 1] == after[i]:
                 v[i], c[i] = v[i - 1], min(c[i], cap)
         return frame.assign(**{value: v, confidence: c})
 
-    return per_key(df, keys, [time], fold, df.schema)
+    return per_key(cut, [*keys, "_stretch"], order, fold, cut.schema).select(*df.columns)
 
 
 def cluster_points(df: DataFrame, keys: list[str], order: list[str], radius: float) -> DataFrame:

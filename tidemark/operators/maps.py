@@ -50,18 +50,18 @@ def motion_predictions(points: DataFrame, keys: list[str], seconds: int = 6) ->
     return each.select(*keys, F.col("t").alias("observed_at"), (F.col("t") + F.col("k")).alias("t"), _place(F.col("x") + F.col("vx") * F.col("k")).alias("x"), _place(F.col("y") + F.col("vy") * F.col("k")).alias("y"), F.round(F.col("confidence") * F.exp(-F.col("k") / 4.0), 3).alias("confidence"))
 
 
-def heading_predictions(points: DataFrame, keys: list[str], seconds: int = 6, distance: float = 72.0) -> DataFrame:
+def heading_predictions(points: DataFrame, keys: list[str], seconds: int = 6, distance: float = 72.0, chunk: float | None = joins.CHUNK) -> DataFrame:
     """A place for each of the next seconds along the heading, until half a second before the next observation."""
-    near = windows.neighbours(points, keys, ["t"], ["t"], None, after="n")
+    near = windows.neighbours(points, keys, ["t"], ["t"], chunk, after="n")
     lasts = F.least(F.lit(float(seconds)), F.coalesce(F.greatest(F.lit(0.0), F.col("n.t") - F.col("t") - 0.5), F.lit(float(seconds))))
     each = near.withColumn("lasts", lasts).where("direction is not null and lasts >= 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor("lasts").cast("int"))))
     step = F.col("k") * distance / seconds
     return each.select(*keys, F.col("t").alias("observed_at"), (F.col("t") + F.col("k")).alias("t"), _place(F.col("x") + F.cos(F.radians("direction")) * step).alias("x"), _place(F.col("y") + F.sin(F.radians("direction")) * step).alias("y"), F.round(F.col("confidence") * F.exp(-F.col("k") / 3.5), 3).alias("confidence"))
 
 
-def threat_zones(deaths: DataFrame, points: DataFrame, keys: list[str], seconds: int = 6, longest: float = 10.0) -> DataFrame:
+def threat_zones(deaths: DataFrame, points: DataFrame, keys: list[str], seconds: int = 6, longest: float = 10.0, chunk: float | None = joins.CHUNK) -> DataFrame:
     """A growing circle around where a death's player was next seen within ``longest`` seconds."""
-    met = joins.asof(deaths, points, keys, "t", ["x", "y", "confidence"], longest=longest, forward=True, chunk=None).where("right_x is not null")
+    met = joins.asof(deaths, points, keys, "t", ["x", "y", "confidence"], longest=longest, forward=True, chunk=chunk).where("right_x is not null")
     sure = F.round(F.least(F.lit(0.48), F.coalesce("confidence", F.lit(0.5)) * F.col("right_confidence") * 0.72), 3)
     each = met.withColumn("sure", sure).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(seconds))))
     return each.select(*keys, F.col("t").alias("death_t"), (F.col("t") + F.col("k")).alias("t"), F.col("right_x").alias("x"), F.col("right_y").alias("y"), (F.lit(55.0) + F.col("k") * 11).alias("radius"), F.round(F.col("sure") * F.exp(-F.col("k") / 3.5), 3).alias("confidence"))

@@ -44,7 +44,7 @@ def penalty_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smooth_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.smooth_flips(_sessions(spark, sf_dir).withColumn("confidence", F.lit(0.9)), KEYS, "t", "kind", "confidence", 40_000.0)
+    return folds.smooth_flips(_sessions(spark, sf_dir).withColumn("confidence", F.lit(0.9)), KEYS, "t", "kind", "confidence", 40_000.0, tie=["id"])
 
 
 def greedy_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:

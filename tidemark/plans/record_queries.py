@@ -377,4 +377,4 @@ SELECT n.key, n.nth, n.id, CASE WHEN n.after_t - f.t <= 40000 AND f.kind = n.aft
 SELECT key, id, kind FROM f""")
 def flips_smoothed(spark, sf_dir):
     rows = timeline(spark, sf_dir).select("key", "t", "id", "kind", F.lit(0.9).alias("confidence"))
-    return folds.smooth_flips(rows, KEY, "t", "kind", "confidence", 40_000.0).select("key", "id", "kind")
+    return folds.smooth_flips(rows, KEY, "t", "kind", "confidence", 40_000.0, tie=["id"]).select("key", "id", "kind")
