@@ -74,6 +74,7 @@ def long_timeline(n, seed, step=0.5):
 @pytest.mark.parametrize(("chunk", "fan"), [(10.0, 3), (37.0, 64), (1.5, 4)])
 def test_long_keys_decode_by_chunks_as_they_do_in_one_piece(spark, monkeypatch, chunk, fan):
     monkeypatch.setattr(scans.scan, "__defaults__", (fan,))
+    monkeypatch.setattr(scans, "HELD", 1)
     rows = long_timeline(700, 5) + [(2, 3.0, [reading(97, 0.1)], True), (None, 1.0, [reading(99, 0.1)], True), (None, 90.0, [], True)]
     df = spark.createDataFrame(rows, SCHEMA)
     whole = monotone.monotone_counts(df, ["key"], chunk=None)
@@ -142,6 +143,7 @@ def test_penalty_costs_by_running_minima_are_those_of_all_moves():
 @pytest.mark.parametrize(("chunk", "seed"), [(20.0, 1), (133.0, 2)])
 def test_long_penalties_decode_by_chunks_as_they_do_in_one_piece(spark, monkeypatch, chunk, seed):
     monkeypatch.setattr(scans.scan, "__defaults__", (3,))
+    monkeypatch.setattr(scans, "HELD", 1)
     df = spark.createDataFrame(penalty_story(900, seed) + [(2, 3.0, [reading(9, 0.1)], True, True)], PENALTY)
     whole = penalty.penalty_counts(df, ["key"], chunk=None)
     parts = penalty.penalty_counts(df, ["key"], chunk=chunk)
@@ -176,6 +178,7 @@ def plain_picks(times, least, most=None):
 @pytest.mark.parametrize(("least", "most", "chunk"), [(2.0, None, 5.0), (0.3, None, 1.0), (30.0, None, 4.0), (2.0, 17, 3.0), (0.1, None, 50.0)])
 def test_long_keys_are_picked_from_by_chunks(spark, monkeypatch, least, most, chunk):
     monkeypatch.setattr(scans.scan, "__defaults__", (3,))
+    monkeypatch.setattr(scans, "HELD", 1)
     rng = random.Random(least)
     times = sorted({round(rng.uniform(0, 100) + (40 if rng.random() < 0.2 else 0), 1) for _ in range(400)})
     rows = [(1, t) for t in times] + [(2, 1.0), (None, 1.0), (None, 70.0), (1, None)]

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from tidemark.operators.folds import per_group
 from tidemark.operators.tables import stored
 
-#: Functions that one task composes in a row.
-FAN = 64
+#: Functions that one task composes in a row; rows of a key that one task may hold, however long the time they span.
+FAN, HELD = 64, 4096
 
 
 def _met(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
@@ -29,12 +29,13 @@ def _met(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataF
 
 
 def long_keys(rows: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """``keys, _chunk, _at, _left`` of every chunk of the keys that have more than one: its place from the start and from the end."""
+    """``keys, _chunk, _at, _left`` of every chunk of the keys that have more than one and more rows than HELD: its place from the start and from the end."""
     each = rows.select(*keys, chunk.alias("_chunk")).groupBy(*keys, "_chunk").agg(F.count("*").alias("_rows"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_chunk"))
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()))
-    placed = each.select(*keys, "_chunk", (place - 1).cast("long").alias("_at"), (back - 1).cast("long").alias("_left"))
-    return placed.where("_at + _left > 0")
+    whole = F.sum("_rows").over(Window.partitionBy(*keys))
+    placed = each.select(*keys, "_chunk", (place - 1).cast("long").alias("_at"), (back - 1).cast("long").alias("_left"), whole.alias("_whole"))
+    return placed.where(f"_at + _left > 0 and _whole > {HELD}").drop("_whole")
 
 
 def rows_of(rows: DataFrame, keys: list[str], chunks: DataFrame, long: bool) -> DataFrame:
