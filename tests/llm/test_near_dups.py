@@ -53,6 +53,28 @@ def test_vantage_shards_keep_every_close_pair(leaf):
     assert roots(len(points), enumerate(got.tolist())) == want
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_crowds_link_as_all_pairs_do(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "CROWD", 256)
+    rng = np.random.default_rng(5)
+    near = np.zeros(1500, np.uint64)
+    for _ in range(6):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near), np.uint64)
+    spread = rng.integers(0, 1 << 63, 600, np.uint64)
+    points = np.unique(np.concatenate([near, spread, spread[:200] ^ np.uint64(3), spread[200:300] ^ np.uint64(1 << 63)]))
+    tree = simhash.VantageTree(points, radius, 64, 256)
+    assert radius == 1 or tree.crowds and tree.shards > len(tree.crowds)  # a border of one bit still cuts this crowd
+    a, b = np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= radius, 1))
+    want = simhash.joined(len(points), a, b)
+    longs = points.view(np.int64)
+    fps = spark.createDataFrame([(int(x),) for x in longs], "fp long")
+    at = {int(x): k for k, x in enumerate(longs)}
+    for links in (simhash.link_fingerprints(fps, radius, shard=64), simhash.crowd_links(fps, radius)):
+        found = [(at[r["a"]], at[r["b"]]) for r in links.collect()]
+        got = simhash.joined(len(points), np.array([i for i, _ in found]), np.array([j for _, j in found]))
+        assert (got == want).all()
+
+
 def test_simhash_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     extra = [(10_000, None), (10_001, ""), (10_002, " \n"), (10_003, "one two"), (10_004, "ONE two"), (10_005, "a b c " * 5000), (0, "repeated id"), (None, "no id")]

@@ -4,7 +4,8 @@ Fingerprints are collapsed to distinct values first. A tree of vantage points, g
 Hamming space in shards: at a node, those within ``mu`` of the vantage point go inside and the others outside, and by
 the triangle inequality a linked pair can only be split if the inner one is within ``radius`` of the border, so just
 those are sent to both sides. Every linked pair so meets in a shard, where it is compared exactly; a shard that came
-out large is cut again by a tree of its own before pairs are compared.
+out large is cut again by a tree of its own before pairs are compared. A crowd that no vantage point cuts (pages of one
+template, all within a few bits) isn't put in one task: its fingerprints are linked through the neighbours they share.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and links like any other; rows with
 a null id take part, but don't give a component its id; repeated rows share their fingerprint and component.
@@ -12,6 +13,8 @@ a null id take part, but don't give a component its id; repeated rows share thei
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +31,8 @@ SEED = 42
 SAMPLED, LEAST_SAMPLE, MOST_SAMPLE = 4096, 1 << 16, 1 << 20
 #: A shard is cut while it is expected to hold more distinct fingerprints than this.
 SHARD = 2048
+#: A leaf that no vantage point cuts is a crowd if it is expected to hold more distinct fingerprints than this.
+CROWD = 1 << 14
 #: Candidate vantage points tried at a node.
 TRIED = 8
 
@@ -63,16 +68,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class VantageTree:
-    """Nodes as arrays: vantage point, border distance, inside and outside child (-1 - shard at a leaf)."""
+    """Nodes as arrays: vantage point, border distance, inside and outside child (-1 - shard at a leaf).
+
+    ``crowds`` are the shards that hold more than ``crowd`` points of the sample."""
 
-    def __init__(self, sample: np.ndarray, radius: int, leaf: int):
-        self.radius, self.shards = radius, 0
+    def __init__(self, sample: np.ndarray, radius: int, leaf: int, crowd: float = float("inf")):
+        self.radius, self.shards, self.crowd = radius, 0, crowd
+        self.crowds: set[int] = set()
         self.nodes: list[list[int]] = []
         self.root = self._grow(sample, leaf, np.random.default_rng(len(sample)))
 
     def _grow(self, points: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
         found = self._cut(points, rng) if len(points) > leaf else None
         if found is None:
+            if len(points) > self.crowd:
+                self.crowds.add(self.shards)
             self.shards += 1
             return -self.shards
         vantage, mu, d = found
@@ -143,35 +153,61 @@ def _as_long(points: np.ndarray) -> np.ndarray:
     return points.astype(np.uint64).view(np.int64)
 
 
+def crowd_links(fps: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links between distinct fingerprints (column ``fp``) with the components of all pairs within ``radius``, without comparing pairs.
+
+    Two fingerprints are within an even radius just if some 64 bits are within half of it from both. So each is written under all
+    64 bits that near (65 for radius 2), and those under one key link to the smallest: rows grow with the fingerprints, and
+    a key has no more of them than it has neighbours. For an odd radius, rounded up, the pairs under a key are checked."""
+    reach = (radius + 1) // 2
+    masks = [sum(1 << b for b in bits) for k in range(reach + 1) for bits in combinations(range(64), k)]
+    signed = F.array(*[F.lit(int(m)).cast("long") for m in np.array(masks, np.uint64).view(np.int64)])
+    near = fps.select("fp", F.explode(F.transform(signed, lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
+    under = near.groupBy("near").agg(F.collect_list("fp").alias("of")).where(F.size("of") > 1)
+    if radius % 2 == 0:
+        return under.withColumn("b", F.array_min("of")).select(F.explode("of").alias("a"), "b").where("a <> b")
+    pairs = under.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b"))
+    return pairs.where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 2, sample: int | None = None, shard: int = SHARD) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``) with the components of all pairs within ``radius``.
 
     The tree is broadcast; its leaves hold 16 fingerprints of the sample or more, so it has fewer nodes than the sample, which is
     bounded. Up to 100 million fingerprints a shard is expected to hold ``shard`` of them; beyond 10^9 shards grow slowly, 16
-    thousand at 10^9, 130 kilobytes. Inside a shard a tree of its own cuts on, so comparisons stay local."""
+    thousand at 10^9, 130 kilobytes. Inside a shard a tree of its own cuts on, so comparisons stay local. That holds where vantage
+    points cut; what they don't cut and is expected over CROWD goes by crowd_links, each fingerprint once."""
     spark = fps.sparkSession
     n = fps.count()
     scale = 1 << 30
     sample = min(MOST_SAMPLE, max(LEAST_SAMPLE, n // SAMPLED)) if sample is None else sample
     share = min(1.0, sample / max(1, n))
     drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) < int(share * scale) + 1).toPandas()["fp"].to_numpy(np.int64)
-    tree = VantageTree(np.sort(drawn).view(np.uint64), radius, max(16, int(shard * share)))
+    tree = VantageTree(np.sort(drawn).view(np.uint64), radius, max(16, int(shard * share)), max(16, CROWD * share))
     sent = spark.sparkContext.broadcast(tree)
 
     def place(frames):
         for frame in frames:
             points = frame["fp"].to_numpy(np.int64).view(np.uint64)
-            found = sent.value.place(points)
+            found = [(s, rows) for s, rows in sent.value.place(points) if s not in sent.value.crowds]
             if found:
                 yield pd.DataFrame({"shard": np.concatenate([np.full(len(r), s) for s, r in found]), "fp": _as_long(np.concatenate([points[r] for _, r in found]))})
 
+    def crowded(frames):
+        for frame in frames:
+            points = frame["fp"].to_numpy(np.int64).view(np.uint64)
+            found = [rows for s, rows in sent.value.place(points) if s in sent.value.crowds]
+            if found:
+                yield pd.DataFrame({"fp": _as_long(points[np.unique(np.concatenate(found))])})
+
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         points = frame["fp"].to_numpy(np.int64).view(np.uint64)
         root = shard_links(points, radius)
         moved = root != np.arange(len(points))
         return pd.DataFrame({"a": _as_long(points[moved]), "b": _as_long(points[root[moved]])})
 
-    return fps.mapInPandas(place, "shard long, fp long").groupBy("shard").applyInPandas(link, "a long, b long")
+    linked = fps.mapInPandas(place, "shard long, fp long").groupBy("shard").applyInPandas(link, "a long, b long")
+    return linked.union(crowd_links(fps.mapInPandas(crowded, "fp long"), radius)) if tree.crowds else linked
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
