@@ -275,6 +275,33 @@ def test_names_after_cues_and_marks_in_texts(spark):
     assert got[4].split()[-1] == got[1].split()[4]
 
 
+@pytest.mark.parametrize("mapped", [5000, 0])
+def test_one_person_has_one_name_of_one_gender(spark, monkeypatch, mapped):
+    monkeypatch.setattr(pii, "MAPPED", mapped)
+    rows = [
+        (1, "Frau Wanda Kowalska came; my name is Wanda Kowalska. Later Kowalska left, and Wanda Kowalska wrote."),
+        (2, "my name is Wanda Kowalska"),
+        (3, "my name is Wanda Brandt"),
+        (4, "Mr John Baker baked. Baker sold bread with Bakers."),
+        (5, "my name is Kim Vale"),
+        (6, "Herr Maria Holt"),
+        (7, "Maria Holt and Maria Stern"),
+        (8, None),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    women, men = (set(pii.GIVEN[("latin", g)]) for g in "fm")
+    first, last = re.fullmatch(r"Frau (\S+) (\S+) came; my name is \1 \2\. Later \2 left, and \1 \2 wrote\.", got[1]).groups()
+    assert first in women and "Kowalska" not in got[1]
+    assert got[2] == f"my name is {first} {last}"
+    assert got[3].split()[3] in women  # what the corpus tells of the given name
+    title, given, baker, *rest = got[4].split()
+    assert given in men and rest == ["baked.", baker, "sold", "bread", "with", "Bakers."]
+    assert got[5].split()[3] in women | men
+    assert got[6].split()[1] in men and got[7].split()[:2] == got[6].split()[1:]  # titled forms outvote the list
+    assert got[7].split()[3] in women
+    assert got[8] is None
+
+
 def test_formats_without_enough_surrogates_are_numbered(spark, monkeypatch):
     """Every address of a tiny space is an entity, so no surrogate of its form is free."""
     monkeypatch.setattr(pii, "MOST_DRAWS", 2)

@@ -8,7 +8,10 @@ every document and in every notation (coreference). A collision check over all d
 two entities share or that equal an entity of the corpus; all but one of them draw again until none is left. What still
 collides after MOST_DRAWS has more entities than its format has surrogates: it is written as its kind and a number of its own. A name
 draws in two parts: the surname for itself, then the given name among those of the surname. Persons are found by a title, a known given
-name, or words that lead to a name (CUES), after which any two capitalised words count.
+name, or words that lead to a name (CUES), after which any two capitalised words count; once found, they are also found
+in the rest of their text by surname, with or without their given name. A mention's gender is that of its title; without one,
+that of most titled forms of the same full name in the corpus, else of the known given name, else of most titled
+forms with this given name; a person of whom nothing tells gets a name of either kind.
 
 Defined cases: a null text stays null; a text without entities is returned unchanged; of overlapping entities the
 leftmost counts, of equal starts the kind listed first; repeated rows get the same result; further columns stay.
@@ -77,7 +80,9 @@ def _let(value: Column, then) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    return F.coalesce(*[F.when(entity.rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], F.lit(KINDS[-1]))
+    # All kinds but a person hold a digit or an at sign, and a name neither.
+    others = [F.when(entity.rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items() if k != "person"]
+    return F.when(~entity.rlike("[0-9@]"), F.lit("person")).otherwise(F.coalesce(*others, F.lit("person")))
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -158,12 +163,39 @@ def _iban(text: Column, hexes: Column) -> Column:
 
 
 def _parts(text: Column) -> Column:
-    """``title, given, surname, gender`` of a person."""
+    """``title, given, surname, gender`` of a person; the gender that the mention tells by itself: by its title (``voiced``), else its given name, else ``u``."""
     part = lambda k: F.regexp_extract(text, rf"^((?:{_TITLE})\.?\x20)?(?:({_NAME})\x20)?({_NAME})$", k)
-    women = [n for (_, g), ns in GIVEN.items() if g == "f" for n in ns]
     title = F.rtrim(F.regexp_replace(part(1), r"\.", ""))
-    gender = F.when(title.isin(TITLES["f"]), "f").when(title != "", "m").when(part(2).isin(women), "f").otherwise("m")
-    return F.struct(part(1).alias("title"), part(2).alias("given"), part(3).alias("surname"), gender.alias("gender"))
+    voiced = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m")
+    listed = {g: [n for (_, of), ns in GIVEN.items() if of == g for n in ns] for g in "fm"}
+    gender = F.coalesce(voiced, F.when(part(2).isin(listed["f"]), "f").when(part(2).isin(listed["m"]), "m").otherwise("u"))
+    return F.struct(part(1).alias("title"), part(2).alias("given"), part(3).alias("surname"), gender.alias("gender"), voiced.alias("voiced"))
+
+
+def _pair(p: Column) -> Column:
+    return F.concat_ws("|", p["given"], p["surname"])
+
+
+def _settled(p: Column, learned: Column) -> Column:
+    """The gender of a mention: its title's, else what the corpus tells of the person (1: a woman, 2: a man), else its own."""
+    return F.coalesce(p["voiced"], F.when(learned == 1, "f").when(learned == 2, "m"), p["gender"])
+
+
+def genders(persons: DataFrame) -> DataFrame:
+    """``canon`` (given and surname) and ``draw`` (1: a woman, 2: a man) where the corpus tells more of a person than an untitled mention does.
+
+    ``persons`` holds the distinct written forms ``e``; each titled form is a vote, and an equal vote tells nothing."""
+    forms = persons.select(_parts(F.col("e")).alias("p")).where("p.given <> ''").select("p.*")
+    women, men = F.count(F.when(F.col("voiced") == "f", 1)), F.count(F.when(F.col("voiced") == "m", 1))
+    vote = F.when(women > men, 1).when(men > women, 2).cast("long")
+    # An untitled form of the list's own gender has no say of its own here.
+    own = F.max(F.when(F.col("voiced").isNull(), F.col("gender")))
+    pairs = forms.groupBy("given", "surname").agg(vote.alias("pair"), own.alias("own"))
+    names = pairs.groupBy(F.col("given").alias("name")).agg(F.count(F.when(F.col("pair") == 1, 1)).alias("w"), F.count(F.when(F.col("pair") == 2, 1)).alias("m"))
+    voted = names.select("name", F.when(F.col("w") > F.col("m"), 1).when(F.col("m") > F.col("w"), 2).cast("long").alias("named")).where("named is not null")
+    met = pairs.join(voted, F.col("given") == F.col("name"), "left")
+    told = F.coalesce("pair", F.when(F.col("own") == "u", F.col("named")))
+    return met.where("own is not null").select(F.concat_ws("|", "given", "surname").alias("canon"), told.alias("draw"), "own").where("draw is not null and own <> if(draw = 1, 'f', 'm')").drop("own")
 
 
 def _script(name: Column) -> Column:
@@ -184,40 +216,54 @@ def _surname(name: Column, key: str, draw: Column) -> Column:
     return _numbered("surname", draw, _let(_hexes(key, F.lit("surname"), name, draw), lambda h: F.initcap(F.concat(_sounds(_script(name), h, range(1, 5)), longer(h)))))
 
 
+#: What given names are drawn from; of either kind for a person of unknown gender.
+_POOLS = GIVEN | {(s, "u"): GIVEN[(s, "f")] + GIVEN[(s, "m")] for s in SYLLABLES}
+
+
 def _given(gender: Column, name: Column, key: str, draw: Column) -> Column:
     """A given name of the same gender and script, with a second part where a surname has more people than there are names."""
     script = _script(name)
     more = lambda h: F.when(draw >= WIDER, F.concat(F.lit("-"), F.initcap(_sounds(script, h, range(2, 6))))).otherwise("")
-    return _numbered("given", draw, _let(_hexes(key, F.lit("given"), F.concat_ws("|", gender, name), draw), lambda h: F.concat(F.coalesce(*[F.when((script == s) & (gender == g), _drawn(names, h, F.lit(1))) for (s, g), names in GIVEN.items()]), more(h))))
+    return _numbered("given", draw, _let(_hexes(key, F.lit("given"), F.concat_ws("|", gender, name), draw), lambda h: F.concat(F.coalesce(*[F.when((script == s) & (gender == g), _drawn(names, h, F.lit(1))) for (s, g), names in _POOLS.items()]), more(h))))
 
 
-def _named(p: Column) -> Column:
+def _named(p: Column, gender: Column) -> Column:
     """What stands for a given name in the collision check: names of other surnames don't collide with it."""
-    return F.concat_ws("|", p["gender"], p["given"], p["surname"])
+    return F.concat_ws("|", gender, p["given"], p["surname"])
 
 
 def _person(text: Column, key: str, draw_of) -> Column:
     """Title kept; a surname's surrogate depends on the surname alone, a given name's on it, its gender and who shares its surname."""
 
     def renamed(p: Column) -> Column:
-        first = _let(draw_of(F.lit("given"), _named(p)), lambda d: _given(p["gender"], p["given"], key, d))
+        first = _let(_settled(p, draw_of(F.lit("gender"), _pair(p))), lambda g: _let(draw_of(F.lit("given"), _named(p, g)), lambda d: _given(g, p["given"], key, d)))
         last = _let(draw_of(F.lit("surname"), p["surname"]), lambda d: _surname(p["surname"], key, d))
         return F.concat(p["title"], F.when(p["given"] != "", F.concat(first, F.lit(" "))).otherwise(""), last)
 
     return _let(_parts(text), renamed)
 
 
-def units(kind: Column, entity: Column) -> Column:
-    """Array of ``kind, canon``: what draws for itself in an entity."""
+def units(kind: Column, entity: Column, learned: Column) -> Column:
+    """Array of ``kind, canon``: what draws for itself in an entity; ``learned`` is what the corpus tells of a person's gender."""
     one = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
 
     def split(p: Column) -> Column:
         last = one(F.lit("surname"), p["surname"])
-        return F.when(p["given"] == "", F.array(last)).otherwise(F.array(last, one(F.lit("given"), _named(p))))
+        return F.when(p["given"] == "", F.array(last)).otherwise(F.array(last, one(F.lit("given"), _named(p, _settled(p, learned)))))
 
     return F.when(kind == "person", _let(_parts(entity), split)).otherwise(F.array(one(kind, canonical(kind, entity))))
 
 
+def unit_rows(entities: DataFrame, told: DataFrame) -> DataFrame:
+    """The units of entities (``kind, e`` and further columns) in rows ``kind, canon``; ``told`` is what genders() gives."""
+    rest = [c for c in entities.columns if c not in ("kind", "e")]
+    persons = entities.where("kind = 'person'").withColumn("_pair", _let(_parts(F.col("e")), _pair))
+    met = persons.join(told.select(F.col("canon").alias("_of"), F.col("draw").alias("_told")), F.col("_pair") == F.col("_of"), "left")
+    others = entities.where("kind <> 'person'").withColumn("_told", F.lit(None).cast("long"))
+    each = met.select(*rest, "kind", "e", "_told").union(others.select(*rest, "kind", "e", "_told"))
+    return each.select(*rest, F.inline(units(F.col("kind"), F.col("e"), F.col("_told"))))
+
+
 def _hexes(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     """128 hex digits that depend on all four."""
     inner = F.sha2(F.concat_ws("|", F.lit(key), kind, draw.cast("string"), canon).cast("binary"), 256)
@@ -277,6 +323,18 @@ def colliding(entities: DataFrame, key: str) -> DataFrame:
     return now.where("draw <> 0")
 
 
+def _mentions(persons: Column) -> Column:
+    """A pattern for later mentions of persons by surname, with or without their given name; empty for none. Names hold letters and hyphens alone."""
+    forms = F.array_distinct(F.transform(persons, lambda e: _let(_parts(e), lambda p: F.when(p["given"] == "", p["surname"]).otherwise(F.concat(F.lit("(?:"), p["given"], F.lit(r"\x20)?"), p["surname"])))))
+    return F.when(F.size(forms) > 0, F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))).otherwise("")
+
+
+def _cut_by(piece: Column, pattern: Column) -> Column:
+    """Array of what is between matches and the matches, in turn."""
+    between, matches = F.split(piece, pattern, -1), F.regexp_extract_all(piece, pattern, F.lit(0))
+    return F.when(F.size(matches) == 0, F.array(piece)).otherwise(F.slice(F.flatten(F.zip_with(between, F.concat(matches, F.array(F.lit(""))), lambda x, y: F.array(x, y))), 1, 2 * F.size(matches) + 1))
+
+
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The documents with surrogates in their text, and ``n_<kind>`` for every kind of entity."""
     counts = [f"n_{k}" for k in KINDS]
@@ -286,20 +344,29 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     cut = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
     twice = F.concat(F.flatten(F.zip_with(F.split(text, ANY, -1), F.concat(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array(F.lit(""))), lambda x, y: F.array(x, y))))
     df = fixed(docs, _cut=F.when(F.contains(text, F.lit(MARK)), F.slice(twice, 1, F.size(twice) - 1)).otherwise(cut))
-    every = lambda odd: F.coalesce(F.filter("_cut", lambda _, i: i % 2 == odd), F.array().cast("array<string>"))
-    df = fixed(df, _m=every(1), _pieces=every(0)).drop("_cut")
-    entities = df.select(F.explode(F.array_distinct("_m")).alias("e")).distinct()
-    entities = entities.select(kind_of(F.col("e")).alias("kind"), "e").select(F.inline(units(F.col("kind"), F.col("e")))).distinct()
-    again = durable(colliding(entities, key))
+    every = lambda odd, cut="_cut": F.coalesce(F.filter(cut, lambda _, i: i % 2 == odd), F.array().cast("array<string>"))
+    # The persons of a text are looked for in what is left of it.
+    df = fixed(df, _again=_mentions(F.filter(every(1), lambda e: kind_of(e) == "person")))
+    recut = F.transform(every(0), lambda p: _cut_by(p, F.col("_again")))
+    rejoined = F.flatten(F.zip_with(recut, F.concat(every(1), F.array(F.lit(""))), lambda x, y: F.concat(x, F.array(y))))
+    df = fixed(df, _whole=F.when(F.col("_again") == "", F.col("_cut")).otherwise(F.slice(rejoined, 1, F.size(rejoined) - 1))).drop("_again", "_cut")
+    df = fixed(df, _m=every(1, "_whole"), _pieces=every(0, "_whole")).drop("_whole")
+    found = durable(df.select(F.explode(F.array_distinct("_m")).alias("e")).distinct().withColumn("kind", kind_of(F.col("e"))))
+    told = durable(genders(found.where("kind = 'person'")))
+    drawn_again = colliding(unit_rows(found, told).distinct(), key)
+    again = durable(drawn_again.select("kind", "canon", "draw").union(told.select(F.lit("gender"), "canon", "draw")))
+    discard(drawn_again)
+    discard(found)
     slot = lambda kind, canon: F.concat_ws("|", kind, canon)
     n_again = again.count()
     if n_again <= MAPPED:
-        found = {f"{r['kind']}|{r['canon']}": r["draw"] for r in again.collect()}
-        df = fixed(df, _draws=F.when(F.size("_m") > 0, F.from_json(F.lit(json.dumps(found)), "map<string,bigint>")))
+        fixed_draws = {f"{r['kind']}|{r['canon']}": r["draw"] for r in again.collect()}
+        df = fixed(df, _draws=F.when(F.size("_m") > 0, F.from_json(F.lit(json.dumps(fixed_draws)), "map<string,bigint>")))
     else:
         # Beyond the map: the draws each text needs are joined to it by its digest.
         hit = df.where(F.size("_m") > 0).select(F.sha2(F.col(text_col).cast("binary"), 256).alias("_sha"), F.explode(F.array_distinct("_m")).alias("e")).withColumn("kind", kind_of(F.col("e")))
-        hit = hit.select("_sha", F.inline(units(F.col("kind"), F.col("e")))).join(again, ["kind", "canon"])
+        persons = hit.where("kind = 'person'").select("_sha", F.lit("gender").alias("kind"), _let(_parts(F.col("e")), _pair).alias("canon"))
+        hit = unit_rows(hit, told).select("_sha", "kind", "canon").union(persons).join(again, ["kind", "canon"])
         maps = durable(hit.select("_sha", F.struct(slot(F.col("kind"), F.col("canon")).alias("k"), "draw").alias("d")).groupBy("_sha").agg(F.map_from_entries(F.collect_set("d")).alias("_draws")))
         df = df.withColumn("_own", F.sha2(F.col(text_col).cast("binary"), 256)).join(maps, F.col("_own") == F.col("_sha"), "left").drop("_own", "_sha")
 
