@@ -378,3 +378,26 @@ SELECT key, id, kind FROM f""")
 def flips_smoothed(spark, sf_dir):
     rows = timeline(spark, sf_dir).select("key", "t", "id", "kind", F.lit(0.9).alias("confidence"))
     return folds.smooth_flips(rows, KEY, "t", "kind", "confidence", 40_000.0, tie=["id"]).select("key", "id", "kind")
+
+
+@registered("""WITH c(death_id, s, e, label, nth) AS (VALUES (1, -3.0::DOUBLE, 2.0::DOUBLE, 'a', 0), (2, -1.0, 0.25, 'b', 1), (1, -3.0, 2.0, 'c', 2), (3, -5.0, 30.0, 'd', 3)),
+cut AS (SELECT o_orderkey AS key, o_orderpriority AS pattern, nth, label, death_id, least(greatest(l_quantity + s, 0.0), 40.0)::DOUBLE AS start, least(greatest(l_quantity + e, 0.0), 40.0)::DOUBLE AS "end" FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN c ON death_id = l_linenumber)
+SELECT key, pattern, death_id, start, "end", min(nth) AS nth, arg_min(label, nth) AS label FROM cut WHERE "end" - start >= 0.5 GROUP BY key, pattern, death_id, start, "end\"""")
+def clip_ranges(spark, sf_dir):
+    clip = lambda d, s, e, label: F.struct(F.lit(d).alias("death_id"), F.lit(s).alias("start"), F.lit(e).alias("end"), F.lit(label).alias("label"))
+    wanted = F.array(clip(1, -3.0, 2.0, "a"), clip(2, -1.0, 0.25, "b"), clip(1, -3.0, 2.0, "c"), clip(3, -5.0, 30.0, "d"))
+    patterns = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("pattern"), F.lit(40.0).alias("duration"), wanted.alias("clips"))
+    deaths = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("int").alias("id"), F.col("l_quantity").cast("double").alias("t"))
+    return clips.clip_ranges(patterns, deaths, KEY)
+
+
+@registered(f"""WITH {TIMELINE_SQL}, v AS (SELECT key, t / 1e4 AS t, id, value FROM timeline WHERE kind <> 'error'),
+m AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 2.1 THEN 1 ELSE 0 END AS opens FROM v {_W}),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY t, id) AS session FROM m), u AS (SELECT key, session, max(t) AS until FROM s GROUP BY key, session),
+f AS (SELECT *, row_number() OVER (PARTITION BY key, session ORDER BY id % 97 DESC, t) AS nth FROM s WHERE id % 97 >= 50 AND value >= 3)
+SELECT key, round(t, 6) AS t, value AS x, (id % 1000)::DOUBLE AS y, (id % 360)::DOUBLE AS direction, (id % 97) / 100.0::DOUBLE AS confidence, round(until, 6) AS until FROM f JOIN u USING (key, session) WHERE nth = 1""")
+def map_episodes(spark, sf_dir):
+    rows = timeline(spark, sf_dir).withColumn("t", F.col("t") / 1e4)
+    marker = F.struct(F.col("value").alias("x"), (F.col("id") % 1000).cast("double").alias("y"), (F.col("id") % 360).cast("double").alias("direction"), ((F.col("id") % 97) / 100.0).alias("confidence"))
+    samples = rows.select("key", "t", (F.col("kind") != "error").alias("visible"), F.lit(0.4).alias("neutral"), F.when(F.col("value") >= 3, 0.4).otherwise(0.1).alias("score"), marker.alias("marker"))
+    return _r(maps.self_observations(samples, KEY), "t", "until")
