@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,3 +374,34 @@ def test_range_joins_equal_nested_loops(spark):
     want = sorted((i, j) for k, t, i in a for q, u, j in b if k == q and t - 2.0 <= u <= t + 0.5)
     assert sorted((r["id"], r["right_id"]) for r in joins.range_join(left, right, ["key"], "t", "t", 2.0, 0.5).collect()) == want
     assert sorted(r["id"] for r in joins.range_join(left, right, ["key"], "t", "t", 2.0, 0.5, "left_anti").collect()) == sorted({i for _, _, i in a} - {i for i, _ in want})
+
+
+def many_keys(seed, ties=False):
+    """Rows of 400 keys, most of one row, and where the keys start."""
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 1, 1, 1, 2, 3, 9]) for _ in range(400)]
+    rows = [(k, float(rng.randint(0, 12)), float(rng.randint(0, 60)), float(rng.randint(0, 60)), rng.random()) for k, n in enumerate(sizes) for _ in range(n)]
+    frame = pd.DataFrame(rows, columns=["key", "t", "x", "y", "score"])
+    return frame, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def sorts_of(monkeypatch):
+    """Counts the frames that are sorted: one for all keys, not one for each."""
+    calls, real = [], pd.DataFrame.sort_values
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda self, *a, **k: calls.append(1) or real(self, *a, **k))
+    return calls
+
+
+def test_peaks_of_many_keys_at_once(monkeypatch):
+    frame, starts = many_keys(1)
+    calls = sorts_of(monkeypatch)
+    got = folds.peaks_of(frame, starts, 32.0, 2)
+    assert len(calls) == 1
+    want = []
+    for _, own in frame.groupby("key"):
+        kept = []
+        for r in sorted(own.itertuples(index=False), key=lambda r: (-r.score, r.x, r.y)):
+            if len(kept) < 2 and all(np.hypot(r.x - k.x, r.y - k.y) > 32.0 for k in kept):
+                kept.append(r)
+        want += [tuple(k) for k in kept]
+    assert list(got.itertuples(index=False, name=None)) == want

@@ -38,6 +38,31 @@ def per_key(df: DataFrame, keys: list[str], order: list[str], fold, schema: T.St
     return _sorted(df, keys, order).mapInPandas(run, schema)
 
 
+def per_frame(df: DataFrame, keys: list[str], order: list[str], fold, schema: T.StructType) -> DataFrame:
+    """``fold(frame, starts)`` of many whole keys at once: where the rows of each begin, the end included. No frame is made for a key."""
+    names = schema.fieldNames()
+
+    def run(frames):
+        for frame, starts in _whole(frames, keys):
+            yield fold(frame, starts)[names]
+
+    return _sorted(df, keys, order).mapInPandas(run, schema)
+
+
+def _ordered(frame: pd.DataFrame, starts: np.ndarray, by: list[str], ascending: list[bool] | None = None) -> pd.DataFrame:
+    """The rows of each key ordered, with what isn't a number last; keys stay where they are."""
+    rising = [True] * len(by) if ascending is None else ascending
+    whose = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    # A column of its own: rows of a key are together, whatever the keys are.
+    return frame.assign(_whose=whose).sort_values(["_whose", *by], ascending=[True, *rising], kind="stable").drop(columns="_whose").reset_index(drop=True)
+
+
+def _several(starts: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each key with more than one row; most keys may have but one, which needs no fold."""
+    more = np.flatnonzero(np.diff(starts) > 1)
+    return list(zip(starts[more].tolist(), starts[more + 1].tolist(), strict=True))
+
+
 def _sorted(df: DataFrame, keys: list[str], order: list[str], tasks: int | None = None) -> DataFrame:
     # The number of tasks is given, or small rows with much work each would be merged to one.
     return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
@@ -227,19 +252,26 @@ def longest_chain(df: DataFrame, keys: list[str], time: str, move: float, gap: f
     return per_key(df, keys, [time, "x", "y"], fold, _schema(df, keys, ("length", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType())))
 
 
-def suppress_peaks(df: DataFrame, keys: list[str], distance: float, most: int) -> DataFrame:
-    """Points ``x, y, score``, best first, farther than ``distance`` from every better one that was kept; ``most`` at the most."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "x", "y"], ascending=[False, True, True], kind="stable")
-        kept: list[int] = []
-        x, y = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
-        for i in range(len(x)):
-            if len(kept) < most and all(np.hypot(x[i] - x[k], y[i] - y[k]) > distance for k in kept):
+def peaks_of(frame: pd.DataFrame, starts: np.ndarray, distance: float, most: int) -> pd.DataFrame:
+    frame = _ordered(frame, starts, ["score", "x", "y"], [False, True, True])
+    keep = np.zeros(len(frame), bool)
+    keep[starts[:-1]] = most > 0
+    x, y = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
+    for a, b in _several(starts):
+        kept = [a]
+        for i in range(a + 1, b):
+            if len(kept) >= most:
+                break
+            if all(np.hypot(x[i] - x[k], y[i] - y[k]) > distance for k in kept):
                 kept.append(i)
-        return frame.iloc[kept]
+                keep[i] = True
+    return frame[keep]
+
 
-    return per_key(df, keys, ["score", "x", "y"], fold, df.schema)
+def suppress_peaks(df: DataFrame, keys: list[str], distance: float, most: int) -> DataFrame:
+    """Points ``x, y, score``, best first, farther than ``distance`` from every better one that was kept; ``most`` at the most."""
+    fold = lambda frame, starts: peaks_of(frame, starts, distance, most)
+    return per_frame(df, keys, ["score", "x", "y"], fold, df.schema)
 
 
 #: Fixed values. Rates a second at which a counter of a rule can fall, and how much more a fall may be.
