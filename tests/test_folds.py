@@ -405,3 +405,25 @@ def test_peaks_of_many_keys_at_once(monkeypatch):
                 kept.append(r)
         want += [tuple(k) for k in kept]
     assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_tracks_of_many_keys_at_once(monkeypatch):
+    frame, starts = many_keys(2)
+    calls = sorts_of(monkeypatch)
+    got = folds.tracks_of(frame, starts, "t", 25.0, 2)
+    assert len(calls) == 1
+    want = []
+    for _, own in frame.groupby("key"):
+        last = []
+        for t in sorted(set(own.t)):
+            free = list(range(len(last)))
+            for r in sorted(own[own.t == t].itertuples(index=False), key=lambda r: (r.x, r.y))[:2]:
+                near = min(((np.hypot(last[k][0] - r.x, last[k][1] - r.y), k) for k in [*free, *range(len(last))] if k in free), default=(np.inf, -1))
+                # A track that was opened at this time isn't free.
+                k = near[1] if near[0] <= 25.0 else len(last)
+                last[k:k + 1] = [(r.x, r.y)]
+                free = [f for f in free if f != k]
+                want.append((*r, k + 1))
+    assert list(got.itertuples(index=False, name=None)) == want
+    empty = frame.assign(t=np.where(frame["key"] % 2 == 0, np.nan, frame["t"]))
+    assert set(folds.tracks_of(empty, starts, "t", 25.0, 2)["key"]) == {k for k in range(400) if k % 2}

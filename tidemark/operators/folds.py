@@ -208,28 +208,40 @@ def cluster_points(df: DataFrame, keys: list[str], order: list[str], radius: flo
     return per_key(df, keys, order, fold, _schema(df, df.columns, ("cluster", T.LongType())))
 
 
-def track_objects(df: DataFrame, keys: list[str], time: str, reach: float, most: int = 3) -> DataFrame:
-    """Add ``track``: at each time the first ``most`` points continue the nearest free track within ``reach``, else open one."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([time, "x", "y"], kind="stable")
+def tracks_of(frame: pd.DataFrame, starts: np.ndarray, time: str, reach: float, most: int) -> pd.DataFrame:
+    frame = _ordered(frame, starts, [time, "x", "y"])
+    n, t = len(frame), frame[time].to_numpy()
+    opens = np.ones(n, bool)
+    opens[1:] = t[1:] != t[:-1]
+    opens[starts[:-1]] = True
+    first = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    taken = (np.arange(n) - first < most) & ~pd.isna(t)
+    names = np.ones(n, np.int64)
+    xs, ys, fresh, held = frame["x"].tolist(), frame["y"].tolist(), opens.tolist(), taken.tolist()
+    for a, b in _several(starts):
         last: list[tuple[float, float]] = []
-        kept, names = [], []
-        for _, at in frame.groupby(time, sort=True):
-            used: set[int] = set()
-            for i, x, y in at[["x", "y"]].head(most).itertuples(name=None):
-                near = min(((np.hypot(p[0] - x, p[1] - y), k) for k, p in enumerate(last) if k not in used), default=(np.inf, -1))
-                k = near[1]
-                if near[0] > reach:
-                    last.append((x, y))
-                    k = len(last) - 1
-                last[k] = (x, y)
-                used.add(k)
-                kept.append(i)
-                names.append(k + 1)
-        return frame.loc[kept].assign(track=np.array(names, np.int64))
+        used: set[int] = set()
+        for i in range(a, b):
+            if fresh[i]:
+                used = set()
+            if not held[i]:
+                continue
+            x, y = xs[i], ys[i]
+            near = min(((np.hypot(p[0] - x, p[1] - y), k) for k, p in enumerate(last) if k not in used), default=(np.inf, -1))
+            k = near[1]
+            if near[0] > reach:
+                last.append((x, y))
+                k = len(last) - 1
+            last[k] = (x, y)
+            used.add(k)
+            names[i] = k + 1
+    return frame.assign(track=names)[taken]
+
 
-    return per_key(df, keys, [time, "x", "y"], fold, _schema(df, df.columns, ("track", T.LongType())))
+def track_objects(df: DataFrame, keys: list[str], time: str, reach: float, most: int = 3) -> DataFrame:
+    """Add ``track``: at each time the first ``most`` points continue the nearest free track within ``reach``, else open one."""
+    fold = lambda frame, starts: tracks_of(frame, starts, time, reach, most)
+    return per_frame(df, keys, [time, "x", "y"], fold, _schema(df, df.columns, ("track", T.LongType())))
 
 
 def longest_chain(df: DataFrame, keys: list[str], time: str, move: float, gap: float) -> DataFrame:
