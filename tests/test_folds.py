@@ -427,3 +427,19 @@ def test_tracks_of_many_keys_at_once(monkeypatch):
     assert list(got.itertuples(index=False, name=None)) == want
     empty = frame.assign(t=np.where(frame["key"] % 2 == 0, np.nan, frame["t"]))
     assert set(folds.tracks_of(empty, starts, "t", 25.0, 2)["key"]) == {k for k in range(400) if k % 2}
+
+
+def test_chains_of_many_keys_at_once(monkeypatch):
+    frame, starts = many_keys(3)
+    calls = sorts_of(monkeypatch)
+    got = folds.chains_of(frame, starts, ["key"], "t", 30.0, 4.0)
+    assert len(calls) == 1
+    want = []
+    for key, own in frame.groupby("key"):
+        rows, size = sorted(own.itertuples(index=False), key=lambda r: (r.t, r.x, r.y)), []
+        for i, r in enumerate(rows):
+            before = [(size[j][0], -j) for j in range(i) if r.t - 4.0 <= rows[j].t < r.t and np.hypot(rows[j].x - r.x, rows[j].y - r.y) <= 30.0]
+            size.append((1, r.t) if not before else (max(before)[0] + 1, size[-max(before)[1]][1]))
+        best = max(range(len(rows)), key=lambda i: (size[i][0], -i))
+        want.append((key, size[best][0], size[best][1], rows[best].t))
+    assert list(got.itertuples(index=False, name=None)) == want

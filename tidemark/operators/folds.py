@@ -244,24 +244,33 @@ def track_objects(df: DataFrame, keys: list[str], time: str, reach: float, most:
     return per_frame(df, keys, [time, "x", "y"], fold, _schema(df, df.columns, ("track", T.LongType())))
 
 
-def longest_chain(df: DataFrame, keys: list[str], time: str, move: float, gap: float) -> DataFrame:
-    """``length, start, end`` of the longest chain of points ``x, y``, each near the one before in place and time."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([time, "x", "y"], kind="stable")
-        t, x, y = (frame[c].to_numpy(float) for c in (time, "x", "y"))
-        size, start = np.ones(len(t), np.int64), t.copy()
-        for i in range(len(t)):
-            lo = int(np.searchsorted(t, t[i] - gap))
-            j = np.arange(lo, i)
+def chains_of(frame: pd.DataFrame, starts: np.ndarray, keys: list[str], time: str, move: float, gap: float) -> pd.DataFrame:
+    frame = _ordered(frame, starts, [time, "x", "y"])
+    ts, xs, ys = (frame[c].to_numpy(float) for c in (time, "x", "y"))
+    heads = starts[:-1]
+    length, start, end = np.ones(len(heads), np.int64), ts[heads].copy(), ts[heads].copy()
+    several = np.flatnonzero(np.diff(starts) > 1).tolist()
+    for g, (a, b) in zip(several, _several(starts), strict=True):
+        t, x, y = ts[a:b], xs[a:b], ys[a:b]
+        size, since = np.ones(b - a, np.int64), t.copy()
+        lows = np.searchsorted(t, t - gap)
+        # A row that no other comes before in time starts a chain.
+        for i in np.flatnonzero(lows < np.arange(b - a)).tolist():
+            j = np.arange(lows[i], i)
             j = j[(t[j] < t[i]) & (np.hypot(x[j] - x[i], y[j] - y[i]) <= move)]
             if len(j):
-                b = j[int(size[j].argmax())]
-                size[i], start[i] = size[b] + 1, start[b]
-        b = int(size.argmax())
-        return frame[keys].head(1).assign(length=size[b], start=start[b], end=t[b])
+                before = j[int(size[j].argmax())]
+                size[i], since[i] = size[before] + 1, since[before]
+        best = int(size.argmax())
+        length[g], start[g], end[g] = size[best], since[best], t[best]
+    return frame.iloc[heads][keys].assign(length=length, start=start, end=end)
+
 
-    return per_key(df, keys, [time, "x", "y"], fold, _schema(df, keys, ("length", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType())))
+def longest_chain(df: DataFrame, keys: list[str], time: str, move: float, gap: float) -> DataFrame:
+    """``length, start, end`` of the longest chain of points ``x, y``, each near the one before in place and time."""
+    fold = lambda frame, starts: chains_of(frame, starts, keys, time, move, gap)
+    needed = df.select(*dict.fromkeys([*keys, time, "x", "y"]))
+    return per_frame(needed, keys, [time, "x", "y"], fold, _schema(df, keys, ("length", T.LongType()), ("start", T.DoubleType()), ("end", T.DoubleType())))
 
 
 def peaks_of(frame: pd.DataFrame, starts: np.ndarray, distance: float, most: int) -> pd.DataFrame:
