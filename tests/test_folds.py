@@ -443,3 +443,24 @@ def test_chains_of_many_keys_at_once(monkeypatch):
         best = max(range(len(rows)), key=lambda i: (size[i][0], -i))
         want.append((key, size[best][0], size[best][1], rows[best].t))
     assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_clusters_of_many_keys_at_once(monkeypatch):
+    frame, starts = many_keys(4)
+    calls = sorts_of(monkeypatch)
+    got = folds.clusters_of(frame, starts, ["t", "score"], 18.0)
+    assert len(calls) == 1
+    want = []
+    for _, own in frame.groupby("key"):
+        means = []
+        for r in sorted(own.itertuples(index=False), key=lambda r: (r.t, r.score)):
+            near = min(((np.hypot(m[0] - r.x, m[1] - r.y), k) for k, m in enumerate(means)), default=(np.inf, -1))
+            k = near[1] if near[0] <= 18.0 else len(means)
+            if k == len(means):
+                means.append([r.x, r.y, 1.0])
+            else:
+                m = means[k]
+                m[2] += 1
+                m[0], m[1] = m[0] + (r.x - m[0]) / m[2], m[1] + (r.y - m[1]) / m[2]
+            want.append((*r, k + 1))
+    assert list(got.itertuples(index=False, name=None)) == want

@@ -185,27 +185,31 @@ def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confiden
     return per_key(cut, [*keys, "_stretch"], order, fold, cut.schema).select(*df.columns)
 
 
-def cluster_points(df: DataFrame, keys: list[str], order: list[str], radius: float) -> DataFrame:
-    """Add ``cluster``: each point ``x, y`` joins the nearest cluster within ``radius`` of its running mean, else starts one."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
+def clusters_of(frame: pd.DataFrame, starts: np.ndarray, order: list[str], radius: float) -> pd.DataFrame:
+    frame = _ordered(frame, starts, order)
+    names = np.ones(len(frame), np.int64)
+    xs, ys = frame["x"].tolist(), frame["y"].tolist()
+    for a, b in _several(starts):
         means: list[list[float]] = []
-        names = []
-        for x, y in frame[["x", "y"]].itertuples(index=False, name=None):
-            near = min(((np.hypot(m[0] - x, m[1] - y), i) for i, m in enumerate(means)), default=(np.inf, -1))
+        for i in range(a, b):
+            x, y = xs[i], ys[i]
+            near = min(((np.hypot(m[0] - x, m[1] - y), k) for k, m in enumerate(means)), default=(np.inf, -1))
             if near[0] > radius:
                 means.append([x, y, 1.0])
-                names.append(len(means))
+                names[i] = len(means)
                 continue
             m = means[near[1]]
             m[2] += 1
             m[0] += (x - m[0]) / m[2]
             m[1] += (y - m[1]) / m[2]
-            names.append(near[1] + 1)
-        return frame.assign(cluster=np.array(names, np.int64))
+            names[i] = near[1] + 1
+    return frame.assign(cluster=names)
+
 
-    return per_key(df, keys, order, fold, _schema(df, df.columns, ("cluster", T.LongType())))
+def cluster_points(df: DataFrame, keys: list[str], order: list[str], radius: float) -> DataFrame:
+    """Add ``cluster``: each point ``x, y`` joins the nearest cluster within ``radius`` of its running mean, else starts one."""
+    fold = lambda frame, starts: clusters_of(frame, starts, order, radius)
+    return per_frame(df, keys, order, fold, _schema(df, df.columns, ("cluster", T.LongType())))
 
 
 def tracks_of(frame: pd.DataFrame, starts: np.ndarray, time: str, reach: float, most: int) -> pd.DataFrame:
