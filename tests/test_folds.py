@@ -464,3 +464,27 @@ def test_clusters_of_many_keys_at_once(monkeypatch):
                 m[0], m[1] = m[0] + (r.x - m[0]) / m[2], m[1] + (r.y - m[1]) / m[2]
             want.append((*r, k + 1))
     assert list(got.itertuples(index=False, name=None)) == want
+
+
+@pytest.mark.parametrize("most", [None, 0, 2])
+def test_picks_of_many_keys_at_once(monkeypatch, most):
+    frame, starts = many_keys(5)
+    # One key of more than FEW rows, and rows without a time.
+    more = pd.DataFrame({"key": 400, "t": np.arange(200.0), "x": 0.0, "y": 0.0, "score": 0.0})
+    frame = pd.concat([frame, more], ignore_index=True).sort_values(["key", "t"], kind="stable", ignore_index=True)
+    starts = np.append(starts, len(frame))
+    frame.loc[::7, "t"] = np.nan
+    frame["nth"] = np.arange(len(frame))
+    made = []
+    real = picks.kept
+    monkeypatch.setattr(picks, "kept", lambda *a: made.append(1) or real(*a))
+    got = picks.picked_of(frame, starts, "t", 3.0, most)
+    assert len(made) == 1
+    want = []
+    for _, own in frame.groupby("key"):
+        last, count = None, 0
+        for r in own.itertuples():
+            if r.t == r.t and (last is None or r.t - last >= 3.0) and (most is None or count < most):
+                last, count = r.t, count + 1
+                want.append(r.nth)
+    assert got["nth"].tolist() == want

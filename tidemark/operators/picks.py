@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.folds import per_group, per_key
+from tidemark.operators.folds import _several, per_frame, per_group, per_key
 from tidemark.operators.scans import _met, long_keys, rows_of, scan, with_states
 from tidemark.operators.tables import stored
 
@@ -85,6 +85,31 @@ def kept(times: np.ndarray, last: float, count: float, least: float, most: int |
     return np.array(out, np.int64)
 
 
+#: Up to this many rows of a key one look at each is faster than arrays.
+FEW = 64
+
+
+def picked_of(frame: pd.DataFrame, starts: np.ndarray, time: str, least: float, most: int | None) -> pd.DataFrame:
+    """The rows of each key that are picked from its start."""
+    t = frame[time].to_numpy(float)
+    valid = ~np.isnan(t)
+    keep = valid & (most is None or most > 0)
+    times = t.tolist()
+    for a, b in _several(starts):
+        keep[a:b] = False
+        if b - a > FEW:
+            own = a + np.flatnonzero(valid[a:b])
+            keep[own[kept(t[own], -np.inf, 0, least, most)]] = True
+            continue
+        last, count = None, 0
+        for i in range(a, b):
+            if most is not None and count >= most:
+                break
+            if times[i] == times[i] and (last is None or times[i] - last >= least):
+                keep[i], last, count = True, times[i], count + 1
+    return frame[keep]
+
+
 def greedy_spacing(df: DataFrame, keys: list[str], order: list[str], least: float, most: int | None = None, chunk: float | None = CHUNK) -> DataFrame:
     """Rows at least ``least`` (more than 0) seconds after the last one that was kept, the first ``most`` of them; rows without a time are not kept.
 
@@ -94,12 +119,13 @@ def greedy_spacing(df: DataFrame, keys: list[str], order: list[str], least: floa
         frame = frame[frame[order[0]].notna()]
         return frame.iloc[kept(frame[order[0]].to_numpy(float), last, count, least, most)]
 
+    whole = lambda frame, starts: picked_of(frame, starts, order[0], least, most)
     if chunk is None:
-        return per_key(df, keys, order, pick, df.schema)
+        return per_frame(df, keys, order, whole, df.schema)
     at = F.floor(F.col(order[0]) / chunk).cast("long")
     chunks = stored(long_keys(df, keys, at))
     if chunks.isEmpty():
-        return per_key(df, keys, order, pick, df.schema)
+        return per_frame(df, keys, order, whole, df.schema)
     rows, group, binary = rows_of(df, keys, chunks, True), [*keys, "_chunk"], T.BinaryType()
     heads = chunks.where("_left > 0")
 
@@ -124,4 +150,4 @@ def greedy_spacing(df: DataFrame, keys: list[str], order: list[str], least: floa
         return pick(frame[~head], last, count)
 
     long = per_key(with_states(rows, keys, at, known_at, ["state"]), group, order, picks, df.schema)
-    return per_key(rows_of(df, keys, chunks, False), keys, order, pick, df.schema).unionByName(long)
+    return per_frame(rows_of(df, keys, chunks, False), keys, order, whole, df.schema).unionByName(long)
