@@ -488,3 +488,19 @@ def test_picks_of_many_keys_at_once(monkeypatch, most):
                 last, count = r.t, count + 1
                 want.append(r.nth)
     assert got["nth"].tolist() == want
+
+
+def test_flips_of_many_keys_at_once():
+    rng = random.Random(6)
+    frame, starts = many_keys(6)
+    frame = frame.assign(v=[rng.choice("ab") for _ in range(len(frame))], _next=[rng.choice("ab") for _ in range(len(frame))])
+    got = folds.flips_of(frame, starts, "v", "score", 0.5)
+    want = []
+    for _, own in frame.groupby("key"):
+        before = None
+        for r in own.itertuples(index=False):
+            changes = before is not None and before == r[-1]
+            before = before if changes else r.v
+            want.append((before, min(r.score, 0.5) if changes else r.score))
+    assert list(got[["v", "score"]].itertuples(index=False, name=None)) == want
+    assert folds.flips_of(frame.drop_duplicates("key"), np.arange(401), "v", "score", 0.5)["v"].tolist() == frame.drop_duplicates("key")["v"].tolist()

@@ -163,6 +163,18 @@ def cheapest(row, bonus: float, most: float, penalty=None) -> dict[int, float]:
     return held
 
 
+def flips_of(frame: pd.DataFrame, starts: np.ndarray, value: str, confidence: str, cap: float) -> pd.DataFrame:
+    several = _several(starts)
+    if not several:
+        return frame
+    v, after, c = frame[value].tolist(), frame["_next"].tolist(), frame[confidence].tolist()
+    for a, b in several:
+        for i in range(a + 1, b):
+            if v[i - 1] == after[i]:
+                v[i], c[i] = v[i - 1], min(c[i], cap)
+    return frame.assign(**{value: v, confidence: c})
+
+
 def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confidence: str, span: float = 3.0, cap: float = 0.65, tie: list[str] | None = None, chunk: float | None = CHUNK) -> DataFrame:
     """A value between two equal ones within ``span`` seconds takes theirs; from left to right, each seeing what was changed before.
 
@@ -173,16 +185,8 @@ def smooth_flips(df: DataFrame, keys: list[str], time: str, value: str, confiden
     plain = near.select(*df.columns, F.col(f"_a.{value}").alias("_next"), F.when(may, 0).otherwise(1).alias("_keeps"))
     cut = running_sum(plain, keys, order, F.col("_keeps"), "_stretch", chunk)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) == 1:
-            return frame
-        v, after, c = frame[value].tolist(), frame["_next"].tolist(), frame[confidence].tolist()
-        for i in range(1, len(v)):
-            if v[i - 1] == after[i]:
-                v[i], c[i] = v[i - 1], min(c[i], cap)
-        return frame.assign(**{value: v, confidence: c})
-
-    return per_key(cut, [*keys, "_stretch"], order, fold, cut.schema).select(*df.columns)
+    fold = lambda frame, starts: flips_of(frame, starts, value, confidence, cap)
+    return per_frame(cut, [*keys, "_stretch"], order, fold, df.schema)
 
 
 def clusters_of(frame: pd.DataFrame, starts: np.ndarray, order: list[str], radius: float) -> pd.DataFrame:
