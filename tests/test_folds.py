@@ -504,3 +504,32 @@ def test_flips_of_many_keys_at_once():
             want.append((before, min(r.score, 0.5) if changes else r.score))
     assert list(got[["v", "score"]].itertuples(index=False, name=None)) == want
     assert folds.flips_of(frame.drop_duplicates("key"), np.arange(401), "v", "score", 0.5)["v"].tolist() == frame.drop_duplicates("key")["v"].tolist()
+
+
+def test_penalty_decoding_of_many_keys_at_once(monkeypatch):
+    rng = random.Random(7)
+    sizes = [rng.choice([1, 1, 1, 2, 3, 5, 30]) for _ in range(300)]
+    starts, decoder = np.concatenate([[0], np.cumsum(sizes)]), penalty.Penalty()
+    n, level = int(starts[-1]), 0
+    times, candidates, visible, other = np.arange(n) * 0.5, np.empty(n, object), np.empty(n, object), np.empty(n, object)
+    for i in range(n):
+        level = rng.randint(0, 99) if level <= 0 or rng.random() < 0.1 else level - rng.choice([0, 1])
+        candidates[i] = None if rng.random() < 0.05 else [reading(v, rng.uniform(0.0, 0.3)) for v in [level, rng.randint(0, 99)][: rng.randint(0, 2)]]
+        visible[i], other[i] = rng.choice([True, True, False, None]), rng.choice([True, False, None])
+    want = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        ticks = list(zip(penalty._readings(candidates[a:b]), penalty.kinds_of(penalty._seen(candidates[a:b], visible[a:b]), penalty._flag(other[a:b])), strict=True))
+        # Steps over all moves, the first tick's included.
+        costs, back = decoding.unreached(100, 0)[0], []
+        for seen, kind in ticks:
+            total = costs[None, :] + decoder.moves[kind] + decoder.emission(seen, kind)[:, None]
+            costs = np.minimum(total.min(axis=1), decoding.FAR)
+            back.append(total.argmin(axis=1))
+        path, before = decoding.followed(np.array(back), int(costs.argmin()))
+        want += list(zip(*(x.tolist() for x in penalty._told(path, before, times[a:b], candidates[a:b], visible[a:b], other[a:b])), strict=True))
+    paths, real = [], penalty.cheapest_path
+    monkeypatch.setattr(penalty, "cheapest_path", lambda *a: paths.append(1) or real(*a))
+    got = list(zip(*(x.tolist() for x in penalty.told_many(starts, times, candidates, visible, other, decoder)), strict=True))
+    assert got == want and any(v for v, _, _ in got)
+    # A path is looked for only where a tick is visible; lone ticks never are.
+    assert 0 < len(paths) <= sum(s > 1 for s in sizes)

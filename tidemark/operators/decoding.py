@@ -101,24 +101,28 @@ def composed_maps(first: bytes, then: bytes) -> bytes:
 
 
 def decoded(
-    df: DataFrame, keys: list[str], order: list[str], reads: list[str], decoder, ticks_of: Callable, tell: Callable, more: tuple, chunk: float | None = CHUNK, long_form: tuple | None = None,
+    df: DataFrame, keys: list[str], order: list[str], reads: list[str], decoder, ticks_of: Callable, tell: Callable, more: tuple, chunk: float | None = CHUNK, long_form: tuple | None = None, many: Callable | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows ``keys, order, more``: of keys that fit a chunk, and of longer ones (with ``_chunk, _pos, _size``; None where there are none).
 
     ``ticks_of`` makes ticks for the decoder of the columns ``reads``; ``tell(path, value before, *columns)`` makes the columns ``more``. ``order`` must order
     a key's rows completely. ``long_form`` stands for (prepare, reads, ticks_of, tell, more) of the longer keys, whose rows ``prepare`` gets first, where a
-    chunk alone can't tell what the whole can."""
+    chunk alone can't tell what the whole can. ``many(starts, *columns)`` makes the columns ``more`` of many short keys at once."""
 
     def alone(*columns):
         return tell(*cheapest_path(decoder, ticks_of(*columns)), *columns)
 
+    def whole(rows: DataFrame) -> DataFrame:
+        return per_row(rows, keys, order, reads, many or alone, *told, many=many is not None)
+
+    told = more
     if chunk is None:
-        return per_row(df, keys, order, reads, alone, *more), None
+        return whole(df), None
     at, n = F.floor(F.col(order[0]) / chunk).cast("long"), decoder.values
     chunks = stored(long_keys(df, keys, at))
     if chunks.isEmpty():
-        return per_row(df, keys, order, reads, alone, *more), None
-    short = per_row(rows_of(df, keys, chunks, False), keys, order, reads, alone, *more)
+        return whole(df), None
+    short = whole(rows_of(df, keys, chunks, False))
     rows = rows_of(df, keys, chunks, True)
     if long_form:
         prepare, reads, ticks_of, tell, more = long_form

@@ -114,16 +114,17 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], reads: list[str]
     return _sorted(df.select(*dict.fromkeys([*keys, *order, *reads])), keys, order, tasks).mapInPandas(run, schema)
 
 
-def per_row(df: DataFrame, keys: list[str], order: list[str], reads: list[str], fold, *more: tuple[str, T.DataType]) -> DataFrame:
+def per_row(df: DataFrame, keys: list[str], order: list[str], reads: list[str], fold, *more: tuple[str, T.DataType], many: bool = False) -> DataFrame:
     """Like :func:`per_key` for folds that give each row some values: no frame is made for a key.
 
-    ``fold`` gets the columns ``reads`` of a key's rows as arrays and returns the new columns ``more`` in that order."""
+    ``fold`` gets the columns ``reads`` of a key's rows as arrays and returns the new columns ``more`` in that order; with ``many`` it gets where each
+    of many whole keys starts, the end included, and the columns of all of them."""
     kept = [*keys, *order]
 
     def run(frames):
         for frame, starts in _whole(frames, keys):
             columns = [frame[c].to_numpy() for c in reads]
-            parts = [fold(*(c[a:b] for c in columns)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            parts = [fold(starts, *columns)] if many else [fold(*(c[a:b] for c in columns)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield frame[kept].assign(**{n: np.concatenate([p[k] for p in parts]) for k, (n, _) in enumerate(more)})
 
     return _sorted(df.select(*dict.fromkeys([*kept, *reads])), keys, order).mapInPandas(run, _schema(df, kept, *more))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.chunks import framed, last_known, neighbours, run_numbers, running_sum
-from tidemark.operators.decoding import CHUNK, FAR, decoded, units
-from tidemark.operators.folds import DECODED, cheapest, per_group, runs_of
+from tidemark.operators.decoding import CHUNK, FAR, cheapest_path, decoded, units
+from tidemark.operators.folds import DECODED, _several, cheapest, per_group, runs_of
 from tidemark.operators.tables import stored
 
 VALUES = 100
@@ -28,18 +28,22 @@ VANISHED, OTHER, WANDERED = 4.0, 1.5, 5.0
 HELD = 0.45
 
 
-def _count(flags: np.ndarray, back: int, ahead: int) -> np.ndarray:
-    """How many flags are set from ``back`` ticks before to ``ahead`` ticks after each (negative: later, earlier)."""
+def _count(flags: np.ndarray, back: int, ahead: int, first: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
+    """How many flags are set from ``back`` ticks before to ``ahead`` ticks after each (negative: later, earlier), within its key's ``first`` and ``end``."""
     upto = np.concatenate([[0], np.cumsum(flags)])
     at = np.arange(len(flags))
-    return upto[np.clip(at + ahead + 1, 0, len(flags))] - upto[np.clip(at - back, 0, len(flags))]
+    return upto[np.clip(at + ahead + 1, first, end)] - upto[np.clip(at - back, first, end)]
 
 
-def kinds_of(seen: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """visible, occluded, absent or hidden for each tick, from whether it was read and whether its neighbour counter was."""
-    accompanied = _count(seen, NEIGHBOURS, NEIGHBOURS) >= 2
-    surrounded = (_count(seen, SURROUNDED, -1) > 0) & (_count(seen, -1, SURROUNDED) > 0)
-    lasting = np.where(seen, accompanied, surrounded) | (_count(seen, RECENT, -1) > 0)
+def kinds_of(seen: np.ndarray, other: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """visible, occluded, absent or hidden for each tick, from whether it was read and whether its neighbour counter was.
+
+    ``starts``: where each of many keys starts, the end included; else all ticks are of one."""
+    bounds = (0, len(seen)) if starts is None else (np.repeat(starts[:-1], np.diff(starts)), np.repeat(starts[1:], np.diff(starts)))
+    count = lambda back, ahead: _count(seen, back, ahead, *bounds)
+    accompanied = count(NEIGHBOURS, NEIGHBOURS) >= 2
+    surrounded = (count(SURROUNDED, -1) > 0) & (count(-1, SURROUNDED) > 0)
+    lasting = np.where(seen, accompanied, surrounded) | (count(RECENT, -1) > 0)
     return np.select([seen & accompanied, lasting, other], ["visible", "occluded", "absent"], "hidden")
 
 
@@ -84,6 +88,10 @@ class Penalty:
     def step(self, costs: np.ndarray, tick: tuple) -> tuple[np.ndarray, np.ndarray]:
         """The first of equals on both axes counts."""
         seen, kind = tick
+        if (costs < FAR).sum() == 1:
+            # The first tick: what can't be reached is never the cheapest to come from.
+            only = int(costs.argmin())
+            return costs[only] + self.moves[kind][:, only] + self.emission(seen, kind), np.full(VALUES, only, np.uint8)
         total = costs[None, :] + self.moves[kind] + self.emission(seen, kind)[:, None]
         return total.min(axis=1), total.argmin(axis=1).astype(np.uint8)
 
@@ -213,6 +221,31 @@ def _told(path, before, times, candidates, visible, other):
     return path, source, sure
 
 
+def told_many(starts, times, candidates, visible, other, decoder: Penalty):
+    """What :func:`_told` says of the cheapest path of each of many keys.
+
+    Where no tick of a key is visible, to stay at nothing costs least at every tick, so there is no path to look for; a lone tick is never visible."""
+    several = _several(starts)
+    rows = np.flatnonzero(np.repeat(np.diff(starts) > 1, np.diff(starts)))
+    seen = np.zeros(len(times), bool)
+    seen[rows] = _seen(candidates[rows], visible[rows])
+    kind = kinds_of(seen, _flag(other), starts)
+    none, shown = kind == "absent", np.concatenate([[0], np.cumsum(kind == "visible")]).tolist()
+    path, source, sure = np.zeros(len(times), np.int64), np.where(none, "observed", "held").astype(object), np.where(none, 0.9, HELD)
+    for a, b in several:
+        on = shown[b] > shown[a]
+        # An early rise takes two ticks of the old value and two of the new one.
+        if not on and b - a < SUPPORT + 2:
+            continue
+        read = _readings(candidates[a:b])
+        if on:
+            path[a:b], before = cheapest_path(decoder, list(zip(read, kind[a:b], strict=True)))
+            source[a:b], sure[a:b] = _sources(path[a:b], before, read, kind[a:b])
+            _give_up(path[a:b], source[a:b], sure[a:b], unconfirmed(path[a:b], seen[a:b]))
+        _repair(path[a:b], source[a:b], sure[a:b], read, times[a:b])
+    return path, source, sure
+
+
 #: Ticks without a reading on both sides of a cut, so that no count of clear readings reaches over it; ticks in which a long run shows.
 APART, STEADY = 4, 12
 _LONG = (*DECODED, ("_first", T.IntegerType()), ("_seen", T.BooleanType()))
@@ -285,6 +318,8 @@ def penalty_counts(df: DataFrame, keys: list[str], time: str = "t", tie: list[st
     long_ticks = lambda candidates, _, kind: list(zip(_readings(candidates), kind, strict=True))
     tell = lambda path, before, candidates, visible, kind: (*_long_told(path, before, candidates, visible, kind), candidates)
     long_form = (_prepared(keys, order, chunk), ["candidates", "visible", "_kind"], long_ticks, tell, (*_LONG, kept)) if chunk is not None else None
-    short, long = decoded(df, keys, order, [time, "candidates", "visible", "other_visible"], Penalty(), ticks, _told, DECODED, chunk, long_form)
+    decoder = Penalty()
+    many = lambda starts, *columns: told_many(starts, *columns, decoder)
+    short, long = decoded(df, keys, order, [time, "candidates", "visible", "other_visible"], decoder, ticks, _told, DECODED, chunk, long_form, many)
     names = [*keys, *order, *[n for n, _ in DECODED]]
     return short.select(*names) if long is None else short.select(*names).unionByName(_repaired(stored(long), keys, order, chunk).select(*names))
