@@ -533,3 +533,16 @@ def test_penalty_decoding_of_many_keys_at_once(monkeypatch):
     assert got == want and any(v for v, _, _ in got)
     # A path is looked for only where a tick is visible; lone ticks never are.
     assert 0 < len(paths) <= sum(s > 1 for s in sizes)
+
+
+def test_fixed_points_stand_in_one_cell(spark):
+    rng = random.Random(8)
+    draw = lambda n: [(rng.choice([1, 2, None]), i, rng.choice([float(rng.randint(-90, 90))] * 9 + [None, float("nan")]), float(rng.randint(-90, 90))) for i in range(n)]
+    rows, fixed = draw(300) * 2, draw(120)
+    df = lambda r: spark.createDataFrame(r, "key long, id long, x double, y double")
+    got = joins.spatial_anti(df(rows), df(fixed), ["key"], 10.0)
+    near = lambda a, b: a[0] is not None and a[0] == b[0] and a[2] is not None and b[2] is not None and np.hypot(a[2] - b[2], a[3] - b[3]) <= 10.0
+    assert sorted(r["id"] for r in got.collect()) == sorted(a[1] for a in rows if not any(near(a, b) for b in fixed))
+    # The rows' places are spread over cells, not the fixed points.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 2 and plan.index("LeftSemi") < plan.index("explode")

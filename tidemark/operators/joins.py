@@ -124,14 +124,19 @@ def suppress_near(df: DataFrame, hidden: DataFrame, keys: list[str], time: str,
 
 
 def spatial_anti(df: DataFrame, fixed: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """Rows ``x, y`` farther than ``radius`` from every fixed point; points meet by grid cell."""
+    """Rows ``x, y`` farther than ``radius`` from every fixed point; points meet by grid cell.
+
+    The places of the rows, each once, stand in the nine cells around them; a fixed point, of which there may be many more, in its own alone."""
     cell = lambda c: F.floor(F.col(c) / radius)
-    wide = fixed.withColumn("_gx", F.explode(F.sequence(cell("x") - 1, cell("x") + 1))).withColumn("_gy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1))).alias("r")
-    own = df.withColumn("_gx", cell("x")).withColumn("_gy", cell("y")).alias("l")
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    place = [*keys, "x", "y"]
+    spots = df.select(*place).distinct().withColumn("_gx", around("x")).withColumn("_gy", around("y")).alias("l")
+    own = fixed.select(*place).withColumn("_gx", cell("x")).withColumn("_gy", cell("y")).alias("r")
     on = (F.col("l._gx") == F.col("r._gx")) & (F.col("l._gy") == F.col("r._gy")) & (F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")) <= radius)
     for k in keys:
         on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    return own.join(wide, on, "left_anti").drop("_gx", "_gy")
+    near = spots.join(own, on, "left_semi").select(*place).distinct()
+    return df.join(near, place, "left_anti").select(*df.columns)
 
 
 def positional_diff(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: float | None = CHUNK) -> DataFrame:
