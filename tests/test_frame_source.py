@@ -130,3 +130,18 @@ def test_frames_fan_out_to_streams(spark, tmp_path):
     df = frame_source.fan_out(frame_source.frames(spark, str(tmp_path), 2, 2, 0.25), {"hud": 1, "map": 2, "coarse": 8})
     got = {r["stream"]: r["ns"] for r in df.groupBy("stream").agg(F.sort_array(F.collect_list("n")).alias("ns")).collect()}
     assert got == {"hud": list(range(9)), "map": [0, 2, 4, 6, 8], "coarse": [0, 8]}
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_small_frames_are_held_in_bounded_numbers(tmp_path, every):
+    n = 3 * frame_source.BLOCK_FRAMES + 5
+    path = tmp_path / "small"
+    path.write_bytes(b"".join(b"%012d" % k for k in range(n)))
+    layout = frame_source.Layout({"width": "2", "height": "2", "interval": "0.25", "every": str(every)})
+    sizes, seen = [], []
+    for batch in layout.read(frame_source.Range(str(path), 0, n)):
+        sizes.append(len(batch))
+        seen += [(k, int(rgb)) for k, rgb in zip(batch.column("n").to_pylist(), batch.column("rgb").to_pylist(), strict=True)]
+    assert max(sizes) <= frame_source.BLOCK_FRAMES and seen == [(k, k) for k in range(0, n, every)]
+    with pytest.raises(ValueError, match="shorter"):
+        list(layout.read(frame_source.Range(str(path), 0, n + 9)))

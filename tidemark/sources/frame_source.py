@@ -18,6 +18,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Bytes that one task reads, and that it holds at a time.
 PARTITION_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+#: Frames that a task holds at a time, however small they are.
+BLOCK_FRAMES = 16_384
 SCHEMA = pa.schema([("path", pa.string()), ("n", pa.int32()), ("t", pa.float64()), ("rgb", pa.binary())])
 
 
@@ -96,19 +99,18 @@ class Layout:
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         """The wanted frames of a range. Neighbours are read together; with a stride only the wanted frames' bytes are."""
         size = self.size
-        at_once = max(1, BLOCK_BYTES // size)
+        at_once = min(BLOCK_FRAMES, max(1, BLOCK_BYTES // size))
         numbers = range(-(-part.first // self.every) * self.every, part.last, self.every)
         with opened(part.path) as file:
             for k in range(0, len(numbers), at_once):
                 own = numbers[k : k + at_once]
-                if self.every == 1:
-                    raw = file.read_at(len(own) * size, own[0] * size)
-                    frames = [raw[i * size : (i + 1) * size] for i in range(len(own))]
-                else:
-                    frames = [file.read_at(size, n * size) for n in own]
-                if any(len(f) < size for f in frames):
+                raw = file.read_at(len(own) * size, own[0] * size) if self.every == 1 else b"".join([file.read_at(size, n * size) for n in own])
+                if len(raw) < len(own) * size:
                     raise ValueError(f"{part.path} got shorter while it was read")
-                yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(own)), pa.array(own, pa.int32()), pa.array([self.time(n) for n in own]), pa.array(frames, pa.binary())], schema=SCHEMA)
+                # No object is made for a frame.
+                ends = pa.py_buffer(np.arange(len(own) + 1, dtype=np.int32) * np.int32(size))
+                rgb = pa.Array.from_buffers(pa.binary(), len(own), [None, ends, pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(own)), pa.array(own, pa.int32()), pa.array([self.time(n) for n in own]), rgb], schema=SCHEMA)
 
 
 class FrameReader(DataSourceReader):
