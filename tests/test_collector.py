@@ -161,3 +161,44 @@ def test_odd_rows(spark):
     got = collector.collect_batch(spark.createDataFrame(rows, SCHEMA), "key").collect()
     assert [(r["key"], r["event"]) for r in got] == [(None, "match-start")]
     assert collector.collect_batch(spark.createDataFrame([], SCHEMA).select("key", "stream", "t"), "key").count() == 0
+
+
+class State:
+    """A list state that counts its writes."""
+
+    def __init__(self):
+        self.rows, self.writes = [], 0
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows, self.writes = list(rows), self.writes + 1
+
+    def appendList(self, rows):
+        self.rows, self.writes = [*self.rows, *rows], self.writes + 1
+
+    def clear(self):
+        self.rows, self.writes = [], self.writes + 1
+
+
+def test_samples_are_written_to_state_once_a_call():
+    states = {n: State() for n in collector.LISTS}
+    kept, plain = collector.Lists(states), collector.Held()
+    rng = random.Random(3)
+    for call in range(12):
+        before = sum(s.writes for s in states.values())
+        for k in range(300):
+            if call % 3 == 2 and k == 150:
+                kept.clear()
+                plain.clear()
+            sample = (rng.choice(collector.LISTS[:-1]), float(k), str(k))
+            kept.add(*sample)
+            plain.add(*sample)
+        assert list(kept.items()) == list(plain.items())
+        kept.flush()
+        assert list(kept.items()) == list(plain.items())
+        assert sum(s.writes for s in states.values()) - before <= len(collector.LISTS)
+    kept.clear()
+    kept.flush()
+    assert not any(s.rows for s in states.values()) and list(kept.items()) == []

@@ -194,20 +194,38 @@ def collect_batch(observations: DataFrame, key: str) -> DataFrame:
 
 
 class Lists:
-    """The same, in one list state for each stream."""
+    """The same, in one list state for each stream. What a call adds is held until :meth:`flush`, so a match that ends within it never gets there."""
 
     def __init__(self, states: dict):
-        self.states = states
+        self.states, self.fresh, self.void = states, {}, False
+        self.stored: dict[str, list] = {}
 
     def clear(self) -> None:
-        for s in self.states.values():
-            s.clear()
+        self.void = True
+        self.fresh.clear()
 
     def add(self, name: str, t: float, sample) -> None:
-        self.states[name].appendValue((t, sample))
+        self.fresh.setdefault(name, []).append((t, sample))
+
+    def _stored(self, name: str) -> list:
+        if name not in self.stored:
+            self.stored[name] = [tuple(r) for r in self.states[name].get()]
+        return self.stored[name]
 
     def items(self):
-        return ((name, t, sample) for name in LISTS for t, sample in self.states[name].get())
+        return ((name, t, sample) for name in LISTS for t, sample in [*([] if self.void else self._stored(name)), *self.fresh.get(name, [])])
+
+    def flush(self) -> None:
+        """Write what is held at the end of a call: one write for a list that changed."""
+        for name, state in self.states.items():
+            rows = self.fresh.get(name)
+            if self.void and rows:
+                state.put(rows)
+            elif self.void:
+                state.clear()
+            elif rows:
+                state.appendList(rows)
+        self.fresh, self.void, self.stored = {}, False, {}
 
 
 class Collector(StatefulProcessor):
@@ -242,6 +260,7 @@ class Collector(StatefulProcessor):
         else:
             self.match.clear()
             self.held.clear()
+        self.held.flush()
         if out:
             yield _frame(self.key, key[0], out)
 
