@@ -334,6 +334,31 @@ def test_compiled_rules_say_what_the_rules_say(spark):
     assert np.allclose([r["p"] for r in df.collect()], [1 / (1 + np.exp(2)), 1 / (1 + np.exp(-1))])
 
 
+def test_fitting_many_rules_makes_no_column_for_each(spark, monkeypatch):
+    """The driver compiles what a plan spells out; flags of all rules come as one array, and are those of the rules."""
+    rng, seen = np.random.default_rng(3), []
+    stats = rng.random((600, len(quality.NAMES))).round(2)
+    marks = (stats[:, 0] > 0.5) ^ (stats[:, 3] * stats[:, 5] > 0.3) ^ (rng.random(600) < 0.1)
+    rows = spark.createDataFrame([(*map(float, x), float(y)) for x, y in zip(stats, marks, strict=True)], [*quality.NAMES, "label"])
+
+    class Seen(quality.LogisticRegression):
+        def fit(self, vectors):
+            seen.append((vectors.first()["rules"].size, widest(vectors._jdf.queryExecution().analyzed())))
+            return super().fit(vectors)
+
+    def widest(node):
+        return max([node.expressions().size(), *[widest(node.children().apply(i)) for i in range(node.children().size())]])
+
+    monkeypatch.setattr(quality, "LogisticRegression", Seen)
+    assert quality.fit(rows)[1]
+    ((rules, width),) = seen
+    assert rules > 100 and width < 30
+    some = [frozenset([("bars", False, 0.4), ("log_words", True, 0.3)]), frozenset([("lines", True, 0.5)]), frozenset([("digits", False, 2.0)])]
+    got = sorted((tuple(r["rules"].toArray()), r["label"]) for r in quality.flagged(rows, "label", some).collect())
+    at = {n: stats[:, i] for i, n in enumerate(quality.NAMES)}
+    assert got == sorted(zip(zip((at["bars"] > 0.4) & (at["log_words"] <= 0.3), at["lines"] <= 0.5, at["digits"] > 2.0, strict=True), marks, strict=True))
+
+
 def test_languages_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", None, None), (10**6 + 2, "123 !?", "en", None, None), (None, "the and of", "en", None, None)], docs.schema)

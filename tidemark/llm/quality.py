@@ -20,7 +20,8 @@ from operator import eq
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +82,26 @@ def _holds(rule: Rule) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n) <= b if low else F.col(n) > b for n, low, b in sorted(rule)])
 
 
+def flagged(rows: DataFrame, label: str, rules: list[Rule]) -> DataFrame:
+    """``rules`` (a vector, 1 where the rule at that place holds) and the label of rows of statistics.
+
+    The flags are worked out in bulk, as one array: with a column for each of some hundred rules the driver compiles half a
+    million characters of generated code, in hundreds of MB."""
+    conditions = sorted({c for r in rules for c in r})
+    at = {c: i for i, c in enumerate(conditions)}
+    sets = [[at[c] for c in r] for r in rules]
+
+    @F.pandas_udf(T.ArrayType(T.ByteType()))
+    def flags(stats: pd.DataFrame) -> pd.Series:
+        met = np.array([(stats[n].to_numpy() <= bound) == low for n, low, bound in conditions])
+        return pd.Series(list(np.array([met[s].all(axis=0) for s in sets], np.int8).T.copy()))
+
+    arrays = rows.select(label, array_to_vector(flags(F.struct(*NAMES)).cast("array<double>")).alias("flags"))
+    sized = VectorSizeHint(inputCol="flags", size=len(rules)).transform(arrays)
+    # The assembler stores each vector sparse or dense, whichever is smaller.
+    return VectorAssembler(inputCols=["flags"], outputCol="rules").transform(sized).select("rules", label)
+
+
 def fit(labelled: DataFrame, label: str = "label", trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> tuple[float, list[tuple[Rule, float]]]:
     """Intercept and weighted rules from rows of statistics with a 0/1 label. ``labelled`` is bounded and stored."""
     share = labelled.agg(F.avg(label), F.count("*")).first()
@@ -95,8 +116,7 @@ def fit(labelled: DataFrame, label: str = "label", trees: int = TREES, depth: in
     if not rules:
         rows.unpersist()
         return math.log(share[0] / (1 - share[0])), []
-    flags = rows.select(label, *[_holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-    vectors = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="rules").transform(flags).select("rules", label).cache()
+    vectors = flagged(rows, label, rules).cache()
     model = LogisticRegression(featuresCol="rules", labelCol=label, elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=60, tol=1e-5).fit(vectors)
     weights = [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if abs(w) > 1e-9]
     rows.unpersist()
